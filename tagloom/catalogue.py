@@ -1,0 +1,6 @@
+"""All registered queries of the library, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
