@@ -134,7 +134,9 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> D
 
 
 def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links between ids of different components that share a bucket. members: bucket, id, component.
+    """Links (a, b) between components that share a bucket and have similar members. members: bucket, id, component.
+
+    One link joins two components; further pairs of theirs are not compared within a tile.
 
     The bucket's largest component asks nothing: every open pair has an end outside it.
     """
@@ -153,13 +155,17 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -
         if not mine or not theirs:
             return set()
         sigs = [np.frombuffer(b"".join(r[4] for r in side), "<u4").reshape(len(side), -1) for side in (mine, theirs)]
-        found = set()
-        for k, (own, _, component, *_rest) in enumerate(mine):
-            open_ = np.array([n for n, r in enumerate(theirs) if r[2] != component], np.int64)
+        found: set[tuple[int, int]] = set()
+        above = np.array([r[2] for r in theirs], np.int64)  # the component as merged so far in this tile
+        for k, (_, _, component, _, _, shingles) in enumerate(mine):
+            own = next((int(above[n]) for n, r in enumerate(theirs) if r[2] == component), component)
+            open_ = np.flatnonzero(above != own)
             if len(open_):
                 alive = may_be_similar(np.broadcast_to(sigs[0][k], (len(open_), sigs[0].shape[1])), sigs[1][open_], percent / 100, miss)
-                shingles = np.frombuffer(mine[k][5], "<u8")
-                found |= {(min(own, theirs[n][0]), max(own, theirs[n][0])) for n in open_[alive] if similar(shingles, np.frombuffer(theirs[n][5], "<u8"), percent)}
+                for n in open_[alive].tolist():
+                    if above[n] != own and similar(np.frombuffer(shingles, "<u8"), np.frombuffer(theirs[n][5], "<u8"), percent):
+                        found.add((min(component, theirs[n][2]), max(component, theirs[n][2])))
+                        above[above == above[n]] = own
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +203,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: fl
     first = components(links).withColumnRenamed("id", "of")
     placed = members.join(first, members.id == first.of, "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     found = durable(open_links(durable(placed, "placed"), sets, percent, miss), "open-links")
-    last = components(links.unionByName(found)).withColumnRenamed("id", "of")
-    named = durable(classes.join(last, classes.id == last.of, "left").select("key1", "key2", F.coalesce("component", "id").alias("component_id")), "named")
+    last = components(found).withColumnRenamed("id", "of").withColumnRenamed("component", "beyond")
+    early = classes.join(first, classes.id == first.of, "left").select("key1", "key2", F.coalesce("component", "id").alias("near"))
+    named = durable(early.join(last, early.near == last.of, "left").select("key1", "key2", F.coalesce("beyond", "near").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key1")).alias("key1"), "key2").join(named, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

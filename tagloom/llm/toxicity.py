@@ -58,12 +58,14 @@ def windows(word: str) -> list[tuple[int, ...]]:
     return [tuple(codes[at : at + size]) for at in range(0, max(1, len(codes) - size + WINDOW // 2), WINDOW // 2)]
 
 
-def by_length(units: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and symbol matrix of the units of each length."""
+def by_length(units: list[tuple[int, ...]], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and symbol matrices of units of one length, at most so many at a time."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
-        yield at, np.array([units[k] for k in at], np.int64)
+        every = np.flatnonzero(sizes == n)
+        for begin in range(0, len(every), most):
+            at = every[begin : begin + most]
+            yield at, np.array([units[k] for k in at], np.int64)
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
