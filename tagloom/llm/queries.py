@@ -68,8 +68,8 @@ _BASE = {
 }
 ORACLE = {
     "op10_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
@@ -84,7 +84,7 @@ ORACLE = {
                 CASE k.rank WHEN 0 THEN regexp_extract_all(text, '{_BASE["assign"]}', 2) WHEN 1 THEN regexp_extract_all(text, '{_BASE["access"]}', 0) ELSE regexp_extract_all(text, '{_BASE["hex"]}', 0) END AS parts
               FROM k),
         n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
-        s AS (SELECT doc_id, kind, rank, list_sum(list_transform(gaps[1:i], x -> length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0)::BIGINT AS a, length(hits[i]) AS l
+        s AS (SELECT doc_id, kind, rank, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(hits[i]) AS l
               FROM n WHERE length(parts[i]) >= CASE rank WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END),
         g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
                 string_agg(kind || ':' || a || ':' || (a + l), ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)

@@ -20,6 +20,7 @@ table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -181,7 +182,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, negatives:
             if own:
                 bag.append(np.array([number.setdefault(u, len(number)) for u in sorted(own)], np.int64))
         bags.append(bag)
-    fitted = np.arange(len(bags)) % 3 > 0  # every third document only shapes the curve, on scores that it did not train
+    fitted = np.array([zlib.crc32(t.encode('utf-8', 'surrogatepass')) % 3 > 0 for t in texts])  # a third of the documents only shape the curve, on scores that they did not train
     units = list(number)
     seen = np.zeros((2, len(units)))
     for bag, label, used in zip(bags, y, fitted):
