@@ -1,6 +1,639 @@
-"""All registered queries of the library, and their SQL."""
+"""All registered queries of the library, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tagloom.functions import text as t
+from tagloom.operators import metrics, responses, rules, sampling, scores, versions
+from tagloom.operators.rules import EditRule
+from tagloom.plans.views import Views, with_views
+from tagloom.sources import files
+from tagloom.streaming import jobs as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: str | None = None) -> Callable:
+    def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE[name] = with_views(views, sql) if views else sql
+        return f
+
+    return register
+
+
+UTRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+TAGS = "list_filter(list_transform(string_split({0}, ','), lambda p: " + UTRIM.format("p") + "), lambda p: p <> '')"
+TAGLIST = TAGS.format("caption")
+
+# --- tags -----------------------------------------------------------------------------------------------------------
+
+
+@query("tag_frequency", f"""
+    , t AS (SELECT item_id, unnest({TAGLIST}) AS tag, unnest(range(0, len({TAGLIST}))) AS pos FROM captions)
+    SELECT lower(tag) AS tag, arg_min(tag, (item_id, pos)) AS label, count(DISTINCT item_id) AS images, count(*) AS occurrences,
+           round(count(DISTINCT item_id) / (SELECT count(*) FROM captions) * 100, 6) AS percent FROM t GROUP BY lower(tag)""", "captions")
+def _(v: Views) -> DataFrame:
+    return metrics.tag_frequency(v.captions())
+
+
+@query("tag_totals", f"""
+    , t AS (SELECT item_id, {TAGLIST} AS tags FROM captions), u AS (SELECT DISTINCT lower(unnest(tags)) AS tag FROM t)
+    SELECT (SELECT count(*) FROM u) AS distinct_tags, count(*) FILTER (len(tags) > 0) AS captioned, sum(len(tags))::BIGINT AS assignments FROM t""", "captions")
+def _(v: Views) -> DataFrame:
+    return metrics.tag_totals(v.captions())
+
+
+@query("tag_split", f"SELECT item_id, unnest(range(0, len({TAGLIST}))) AS pos, unnest({TAGLIST}) AS tag FROM captions", "captions")
+def _(v: Views) -> DataFrame:
+    return v.captions().select("item_id", F.posexplode(t.tags(F.col("caption"))).alias("pos", "tag")).withColumn("pos", F.col("pos").cast("long"))
+
+
+NORMALIZED = "CASE WHEN contains({0}, ',') AND len(" + TAGS + ") > 0 THEN array_to_string(" + TAGS + ", ', ') ELSE {0} END"
+
+
+@query("normalize_tags", f"SELECT item_id, {NORMALIZED.format('caption')} AS caption FROM captions", "captions")
+def _(v: Views) -> DataFrame:
+    return v.captions().select("item_id", t.normalized(F.col("caption")).alias("caption"))
+
+
+@query("tag_dedupe", f"""
+    , t AS (SELECT item_id, {TAGLIST} AS tags FROM captions)
+    SELECT item_id, array_to_string(list_filter(tags, lambda x, i: list_position(list_transform(tags, lambda y: lower(y)), lower(x)) = i), ', ') AS caption FROM t""", "captions")
+def _(v: Views) -> DataFrame:
+    return v.captions().select("item_id", F.array_join(t.deduplicated(t.tags(F.col("caption"))), ", ").alias("caption"))
+
+
+# --- edit rules -----------------------------------------------------------------------------------------------------
+
+
+def edit(name: str, rule: EditRule, sql: str) -> None:
+    """A preview over all captions; ``sql`` gives the edited caption from ``caption`` and the list ``tags``."""
+    body = f", t AS (SELECT *, {TAGLIST} AS tags FROM captions), e AS (SELECT caption_path, caption AS before, {sql} AS after FROM t) SELECT caption_path, before, after, before <> after AS changed, NULL::VARCHAR AS error FROM e"
+    query(name, body, "captions")(lambda v: rules.preview(v.captions(), rule))
+
+
+JOIN = "array_to_string({}, ', ')"
+HIT = "regexp_matches(x, '(?i)token')"
+FIRST = "list_position(list_transform(tags, lambda y: regexp_matches(y, '(?i)token')), true)"
+edit("tag_delete", EditRule(action="delete", content="token"), JOIN.format(f"list_filter(tags, lambda x: NOT {HIT})"))
+edit("tag_delete_first", EditRule(action="delete", content="token", all_matches=False), JOIN.format(f"list_filter(tags, lambda x, i: i <> coalesce({FIRST}, 0))"))
+edit("tag_replace", EditRule(action="replace", content="token", replacement="secret, removed"), JOIN.format(f"flatten(list_transform(tags, lambda x: CASE WHEN {HIT} THEN ['secret', 'removed'] ELSE [x] END))"))
+edit("tag_insert_start", EditRule(position="start", content="new, tag"), JOIN.format("list_concat(['new', 'tag'], tags)"))
+edit("tag_insert_end", EditRule(position="end", content="new, tag"), JOIN.format("list_concat(tags, ['new', 'tag'])"))
+edit("tag_insert_index", EditRule(position="index", index=3, content="new"), JOIN.format("list_concat(list_concat(tags[1:2], ['new']), tags[3:])"))
+edit("tag_insert_before", EditRule(position="before", anchor="token", content="new"), JOIN.format(f"flatten(list_transform(tags, lambda x: CASE WHEN {HIT} THEN ['new', x] ELSE [x] END))"))
+edit("tag_insert_after_first", EditRule(position="after", anchor="token", content="new", all_matches=False), JOIN.format(f"flatten(list_transform(tags, lambda x, i: CASE WHEN i = coalesce({FIRST}, 0) THEN [x, 'new'] ELSE [x] END))"))
+edit("tag_insert_missing", EditRule(position="end", content="new", only_if_missing=True), "CASE WHEN list_contains(list_transform(tags, lambda x: lower(x)), 'new') THEN caption ELSE " + JOIN.format("list_concat(tags, ['new'])") + " END")
+edit("tag_insert_dedupe", EditRule(position="end", content="new", deduplicate=True), JOIN.format("list_filter(list_concat(tags, ['new']), lambda x, i: list_position(list_transform(list_concat(tags, ['new']), lambda y: lower(y)), lower(x)) = i)"))
+edit("text_delete", EditRule(mode="text", action="delete", content="license"), "regexp_replace(caption, '(?i)license', '', 'g')")
+edit("text_replace", EditRule(mode="text", action="replace", content="license", replacement="licence"), "regexp_replace(caption, '(?i)license', 'licence', 'g')")
+edit("text_replace_first", EditRule(mode="text", action="replace", content="the", replacement="$The", all_matches=False), "regexp_replace(caption, '(?i)the', '$The')")
+edit("text_replace_regex", EditRule(mode="text", action="replace", content=r"([0-9]+)", replacement="<$1>", regex=True), r"regexp_replace(caption, '([0-9]+)', '<\1>', 'g')")
+edit("text_insert_start", EditRule(mode="text", position="start", content="Note. "), "'Note. ' || caption")
+edit("text_insert_end", EditRule(mode="text", position="end", content=" End."), "caption || ' End.'")
+edit("text_insert_index", EditRule(mode="text", position="index", index=5, content="|"), "caption[1:5] || '|' || caption[6:]")
+edit("text_insert_line", EditRule(mode="text", position="line", index=2, content="second"), r"array_to_string(list_concat(list_concat(string_split(regexp_replace(caption, '\n$', ''), chr(10))[1:1], ['second']), string_split(regexp_replace(caption, '\n$', ''), chr(10))[2:]), chr(10))")
+edit("text_insert_anchor", EditRule(mode="text", position="before", anchor="token", content="my "), r"regexp_replace(caption, '(?i)token', 'my \0', 'g')")
+edit("text_insert_missing", EditRule(mode="text", position="end", content="license", only_if_missing=True), "CASE WHEN contains(lower(caption), 'license') THEN caption ELSE caption || 'license' END")
+
+DELETE = EditRule(action="delete", content="token")
+DELETED = JOIN.format(f"list_filter(tags, lambda x: NOT {HIT})")
+
+
+@query("edit_preview_counts", f"""
+    , t AS (SELECT *, {TAGLIST} AS tags FROM captions), e AS (SELECT caption <> {DELETED} AS changed FROM t)
+    SELECT count(*) AS total, count(*) FILTER (changed) AS affected, count(*) FILTER (NOT changed) AS skipped, 0::BIGINT AS errors FROM e""", "captions")
+def _(v: Views) -> DataFrame:
+    return rules.preview_counts(rules.preview(v.captions(), DELETE))
+
+
+def changed_meanwhile(captions: DataFrame) -> DataFrame:
+    return captions.withColumn("caption", F.when(F.col("item_id") % 5 == 0, F.concat("caption", F.lit("!"))).otherwise(F.col("caption")))
+
+
+APPLY = f""", t AS (SELECT *, {TAGLIST} AS tags FROM captions), e AS (SELECT caption_path, caption AS before, {DELETED} AS after, CASE WHEN item_id % 5 = 0 THEN caption || '!' ELSE caption END AS current FROM t),
+    a AS (SELECT caption_path, CASE WHEN before = after THEN 'skipped' WHEN current <> before THEN 'conflict' ELSE 'applied' END AS status, after, current FROM e)"""
+
+
+@query("edit_apply_status", APPLY + " SELECT caption_path, status, CASE WHEN status = 'applied' THEN after ELSE current END AS content FROM a", "captions")
+def _(v: Views) -> DataFrame:
+    return versions.apply_status(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions()))
+
+
+@query("edit_apply_counts", APPLY + " SELECT count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'conflict') AS conflict FROM a", "captions")
+def _(v: Views) -> DataFrame:
+    return versions.apply_counts(versions.apply_status(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions())))
+
+
+# --- versions -------------------------------------------------------------------------------------------------------
+
+CURRENT = ", current AS (SELECT caption_path, arg_max(new_content, id) AS caption FROM versions GROUP BY caption_path)"
+
+
+def current(v: Views) -> DataFrame:
+    return v.versions().groupBy("caption_path").agg(F.max_by("new_content", "id").alias("caption"))
+
+
+@query("guarded_write", CURRENT + """ SELECT c.caption_path, CASE WHEN caption IS DISTINCT FROM v.new_content THEN 'rejected' WHEN v.id % 2 = 0 THEN 'no_op' ELSE 'written' END AS status,
+    CASE WHEN caption IS NOT DISTINCT FROM v.new_content AND v.id % 2 = 1 THEN v.new_content || '!' ELSE caption END AS content FROM versions v JOIN current c USING (caption_path) WHERE v.batch_id = 'b1'""", "versions")
+def _(v: Views) -> DataFrame:
+    return versions.guarded_write(current(v), v.versions().where("batch_id = 'b1'").select("caption_path", F.col("new_content").alias("before"), F.when(F.col("id") % 2 == 0, F.col("new_content")).otherwise(F.concat("new_content", F.lit("!"))).alias("after")))
+
+
+UNDO = CURRENT + """, b AS (SELECT caption_path, arg_min(old_content, id) AS first_old, arg_max(new_content, id) AS last_new FROM versions WHERE batch_id = 'b0' AND source <> 'undo' GROUP BY caption_path),
+    u AS (SELECT caption_path, caption, first_old, CASE WHEN caption = last_new AND caption <> first_old THEN 'restored' WHEN caption = first_old THEN 'skipped' ELSE 'conflict' END AS status FROM b JOIN current USING (caption_path))"""
+
+
+@query("undo_batch", UNDO + " SELECT caption_path, status, CASE WHEN status = 'restored' THEN first_old ELSE caption END AS content FROM u", "versions")
+def _(v: Views) -> DataFrame:
+    return versions.undo_batch(v.versions(), current(v), "b0")
+
+
+@query("restore_version", CURRENT + ", p AS (SELECT caption_path, max(id) AS version_id, arg_max(old_content, id) AS content FROM versions WHERE id % 2 = 0 GROUP BY caption_path) SELECT caption_path, version_id, content, caption <> content AS changed FROM p JOIN current USING (caption_path)", "versions")
+def _(v: Views) -> DataFrame:
+    return versions.restore_version(v.versions(), current(v), F.col("id") % 2 == 0)
+
+
+@query("restore_targets", "SELECT caption_path, max(id) AS id FROM versions WHERE id % 3 > 0 GROUP BY caption_path", "versions")
+def _(v: Views) -> DataFrame:
+    return versions.latest(v.versions().where("id % 3 > 0"), "caption_path", F.col("id").desc()).select("caption_path", "id")
+
+
+@query("version_history", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caption_path ORDER BY id DESC) AS rank FROM versions) WHERE rank <= 200", "versions")
+def _(v: Views) -> DataFrame:
+    return versions.version_history(v.versions())
+
+
+@query("versions_per_batch", "SELECT batch_id, count(*) AS versions, count(DISTINCT caption_path) AS paths FROM versions GROUP BY batch_id", "versions")
+def _(v: Views) -> DataFrame:
+    return v.versions().groupBy("batch_id").agg(F.count("*").alias("versions"), F.countDistinct("caption_path").alias("paths"))
+
+
+@query("journal_reconcile", CURRENT + """, j AS (SELECT v.id, v.caption_path, old_content, new_content, caption, v.id % 2 = 0 AS recorded FROM versions v JOIN current USING (caption_path))
+    SELECT id, caption_path, CASE WHEN caption = CASE WHEN recorded THEN new_content ELSE old_content END THEN 'none' WHEN recorded THEN 'reapply' ELSE 'roll_back' END AS action, CASE WHEN recorded THEN 'applied' ELSE 'rolled_back' END AS state FROM j""", "versions")
+def _(v: Views) -> DataFrame:
+    journal = v.versions().select("id", "caption_path", F.col("old_content").alias("before_content"), F.col("new_content").alias("after_content"), F.col("id").alias("version_id"))
+    return versions.journal_reconcile(journal, current(v), v.versions().where("id % 2 = 0"))
+
+
+@query("unreferenced_dims", "SELECT s_suppkey AS supplier FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5)")
+def _(v: Views) -> DataFrame:
+    return versions.unreferenced(v.table("supplier").select(F.col("s_suppkey").alias("supplier")), v.table("lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("supplier")), "supplier")
+
+
+@query("upsert_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def _(v: Views) -> DataFrame:
+    stamped = v.table("events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    return versions.upsert_latest(stamped.where("user_id % 2 = 0"), stamped.where("user_id % 2 = 1"), key="user_id", stamp="at").select("user_id", "event_type")
+
+
+@query("task_batches_only", "SELECT DISTINCT batch_id FROM versions WHERE batch_id NOT IN (SELECT batch_id FROM versions WHERE source = 'manual' AND id % 1000 < 2)", "versions")
+def _(v: Views) -> DataFrame:
+    edits = v.versions().where("source = 'manual' AND id % 1000 < 2").select("batch_id")
+    return v.versions().select("batch_id").distinct().join(edits, "batch_id", "left_anti")
+
+
+# --- jobs -----------------------------------------------------------------------------------------------------------
+
+
+@query("search_jobs", "SELECT item_id FROM jobs WHERE contains(lower(file_name), 'img7') OR contains(lower(caption), 'license') OR contains(lower(caption_path), 'src3') OR contains(lower(coalesce(error, '')), 'error 2')", "jobs")
+def _(v: Views) -> DataFrame:
+    found = lambda c, needle: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(needle)
+    return v.jobs().where(found("file_name", "img7") | found("caption", "license") | found("caption_path", "src3") | found("error", "error 2")).select("item_id")
+
+
+@query("filter_status", "SELECT item_id, status FROM jobs WHERE revision_count > 0 OR status = 'failed'", "jobs")
+def _(v: Views) -> DataFrame:
+    return v.jobs().where("revision_count > 0 OR status = 'failed'").select("item_id", "status")
+
+
+@query("review_candidates", "SELECT item_id FROM jobs WHERE trim(caption) <> '' AND NOT reviewed", "jobs")
+def _(v: Views) -> DataFrame:
+    return v.jobs().where((t.utrim(F.col("caption")) != "") & ~F.col("reviewed")).select("item_id")
+
+
+@query("dashboard", """SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (revision_count > 0) AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
+    count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM jobs""", "jobs")
+def _(v: Views) -> DataFrame:
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return v.jobs().agg(F.count("*").alias("total"), count("succeeded"), F.count_if(F.col("revision_count") > 0).alias("revised"), *map(count, ("refused", "failed", "skipped", "cancelled")))
+
+
+NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(file_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
+for _by, _order in (("name", ""), ("revision", "revision_count DESC, "), ("length", "length(caption) DESC, ")):
+    query(f"sort_jobs_{_by}", f"SELECT rank, item_id, file_name FROM (SELECT *, row_number() OVER (ORDER BY {_order}{NATURAL}, item_id) AS rank FROM jobs) WHERE rank <= 500", "jobs")(lambda v, by=_by: metrics.ranked_jobs(v.jobs(), by))
+
+
+@query("reviewed_union", "SELECT lower(caption_path) AS caption_path FROM jobs WHERE status = 'revised' UNION SELECT lower(caption_path) FROM jobs WHERE reviewed", "jobs")
+def _(v: Views) -> DataFrame:
+    jobs = v.jobs()
+    return jobs.where("status = 'revised'").select(F.lower("caption_path").alias("caption_path")).union(jobs.where("reviewed").select(F.lower("caption_path"))).distinct()
+
+
+@query("revision_counts", "SELECT lower(caption_path) AS caption_path, count(*) AS revisions FROM versions WHERE source = 'model' GROUP BY 1", "versions")
+def _(v: Views) -> DataFrame:
+    return v.versions().where("source = 'model'").groupBy(F.lower("caption_path").alias("caption_path")).agg(F.count("*").alias("revisions"))
+
+
+@query("revision_count_join", ", n AS (SELECT caption_path, count(*) AS n FROM versions WHERE id % 1000 > 3 GROUP BY 1) SELECT DISTINCT v.caption_path, coalesce(n, 0) AS revisions FROM versions v LEFT JOIN n USING (caption_path)", "versions")
+def _(v: Views) -> DataFrame:
+    counts = v.versions().where("id % 1000 > 3").groupBy("caption_path").agg(F.count("*").alias("n"))
+    return v.versions().select("caption_path").distinct().join(counts, "caption_path", "left").select("caption_path", F.coalesce("n", F.lit(0)).cast("long").alias("revisions"))
+
+
+@query("import_new_only", "SELECT item_id FROM captions WHERE lower(caption_path) NOT IN (SELECT lower(caption_path) FROM captions WHERE item_id % 3 = 0)", "captions")
+def _(v: Views) -> DataFrame:
+    known = v.captions().where("item_id % 3 = 0").select(F.lower("caption_path").alias("p"))
+    new = v.captions()
+    return new.join(known, F.lower("caption_path") == known.p, "left_anti").select("item_id")
+
+
+@query("job_gate", "SELECT item_id, CASE WHEN reviewed THEN 'skipped' WHEN trim(caption) = '' THEN 'failed' ELSE 'ready' END AS gate FROM jobs", "jobs")
+def _(v: Views) -> DataFrame:
+    return v.jobs().select("item_id", F.when(F.col("reviewed"), "skipped").when(t.utrim(F.col("caption")) == "", "failed").otherwise("ready").alias("gate"))
+
+
+@query("code_labels", "SELECT status, CASE status WHEN 'succeeded' THEN 'Done' WHEN 'failed' THEN 'Failed' ELSE status END AS label, count(*) AS n FROM jobs GROUP BY 1, 2", "jobs")
+def _(v: Views) -> DataFrame:
+    names = F.create_map(F.lit("succeeded"), F.lit("Done"), F.lit("failed"), F.lit("Failed"))
+    return v.jobs().groupBy("status").agg(F.count("*").alias("n")).withColumn("label", F.coalesce(F.try_element_at(names, "status"), "status"))
+
+
+@query("path_normalize", r"SELECT item_id, regexp_replace('\\?\' || caption_path, '^\\\\\?\\', '') AS path FROM captions", "captions")
+def _(v: Views) -> DataFrame:
+    path = F.concat(F.lit("\\\\?\\"), "caption_path")
+    return v.captions().select("item_id", F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "").alias("path"))
+
+
+# --- request statistics ---------------------------------------------------------------------------------------------
+
+SUMS = """count(*) AS requests, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
+    coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, round(avg(ttft_ms), 4) AS avg_ttft_ms, round(avg(tokens_per_second), 4) AS avg_speed"""
+DIMENSIONS = {"kind": "kind", "batch": "batch_id", "model": "model_id", "preset": "preset_id", "key": "key_id", "connection": "connection_id"}
+
+query("stats_global", f"SELECT {SUMS} FROM requests", "requests")(lambda v: metrics.stats(v.requests()))
+query("stats_filtered", f"SELECT {SUMS} FROM requests WHERE model_id = 'm1' AND key_id = 'k3'", "requests")(lambda v: metrics.stats(v.requests(), model_id="m1", key_id="k3"))
+for _name, _column in DIMENSIONS.items():
+    query(f"stats_by_{_name}", f"SELECT coalesce({_column}, '') AS grp, {SUMS} FROM requests GROUP BY 1", "requests")(lambda v, c=_column: metrics.stats(v.requests(), c))
+
+
+@query("stats_grouping_sets", f"SELECT kind, model_id, preset_id, key_id, {SUMS} FROM (SELECT * REPLACE (coalesce(preset_id, '') AS preset_id, coalesce(key_id, '') AS key_id) FROM requests) GROUP BY GROUPING SETS ((kind), (model_id), (preset_id), (key_id), ())", "requests")
+def _(v: Views) -> DataFrame:
+    return metrics.stats_all_dimensions(v.requests(), ("kind", "model_id", "preset_id", "key_id"))
+
+
+@query("stats_labels", f", s AS (SELECT connection_id AS grp, {SUMS} FROM requests GROUP BY 1) SELECT s.*, coalesce(n_name, grp) AS label FROM s LEFT JOIN nation ON grp = 'c' || n_nationkey", "requests")
+def _(v: Views) -> DataFrame:
+    return metrics.labelled(metrics.stats(v.requests(), "connection_id"), v.table("nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name")))
+
+
+@query("run_summary", """SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
+    count(*) FILTER (status = 'skipped') AS skipped, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, 'completed' AS run_status FROM requests GROUP BY batch_id""", "requests")
+def _(v: Views) -> DataFrame:
+    return metrics.run_summary(v.requests(), "batch_id")
+
+
+@query("attempt_usage", """SELECT item, batch_id, count(*) AS attempts, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(arg_max(ttft_ms, attempt) FILTER (ttft_ms IS NOT NULL), 4) AS ttft_ms,
+    round(arg_max(tokens_per_second, attempt) FILTER (tokens_per_second IS NOT NULL), 4) AS tokens_per_second FROM attempts GROUP BY item, batch_id""", "attempts")
+def _(v: Views) -> DataFrame:
+    return metrics.usage_over_attempts(v.attempts())
+
+
+@query("attempt_outcome", """, e AS (SELECT item, batch_id, coalesce(min(attempt) FILTER (status IN ('succeeded', 'revised', 'skipped') OR (status = 'refused' AND attempt >= 2) OR (status = 'failed' AND attempt >= 5)), max(attempt)) AS last FROM attempts GROUP BY 1, 2)
+    SELECT item, batch_id, CASE arg_max(status, attempt) WHEN 'failed' THEN 'no_response' ELSE arg_max(status, attempt) END AS outcome, max(attempt) AS retries, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens
+    FROM attempts JOIN e USING (item, batch_id) WHERE attempt <= last GROUP BY 1, 2""", "attempts")
+def _(v: Views) -> DataFrame:
+    return metrics.attempt_outcome(v.attempts())
+
+
+@query("retry_migration", """, r AS (SELECT *, lag(key_id) OVER (PARTITION BY item, batch_id ORDER BY attempt) AS before FROM attempts) SELECT count(*) FILTER (attempt > 0) AS retries, count(*) FILTER (attempt > 0 AND before IS NOT DISTINCT FROM key_id) AS same_key FROM r""", "attempts")
+def _(v: Views) -> DataFrame:
+    before = F.lag("key_id").over(Window.partitionBy("item", "batch_id").orderBy("attempt"))
+    return v.attempts().withColumn("before", before).agg(F.count_if(F.col("attempt") > 0).alias("retries"), F.count_if((F.col("attempt") > 0) & F.col("before").eqNullSafe(F.col("key_id"))).alias("same_key"))
+
+
+@query("key_stats", """SELECT key_id, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'failed') AS failed, sum(input_tokens + output_tokens)::BIGINT AS tokens, arg_max(status, (created_at, id)) AS last_status
+    FROM attempts WHERE key_id IS NOT NULL GROUP BY key_id""", "attempts")
+def _(v: Views) -> DataFrame:
+    return metrics.key_stats(v.attempts())
+
+
+@query("key_health", "SELECT key_id, max(created_at + INTERVAL 5 SECOND) FILTER (kind = 'click') AS cooldown_until, bool_or(kind = 'error') AS disabled FROM requests WHERE key_id IS NOT NULL GROUP BY key_id", "requests")
+def _(v: Views) -> DataFrame:
+    error = F.when(F.col("kind") == "click", "rate_limit").when(F.col("kind") == "error", "auth").otherwise("none")
+    return streams.key_health(v.requests().where("key_id is not null").select("key_id", F.col("created_at").alias("ts"), error.alias("error")))
+
+
+@query("peak_concurrency", """, s AS (SELECT key_id, created_at AS moment, 1 AS step FROM requests WHERE key_id IS NOT NULL UNION ALL SELECT key_id, created_at + INTERVAL 10 MINUTE, -1 FROM requests WHERE key_id IS NOT NULL),
+    n AS (SELECT key_id, moment, sum(step) AS net FROM s GROUP BY 1, 2), r AS (SELECT key_id, sum(net) OVER (PARTITION BY key_id ORDER BY moment) AS open FROM n) SELECT key_id, max(open)::BIGINT AS peak FROM r GROUP BY key_id""", "requests")
+def _(v: Views) -> DataFrame:
+    spans = v.requests().where("key_id is not null").select("key_id", F.col("created_at").alias("start"), (F.col("created_at") + F.expr("INTERVAL 10 MINUTES")).alias("end"))
+    return metrics.peak_concurrency(spans, "key_id")
+
+
+@query("recent_runs", "SELECT rank, batch_id, started_at FROM (SELECT *, row_number() OVER (ORDER BY started_at DESC, batch_id) AS rank FROM (SELECT batch_id, min(created_at) AS started_at FROM requests GROUP BY batch_id)) WHERE rank <= 100", "requests")
+def _(v: Views) -> DataFrame:
+    runs = v.requests().groupBy("batch_id").agg(F.min("created_at").alias("started_at"))
+    order = [F.desc("started_at"), F.asc("batch_id")]
+    return runs.orderBy(*order).limit(100).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "batch_id", "started_at")
+
+
+# --- quality of replies ---------------------------------------------------------------------------------------------
+
+_sql = "reply"
+for _tag in t.THINK_TAGS:
+    _sql = f"regexp_replace(regexp_replace({_sql}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g'), '(?s)<{_tag}>.*$', '')"
+STRIPPED = UTRIM.format(_sql)
+query("strip_think", f"SELECT id, {STRIPPED} AS text FROM responses", "responses")(lambda v: v.responses().select("id", t.without_think(F.col("reply")).alias("text")))
+
+
+@query("clean_caption", f""", a AS (SELECT id, {STRIPPED} AS x FROM responses),
+    b AS (SELECT id, CASE WHEN regexp_matches(x, '(?s)^```.*```$') THEN {UTRIM.format("regexp_replace(regexp_replace(x, '(?s)^```(.*)```$', '\\1'), '^(?:text)+', '')")} ELSE x END AS x FROM a),
+    c AS (SELECT id, {UTRIM.format('''regexp_replace(regexp_replace(x, '^"+', ''), '"+$', '')''')} AS x FROM b) SELECT id, {NORMALIZED.format("x")} AS caption FROM c""", "responses")
+def _(v: Views) -> DataFrame:
+    return v.responses().select("id", t.cleaned(F.col("reply")).alias("caption"))
+
+
+_rules = " ".join(f"WHEN regexp_matches(flat, '{p.replace(chr(39), chr(39) * 2)}') THEN 'pattern_{n}'" for n, p in enumerate(t.REFUSALS, 1))
+_quote = lambda p: p.replace("'", "''")
+
+
+@query("detect_refusal", f""", f AS (SELECT id, structured, regexp_replace(reply, '\\s+', ' ', 'g') AS flat FROM responses)
+    SELECT id, CASE WHEN structured IS NOT NULL THEN 'structured' {_rules} WHEN regexp_matches(flat[1:180], '{_quote(t.APOLOGY)}') AND regexp_matches(flat[1:180], '{_quote(t.INABILITY)}') THEN 'apology_inability' END AS rule FROM f""", "responses")
+def _(v: Views) -> DataFrame:
+    return v.responses().select("id", t.refusal(F.col("reply"), F.col("structured")).alias("rule"))
+
+
+query("length_drop", "SELECT id, length(reply) * 2 < length(original) AND original <> '' AS dropped FROM responses", "responses")(lambda v: v.responses().select("id", t.length_drop(F.col("original"), F.col("reply")).alias("dropped")))
+
+
+@query("classify_errors", """SELECT event_id, CASE WHEN k = 29 THEN 'rate_limit' WHEN k IN (1, 3) THEN 'auth' WHEN contains(lower(body), 'quota') THEN 'quota' WHEN k >= 50 OR k = 8 THEN 'transient' ELSE 'fatal' END AS class
+    FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'Quota exceeded' ELSE event_type END AS body FROM events)""")
+def _(v: Views) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    code = F.when(k == 29, 429).when(k.isin(1, 3), 400 + k).when((k >= 50) | (k == 8), F.when(k == 8, 408).otherwise(450 + k)).otherwise(404)
+    return v.table("events").select("event_id", t.error_class(code, F.when(F.col("event_type") == "error", "Quota exceeded").otherwise(F.col("event_type"))).alias("class"))
+
+
+@query("parse_decision", """SELECT item_id, CASE WHEN item_id % 13 <> 0 THEN keep END AS keep, reason, score::DOUBLE AS score, item_id % 13 = 0 AS error FROM decisions""", "decisions")
+def _(v: Views) -> DataFrame:
+    verdict = F.when(F.col("item_id") % 13 == 0, "MAYBE").when(F.col("keep"), "KEEP").otherwise("REJECT")
+    text = F.concat(F.lit("**DECISION：\u00a0"), verdict, F.lit("**\n\n**REASON: "), "reason", F.lit("**\nSCORE: "), F.coalesce(F.col("score").cast("string"), F.lit("none")))
+    return v.decisions().select("item_id", t.decision(text).alias("d")).select("item_id", "d.*")
+
+
+@query("diff_parts", """SELECT item_id, caption[1:10] AS prefix, caption[11:12] AS removed, '<>' AS added, caption[13:40] AS suffix FROM captions WHERE length(caption) >= 40 AND caption[11:11] <> '<' AND caption[12:12] <> '>'""", "captions")
+def _(v: Views) -> DataFrame:
+    c = F.substring("caption", 1, 40)
+    whole = v.captions().where((F.length("caption") >= 40) & (F.substring("caption", 11, 1) != "<") & (F.substring("caption", 12, 1) != ">"))
+    return whole.select("item_id", t.diff_parts(c, F.concat(F.substring(c, 1, 10), F.lit("<>"), F.substring(c, 13, 40))).alias("d")).select("item_id", "d.*")
+
+
+# --- security -------------------------------------------------------------------------------------------------------
+
+_red = "text"
+for _p, _to in t.REDACTIONS:
+    _red = f"regexp_replace({_red}, '{_quote(_p)}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
+query("redact_text", f"SELECT doc_id, {_red} AS text FROM documents")(lambda v: v.table("documents").select("doc_id", t.redacted(F.col("text")).alias("text")))
+query("redact_urls", f"SELECT page_id, {_red.replace('(text,', '(url,')} AS url FROM pages")(lambda v: v.table("pages").select("page_id", t.redacted(F.col("url")).alias("url")))
+
+# The scan's patterns by name.
+SCAN = {"assignment": r"(?:api_key|token)\s*=\s*[\"'][^\"']{12,}[\"']", "sk": r"sk-[A-Za-z0-9]{20,}", "google": r"AIza[0-9A-Za-z_-]{30,}"}
+_hits = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, unnest(regexp_extract_all(text, '{_quote(p)}')) AS hit FROM documents" for n, p in SCAN.items())
+
+
+def secret_hits(v: Views) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hits")) for n, p in SCAN.items()])
+    return v.table("documents").select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.pattern", F.explode("e.hits").alias("hit")).where(~F.col("hit").contains(t.MASK))
+
+
+query("secret_scan", _hits)(secret_hits)
+query("secret_scan_summary", f"SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM ({_hits}) GROUP BY pattern")(lambda v: secret_hits(v).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents")))
+
+
+@query("mask_headers", "SELECT s_suppkey, '••••' || right(s_name, 4) AS authorization, s_name AS accept FROM supplier")
+def _(v: Views) -> DataFrame:
+    headers = F.create_map(F.lit("Authorization"), F.col("s_name"), F.lit("Accept"), F.col("s_name"))
+    return v.table("supplier").select("s_suppkey", files.masked_headers(headers).alias("h")).select("s_suppkey", F.col("h")["Authorization"].alias("authorization"), F.col("h")["Accept"].alias("accept"))
+
+
+HEADERS = """, h AS (SELECT event_id AS path, CASE WHEN event_id % 3 = 0 THEN '{"__metadata__":{"b":"1","a":"2"},"k":{"shape":[1]}}' WHEN event_id % 3 = 1 THEN props ELSE 'broken' END AS header FROM events)"""
+
+
+def headers(v: Views) -> DataFrame:
+    return v.table("events").select(F.col("event_id").alias("path"), F.when(F.col("event_id") % 3 == 0, '{"__metadata__":{"b":"1","a":"2"},"k":{"shape":[1]}}').when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("broken").alias("header"))
+
+
+query("metadata_report", "WITH " + HEADERS[2:] + " SELECT path, path % 3 = 0 AS metadata_present, CASE WHEN path % 3 = 0 THEN 'a,b' ELSE '' END AS keys, CASE WHEN path % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS tensors, CASE WHEN path % 3 = 2 THEN 'malformed header' END AS error FROM h")(lambda v: files.metadata_report(headers(v)))
+query("metadata_strip", "WITH " + HEADERS[2:] + """ SELECT path, CASE WHEN path % 3 = 0 THEN '{"k":"{\\"shape\\":[1]}"}' ELSE header END AS header, CASE path % 3 WHEN 0 THEN 'sanitized' WHEN 1 THEN 'already_clean' ELSE 'error' END AS status FROM h""")(lambda v: files.stripped(headers(v)))
+
+
+@query("log_format", f"SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || upper(event_type) || '] [run] ' || {_red.replace('(text,', '(message,')} AS line FROM (SELECT *, 'token=abcdefgh' || event_id || ' done' AS message FROM events)")
+def _(v: Views) -> DataFrame:
+    entries = v.table("events").select("event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("level"), F.lit("run").alias("scope"), F.concat(F.lit("token=abcdefgh"), F.col("event_id").cast("string"), F.lit(" done")).alias("message"))
+    return entries.select("event_id", files.log_lines(entries).alias("line"))
+
+
+@query("json_dimension", "SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS nation FROM supplier WHERE s_suppkey % 4 <> 0")
+def _(v: Views) -> DataFrame:
+    s = v.table("supplier")
+    rows = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation")))).alias("json"), F.lit(0).alias("updated_at"))
+    return files.json_dimension(rows, "name string, nation long").select("id", "name", "nation")
+
+
+# --- sampling and selection -----------------------------------------------------------------------------------------
+
+
+@query("random_sample", "SELECT item_id FROM captions ORDER BY md5(item_id::VARCHAR || 's1'), item_id LIMIT 100", "captions")
+def _(v: Views) -> DataFrame:
+    return sampling.random_sample(v.captions(), 100, "s1").select("item_id")
+
+
+@query("sample_split", "SELECT item_id, CASE WHEN item_id % 4 = 1 THEN 'kept' ELSE 'rest' END AS bucket FROM captions", "captions")
+def _(v: Views) -> DataFrame:
+    return sampling.split(v.captions(), v.captions().where("item_id % 4 = 1").select(F.upper("caption_path").alias("caption_path")))
+
+
+@query("sample_partition_check", "SELECT count(*) AS total, count(*) FILTER (item_id % 4 = 1) AS kept, 0::BIGINT AS lost FROM captions", "captions")
+def _(v: Views) -> DataFrame:
+    parts = sampling.split(v.captions(), v.captions().where("item_id % 4 = 1"))
+    lost = v.captions().select("item_id").exceptAll(parts.select("item_id")).agg(F.count("*").alias("lost"))
+    return parts.agg(F.count("*").alias("total"), F.count_if(F.col("bucket") == "kept").alias("kept")).crossJoin(lost)  # one row each
+
+
+@query("dedupe_paths", "SELECT min(doc_id) AS item_id FROM documents GROUP BY lower(CASE WHEN doc_id % 2 = 0 THEN source ELSE upper(source) END || '/' || (doc_id % 100))")
+def _(v: Views) -> DataFrame:
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.upper("source")), F.lit("/"), (F.col("doc_id") % 100).cast("string"))
+    return sampling.dedupe_paths(v.table("documents").select(F.col("doc_id").alias("item_id"), name.alias("caption_path"))).select("item_id")
+
+
+SCORE = "coalesce(score, CASE WHEN keep THEN 50 ELSE 0 END)::BIGINT"
+RANKED = f"SELECT round, rank, item_id, s AS score, keep FROM (SELECT *, {SCORE} AS s, row_number() OVER (PARTITION BY round ORDER BY {SCORE} DESC, keep DESC, {NATURAL}, item_id) AS rank FROM decisions) WHERE rank <= 50"
+query("ai_final_rank", RANKED, "decisions")(lambda v: sampling.final_ranking(v.decisions(), 50))
+query("ai_next_round", "SELECT item_id, round + 1 AS round FROM decisions WHERE round = 0 AND keep AND (SELECT count(*) FROM decisions WHERE round = 0 AND keep) > 20", "decisions")(lambda v: sampling.next_round(v.decisions(), 0, 20))
+
+
+def rounds_of(v: Views) -> DataFrame:
+    return v.decisions().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("keep", F.pmod(F.col("item_id") * (F.col("round") + 3), F.lit(7)) < 3)
+
+
+@query("ai_round_select", f""", r AS (SELECT item_id, (item_id * 3) % 7 < 3 AS k0, (item_id * 4) % 7 < 3 AS k1, (item_id * 5) % 7 < 3 AS keep, score, file_name FROM decisions),
+    l AS (SELECT *, row_number() OVER (ORDER BY {SCORE} DESC, keep DESC, {NATURAL}, item_id) AS rank FROM r WHERE k0 AND k1)
+    SELECT d.item_id, CASE WHEN rank <= 10 THEN 'selected' ELSE 'rejected' END AS bucket FROM decisions d LEFT JOIN l USING (item_id)""", "decisions")
+def _(v: Views) -> DataFrame:
+    return sampling.select_rounds(rounds_of(v), 10, 3)
+
+
+@query("resume_candidates", "SELECT item_id FROM decisions WHERE round = 1 AND item_id NOT IN (SELECT item_id FROM decisions WHERE item_id % 5 = 0)", "decisions")
+def _(v: Views) -> DataFrame:
+    return v.decisions().where("round = 1").join(v.decisions().where("item_id % 5 = 0").select("item_id"), "item_id", "left_anti").select("item_id")
+
+
+@query("decision_overrides", "SELECT item_id, CASE WHEN item_id % 6 = 0 THEN NOT keep ELSE keep END AS keep, CASE WHEN item_id % 6 = 0 THEN 'manual' ELSE 'model' END AS by FROM decisions", "decisions")
+def _(v: Views) -> DataFrame:
+    d = v.decisions().where("item_id % 6 = 0")
+    manual = d.select("item_id", "keep", F.lit(1).alias("at")).unionByName(d.select("item_id", (~F.col("keep")).alias("keep"), F.lit(2).alias("at")))
+    return sampling.overridden(v.decisions(), manual)
+
+
+@query("retained_jobs", "SELECT item_id, CASE WHEN trim(caption) <> '' THEN 'succeeded' ELSE 'pending' END AS status, NULL::VARCHAR AS error FROM jobs WHERE item_id % 3 < 2", "jobs")
+def _(v: Views) -> DataFrame:
+    kept, unsure = v.jobs().where("item_id % 3 = 0"), v.jobs().where("item_id % 3 = 1")
+    return kept.unionByName(unsure).select("item_id", F.when(t.utrim(F.col("caption")) != "", "succeeded").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+@query("relocation_plan", """SELECT caption_path AS path, CASE WHEN item_id % 2 = 0 THEN 'd/.selected/' ELSE 'd/.rejected/' END || substr(caption_path, 3) AS target, CASE WHEN item_id % 10 = 0 THEN 'skip' ELSE 'move' END AS action FROM captions""", "captions")
+def _(v: Views) -> DataFrame:
+    items = v.captions().select(F.col("caption_path").alias("path"), (F.col("item_id") % 2 == 0).alias("keep"))
+    existing = v.captions().where("item_id % 10 = 0").select(F.concat(F.lit("d/.selected/"), F.substr("caption_path", F.lit(3), F.length("caption_path"))).alias("path"))
+    return sampling.relocation_plan(items, existing)
+
+
+@query("retention_plan", "SELECT name, grp, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name DESC) AS rank FROM (SELECT caption_path AS name, item_id % 5 AS grp FROM captions)) WHERE rank > 20", "captions")
+def _(v: Views) -> DataFrame:
+    return sampling.retention_plan(v.captions().select(F.col("caption_path").alias("name"), (F.col("item_id") % 5).alias("grp")), 20, "grp")
+
+
+# --- scores, grids, replies -----------------------------------------------------------------------------------------
+
+
+@query("score_tags", """
+    WITH l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS index, CASE WHEN p_partkey > 3 THEN replace(p_name, ' ', '_') || '_' || p_partkey END AS name FROM part WHERE p_partkey < 64),
+    s AS (SELECT vec_id AS item_id, unnest(list_transform(embedding, lambda x: 1 / (1 + exp(-x::DOUBLE)))) AS p, unnest(range(0, 64)) AS index FROM embeddings),
+    r AS (SELECT item_id, name, row_number() OVER (PARTITION BY item_id ORDER BY p DESC, index) AS n FROM s JOIN l USING (index) WHERE p >= 0.53 AND name IS NOT NULL)
+    SELECT item_id, string_agg(replace(name, '_', ' '), ', ' ORDER BY n) AS tags, count(*) AS n_tags FROM r WHERE n <= 5 GROUP BY item_id""")
+def _(v: Views) -> DataFrame:
+    part = v.table("part").where("p_partkey < 64")
+    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    labels = part.select(F.col("p_partkey").cast("int").alias("index"), F.when(F.col("p_partkey") > 3, name).alias("name"))
+    return scores.score_tags(v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("scores")), labels, 0.53, 5)
+
+
+@query("training_grid", """
+    , g AS (SELECT reason AS grp, count(*) AS images FROM decisions GROUP BY reason), x AS (SELECT grp, images, r.r AS repeats, e.e AS epochs, (ceil(images * r.r / 4) * e.e)::BIGINT AS steps FROM g, range(1, 21) r(r), range(4, 31) e(e))
+    SELECT grp, images, repeats, epochs, steps FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY abs(steps - 1500), repeats, epochs) AS n FROM x) WHERE n = 1""", "decisions")
+def _(v: Views) -> DataFrame:
+    return scores.training_grid(v.decisions().groupBy(F.col("reason").alias("grp")).agg(F.count("*").alias("images")), 1500)
+
+
+def reply_lines(v: Views) -> DataFrame:
+    """Each conversation as the lines of a streamed reply: a comment, pieces, usage and, mostly, an end mark."""
+    c = v.table("conversations").select(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("request_id"), F.col("conv_id"), (F.col("turn") * 2).alias("seq"), "text")
+    piece = c.select("request_id", "seq", F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))).alias("line"))
+    noise = c.select("request_id", (F.col("seq") + 1).alias("seq"), F.lit(": keep-alive").alias("line"))
+    ends = c.where("seq = 0").select("request_id", F.lit(100_000).cast("long").alias("seq"), F.concat(F.lit('data: {"usage":{"prompt_tokens":'), F.col("conv_id").cast("string"), F.lit(',"completion_tokens":2},"choices":[{"finish_reason":"'), F.when(F.col("conv_id") % 7 == 0, "length").otherwise("stop"), F.lit('"}]}')).alias("line"))
+    done = c.where("seq = 0 AND conv_id % 3 > 0").select("request_id", F.lit(100_001).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line"))
+    return piece.unionByName(noise).unionByName(ends).unionByName(done)
+
+
+@query("response_reassembly", """SELECT 'r' || conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS text, conv_id AS input_tokens, 2::BIGINT AS output_tokens, conv_id + 2 AS total_tokens,
+    CASE WHEN conv_id % 7 = 0 OR (conv_id % 3 = 0 AND string_agg(text, '' ORDER BY turn) <> '') THEN 'truncated' WHEN string_agg(text, '' ORDER BY turn) = '' THEN 'empty' ELSE 'ok' END AS outcome FROM conversations GROUP BY conv_id""")
+def _(v: Views) -> DataFrame:
+    return responses.reassembled(reply_lines(v))
+
+
+@query("channel_keys", "SELECT o_custkey AS connection, c_mktsegment AS channel, o_orderkey AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")
+def _(v: Views) -> DataFrame:
+    keys = v.table("orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("keys"))
+    joined = v.table("customer").join(keys, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("connection"), F.col("c_mktsegment").alias("channel"), F.explode("keys").alias("k"))
+    return joined.where("k.o_orderstatus <> 'P'").select("connection", "channel", F.col("k.o_orderkey").alias("key"))
+
+
+@query("model_catalog", "SELECT lower(p_brand) AS id, count(*) AS entries FROM part WHERE p_size % 3 <> 0 GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    methods = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("embed"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("GenerateContent")))
+    models = v.table("part").select(F.concat(F.lit("models/"), "p_brand").alias("name"), methods.alias("methods"))
+    able = models.where(F.col("methods").isNull() | F.exists("methods", lambda m: F.lower(m) == "generatecontent"))
+    return able.groupBy(F.lower(F.regexp_replace("name", "^models/", "")).alias("id")).agg(F.count("*").alias("entries"))
+
+
+@query("ttft_metrics", "SELECT user_id, min(ts) FILTER (event_type <> 'view') AS first_token, round(epoch(min(ts) FILTER (event_type <> 'view')) - epoch(min(ts)), 3) AS ttft_s, count(*) AS chunks FROM events GROUP BY user_id")
+def _(v: Views) -> DataFrame:
+    first = F.min(F.when(F.col("event_type") != "view", F.col("ts")))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    return v.table("events").groupBy("user_id").agg(first.alias("first_token"), F.round(seconds(first) - seconds(F.min(F.col("ts"))), 3).alias("ttft_s"), F.count("*").alias("chunks"))
+
+
+@query("config_merge", "SELECT s_suppkey, s_name AS model, 0.5::DOUBLE AS temperature, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::BIGINT ELSE 100 END AS max_tokens FROM supplier")
+def _(v: Views) -> DataFrame:
+    body = F.create_map(F.lit("temperature"), F.lit("0.5"), F.lit("max_tokens"), F.lit("100"))
+    extra = F.when(F.col("s_nationkey") % 2 == 0, F.create_map(F.lit("max_tokens"), F.col("s_nationkey").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(body, lambda k, _: ~F.map_contains_key(extra, k)), extra)  # the right side wins
+    return v.table("supplier").select("s_suppkey", F.col("s_name").alias("model"), merged.alias("m")).select("s_suppkey", "model", F.col("m")["temperature"].cast("double").alias("temperature"), F.col("m")["max_tokens"].cast("long").alias("max_tokens"))
+
+
+@query("round_prompt", "SELECT item_id, 'Round ' || (round + 1) || ': keep about ' || greatest(1, least(100, round(score / 2.0)))::BIGINT || '%' AS prompt FROM decisions WHERE score IS NOT NULL", "decisions")
+def _(v: Views) -> DataFrame:
+    share = F.greatest(F.lit(1), F.least(F.lit(100), F.round(F.col("score") / 2))).cast("long")
+    return v.decisions().where("score is not null").select("item_id", F.format_string("Round %d: keep about %d%%", F.col("round") + 1, share).alias("prompt"))
+
+
+# --- streams and their batch twins ----------------------------------------------------------------------------------
+
+
+def job_events(events: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "signup", "revised").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item"), F.col("event_id").alias("seq"), status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("batch_id"))
+
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'signup' THEN 'revised' WHEN 'error' THEN 'failed' ELSE 'running' END"
+_JOBS = f"SELECT 'u' || user_id AS item, arg_max({_STATUS}, event_id) AS status, count(*) FILTER (event_type = 'signup') AS revisions, count(*) AS events FROM events GROUP BY 1"
+query("job_state_batch", _JOBS)(lambda v: streams.job_states_batch(job_events(v.table("events"))))
+
+
+def scratch(v: Views) -> str:
+    import tempfile
+    import uuid
+
+    named = v.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("job_state_stream", _JOBS)
+def _(v: Views) -> DataFrame:
+    out = streams.drained(streams.job_states(job_events(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet"))), "jobs", "update", scratch(v))
+    return versions.latest(out, "item", F.col("__batch").desc()).select("item", "status", "revisions", "events")
+
+
+@query("run_progress", f"SELECT strftime(ts, '%Y-%m-%d') AS batch_id, count(*) AS total, count(*) FILTER ({_STATUS} <> 'running') AS finished FROM events GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    out = streams.drained(streams.run_progress(job_events(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet"))), "progress", "update", scratch(v))
+    return versions.latest(out, "batch_id", F.col("__batch").desc()).select("batch_id", "total", "finished")
+
+
+@query("log_stream", "SELECT strftime(ts, '%Y-%m-%d') AS batch_id, 'info' AS level, props AS message FROM events WHERE event_type = 'error'")
+def _(v: Views) -> DataFrame:
+    events = streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("batch_id"), F.when(F.col("event_type") == "error", "log").alias("type"), F.lit(None).cast("string").alias("level"), F.col("props").alias("message"))
+    return streams.drained(streams.log_stream(events), "logs", "append", scratch(v)).drop("__batch")
+
+
+@query("hourly_stream")
+def _(v: Views) -> DataFrame:
+    return streams.drained(streams.hourly(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet")), "hourly", "append", scratch(v)).drop("__batch")

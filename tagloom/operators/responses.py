@@ -1,0 +1,36 @@
+"""Streamed model replies, put together from their lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Finish reasons of several services.
+LENGTH, FILTER = ("length", "max_tokens", "MAX_TOKENS"), ("content_filter", "refusal", "SAFETY")
+
+
+def payloads(lines: DataFrame) -> DataFrame:
+    """request_id, seq, json: data lines without their prefix; blank lines, comments and control lines go."""
+    line = F.trim("line")
+    data = F.regexp_replace(line, r"^data:\s*", "")
+    return lines.where((line != "") & ~line.rlike(r"^(?::|event:|retry:)")).select("request_id", "seq", data.alias("json"))
+
+
+def reassembled(lines: DataFrame) -> DataFrame:
+    """request_id, text, input and output tokens, outcome: pieces in order, the last usage, how the reply ended."""
+    p = payloads(lines)
+    value = lambda path: F.get_json_object("json", path)
+    ended = F.col("json").isin("[DONE]") | (value("$.type") == "message_stop")
+    parts = p.select(
+        "request_id", "seq", F.coalesce(value("$.choices[0].delta.content"), value("$.delta.text")).alias("piece"), value("$.usage.prompt_tokens").cast("long").alias("input"),
+        value("$.usage.completion_tokens").cast("long").alias("output"), value("$.choices[0].finish_reason").alias("reason"), value("$.error.message").alias("failure"), F.coalesce(ended, F.lit(False)).alias("ended"),
+    )
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("seq", "piece")))), lambda x: x["piece"]), "")  # one reply's pieces
+    whole = parts.groupBy("request_id").agg(text.alias("text"), last("input").alias("input_tokens"), last("output").alias("output_tokens"), last("reason").alias("reason"), F.max("failure").alias("failure"), F.bool_or("ended").alias("ended"))
+    outcome = (
+        F.when(F.col("failure").isNotNull(), "fatal").when(F.col("reason").isin(*FILTER), "refused").when(F.col("reason").isin(*LENGTH), "truncated")
+        .when(~F.col("ended") & (F.col("text") != ""), "truncated").when(F.col("text") == "", "empty").otherwise("ok")
+    )
+    total = F.col("input_tokens") + F.col("output_tokens")
+    return whole.select("request_id", "text", "input_tokens", "output_tokens", total.alias("total_tokens"), outcome.alias("outcome"))
