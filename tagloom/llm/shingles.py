@@ -11,7 +11,7 @@ import xxhash
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORDS: dict[bytes, int] = {}
-MAX_WORDS = 500_000  # how many word hashes a Python worker remembers
+MAX_WORDS = 100_000  # how many word hashes a Python worker remembers
 
 
 def word_hash(word: bytes) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-SLICE_BYTES = 4 << 20  # texts are encoded in slices of about this size
+SLICE_BYTES = 2 << 20  # texts are encoded in slices of about this size
 _LOADED: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -36,7 +36,7 @@ def _printable_bytes() -> dict[int, str]:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, chunks: int = 400_000, runs: int = 300_000):
+    def __init__(self, path: str, chunks: int = 150_000, runs: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -93,6 +93,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(begin + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(begin, end - begin)
         begin, base = end, int(size[end - 1])
+    pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -37,7 +37,7 @@ from tagloom.llm.tokens import slices
 
 SYMBOLS, DECAY, WINDOW = 32, 0.6, 14
 SIGNIFICANT, DIFFERENT = 3.0, 0.19  # a first witness is commoner in toxic documents by so many standard errors, and by this times the root of their number
-MAX_WORDS = 500_000  # how many word scores a Python worker remembers
+MAX_WORDS = 200_000  # how many word scores a Python worker remembers
 FEATURES = 5
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 

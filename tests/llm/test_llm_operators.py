@@ -232,7 +232,7 @@ def test_quality(spark, docs, empty):
 def test_toxicity(spark, docs, empty):
     insults = ["nitwit", "dumbclod", "fatheaded"]
     clean = [prose(n, 40) for n in range(150)]
-    toxic = [prose(9000 + n, 20) + f" you {insults[n % 3]}. " + prose(9500 + n, 10) for n in range(90)]
+    toxic = [prose(9000 + n, 20) + f" {insults[n % 3]}. " + prose(9500 + n, 10) for n in range(90)]
     frame, labels = labelled(spark, clean, toxic, "toxic", 0)
     rows = toxicity.score_toxicity(frame, labels).collect()
     assert np.mean([r["predicted"] == (r["doc_id"] >= len(clean)) for r in rows if r["held_out"]]) > 0.9
