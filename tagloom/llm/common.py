@@ -10,12 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000  # rows that pass between the JVM and Python at a time: whole texts may be long
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read; a null text counts as an empty one."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -4,12 +4,15 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagloom.llm import decontamination, graph, htmltext, neardup, packing, quality, secrets, sharding, topk, toxicity
 from tagloom.llm.queries import TOKENIZER
+from tagloom.llm.shingles import shingle_sets
+from tagloom.llm.tokens import slices, tokenizer_for
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, bucket string, component string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -178,6 +181,17 @@ def test_near_duplicates_without_ids_and_repeated(docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id in (1, 2, 3)").count() == 0
 
 
+def test_slices_give_the_same_shingles_and_ids():
+    texts = [prose(n, 40).upper() + "\tÉ" for n in range(60)] + ["", " ", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    whole = list(shingle_sets(batch.column("text"), 2))
+    parts = [s for part in slices(batch, most=700) for s in shingle_sets(part.column("text"), 2)]
+    assert len(parts) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    tokenizer = tokenizer_for(TOKENIZER)
+    encoded = [x for part in slices(batch, most=700) for ids, ends in [tokenizer.encode(part.column("text"))] for x in np.split(ids, ends[1:-1])]
+    assert [x.tolist() for x in encoded] == [tokenizer.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101)], "a long, b long")
     got = dict(graph.components(links).select("id", "component").collect())
