@@ -8,9 +8,9 @@ fixed size and rare words beyond it are simply encoded again.
 from __future__ import annotations
 
 import json
-import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,45 +38,75 @@ def _printable_bytes() -> dict[int, str]:
 class ChunkTokenizer:
     def __init__(self, path: str, chunks: int = 100_000, runs: int = 120_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.runs_of = regex.compile(split["pattern"]["Regex"]).findall
-        self.model = self.whole.model
+        self.bare = Tokenizer(self.whole.model)  # the model alone, on runs with blanks between them
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = _printable_bytes()
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.is_end = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.is_end[[n for t, n in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.chunks, self.runs = {}, {}
         self.max_chunks, self.max_runs = chunks, runs
 
-    def _run(self, run: str) -> bytes:
-        known = self.runs.get(run)
-        if known is None:
-            word = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-            ids = [t.id for t in self.model.tokenize(word)]
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.runs) < self.max_runs:
-                self.runs[run] = known
-        return known
-
-    def chunk(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text without blanks or line feeds."""
-        known = self.chunks.get(text)
-        if known is None:
-            plain = text.isascii() or (max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text))
-            if plain and "<|" not in text:
-                known = b"".join(map(self._run, self.runs_of(text.lower())))
+    def _runs(self, low: str) -> list[str]:
+        """Most chunks are letters alone, or letters and one mark: these need no pattern."""
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.runs_of(low)
+
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of distinct runs in one call; every run ends with the one token of it that has the suffix."""
+        words = [r if r.isascii() else "".join(map(self.letters.__getitem__, r.encode())) for r in runs]
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+        assert len(ends) == len(runs), "the vocabulary must mark the end of every run"
+        flat = ids.tobytes()
+        return dict(zip(runs, (flat[x:y] for x, y in zip([0, *ends], ends))))
+
+    def chunk_ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of distinct texts without blanks or line feeds."""
+        out: list = list(map(self.chunks.get, texts))
+        words_at: list[int] = []  # chunks that are one run
+        words: list[str] = []
+        mixed_at: list[int] = []
+        mixed: list[list[str]] = []
+        for k in [k for k, known in enumerate(out) if known is None]:
+            text = texts[k]
+            low = text.lower()
+            if low.isascii() and low.isalpha():
+                words_at.append(k)
+                words.append(low)
+            elif text.isprintable() and "<|" not in text and (text.isascii() or (max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text))):
+                mixed_at.append(k)
+                mixed.append(self._runs(low) if text else [])
             else:
-                known = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.chunks) < self.max_chunks and len(text) < 64:
-                self.chunks[text] = known
-        return known
+                out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        fresh = [r for r in dict.fromkeys(chain(words, chain.from_iterable(mixed))) if r not in self.runs]
+        learnt = self._learn(fresh) if fresh else {}
+        for k, run in zip(words_at, words):
+            out[k] = learnt.get(run) or self.runs[run]
+        for k, runs in zip(mixed_at, mixed):
+            out[k] = b"".join([learnt.get(r) or self.runs[r] for r in runs])
+        # a cache passes its limit by no more than one slice has
+        if len(self.runs) < self.max_runs:
+            self.runs.update(learnt)
+        if len(self.chunks) < self.max_chunks:
+            self.chunks.update((texts[k], out[k]) for k in chain(words_at, mixed_at) if len(texts[k]) < 64)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin and end in it."""
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
         codes, bounds = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        packed = [self.chunk(w) if w else b"" for w in words.dictionary.to_pylist()]
+        packed = self.chunk_ids(words.dictionary.to_pylist())
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         pool, first = np.frombuffer(b"".join(packed), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
         each = sizes[codes]

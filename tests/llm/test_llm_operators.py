@@ -182,7 +182,7 @@ def test_near_duplicates_without_ids_and_repeated(docs):
 
 
 def test_slices_give_the_same_shingles_and_ids():
-    texts = [prose(n, 40).upper() + "\tÉ" for n in range(60)] + ["", " ", "x"]
+    texts = [prose(n, 40).upper() + "\tÉ" for n in range(60)] + ["", " ", "x", "a\tb\x01c \x1cd </w> <|endoftext|>", "It's O'clock'll ... x' ?! Ⅷ ß\xad"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
     whole = list(shingle_sets(batch.column("text"), 2))
     parts = [s for part in slices(batch, most=700) for s in shingle_sets(part.column("text"), 2)]
