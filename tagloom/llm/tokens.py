@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +94,9 @@ class ChunkTokenizer:
             out[k] = learnt.get(run) or self.runs[run]
         for k, runs in zip(mixed_at, mixed):
             out[k] = b"".join([learnt.get(r) or self.runs[r] for r in runs])
-        # a cache passes its limit by no more than one slice has
-        if len(self.runs) < self.max_runs:
-            self.runs.update(learnt)
-        if len(self.chunks) < self.max_chunks:
-            self.chunks.update((texts[k], out[k]) for k in chain(words_at, mixed_at) if len(texts[k]) < 64)
+        self.runs.update(islice(learnt.items(), max(0, self.max_runs - len(self.runs))))
+        short = ((texts[k], out[k]) for k in chain(words_at, mixed_at) if len(texts[k]) < 64)
+        self.chunks.update(islice(short, max(0, self.max_chunks - len(self.chunks))))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
