@@ -1,12 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, local alignment scores them.
 
-1. Words are lower-cased and stripped of marks at their ends. The document count of every n-gram of the test items is taken
-   over the whole corpus; an item's seeds are those n-grams that are no commoner than its median one, so that every item has
-   seeds, however often it leaked.
-2. A passage of a document is a candidate for an item if two different seeds of it lie no further apart than the item is
-   long (one, if the item has but one).
-3. Smith-Waterman alignment of the passage, with as much of the text on both sides as the item is long, gives the score:
-   2 for equal words, -1 for a replaced, an added or a missing one, over the score of the whole item.
+1. Words are lower-cased and stripped of marks at their ends. Every n-gram of an item is a seed: counts over the corpus leave
+   none out, as a partial copy may share just those n-grams that are common because the item leaked elsewhere too.
+2. Around each seed in a document a passage is taken that is long enough for every alignment that holds the seed and reaches
+   the threshold. Two upper bounds of its score, on equal words and on the best stretch of them, drop only passages that can't
+   reach it.
+3. Smith-Waterman alignment of the passage gives the score: 2 for equal words, -1 for a replaced, an added or a missing one,
+   over the score of the whole item.
+
+So an item is found wherever an alignment at the threshold shares one n-gram with it; copies edited so densely that no n-gram
+is left are not searched for.
 
 Test items are few beside the corpus and are sent to all tasks. Their number of n-grams is checked: beyond ``most_grams`` they
 are taken in slices of bounded size, each with its own pass over the documents.
@@ -63,12 +66,6 @@ class Items:
         grams, first = np.unique(ordered[:, 0], return_index=True)
         return Items(size, vocabulary, np.array([i for i, _ in rows], np.int64), words, grams, ordered[:, 1], np.append(first, len(ordered)))
 
-    def only(self, keep: np.ndarray) -> Items:
-        """With the (gram, item) pairs marked in ``keep`` alone."""
-        each = np.repeat(np.arange(len(self.grams)), np.diff(self.bounds))[keep]
-        left, first = np.unique(each, return_index=True)
-        return Items(self.size, self.vocabulary, self.ids, self.words, self.grams[left], self.owners[keep], np.append(first, len(each)))
-
 
 def gram_numbers(words: np.ndarray, size: int, vocabulary: int) -> np.ndarray:
     """A number for each run of so many words; -1 where one isn't in the vocabulary."""
@@ -103,34 +100,20 @@ def hits(codes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarra
     return doc[inside], at[inside], place[inside]
 
 
-def gram_counts(docs: DataFrame, shared) -> np.ndarray:
-    """In how many documents each n-gram of the items occurs: counted in tasks, summed by Spark."""
+def least_score(words: int, threshold: float, least_words: int) -> float:
+    """The score that an item of so many words has to reach."""
+    return max(2 * min(least_words, words), threshold * 2 * words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        count = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                doc, _, gram = hits(*numbered(part.column("text"), items), items)
-                each = np.unique(doc * len(count) + gram) % max(len(count), 1)
-                count += np.bincount(each, minlength=len(count))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], ["gram", "n"])
-
-    total = np.zeros(len(shared.value.grams), np.int64)
-    for r in docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most a row for each gram of the slice
-        total[r["gram"]] = r["n"]
-    return total
 
-
-def rare(items: Items, counts: np.ndarray) -> np.ndarray:
-    """Which (gram, item) pairs are seeds: no commoner than the item's median n-gram."""
-    own = np.repeat(counts, np.diff(items.bounds))
-    order = np.lexsort((own, items.owners))
-    first = np.searchsorted(items.owners[order], np.arange(len(items.ids)))
-    end = np.append(first[1:], len(order))
-    median = np.array([own[order[(a + b - 1) // 2]] if b > a else -1 for a, b in zip(first, end)])
-    return own <= median[items.owners]
+def may_reach(item: np.ndarray, text: np.ndarray, least: float) -> bool:
+    """False only where no alignment can score so much: matches are 2 each, and every other word of the text costs 1."""
+    own, many = np.unique(item, return_counts=True)
+    place = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    equal = own[place] == text
+    if 2 * np.minimum(np.bincount(place[equal], minlength=len(own)), many).sum() < least:
+        return False
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 2, -1))))
+    return bool((sums - np.minimum.accumulate(sums)).max() >= least)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -155,12 +138,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def passages(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, item (its place), at, words: candidate passages with as much text around them as the item is long."""
+def passages(docs: DataFrame, shared, threshold: float, least_words: int) -> DataFrame:
+    """doc_id, item (its place), at, words: passages around seeds.
+
+    An alignment of m matches and e edits covers at most m + e words of the text, and 2 m - e is at least the least score, so
+    three times the item's length less that score is as far as it can reach from a seed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        many = np.bincount(items.owners, minlength=len(items.ids))
+        least = [least_score(len(w), threshold, least_words) for w in items.words]
+        reach = np.array([max(0, int(3 * len(w) - x) + 1) for w, x in zip(items.words, least)], np.int64)
         for batch in batches:
             for part in slices(batch):
                 codes, bounds = numbered(part.column("text"), items)
@@ -168,20 +156,19 @@ def passages(docs: DataFrame, shared) -> DataFrame:
                 each = np.diff(items.bounds)[gram]
                 ends = np.cumsum(each)
                 item = items.owners[np.repeat(items.bounds[gram] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-                doc, at, gram = (np.repeat(x, each) for x in (doc, at, gram))
+                doc, at = np.repeat(doc, each), np.repeat(at, each)
                 order = np.lexsort((at, item, doc))
-                doc, at, gram, item = doc[order], at[order], gram[order], item[order]
-                size = np.array([len(w) for w in items.words], np.int64)
+                doc, at, item = doc[order], at[order], item[order]
                 fresh = np.ones(len(doc), bool)
-                fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[item[1:]])
+                fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * reach[item[1:]])  # nearer ones would overlap
                 first = np.flatnonzero(fresh)
                 rows: tuple[list, ...] = ([], [], [], [])
                 ids = part.column("doc_id")
                 for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
                     k, d = int(item[a]), int(doc[a])
-                    if b - a < min(2, many[k]) or len(np.unique(gram[a:b])) < min(2, many[k]):
+                    lo, hi = max(int(bounds[d]), int(at[a] - reach[k])), min(int(bounds[d + 1]), int(at[b - 1] + items.size + reach[k]))
+                    if not may_reach(items.words[k], codes[lo:hi], least[k]):
                         continue
-                    lo, hi = max(int(bounds[d]), int(at[a]) - size[k]), min(int(bounds[d + 1]), int(at[b - 1]) + items.size + size[k])
                     for column, value in zip(rows, (ids[d].as_py(), k, int(lo - bounds[d]), codes[lo:hi].astype("<i4").tobytes())):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "item", "at", "words"])
@@ -198,8 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 3, threshold: float
     for turn in range(rounds):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == turn)
         shared = docs.sparkSession.sparkContext.broadcast(Items.of(sorted((r["item_id"], r["text"]) for r in part.collect()), size))  # a slice of about most_grams words
-        seeds = docs.sparkSession.sparkContext.broadcast(shared.value.only(rare(shared.value, gram_counts(texts, shared))))
-        found = aligned(durable(passages(texts, seeds), "passages"), seeds, threshold, least_words)
+        found = aligned(durable(passages(texts, shared, threshold, least_words), "passages"), shared, threshold, least_words)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.score", "m.first_word", "m.last_word")
@@ -212,7 +198,7 @@ def aligned(found: DataFrame, shared, threshold: float, least_words: int) -> Dat
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, k, at, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "at", "words"))):
                 score, first, last = align(items.words[k], np.frombuffer(text, "<i4"))
-                if score >= 2 * min(least_words, len(items.words[k])) and score >= threshold * 2 * len(items.words[k]):
+                if score >= least_score(len(items.words[k]), threshold, least_words):
                     for column, value in zip(rows, (doc, int(items.ids[k]), score / (2 * len(items.words[k])), at + first, at + last)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])

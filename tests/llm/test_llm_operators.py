@@ -285,6 +285,31 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(docs, benchmark).count() == 0 and decontamination.leaks(empty, benchmark).count() == 0 and decontamination.leaks(frame, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_and_partial_copies(spark):
+    items = [prose(800 + n, 30) for n in range(8)]
+    rows = [(1, " ".join(items))]  # all leaked as a whole, so that no n-gram of a partial copy is rarer than the rest
+    for n, item in enumerate(items):
+        for every in (4, 5):
+            words = item.split()
+            words[every - 1 :: every] = ["changed"] * len(words[every - 1 :: every])
+            rows.append((10 * (n + 1) + every, f"{prose(n, 40)} {' '.join(words)} {prose(50 + n, 20)}"))
+        for quoted in (11, 12, 14, 15):
+            rows.append((1000 * (n + 1) + quoted, f"{prose(60 + n, 40)} {' '.join(item.split()[n : n + quoted])} {prose(90 + n, 40)}"))
+        rows.append((100_000 + n, f"{prose(120 + n, 20)} " + " added words here ".join(" ".join(item.split()[k : k + 5]) for k in range(0, 30, 5))))
+    frame, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    for whole in (True, False):
+        some = rows if whole else rows[1:]
+        numbers, want = {}, {}
+        for d, text in some:
+            for k, item in enumerate(items):
+                a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in map(decontamination.bare, t.split())]) for t in (item, text))
+                score = decontamination.align(a, b)[0] / (2 * len(a))
+                if score >= 0.4:
+                    want[d, k] = score
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leaks(frame if whole else frame.where("doc_id > 1"), benchmark).collect()}
+        assert got == want and len(want) >= 6 * len(items)
+
+
 def test_alignment_equals_definition():
     rng = np.random.default_rng(8)
     for _ in range(30):
