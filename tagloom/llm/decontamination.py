@@ -203,11 +203,13 @@ def aligned(found: DataFrame, shared, threshold: float, least_words: int) -> Dat
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    spread = found.repartition(F.xxhash64("doc_id", "item", "at"))  # passages of one item or document don't share a task
+    once = found.dropDuplicates(["doc_id", "item", "at", "words"])  # repeated rows
+    spread = once.repartition(F.xxhash64("doc_id", "item", "at"))  # passages of one item or document don't share a task
     return spread.mapInArrow(run, MATCHES)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item."""
-    bad = durable(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return matching(docs, bad, "doc_id", "leaked", "left_anti")
+    """The rows whose text holds no test item. Each row is judged by its own text, so null and repeated ids make no difference."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    bad = durable(leaks(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    return matching(docs.withColumn("__text", text), bad, "__text", "leaked", "left_anti").drop("__text")

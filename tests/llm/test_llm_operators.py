@@ -310,6 +310,16 @@ def test_leaks_of_edited_and_partial_copies(spark):
         assert got == want and len(want) >= 6 * len(items)
 
 
+def test_leaks_go_by_row(spark):
+    items = [prose(850 + n, 30) for n in range(3)]
+    leaked = f"{prose(1, 30)} {items[0]}"
+    rows = [(None, leaked), (None, prose(2, 40)), (None, None), (5, leaked), (5, prose(3, 40)), (5, leaked), (6, prose(4, 40)), (6, prose(4, 40))]
+    frame, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    left = decontamination.drop_leaks(frame, benchmark)
+    assert left.columns == frame.columns
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, (r for r in rows if r[1] != leaked)))
+
+
 def test_alignment_equals_definition():
     rng = np.random.default_rng(8)
     for _ in range(30):
