@@ -1,6 +1,7 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification, connected components.
 
-1. Each text's shingle set is hashed; equal sets form one class, which its smallest id stands for from here on.
+1. A document is an id and a text. Each text's shingle set is hashed; equal sets form one class, which one of its documents
+   stands for from here on: the one with the smallest id, of several the one with the smallest hash of id and text.
 2. Signatures are cut into bands. Texts that share a band are candidates.
 3. In each band bucket all members are compared with one hub. Of a pair, batches of signature values are compared one after
    the other; as soon as the posterior probability of a similarity at or above the threshold (uniform prior) falls below the
@@ -8,11 +9,13 @@
 4. Buckets whose members are not all connected yet get their open pairs compared: members outside the bucket's largest
    component against all others, in tiles of a bounded number of rows, inside tasks. Only links leave them. So no pair that
    a bucket offers is left out unless its ends are connected already, and no group's pairs are ever written out.
-5. Components of all links give the smallest id that can be reached.
+5. Components of all links give the smallest id that can be reached; the first of a component's documents in the order of
+   step 1 is kept.
 
 Defined results: an empty or null text has no shingles and is linked with nothing; one with fewer words than a shingle is one
-shingle; rows without an id take their class's component and are never kept beside an id, and stand for themselves where no
-copy has one; rows that repeat an id are taken as one document; an empty table gives no rows; other columns are never read.
+shingle; rows without an id are compared as others are and are never kept beside an id, and of near-duplicates that all have
+none one document stays, with a null component; rows that repeat an id with another text are documents of their own; rows that
+repeat both are one document; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -79,8 +82,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row: a hash of id and text."""
+    return id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, key1 and key2 (of the set), sig."""
+    """doc_id, row, n_shingles, key1 and key2 (of the set), sig."""
     a, b = hash_functions(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +100,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     key1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     key2.append(int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0)
                     sig.append(signature(s, a, b).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "key1", "key2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(count, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "row", "n_shingles", "key1", "key2", "sig"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, sig binary")
+    return named_rows(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, key1 long, key2 long, sig binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, sig, shingles (little-endian bytes, ascending) of the documents with these ids."""
+    """id, sig, shingles (little-endian bytes, ascending) of the documents whose row hash is among these ids, each once."""
     a, b = hash_functions(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = list(shingle_sets(part.column("text"), words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([signature(s, a, b).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([signature(s, a, b).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "sig", "shingles"])
 
-    return matching(id_and_text(docs), ids, "doc_id", "id", "left_semi").mapInArrow(run, "id long, sig binary, shingles binary")
+    sets = durable(matching(named_rows(docs), ids, "row", "id", "left_semi").mapInArrow(run, "id long, sig binary, shingles binary"), "sets")
+    return sets if sets.count() == ids.count() else durable(sets.dropDuplicates(["id"]), "sets")
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
@@ -190,37 +199,47 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    return judged(docs, words, percent, miss).drop("row")
+
+
+def judged(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept for every row."""
     signed = durable(signatures(docs, words), "signatures")
-    classes = durable(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("id")), "classes")
-    reps = signed.join(classes.where("id is not null").select("id"), signed.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    classes = durable(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min(order).alias("best")).select("key1", "key2", "best", F.col("best.row").alias("id")), "classes")
+    reps = signed.join(classes.select("id"), signed.row == F.col("id"), "left_semi").select(F.col("row").alias("id"), "sig").dropDuplicates(["id"])
     bands = band_rows(reps)
     turn = F.xxhash64("bucket", "id")  # buckets that share members choose different hubs among them
     buckets = durable(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("turn"), "id"))["id"].alias("hub")).where("n > 1").select("bucket", "hub"), "buckets")
     members = durable(bands.join(buckets, "bucket"), "members")
-    sets = durable(sets_of(docs, durable(members.select("id").distinct(), "member-ids"), words), "sets")
+    sets = sets_of(docs, durable(members.select("id").distinct(), "member-ids"), words)
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = durable(hub_links(pairs, sets, percent, miss), "hub-links")
     first = components(links).withColumnRenamed("id", "of")
     placed = members.join(first, members.id == first.of, "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     found = durable(open_links(durable(placed, "placed"), sets, percent, miss), "open-links")
     last = components(found).withColumnRenamed("id", "of").withColumnRenamed("component", "beyond")
-    early = classes.join(first, classes.id == first.of, "left").select("key1", "key2", F.coalesce("component", "id").alias("near"))
-    named = durable(early.join(last, early.near == last.of, "left").select("key1", "key2", F.coalesce("beyond", "near").alias("component_id")), "named")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key1")).alias("key1"), "key2").join(named, ["key1", "key2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    early = classes.join(first, classes.id == first.of, "left").select("key1", "key2", "best", F.coalesce("component", "id").alias("near"))
+    named = durable(early.join(last, early.near == last.of, "left").select("key1", "key2", "best", F.coalesce("beyond", "near").alias("component")), "named")
+    heads = durable(named.groupBy("component").agg(F.min("best").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("component").alias("of"), "head"), "heads")
+    named = named.join(heads, named.component == heads.of, "left").select("key1", "key2", F.coalesce("head", "best").alias("head"))
+    named = named.select("key1", "key2", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
+    out = signed.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key1")).alias("key1"), "key2").join(named, ["key1", "key2"], "left")
+    some = F.col("n_shingles") > 0
+    return out.select("doc_id", "row", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("row") == F.col("head")).otherwise(True).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that another one of their component stands for; of rows that repeat an id, one stays.
+    """The documents without those that another one of their component stands for; of rows that repeat id and text, one stays.
 
-    Rows without an id can't be named and stay.
+    Rows without an id and without words stay.
     """
-    named = near_duplicates(docs, words, percent)
-    gone = durable(named.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    left = matching(docs, gone, "doc_id", "gone", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        some = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-        left = some.unionByName(left.where("doc_id is null"))
-    return left
+    rows = durable(judged(docs, words, percent).where("n_shingles > 0 or doc_id is not null").select("row", "kept"), "judged")
+    gone = rows.where("not kept").select(F.col("row").alias("gone")).distinct()
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    left = matching(docs.withColumn("__row", row), durable(gone, "gone"), "__row", "gone", "left_anti")
+    repeated = durable(rows.where("kept").groupBy(F.col("row").alias("repeated")).count().where("count > 1").select("repeated"), "repeated")
+    if repeated.count():
+        some = matching(left, repeated, "__row", "repeated", "left_semi").dropDuplicates(["__row"])
+        left = some.unionByName(matching(left, repeated, "__row", "repeated", "left_anti"))
+    return left.drop("__row")

@@ -181,6 +181,21 @@ def test_near_duplicates_without_ids_and_repeated(docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id in (1, 2, 3)").count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_with_different_texts(spark):
+    a, b, c, d = (prose(400 + n, 60) for n in range(4))
+    near = d.replace(d.split()[30], "changed", 1)
+    rows = [(3, a), (7, a), (7, b), (7, b.upper()), (8, b), (9, c), (9, c), (None, d), (None, d), (None, near), (None, ""), (None, "  "), (2, near + " end"), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame).collect()]
+    assert sorted(x[1:] for x in got if x[0] == 7) == [(3, False), (7, False), (7, True), (7, True)]
+    assert sorted(x[1:] for x in got if x[0] is None and x[1] is not None) == [(2, False)] * 3
+    left = [tuple(r) for r in neardup.keep_one(frame, words=2).collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [(3, a), next(x for x in left if x[0] == 7 and x[1]), (9, c), (2, near + " end"), (7, ""), (None, ""), (None, "  ")]))
+    assert next(x[1] for x in left if x[0] == 7 and x[1]).lower() == b
+    nameless = neardup.keep_one(frame.where("doc_id is null"), words=2).where("trim(text) <> ''").collect()
+    assert len(nameless) == 1
+
+
 def test_slices_give_the_same_shingles_and_ids():
     texts = [prose(n, 40).upper() + "\tÉ" for n in range(60)] + ["", " ", "x", "a\tb\x01c \x1cd </w> <|endoftext|>", "It's O'clock'll ... x' ?! Ⅷ ß\xad"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
