@@ -396,6 +396,13 @@ def _(v: Views) -> DataFrame:
     return whole.select("item_id", t.diff_parts(c, F.concat(F.substring(c, 1, 10), F.lit("<>"), F.substring(c, 13, 40))).alias("d")).select("item_id", "d.*")
 
 
+@query("diff_parts_whole")
+def _(v: Views) -> DataFrame:
+    """Whole captions, every row; the SQL of diff_parts holds only captions of 40 characters and more, and their first 40."""
+    edited = F.concat(F.substring("caption", 1, 10), F.lit("<>"), F.substr("caption", F.lit(13)))
+    return v.captions().select("item_id", t.diff_parts(F.col("caption"), edited).alias("d")).select("item_id", "d.*")
+
+
 # --- security -------------------------------------------------------------------------------------------------------
 
 _red = "text"

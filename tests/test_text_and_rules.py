@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import catalogue
 from tagloom.functions import text as t
 from tagloom.operators import rules
 from tagloom.operators.rules import EditRule
@@ -68,3 +69,20 @@ def test_decisions_and_refusals(spark):
     assert refused("抱歉，我无法协助完成这个请求。") and refused("不能错过的夕阳，城市天际线") is None
     d = spark.createDataFrame([("foo 12 bar", "foo N bar")], "a string, b string").select(t.diff_parts(F.col("a"), F.col("b")).alias("d")).first()["d"]
     assert tuple(d) == ("foo ", "12", "N", " bar")
+
+
+def brute_parts(a, b):
+    n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    p, q = a[n:], b[n:]
+    m = next((k for k, (x, y) in enumerate(zip(reversed(p), reversed(q))) if x != y), min(len(p), len(q)))
+    return a[:n], p[: len(p) - m], q[: len(q) - m], p[len(p) - m :]
+
+
+def test_diff_parts_of_whole_captions(spark):
+    pairs = [("", ""), ("", "a"), ("a", ""), ("aaa", "aa"), ("x\ny 😀 z", "x\ny 😁 z"), ("ab" * 30_000 + "c", "ab" * 29_000 + "d" + "ab" * 900 + "c"), ("same", "same"), ("0123456789<>tail", "0123456789<>tail")]
+    got = spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "n long, a string, b string").select("n", t.diff_parts(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {r["n"]: tuple(r["d"]) for r in got} == {n: brute_parts(*p) for n, p in enumerate(pairs)}
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = {r["item_id"]: tuple(r)[1:] for r in catalogue.QUERIES["diff_parts_whole"](spark, sf).collect()}
+    assert rows == {k: brute_parts(x, x[:10] + "<>" + x[12:]) if x is not None else (None,) * 4 for k, x in texts.items()}
