@@ -641,6 +641,11 @@ def _(v: Views) -> DataFrame:
     return streams.drained(streams.log_stream(events), "logs", "append", scratch(v)).drop("__batch")
 
 
-@query("hourly_stream")
+_HOURS = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE ts IS NOT NULL GROUP BY 1, 2"
+query("hourly_batch", _HOURS)(lambda v: streams.hourly_batch(v.table("events")))
+
+
+@query("hourly_stream", _HOURS)
 def _(v: Views) -> DataFrame:
-    return streams.drained(streams.hourly(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet")), "hourly", "append", scratch(v)).drop("__batch")
+    out = streams.drained(streams.hourly(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet"), late=None), "hourly", "update", scratch(v))
+    return out.groupBy("hour", "event_type").agg(F.max_by("n", "__batch").alias("n"))

@@ -45,12 +45,22 @@ def run_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin(*TERMINAL)).alias("finished"))
 
 
-def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Requests by hour and kind, each event id counted once; windows close when the watermark has passed them."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def hourly_counts(once: DataFrame) -> DataFrame:
     return once.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
+def hourly_batch(events: DataFrame) -> DataFrame:
+    """Requests by hour and kind, each event id counted once; rows that repeat an id are the same event."""
+    return hourly_counts(events.dropDuplicates(["event_id"]))
+
+
+def hourly(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
+    """The same as a stream. Append mode leaves out rows that come later than ``late`` and windows that the watermark has not
+    passed; with None, in update mode, the last row of each hour and kind is its count over all rows, and all ids stay in state.
+    """
+    return hourly_counts(events.dropDuplicates(["event_id"]) if late is None else events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]))
+
+
 def key_health(events: DataFrame, cooldown: int = 5) -> DataFrame:
     """events(key_id, ts, error): until when a key rests after rate limits, and whether it is out of use."""
     rest = F.max(F.when(F.col("error") == "rate_limit", F.col("ts") + F.make_dt_interval(secs=F.lit(cooldown))))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tagloom import catalogue
 from tagloom.operators import metrics, sampling, scores, versions
 from tagloom.sources import files
 from tagloom.streaming import jobs as streams
@@ -72,3 +73,12 @@ def test_stream_equals_batch(spark, tmp_path):
     twin = streams.job_states_batch(spark.read.parquet(str(tmp_path / "in")))
     key = lambda frame: sorted((r["item"], r["status"], r["revisions"], r["events"]) for r in frame.collect())
     assert key(out) == key(twin)
+
+
+def test_hourly_stream_over_unordered_files_equals_the_batch(spark, tmp_path):
+    at = ["2026-01-02 12:05:00", "2026-01-01 03:10:00", "2026-01-02 12:59:59", "2026-01-01 03:50:00"]
+    for n, ts in enumerate(at):  # one file a trigger, the later hours first; every file repeats event 0
+        rows = [(k, t, 1, "view", 1.0, "") for k, t in ((n, ts), (0, at[0]))]
+        spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream, batch = (sorted((str(r["hour"]), r["event_type"], r["n"]) for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect()) for q in ("hourly_stream", "hourly_batch"))
+    assert stream == batch == [("2026-01-01 03:00:00", "view", 2), ("2026-01-02 12:00:00", "view", 2)]
