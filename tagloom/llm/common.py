@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,22 +31,47 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only on a single machine whose session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+WRITTEN: list[str] = []  # folders that durable() wrote and nothing has removed yet
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write the frame into the shared folder once and read it from there."""
+    """Cut the lineage: write the frame into the shared folder once and read it from there.
+
+    What was written stays for as long as a result may read it; ``clean`` removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders written by ``durable`` from the given place of WRITTEN on; call it once their results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while len(WRITTEN) > since:
+        path = hadoop(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, so that helper columns never clash with its own."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
@@ -59,7 +84,13 @@ def has_checkable_fold(df: DataFrame, folds: int = 5) -> DataFrame:
 BROADCAST_ROWS = 200_000  # ids beyond this number are shuffled instead
 
 
-def matching(docs: DataFrame, ids: DataFrame, key: str, column: str, how: str) -> DataFrame:
-    """Semi or anti join by id. The ids are counted: few are broadcast, so texts stay where they are; many are shuffled."""
+def matching(docs: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of the documents, by a key, with a table of one column.
+
+    The ids are counted: few are broadcast, so texts stay where they are; many are shuffled. Columns keep their names.
+    """
+    mine = unused(docs, "__key")
+    theirs = unused(docs, "__id")
     few = ids.count() <= BROADCAST_ROWS
-    return docs.join(ids.hint("broadcast" if few else "shuffle_hash"), F.col(key) == F.col(column), how)
+    other = ids.toDF(theirs).hint("broadcast" if few else "shuffle_hash")
+    return docs.withColumn(mine, key).join(other, F.col(mine) == F.col(theirs), how).drop(mine)

@@ -9,14 +9,14 @@
    over the score of the whole item.
 
 So an item is found wherever an alignment at the threshold shares one n-gram with it; copies edited so densely that no n-gram
-is left are not searched for.
+is left are not searched for. An item with fewer words than an n-gram is a seed as a whole.
 
 Test items are few beside the corpus and are sent to all tasks. Their number of n-grams is checked: beyond ``most_grams`` they
 are taken in slices of bounded size, each with its own pass over the documents.
 
-Defined results: null and empty texts match nothing; an item with fewer words than a seed has is found only if another item
-doesn't - it is not searched for at all; null ids are carried; repeated rows are reported once for each id and item; items
-with equal texts are all reported; an empty table gives no rows; other columns are never read.
+Defined results: null and empty texts match nothing, neither do items without words or without an id; an item with fewer words
+than ``least_words`` is found only where all its words stand in a row; null ids are carried; repeated rows are reported once
+for each id and item; items with equal texts are all reported; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import durable, id_and_text, matching, parts_for
 from tagloom.llm.tokens import slices
 
+PASSAGES = 500  # passages that one task aligns
 MATCHES = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -46,25 +47,36 @@ def bare(word: str) -> str:
 
 
 @dataclass
-class Items:
-    """Test items as word numbers, and their n-grams in ascending order with the items that hold them."""
+class Seeds:
+    """Word runs of one length in ascending order of their numbers, with the items that hold them."""
 
     size: int
+    grams: np.ndarray  # one for each distinct run
+    owners: np.ndarray  # item places, run after run
+    bounds: np.ndarray  # where each run's items begin
+
+
+@dataclass
+class Items:
+    """Test items as word numbers, and their seeds: runs of ``size`` words, and whole items that are shorter."""
+
     vocabulary: dict[str, int]
     ids: np.ndarray
     words: list[np.ndarray]
-    grams: np.ndarray  # one for each distinct n-gram
-    owners: np.ndarray  # item places, gram after gram
-    bounds: np.ndarray  # where each gram's items begin
+    seeds: list[Seeds]
 
     @staticmethod
     def of(rows: list[tuple[int, str]], size: int) -> Items:
         vocabulary: dict[str, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(bare, text.split()) if w], np.int64) for _, text in rows]
-        pairs = {(g, k) for k, w in enumerate(words) for g in gram_numbers(w, size, len(vocabulary)).tolist()}
-        ordered = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        grams, first = np.unique(ordered[:, 0], return_index=True)
-        return Items(size, vocabulary, np.array([i for i, _ in rows], np.int64), words, grams, ordered[:, 1], np.append(first, len(ordered)))
+        seeds = []
+        for n in range(1, size + 1):
+            own = [(w, k) for k, w in enumerate(words) if (len(w) == n if n < size else len(w) >= n)]
+            ordered = np.array(sorted({(g, k) for w, k in own for g in gram_numbers(w, n, len(vocabulary)).tolist()}), np.int64).reshape(-1, 2)
+            if len(ordered):
+                grams, first = np.unique(ordered[:, 0], return_index=True)
+                seeds.append(Seeds(n, grams, ordered[:, 1], np.append(first, len(ordered))))
+        return Items(vocabulary, np.array([i for i, _ in rows], np.int64), words, seeds)
 
 
 def gram_numbers(words: np.ndarray, size: int, vocabulary: int) -> np.ndarray:
@@ -88,16 +100,23 @@ def numbered(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return codes[real], np.concatenate(([0], np.cumsum(real)))[bounds]
 
 
-def hits(codes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in all words, gram) of every n-gram of the items."""
-    grams = gram_numbers(codes, items.size, len(items.vocabulary))
-    at = np.flatnonzero(grams >= 0)
-    place = np.minimum(np.searchsorted(items.grams, grams[at]), max(len(items.grams) - 1, 0))
-    found = items.grams[place] == grams[at] if len(items.grams) else np.zeros(len(at), bool)
-    at, place = at[found], place[found]
-    doc = np.searchsorted(bounds, at, "right") - 1
-    inside = at + items.size <= bounds[doc + 1]
-    return doc[inside], at[inside], place[inside]
+def hits(codes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place in all words, item, seed length) of every seed of every item."""
+    parts = []
+    for seeds in items.seeds:
+        grams = gram_numbers(codes, seeds.size, len(items.vocabulary))
+        at = np.flatnonzero(grams >= 0)
+        place = np.minimum(np.searchsorted(seeds.grams, grams[at]), len(seeds.grams) - 1)
+        found = seeds.grams[place] == grams[at]
+        at, place = at[found], place[found]
+        doc = np.searchsorted(bounds, at, "right") - 1
+        inside = at + seeds.size <= bounds[doc + 1]
+        doc, at, place = doc[inside], at[inside], place[inside]
+        each = np.diff(seeds.bounds)[place]
+        ends = np.cumsum(each)
+        item = seeds.owners[np.repeat(seeds.bounds[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        parts.append((np.repeat(doc, each), np.repeat(at, each), item, np.full(len(item), seeds.size)))
+    return tuple(np.concatenate([p[n] for p in parts] or [np.empty(0, np.int64)]).astype(np.int64) for n in range(4))
 
 
 def least_score(words: int, threshold: float, least_words: int) -> float:
@@ -152,13 +171,9 @@ def passages(docs: DataFrame, shared, threshold: float, least_words: int) -> Dat
         for batch in batches:
             for part in slices(batch):
                 codes, bounds = numbered(part.column("text"), items)
-                doc, at, gram = hits(codes, bounds, items)
-                each = np.diff(items.bounds)[gram]
-                ends = np.cumsum(each)
-                item = items.owners[np.repeat(items.bounds[gram] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-                doc, at = np.repeat(doc, each), np.repeat(at, each)
+                doc, at, item, size = hits(codes, bounds, items)
                 order = np.lexsort((at, item, doc))
-                doc, at, item = doc[order], at[order], item[order]
+                doc, at, item, size = doc[order], at[order], item[order], size[order]
                 fresh = np.ones(len(doc), bool)
                 fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * reach[item[1:]])  # nearer ones would overlap
                 first = np.flatnonzero(fresh)
@@ -166,7 +181,7 @@ def passages(docs: DataFrame, shared, threshold: float, least_words: int) -> Dat
                 ids = part.column("doc_id")
                 for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
                     k, d = int(item[a]), int(doc[a])
-                    lo, hi = max(int(bounds[d]), int(at[a] - reach[k])), min(int(bounds[d + 1]), int(at[b - 1] + items.size + reach[k]))
+                    lo, hi = max(int(bounds[d]), int(at[a] - reach[k])), min(int(bounds[d + 1]), int(at[b - 1] + size[b - 1] + reach[k]))
                     if not may_reach(items.words[k], codes[lo:hi], least[k]):
                         continue
                     for column, value in zip(rows, (ids[d].as_py(), k, int(lo - bounds[d]), codes[lo:hi].astype("<i4").tobytes())):
@@ -203,13 +218,17 @@ def aligned(found: DataFrame, shared, threshold: float, least_words: int) -> Dat
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    once = found.dropDuplicates(["doc_id", "item", "at", "words"])  # repeated rows
-    spread = once.repartition(F.xxhash64("doc_id", "item", "at"))  # passages of one item or document don't share a task
+    keys = ["doc_id", "item", "at", "words"]
+    spread = found.repartition(parts_for(found.count(), PASSAGES), *keys).dropDuplicates(keys)  # repeated rows; one shuffle for both
     return spread.mapInArrow(run, MATCHES)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text holds no test item. Each row is judged by its own text, so null and repeated ids make no difference."""
+    """The rows whose text holds no test item, with all their columns.
+
+    Each row is judged by its own text: a leaking row goes whether or not it has an id, and rows that repeat the id of a
+    leaking one stay if their own text is clean. Null and empty texts stay; empty tables give or leave all rows.
+    """
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    bad = durable(leaks(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return matching(docs.withColumn("__text", text), bad, "__text", "leaked", "left_anti").drop("__text")
+    bad = durable(leaks(docs.select(text.alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "leaked")
+    return matching(docs, text, bad, "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import durable, id_and_text, matching
+from tagloom.llm.common import durable, id_and_text, matching, unused
 from tagloom.llm.graph import components
 from tagloom.llm.shingles import mixed, shingle_sets
 from tagloom.llm.tokens import slices
@@ -115,7 +115,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 found = list(shingle_sets(part.column("text"), words))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([signature(s, a, b).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "sig", "shingles"])
 
-    sets = durable(matching(named_rows(docs), ids, "row", "id", "left_semi").mapInArrow(run, "id long, sig binary, shingles binary"), "sets")
+    sets = durable(matching(named_rows(docs), F.col("row"), ids, "left_semi").mapInArrow(run, "id long, sig binary, shingles binary"), "sets")
     return sets if sets.count() == ids.count() else durable(sets.dropDuplicates(["id"]), "sets")
 
 
@@ -127,19 +127,26 @@ def band_rows(reps: DataFrame) -> DataFrame:
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b) that are similar: signatures are sent to all pairs first, full sets only to those that are left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "yb", 16 << 20):
-                if not batch.num_rows:
-                    continue
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("xa", "xb"))
-                alive = [int(k) for k in may_be_similar(left, right, percent / 100, miss) if similar(*(np.frombuffer(batch.column(c)[int(k)].as_py(), "<u8") for c in ("ya", "yb")), percent)]
-                yield batch.select(["a", "b"]).take(pa.array(alive, pa.int64()))
+                yield batch.select(["a", "b"]).take(pa.array(may_be_similar(left, right, percent / 100, miss), pa.int64()))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "xb", 16 << 20):
+                good = [k for k in range(batch.num_rows) if similar(*(np.frombuffer(batch.column(c)[k].as_py(), "<u8") for c in ("xa", "xb")), percent)]
+                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    def with_both(some: DataFrame, what: str) -> DataFrame:
+        first, second = (sets.select(F.col("id").alias(k), F.col(what).alias("x" + k)) for k in "ab")
+        return some.join(second, "b").join(first, "a").select("a", "b", "xa", "xb")
 
-    first, second = (sets.select(F.col("id").alias(k), F.col("sig").alias("x" + k), F.col("shingles").alias("y" + k)) for k in "ab")
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "xa", "xb", "ya", "yb").mapInArrow(run, "a long, b long")
+    close = durable(with_both(pairs, "sig").mapInArrow(prune, "a long, b long"), "close-pairs")
+    return with_both(close, "shingles").mapInArrow(verify, "a long, b long")
 
 
 def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -235,11 +242,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id and without words stay.
     """
     rows = durable(judged(docs, words, percent).where("n_shingles > 0 or doc_id is not null").select("row", "kept"), "judged")
-    gone = rows.where("not kept").select(F.col("row").alias("gone")).distinct()
+    gone = rows.where("not kept").select("row").distinct()
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    left = matching(docs.withColumn("__row", row), durable(gone, "gone"), "__row", "gone", "left_anti")
-    repeated = durable(rows.where("kept").groupBy(F.col("row").alias("repeated")).count().where("count > 1").select("repeated"), "repeated")
+    left = matching(docs, row, durable(gone, "gone"), "left_anti")
+    repeated = durable(rows.where("kept").groupBy("row").count().where("count > 1").select("row"), "repeated")
     if repeated.count():
-        some = matching(left, repeated, "__row", "repeated", "left_semi").dropDuplicates(["__row"])
-        left = some.unionByName(matching(left, repeated, "__row", "repeated", "left_anti"))
-    return left.drop("__row")
+        mark = unused(docs, "__row")
+        some = matching(left, row, repeated, "left_semi").withColumn(mark, row).dropDuplicates([mark]).drop(mark)
+        left = some.unionByName(matching(left, row, repeated, "left_anti"))
+    return left
