@@ -1,8 +1,8 @@
 """Incremental secret scan over a blob ledger, in DataFrame operations only.
 
 Every version of a text is addressed by its SHA-256. The ledger lists the (blob, rule, rule version) triples that were
-scanned, with their findings; a scan reads only pairs that the ledger lacks, and findings are joined back to every path that
-holds the blob. Copies of a text are scanned once.
+scanned, with their findings; a scan runs only the rules that the ledger lacks for a blob, and findings are joined back to
+every path that holds the blob. Copies of a text are scanned once.
 
 Positions come from splitting the text at the pattern: a match begins where all pieces and matches before it end. They
 count code points; the end is exclusive.
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import durable, unused
+
 SPAN = "struct<start:int,end:int,kind:string>"
 
 
@@ -62,38 +64,53 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """texts(blob, text) -> a ledger row (blob, kind, version, spans) for each blob and rule."""
-    found = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans")) for r in rules])
-    return texts.select("blob", F.explode(found).alias("f")).select("blob", "f.kind", "f.version", "f.spans")
+    """texts(blob, text, missing) -> a ledger row (blob, kind, version, spans) for each rule of ``missing``; others don't run."""
+    one = lambda n, r: F.when(F.array_contains("missing", n), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans")))
+    found = F.array(*[one(n, r) for n, r in enumerate(rules)])
+    return texts.select("blob", F.explode(found).alias("f")).where("f is not null").select("blob", "f.kind", "f.version", "f.spans")
+
+
+def addressed(docs: DataFrame, path: str = "doc_id") -> DataFrame:
+    """path, blob, text: every row with its content address."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col(path).alias("path"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, path): one path for each blob that lacks a ledger row of some rule in its present version."""
+    """(blob, path, missing): one path for each blob, and the places of the rules whose present version the ledger lacks for it."""
     blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is None:
-        return blobs
-    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+        return blobs.withColumn("missing", F.array(*map(F.lit, range(len(rules)))))
     done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))  # a row for each rule version
-    return blobs.join(done, "blob", "left").where(F.col("done").isNull() | (F.size(F.array_except(now, "done")) > 0)).select("blob", "path")
+    lacks = [F.when(F.col("done").isNull() | ~F.array_contains("done", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(n)) for n, r in enumerate(rules)]
+    return blobs.join(done, "blob", "left").select("blob", "path", F.array_compact(F.array(*lacks)).alias("missing"))
 
 
-def addressed(docs: DataFrame, path: str = "doc_id") -> DataFrame:
-    """path, blob, text: every row with its content address."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col(path).alias("path"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text"))
+FEW_ROWS, FEW_SPANS = 50_000, 500_000  # more marks or findings than this are shuffled instead of broadcast
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for addressed versions; append them to the ledger to make the next scan incremental.
 
-    One version stands for all with its content. It is found again by its path, so texts move once and copies not at all.
+    One version stands for all with its content. Where few rows differ from the rule - few copies, or few new blobs - the list
+    of them is sent to the texts, which stay in place; its rows are counted first. Only beyond that count texts move, once.
+    A row that repeats both path and text may give its ledger rows again; whatever reads a ledger takes it as a set.
     """
-    todo = unseen(versions.select("path", "blob"), ledger, rules).select(F.col("blob").alias("todo_blob"), F.col("path").alias("todo_path"))
-    chosen = versions.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("todo_path")) & (F.col("blob") == F.col("todo_blob")), "left_semi")
-    rows = scan(chosen.select("blob", "text"), rules)
-    if ledger is not None:
-        rows = rows.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-    return rows
+    whole = F.array(*map(F.lit, range(len(rules))))
+    todo = durable(unseen(versions.select("path", "blob"), ledger, rules), "unseen")
+    mine, theirs = F.col("path").eqNullSafe(F.col("m_path")), F.col("blob") == F.col("m_blob")
+    fresh = todo.where(F.size("missing") > 0).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), "missing")
+    if ledger is not None and fresh.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return scan(versions.join(F.broadcast(fresh), mine & theirs).select("blob", "text", "missing"), rules)
+    chosen = todo.where(F.size("missing") == len(rules)).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"))
+    known = versions.select("path", "blob").join(chosen, mine & theirs, "left_anti").distinct()  # copies, and what the ledger has
+    some = todo.where(F.size("missing") < len(rules)).select(F.col("blob").alias("t_blob"), F.col("path").alias("t_path"), "missing")
+    marks = durable(known.join(some, (F.col("blob") == F.col("t_blob")) & F.col("path").eqNullSafe(F.col("t_path")), "left").select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), F.coalesce("missing", F.array().cast("array<int>")).alias("missing")), "marks")
+    if marks.count() <= FEW_ROWS:
+        marked = versions.join(F.broadcast(marks), mine & theirs, "left").select("blob", "text", F.coalesce("missing", whole).alias("missing"))
+    else:
+        marked = versions.join(fresh.hint("shuffle_hash"), mine & theirs).select("blob", "text", "missing")
+    return scan(marked.where(F.size("missing") > 0), rules)
 
 
 def all_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -104,14 +121,23 @@ def all_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return some.select("blob", F.array_sort(F.array_distinct(keyed)).alias("spans"))
 
 
+def joined_back(rows: DataFrame, blob: str, found: DataFrame, spans: str) -> DataFrame:
+    """The rows with the spans of their blob. Few findings are counted and broadcast, so a blob with many paths isn't one task."""
+    found = durable(found.select(F.col("blob").alias(unused(rows, "f_blob")), F.col("spans").alias(spans)), "findings")
+    there = found.columns[0]
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("spans")).first()
+    few = size["n"] <= FEW_ROWS and size["spans"] <= FEW_SPANS
+    return rows.join(F.broadcast(found) if few else found, F.col(blob) == F.col(there), "left").drop(there)
+
+
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, spans (null if none) for every row: ledger rows, old and new, joined back to all paths."""
+    """doc_id, blob, spans (null if none) for every row: ledger rows, old and new, joined back to all paths."""
     versions = addressed(docs)
     rows = scan_versions(versions, ledger, rules)
     if ledger is not None:
         now = [F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules]
         rows = rows.unionByName(ledger.where(F.struct("kind", "version").isin(*now)).select("blob", "kind", "version", "spans"))
-    return versions.select(F.col("path").alias("doc_id"), "blob").join(all_spans(rows, rules), "blob", "left").select("doc_id", "blob", "spans")
+    return joined_back(versions.select(F.col("path").alias("doc_id"), "blob"), "blob", all_spans(rows, rules), "spans")
 
 
 def mask(text: Column, spans: Column, with_: str = "[secret]") -> Column:
@@ -126,11 +152,16 @@ def mask(text: Column, spans: Column, with_: str = "[secret]") -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with every finding masked and n_chars counted anew where a text changed."""
+    """The documents with every finding masked and n_chars, if there is one, counted anew where a text changed.
+
+    Every row stays, with all its columns, whatever their names; null and empty texts stay as they are.
+    """
     found = all_spans(scan_versions(addressed(docs), None, rules), rules)
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    marked = docs.withColumn("__blob", blob).join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
-    masked = marked.withColumn("text", F.when(F.col("__spans").isNotNull(), mask(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    blob, spans = unused(docs, "__blob"), unused(docs, "__spans")
+    address = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    marked = joined_back(docs.withColumn(blob, address), blob, found, spans)
+    hit = F.col(spans).isNotNull()
+    masked = marked.withColumn("text", F.when(hit, mask(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
