@@ -1,6 +1,6 @@
 """Packing of token pieces into sequences of one fixed length.
 
-Two rules. ``pack_sum_of_squares`` moves only lengths: pieces are dealt out by a hash, and each task places its own pieces,
+Two rules. ``pack_sum_of_squares`` moves only lengths: pieces are dealt out evenly, and each task places its own pieces,
 longest first, where the squared counts of open sequences per free length become smallest. ``pack_matrices`` never
 shuffles: each task encodes its own documents and packs them by best-fit decreasing, with a segment tree over free lengths,
 into id matrices. Both keep every token: documents longer than a sequence are cut, shorter ones never are.
@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tagloom.llm.common import durable, id_and_text, parts_for
 from tagloom.llm.tokens import cut, slices, tokenizer_for, with_end
@@ -91,7 +90,7 @@ def pack_sum_of_squares(docs: DataFrame, tokenizer_path: str, capacity: int = 20
             sequence += TaskContext.get().partitionId() << 32
             yield from rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
 
-    return pieces.repartition(groups, F.xxhash64("doc_id", "piece")).mapInArrow(run, PLACED)
+    return pieces.repartition(groups).mapInArrow(run, PLACED)  # dealt evenly, whatever ids repeat or are null
 
 
 class FreeLengths:
@@ -185,6 +184,15 @@ def pack_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
     return id_and_text(docs).mapInArrow(run, MATRIX)
 
 
-def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write the packed rows; a task that is lost writes its own part again."""
+def write_matrices(packed: DataFrame, path: str) -> DataFrame:
+    """Write the packed sequences to a new folder and give them back as they lie there; a lost task writes its part again.
+
+    Ids and positions are fixed-width binary rows, so ``matrix`` reads a file's rows as one array without copying tokens.
+    """
     packed.write.parquet(path)
+    return packed.sparkSession.read.schema(MATRIX).parquet(path)
+
+
+def matrix(rows: list[bytes], dtype: str, capacity: int) -> np.ndarray:
+    """Written rows of ids (``<u4``) or positions (``<u2``) as a matrix of one row for each sequence."""
+    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), capacity)
