@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import durable, has_checkable_fold, id_and_text
+from tagloom.llm.common import durable, has_checkable_fold, id_and_text, matching
 from tagloom.llm.tokens import slices
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digit", "stop", "comma", "mark", "pipe", "symbol", "wide", "lines", "line_words", "distinct_words", "top_word", "distinct_lines", "marked_words")
@@ -69,10 +69,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, Cholesky factors of the covariances and log weights (prior less half the log determinant) of both classes."""
+    """Means, inverted Cholesky factors of the covariances and log weights (prior less half the log determinant) of both classes."""
 
     mean: np.ndarray
-    factor: np.ndarray
+    inverse: np.ndarray  # of the lower factor: a Mahalanobis distance is the length of its product with what is left of the mean
     weight: np.ndarray
     share: float
 
@@ -85,18 +85,19 @@ class Discriminant:
         mean = total / count[:, None]
         own = square / count[:, None, None] - mean[:, :, None] * mean[:, None, :]
         together = (own * count[:, None, None]).sum(axis=0) / count.sum()
-        factors, weights = [], []
+        inverses, weights = [], []
         for k in (0, 1):
             mixed = (1 - pooled) * own[k] + pooled * together
             mixed = (1 - ridge) * mixed + ridge * np.eye(len(mixed)) * np.trace(mixed) / len(mixed)
-            factors.append(np.linalg.cholesky(mixed))
-            weights.append(np.log(count[k] / count.sum()) - np.log(np.diag(factors[-1])).sum())
-        return Discriminant(mean, np.array(factors), np.array(weights), share)
+            factor = np.linalg.cholesky(mixed)
+            inverses.append(np.linalg.inv(factor))
+            weights.append(np.log(count[k] / count.sum()) - np.log(np.diag(factor)).sum())
+        return Discriminant(mean, np.array(inverses), np.array(weights), share)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.mean.shape[1]:
             return np.full(len(x), self.share)
-        density = [self.weight[k] - 0.5 * (np.linalg.solve(self.factor[k], (x - self.mean[k]).T) ** 2).sum(axis=0) for k in (0, 1)]
+        density = [self.weight[k] - 0.5 * (((x - self.mean[k]) @ self.inverse[k].T) ** 2).sum(axis=1) for k in (0, 1)]
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPERATURE, -30, 30)))
 
 
@@ -119,9 +120,13 @@ def moments(labelled: DataFrame) -> DataFrame:
     return each.groupBy("y", "at").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
 
 
-def fit(statistics: DataFrame, labels: DataFrame, column: str = "quality") -> Discriminant:
-    """From every labelled row of the training folds (fold 0 of 5 by crc32 is held out)."""
-    known = has_checkable_fold(labels.select("doc_id", F.col(column).cast("int").alias("y"))).where("y in (0, 1) and not held_out").select("doc_id", "y")
+def training_labels(labels: DataFrame, column: str = "quality") -> DataFrame:
+    """doc_id, y of the training folds (fold 0 of 5 by crc32 is held out)."""
+    return has_checkable_fold(labels.select("doc_id", F.col(column).cast("int").alias("y"))).where("y in (0, 1) and not held_out").select("doc_id", "y")
+
+
+def fit(statistics: DataFrame, known: DataFrame) -> Discriminant:
+    """From the statistics of every labelled row."""
     rows = moments(statistics.join(known, "doc_id").select("y", "x")).collect()  # 2 x (N + N * N) rows, whatever the input
     count, sums = np.zeros(2), np.zeros((2, N + N * N))
     for r in rows:
@@ -132,7 +137,7 @@ def fit(statistics: DataFrame, labels: DataFrame, column: str = "quality") -> Di
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     statistics = durable(with_statistics(docs), "statistics")
-    model = fit(statistics, labels)
+    model = fit(statistics, training_labels(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +150,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose own text scores at least the threshold, with all their columns."""
-    model = fit(with_statistics(docs), labels)
+    """The documents whose own text scores at least the threshold, with all their columns.
+
+    Rows that repeat an id are judged by their own texts; null and empty texts by the statistics of an empty one. Statistics
+    for the fit are computed for the labelled documents alone.
+    """
+    known = durable(training_labels(labels), "known")
+    some = matching(docs.select("doc_id", "text"), F.col("doc_id").cast("long"), known.select(F.col("doc_id").cast("long")).distinct(), "left_semi")
+    model = fit(with_statistics(some), known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
