@@ -1,23 +1,27 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags, in page order. Each block is a vector of its hashed tag
-path (with classes and ids), hashed words and a few counts; a bidirectional LSTM in numpy reads the whole sequence, so every
-block is classified with the document's context. Blocks labelled as article are joined.
+path (with classes and ids), all its hashed words and a few counts; a bidirectional LSTM in numpy reads the whole sequence, so
+every block is classified with the document's context. Blocks labelled as article are joined.
 
-The labeller is trained here, on a bounded sample of the pages (``sample``, by hash of the id) with labels that the mark-up
-itself gives: text inside a container that names itself a menu, header, footer, sidebar, notice, advert, form or comment
-section is not article text. Pages of one template would teach just that template, so blocks of such containers, with other
-names and places, are mixed into the training sequences.
+The labeller is trained here on a bounded sample: at most ``sample`` pages, by hash of id and html, with at most
+``sample_blocks`` blocks in all (a page that would pass that number is left out of the sample). Its teacher is the meaning
+that HTML itself gives to elements: pages that mark an article say which blocks it holds, and nav, aside, footer, form and
+their like say what is none; classes and ids decide no label. Pages of one template would teach just that template, so each
+page is read again in other clothes: with its article in other containers and foreign blocks beside and inside it, and with
+names that say nothing at all, where only text, links, order and place are left to tell.
 
 Defined results: null and empty html gives an empty text; text outside any tag is a block; unclosed and misnested tags are
 closed as browsers do for paragraphs and by the enclosing end tag otherwise; null ids and repeated rows are kept; an empty
-table gives no rows; other columns are never read.
+table gives no rows; a sample without any marked article is taught by its links and elements alone; other columns are never
+read. Deep and long pages cost time and memory in proportion to their length.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,78 +35,131 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import small_batches
 from tagloom.llm.tokens import slices
 
-# Fixed values of HTML: elements that begin a block, that have no end tag, and whose content isn't text.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+# Fixed values of HTML: elements that begin a block, that have no end tag, whose content isn't text, that end an open
+# paragraph, that such an end doesn't reach beyond, and that never hold the article itself.
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math textarea object canvas".split())
-ENDS_P = BLOCK - frozenset("body head html option button title tbody td tfoot th thead tr caption legend".split())
-# Names of containers that hold no article text, as parts of tags, classes and ids.
-ASIDE = frozenset("ad ads advert advertisement aside banner breadcrumb breadcrumbs button comment comments consent cookie cookies dialog disclaimer discussion footer form gdpr header input login masthead menu modal nav navbar navigation newsletter notice notification option pagination popup promo promoted recommended related replies reply respond search select share sharing sidebar signup social sponsor sponsored subscribe teaser title toolbar topbar widget".split())
-BODY = ("article", "main", "div.post-body", "div.entry-content", "div#content", "section.story", "div.article-body")
-EXTRA = ("header.site-header", "div#masthead", "nav.navbar", "div.menu", "ul.breadcrumbs", "aside.sidebar", "div#sidebar", "div.widget", "div.cookie-notice", "div.notice", "div#consent", "div.advert", "div.ad-banner", "div.sponsored", "form.newsletter", "form#search", "form", "footer.site-footer", "div#footer", "div.footer", "section#comments", "div.comment", "ol.comments", "div.replies", "div.related", "div.share", "div.social", "div.promo", "div.popup", "header", "aside", "footer", "nav", "div.banner")
-
-PATHS, WORDS, COUNTS, HIDDEN = 96, 48, 8, 20
+SILENT = frozenset("script style template svg textarea".split())
+ENDS_P = BLOCK - frozenset("body head html option button title tbody td tfoot th thead tr caption legend noscript".split())
+SCOPE = frozenset("html table td th caption button object template marquee".split())
+NEVER = frozenset("head title nav aside footer form dialog menu select option button fieldset legend noscript".split())
+# Containers that pages put an article in, and containers of other things, as element.class#id: clothes for training pages.
+BODY = ("article", "main", "div.post-body", "div.entry-content", "div#content", "section.story", "div.article-body", "div.text", "td.content", "div.post")
+EXTRA = ("header.site-header", "div#masthead", "nav.navbar", "div.menu", "div.topbar", "ul.breadcrumbs", "aside.sidebar", "div#sidebar", "div.widget", "div.cookie-notice", "div.notice", "div#consent", "div.gdpr", "div.advert", "div.ad", "div.ads", "div.ad-banner", "div.sponsored", "form.newsletter", "div.newsletter", "div.subscribe", "form#search", "form.login", "form", "footer.site-footer", "div#footer", "div.footer", "section#comments", "div.comments", "div.comment", "ol.comments", "ul.comment-list", "div.replies", "div.discussion", "div.related", "div.recommended", "div.share", "div.social", "div.promo", "div.popup", "div.modal", "div.pagination", "header", "aside", "footer", "nav", "div.banner", "div.disclaimer", "div.toolbar")
+COMMENTS = ("comment", "comments", "replies", "discussion")
+
+PATHS, WORDS, COUNTS, HIDDEN = 96, 48, 9, 20
 WIDTH = PATHS + WORDS + COUNTS
+LEAN = -2.0  # a block is taken from these log odds on: lost article text is worse than a line too many
+STEPS = 256  # blocks of a training sequence, and of the parts in which a long page is read
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
+def bucket(text: str, size: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
+
+
+_BITS: dict[str, int] = {}
+
+
+def name_bits(element: str) -> int:
+    """A bit for each part of an element's tag, classes and id."""
+    known = _BITS.get(element)
+    if known is None:
+        known = 0
+        for n in _NAME.findall(element):
+            known |= 1 << bucket(n, PATHS)
+        if len(_BITS) < 50_000:
+            _BITS[element] = known
+    return known
+
+
+class Node:
+    """An open element: what a block needs to know about it and those around it, without walking up."""
+
+    __slots__ = ("tag", "name", "parent", "bits", "depth", "paragraph", "article", "never")
+
+    def __init__(self, tag: str, name: str, parent: Node | None):
+        self.tag, self.name, self.parent = tag, name, parent
+        block = tag in BLOCK
+        self.bits = (parent.bits if parent else 0) | (name_bits(name) if block else 0)
+        self.depth = (parent.depth if parent else 0) + block
+        self.paragraph = self if tag == "p" else None if tag in SCOPE or not parent else parent.paragraph
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.never = tag in NEVER or bool(parent and parent.never) or (tag == "header" and not self.article)
+
+    def path(self) -> list[str]:
+        """Names of the block elements, outermost first."""
+        out, node = [], self
+        while node:
+            if node.tag in BLOCK:
+                out.append(node.name)
+            node = node.parent
+        return out[::-1]
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # names of the elements around it, outermost first: tag.class#id
+    node: Node | None
     text: str
     linked: int  # characters inside links
 
 
 class Leaves(HTMLParser):
-    """Collects a page's blocks."""
+    """Collects a page's blocks. Every element is opened and closed once, so the work grows with the page alone."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
+        self.top: Node | None = None
+        self.open: dict[str, int] = {}
         self.blocks: list[Block] = []
         self.text: list[str] = []
-        self.linked = self.silent = self.links = 0
+        self.linked = self.silent = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append(Block(tuple(x for x in self.stack if x.split(".")[0].split("#")[0] in BLOCK), text, self.linked))
+            self.blocks.append(Block(self.top, text, self.linked))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
-        if tag in ENDS_P and "p" in (tags := [x.split(".")[0].split("#")[0] for x in self.stack]):
-            self.leave(len(tags) - 1 - tags[::-1].index("p"))
+        if tag in ENDS_P and self.top and self.top.paragraph:
+            self.leave(self.top.paragraph)
         if tag in VOID:
             if tag in ("br", "img"):
                 self.text.append(" ")
             return
         named = dict(attrs)
         name = tag + "".join(f".{c}" for c in (named.get("class") or "").lower().split()) + (f"#{named['id'].lower()}" if named.get("id") else "")
-        self.stack.append(name)
+        self.top = Node(tag, name, self.top)
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in SILENT
-        self.links += tag == "a"
 
-    def leave(self, at: int) -> None:
-        for name in self.stack[at:]:
-            tag = name.split(".")[0].split("#")[0]
-            self.silent -= tag in SILENT
-            self.links -= tag == "a"
-        del self.stack[at:]
+    def leave(self, node: Node) -> None:
+        """Close an open element and all inside it."""
+        while self.top:
+            gone, self.top = self.top, self.top.parent
+            self.open[gone.tag] -= 1
+            self.silent -= gone.tag in SILENT
+            if gone is node:
+                return
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        tags = [x.split(".")[0].split("#")[0] for x in self.stack]
-        if tag in tags:
-            self.leave(len(tags) - 1 - tags[::-1].index(tag))
+        if self.open.get(tag):
+            node = self.top
+            while node.tag != tag:  # these are closed with it
+                node = node.parent
+            self.leave(node)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.text.append(data)
-            self.linked += len(data) * (self.links > 0)
+            self.linked += len(data) if self.open.get("a") else 0
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -113,45 +170,33 @@ def blocks_of(html: str) -> list[Block]:
     return page.blocks
 
 
-def names(element: str) -> list[str]:
-    return _NAME.findall(element)
-
-
-def looks_like_article(path: tuple[str, ...], article: bool) -> bool:
-    """What the mark-up says; ``article``: the page marks its article, so text outside of it is none."""
-    inside = next((k for k, x in enumerate(path) if x.split(".")[0].split("#")[0] in ("article", "main")), None)
-    if article and inside is None:
-        return False
-    return not any(n in ASIDE for k, x in enumerate(path) for n in names(x) if not (n == "header" and x == "header" and inside is not None and k > inside))
-
-
-def bucket(text: str, size: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
+_BUCKETS: dict[str, int] = {}
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    known = _PATHS.get(path)
-    if known is None:
-        known = np.zeros(PATHS, np.float32)
-        for element in path:
-            for n in names(element):
-                known[bucket(n, PATHS)] = 1
-        if len(_PATHS) < 50_000:
-            _PATHS[path] = known
-    return known
+def word_buckets(words: list[str]) -> list[int]:
+    out = []
+    for w in words:
+        known = _BUCKETS.get(w)
+        if known is None:
+            known = bucket(w.lower(), WORDS)
+            if len(_BUCKETS) < 100_000:
+                _BUCKETS[w] = known
+        out.append(known)
+    return out
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block; ``first`` and ``total`` say where in its page the part begins and how many blocks the page has."""
+    total = len(blocks) if total is None else total
     out = np.zeros((len(blocks), WIDTH), np.float32)
+    masks = b"".join((b.node.bits if b.node else 0).to_bytes(PATHS // 8, "little") for b in blocks)
+    out[:, :PATHS] = np.unpackbits(np.frombuffer(masks, np.uint8).reshape(len(blocks), -1), axis=1, bitorder="little")
     for k, b in enumerate(blocks):
-        words = b.text.split()
-        out[k, :PATHS] = path_vector(b.path)
-        for w in words[:32]:  # enough to tell kinds of blocks; the text itself is kept whole
-            out[k, PATHS + bucket(w.lower(), WORDS)] += 1 / min(len(words), 32)
-        out[k, PATHS + WORDS :] = (np.log1p(len(b.text)) / 8, np.log1p(len(words)) / 6, b.linked / len(b.text), sum(b.text.count(c) for c in ".,;!?") / (len(words) + 1), len(b.path) / 8, k / len(blocks), (len(blocks) - k) / len(blocks), b.text[-1:] in ".!?\"”")
+        words, text = b.text.split(), b.text
+        out[k, PATHS : PATHS + WORDS] = np.bincount(word_buckets(words), minlength=WORDS) / len(words)
+        marks = text.count(".") + text.count(",") + text.count(";") + text.count("!") + text.count("?")
+        at = first + k
+        out[k, PATHS + WORDS :] = (np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, b.linked / len(text), marks / (len(words) + 1), min(b.node.depth if b.node else 0, 40) / 8, at / total, (total - at) / total, text[-1] in ".!?\"”", text[0] in "©®|»›")
     return out
 
 
@@ -198,14 +243,43 @@ class Labeller:
             out[t] = h
         return out, tape
 
+    def part(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """What one direction adds to the outputs of a part of the sequence, from the state before it, and the state after it."""
+        steps, pages = mask.shape
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
+        w, out = self.p[f"w{d}"][WIDTH:], np.zeros((steps, pages), np.float32)
+        given = x @ self.p[f"w{d}"][:WIDTH] + self.p[f"c{d}"]
+        weight = self.p["out"][:HIDDEN] if d == "f" else self.p["out"][HIDDEN:]
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            gates = given[t] + h @ w
+            s = sigmoid(gates[:, : 3 * HIDDEN])
+            m = mask[t][:, None]
+            new = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(gates[:, 3 * HIDDEN :])
+            c = m * new + (1 - m) * c
+            h = m * (s[:, 2 * HIDDEN :] * np.tanh(new)) + (1 - m) * h
+            out[t] = h @ weight
+        return out, (h, c)
+
+    def long_page(self, blocks: list[Block]) -> np.ndarray:
+        """Outputs for a page of any length: its vectors exist for one part at a time, in either direction."""
+        out, total = np.full(len(blocks), self.p["bias"][0], np.float32), len(blocks)
+        for d in "fb":
+            state, starts = None, range(0, total, STEPS)
+            for at in starts if d == "f" else reversed(starts):
+                x = vectors(blocks[at : at + STEPS], at, total)[:, None]
+                more, state = self.part(x, np.ones((len(x), 1), np.float32), d, state)
+                out[at : at + STEPS] += more[:, 0]
+        return out
+
     def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
         forward, ft = self.pass_(x, mask, "f")
         backward, bt = self.pass_(x, mask, "b")
         return forward @ self.p["out"][:HIDDEN] + backward @ self.p["out"][HIDDEN:] + self.p["bias"], [forward, ft, backward, bt]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, known: np.ndarray | None = None) -> dict[str, np.ndarray]:
         logits, (forward, ft, backward, bt) = self.logits(x, mask)
-        error = (sigmoid(logits) - y) * mask / mask.sum()
+        known = mask if known is None else known  # blocks without a label teach nothing
+        error = (sigmoid(logits) - y) * known / max(known.sum(), 1)
         grads = {"out": np.concatenate([(h * error[:, :, None]).sum(axis=(0, 1)) for h in (forward, backward)]), "bias": error.sum(keepdims=True).reshape(1)}
         for d, tape, part in (("f", ft, self.p["out"][:HIDDEN]), ("b", bt, self.p["out"][HIDDEN:])):
             w = self.p[f"w{d}"]
@@ -224,86 +298,166 @@ class Labeller:
             grads[f"w{d}"], grads[f"c{d}"] = gw, gb
         return grads
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 24, rate: float = 0.01, seed: int = 5) -> Labeller:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 32, rate: float = 0.012, seed: int = 5) -> Labeller:
         rng, first, second, step = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for _ in range(epochs):
-            order = rng.permutation(len(pages))
-            for at in range(0, len(order), batch):
-                some = [pages[k] for k in order[at : at + batch]]
+        for epoch in range(epochs):
+            order, now = rng.permutation(len(pages)), rate * (1 - 0.95 * epoch / epochs)  # steps become smaller
+            order = order[np.argsort([-(-len(pages[k][0]) // 16) for k in order], kind="stable")]  # like lengths together: little padding
+            batches = [order[at : at + batch] for at in range(0, len(order), batch)]
+            for turn in rng.permutation(len(batches)):
+                some = [pages[k] for k in batches[turn]]
                 x, mask = padded([p for p, _ in some])
-                y = np.zeros_like(mask)
+                y, known = np.zeros_like(mask), np.zeros_like(mask)
                 for k, (_, labels) in enumerate(some):
-                    y[: len(labels), k] = labels
+                    y[: len(labels), k], known[: len(labels), k] = labels == 1, labels >= 0
                 step += 1
-                for k, g in self.gradients(x, mask, y).items():
+                for k, g in self.gradients(x, mask, y, known).items():
                     g = np.clip(g, -1, 1)
                     first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def choose(self, pages: list[np.ndarray], most: int = 4096) -> list[np.ndarray]:
+    def choose(self, pages: list[list[Block]], most: int = 4096) -> list[np.ndarray]:
         """Which blocks of each page are article text. Pages of like length are read together, at most ``most`` steps x pages."""
         out = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
             some = [order[at]]
+            if len(pages[some[0]]) > most:
+                out[some[0]] = self.long_page(pages[some[0]]) > LEAN
+                at += 1
+                continue
             while at + len(some) < len(order) and (len(some) + 1) * len(pages[order[at + len(some)]]) <= most:
                 some.append(order[at + len(some)])
-            logits, _ = self.logits(*padded([pages[k] for k in some]))
+            x, mask = padded([vectors(pages[k]) for k in some])
+            logits = self.part(x, mask, "f")[0] + self.part(x, mask, "b")[0] + self.p["bias"]
             for n, k in enumerate(some):
-                out[k] = logits[: len(pages[k]), n] > 0
+                out[k] = logits[: len(pages[k]), n] > LEAN
             at += len(some)
         return out
 
 
-def varied(blocks: list[Block], labels: list[bool], pool: list[str], rng: random.Random) -> tuple[list[Block], list[bool]]:
-    """A training page with other names around its article and extra blocks that are none."""
+def labels_of(page: list[Block]) -> list[int]:
+    """1 for the blocks of a marked article, 0 for others, as HTML's elements say; without a marked article 0 for links and
+    elements that never hold one, and no label (-1) for the rest."""
+    marked = any(b.node and b.node.article for b in page)
+    out = []
+    for b in page:
+        never = b.node is not None and b.node.never
+        if marked:
+            out.append(int(b.node is not None and b.node.article and not never))
+        else:
+            out.append(0 if never or b.linked > 0.6 * len(b.text) else -1)
+    return out
+
+
+def chain(path: list[str]) -> Node | None:
+    node = None
+    for name in path:
+        node = Node(name.split(".")[0].split("#")[0], name, node)
+    return node
+
+
+def gibberish(rng: random.Random) -> str:
+    return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(2, 7)))
+
+
+def sentence(pool: list[str], rng: random.Random, most: int) -> str:
+    words = rng.choice(pool).split()
+    at = rng.randrange(max(1, len(words) - most + 1))
+    return " ".join(words[at : at + rng.randrange(1, most + 1)])
+
+
+def foreign(name: str, pool: list[str], rng: random.Random) -> list[tuple[list[str], str, int]]:
+    """(inner path, text, linked characters) of blocks as they stand in a container that holds no article text."""
+    out = []
+    kind = "comment" if any(c in name for c in COMMENTS) else rng.choice(("links", "short", "text"))
+    for _ in range(rng.randrange(1, 6 if kind == "text" else 9)):
+        if kind == "comment":
+            inner = rng.choice((["p"], ["div"], ["li"], ["div", "p"], ["li", "p"]))
+            out.append((inner, sentence(pool, rng, 3), 0))
+            out.append((inner, sentence(pool, rng, 30), 0))
+        elif kind == "links":
+            text = sentence(pool, rng, 4)
+            out.append((rng.choice((["ul", "li"], ["li"], ["div"], [])), text, len(text)))
+        else:
+            text = sentence(pool, rng, 6 if kind == "short" else 40)
+            out.append((rng.choice(([], ["p"], ["div"], ["h3"], ["div", "p"])), text, len(text) if rng.random() < 0.2 else 0))
+    return out
+
+
+def dressed(page: list[tuple[list[str], str, int]], labels: list[int], pool: list[str], rng: random.Random, plain: bool) -> tuple[list[Block], list[int]]:
+    """A training page in other clothes: its article in another container, foreign blocks beside and inside it; ``plain``: with
+    names that say nothing."""
     body = rng.choice(BODY)
-    out = [(Block(tuple(body if x == "article" else x for x in b.path), b.text, b.linked), y) for b, y in zip(blocks, labels)]
-    article = [k for k, (_, y) in enumerate(out) if y]
-    for _ in range(rng.randrange(1, 7)):
-        name, text = rng.choice(EXTRA), rng.choice(pool)
-        inner = rng.choice(((), ("p",), ("ul", "li"), ("div",), ("div", "p"), ("h3",)))
-        inside = rng.random() < 0.4 and article
-        path = ("html", "body", *((body,) if inside else ()), name, *inner)
-        where = rng.choice(article) + 1 if inside else rng.randrange(len(out) + 1)
-        for _ in range(rng.randrange(1, 4)):
-            out.insert(where, (Block(path, text if rng.random() < 0.6 else text[: rng.randrange(8, 60)], len(text) if rng.random() < 0.3 else 0), False))
-            text = rng.choice(pool)
-        article = [k for k, (_, y) in enumerate(out) if y]
-    return [b for b, _ in out], [y for _, y in out]
-
-
-def train(htmls: list[str], copies: int = 3, seed: int = 5) -> Labeller:
-    rng, pages = random.Random(seed), []
-    parsed = [b for b in map(blocks_of, htmls) if b]
-    pool = [b.text for page in parsed for b in page][:20_000] or ["menu"]
-    for page in parsed:
-        page = page[:400]
-        article = any(x.split(".")[0].split("#")[0] in ("article", "main") for b in page for x in b.path)
-        labels = [looks_like_article(b.path, article) for b in page]
-        pages.append((vectors(page), np.array(labels, np.float32)))
-        for _ in range(copies):
-            more, marks = varied(page, labels, pool, rng)
-            pages.append((vectors(more), np.array(marks, np.float32)))
-    return Labeller(seed).fit(pages) if pages else Labeller(seed)
-
-
-def extract_main_text(pages: DataFrame, sample: int = 240) -> DataFrame:
+    rows = [([body if x.split(".")[0].split("#")[0] in ("article", "main") else x for x in path], text, linked, y) for (path, text, linked), y in zip(page, labels)]
+    for _ in range(rng.randrange(1, 6)):
+        name = rng.choice(EXTRA)
+        article = [k for k, r in enumerate(rows) if r[3] == 1]
+        inside = not plain and rng.random() < 0.35 and article
+        more = [(["html", "body", *([body] if inside else []), name, *inner], text, linked, 0) for inner, text, linked in foreign(name, pool, rng)]
+        if inside:
+            at = rng.choice(article) + 1
+        elif any(c in name for c in (*COMMENTS, "related", "footer", "share")):
+            at = article[-1] + 1 if article else len(rows)
+        else:
+            at = rng.choice((0, article[0] if article else 0, article[-1] + 1 if article else len(rows), len(rows)))
+        rows[at:at] = more
+    if plain:
+        names: dict[str, str] = {}
+        keep = rng.random() < 0.5
+
+        def other(x: str) -> str:
+            tag = x.split(".")[0].split("#")[0]
+            if tag in ("html", "body") or (keep and tag in ("p", "li", "ul", "h1", "h2", "h3", "td", "tr", "table")):
+                return tag
+            return names.setdefault(x, rng.choice(("div", "div", "div", "section", "td")) + rng.choice(("", f".{gibberish(rng)}", f"#{gibberish(rng)}")))
+
+        rows = [(list(map(other, path)), *rest) for path, *rest in rows if "title" not in path[-1:]]
+    return [Block(chain(path), text, linked) for path, text, linked, _ in rows], [y for *_, y in rows]
+
+
+def train(htmls: list[str], sample_blocks: int = 20_000, copies: int = 4, seed: int = 5) -> Labeller:
+    rng, pages, left = random.Random(seed), [], sample_blocks
+    for html in htmls:
+        page = blocks_of(html)
+        if 0 < len(page) <= left and max(b.node.depth if b.node else 0 for b in page) <= STEPS:
+            pages.append(page)
+            left -= len(page)
+    pool = [b.text for page in pages for b in page] or ["menu"]
+    sequences: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(blocks: list[Block], labels: list[int]) -> None:
+        x, y = vectors(blocks), np.array(labels, np.float32)
+        sequences.extend((x[at : at + STEPS], y[at : at + STEPS]) for at in range(0, len(x), STEPS))
+
+    for page in pages:
+        labels = labels_of(page)
+        for _ in range(2):
+            add(page, labels)
+        if 1 in labels:
+            bare = [(b.node.path() if b.node else [], b.text, b.linked) for b in page]
+            for n in range(copies):
+                add(*dressed(bare, labels, pool, rng, plain=n % 2 == 1))
+    return Labeller(seed).fit(sequences) if sequences else Labeller(seed)
+
+
+def extract_main_text(pages: DataFrame, sample: int = 240, sample_blocks: int = 20_000) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     small_batches(pages.sparkSession)
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(sample)
-    chosen = pages.select("page_id", "html").join(F.broadcast(rows.select("page_id")), "page_id", "left_semi").collect()  # at most ``sample`` pages
-    labeller = train([r["html"] for r in sorted(chosen, key=lambda r: (r["page_id"], r["html"] or "")) if r["html"]])
+    hashed = pages.where(F.octet_length("html") > 0).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    few = hashed.select("h").orderBy("h").limit(sample).distinct()  # narrow rows to the driver first, pages after
+    chosen = hashed.join(F.broadcast(few), "h", "left_semi").limit(2 * sample).collect()  # bounded, however often a page is repeated
+    htmls = dict(sorted((r["h"], r["html"]) for r in chosen))
+    labeller = train(list(htmls.values()), sample_blocks)
     shared = pages.sparkSession.sparkContext.broadcast(labeller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 found = [blocks_of(h) for h in part.column("html").to_pylist()]
-                chosen = shared.value.choose([vectors(b) if b else np.zeros((0, WIDTH), np.float32) for b in found])
-                texts = ["\n\n".join(x.text for x, yes in zip(b, keep) if yes) for b, keep in zip(found, chosen)]
+                texts = ["\n\n".join(x.text for x, yes in zip(b, keep) if yes) for b, keep in zip(found, shared.value.choose(found))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
