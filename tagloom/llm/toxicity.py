@@ -4,14 +4,17 @@ The kernel counts common subsequences of three characters, with gaps discounted
 insult with inserted or missing characters stays close to the plain one. It compares words (with their ends marked) and
 windows of long words; marks inside words are dropped and runs of single characters are read as one word too.
 
-Only documents carry labels, so training is by sentences of documents as bags: in each toxic document the sentence that
-scores highest is the witness, clean documents give their sentences' words as negatives, and the machine is trained again
-with the new witnesses. A logistic curve over a document's highest word scores and their number turns them into a score.
+Only documents carry labels, so training is by sentences of documents as bags: in each sentence of a toxic document the word
+that scores highest is its witness, clean documents give their words as negatives, and the machine is trained again with the
+new witnesses. The first witnesses are words that, or whose stems, stand in toxic documents far more often than chance
+allows. A logistic curve over a document's highest word scores and their number turns them into a score.
 
 A machine on landmarks is a sum of kernels, each a product of subsequence counts, so the trained machine is one weight for
-each of 32**3 subsequences. Tasks get this table (128 kB) and remember the scores of words.
+each of 64**3 subsequences. Tasks get this table (1 MB) and remember the scores of words.
 
-Fit: on at most ``sample`` labelled documents of each class, taken by hash from the training folds; this bound is a parameter.
+Fit: on at most ``sample`` labelled documents of each class, taken by hash from the training folds, and on at most
+``candidates`` distinct words of each class in them: of toxic documents those with the strongest evidence, of clean ones the
+most frequent half and an even share of the rest. Both bounds are parameters; scoring has none.
 Defined results: null and empty texts are scored as texts without words; null ids and repeated rows are scored like any;
 null labels are not used; with a one-sided or empty training set every score is that class's share (0.5 for none); an empty
 table gives no rows; other columns are never read.
@@ -35,18 +38,19 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import has_checkable_fold, id_and_text
 from tagloom.llm.tokens import slices
 
-SYMBOLS, DECAY, WINDOW = 32, 0.6, 14
-SIGNIFICANT, DIFFERENT = 3.0, 0.19  # a first witness is commoner in toxic documents by so many standard errors, and by this times the root of their number
+SYMBOLS, DECAY, WINDOW = 64, 0.6, 14
+STEM = 5  # the mark before a word and its first letters, which first witnesses may share
+SIGNIFICANT = 4.5  # a first witness is commoner in toxic documents by so many standard deviations
 MAX_WORDS = 200_000  # how many word scores a Python worker remembers
 FEATURES = 5
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 
 
 def symbol(char: str) -> int:
-    """0 marks the ends; letters, digits and four classes for all other letters."""
+    """0 marks the ends; letters a-z, digits, and 36 classes for all other letters: neighbours in an alphabet never share one."""
     if "a" <= char <= "z":
         return ord(char) - 96
-    return 27 if char.isdigit() else 28 + ord(char) % 4
+    return 27 if char.isdigit() else 28 + ord(char) % 36
 
 
 def windows(word: str) -> list[tuple[int, ...]]:
@@ -104,6 +108,41 @@ def table_scores(units: list[tuple[int, ...]], tables: np.ndarray) -> np.ndarray
     return out
 
 
+def landmark_tables(units: list[tuple[int, ...]]) -> np.ndarray:
+    """A row of subsequence weights for each unit, of length 1."""
+    tables = np.zeros((len(units), SYMBOLS**3), np.float32)
+    for row, unit in zip(tables, units):
+        at, weight = subsequences(unit)
+        np.add.at(row, at, weight)
+        row /= np.sqrt((row.astype(np.float64) ** 2).sum())
+    return tables
+
+
+def evidence_of(seen: np.ndarray, total: list[int]) -> np.ndarray:
+    """By how many standard deviations something stands in more toxic documents than chance allows (signed root of the
+    likelihood ratio, which holds for rare things too). seen: numbers of clean and of toxic documents that have it."""
+    both = seen.sum(axis=0)
+    out = np.zeros(seen.shape[1])
+    for k in (0, 1):
+        expected = both * total[k] / max(sum(total), 1)
+        out += np.where(seen[k] > 0, seen[k] * np.log(np.maximum(seen[k], 1e-9) / np.maximum(expected, 1e-9)), 0)
+        missing, rest = total[k] - seen[k], total[k] - expected
+        out += np.where(missing > 0, missing * np.log(np.maximum(missing, 1e-9) / np.maximum(rest, 1e-9)), 0)
+    more = seen[1] * total[0] > seen[0] * total[1]
+    return np.where(more, 1, -1) * np.sqrt(2 * np.maximum(out, 0))
+
+
+def stem_evidence(units: list[tuple[int, ...]], bags: list[np.ndarray], toxic: np.ndarray, total: list[int]) -> np.ndarray:
+    """For each unit the evidence of its stem: insults come in many forms of one stem. Parts of long words have none."""
+    number: dict[tuple[int, ...], int] = {}
+    stem = np.array([number.setdefault(u[:STEM], len(number)) if u[0] == 0 else -1 for u in units], np.int64)
+    seen = np.zeros((2, len(number)))
+    for bag, label in zip(bags, toxic):
+        own = np.unique(stem[bag])
+        seen[label, own[own >= 0]] += 1
+    return np.where(stem >= 0, np.append(evidence_of(seen, total), -np.inf)[stem], -np.inf)
+
+
 def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 30) -> np.ndarray:
     """Weights (the last is the offset) of a support vector machine with squared hinge loss, by Newton steps."""
     x = np.hstack((x, np.ones((len(x), 1))))
@@ -167,11 +206,11 @@ def joined_singles(words: list[str]) -> list[str]:
     return [x.replace(" ", "") for x in re.findall(r"(?<!\S)\S(?: \S){2,}(?!\S)", " ".join(words))]
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 320, negatives: int = 15_000, rounds: int = 4, cost: float = 3.0) -> Machine:
+def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates: int = 7_500, rounds: int = 4, cost: float = 3.0) -> Machine:
     y = np.array(labels)
     share = float(y.mean()) if len(y) else 0.5
     if not 0 < y.sum() < len(y):
-        return Machine(np.zeros(SYMBOLS**3), -1.0, np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)) if len(y) else 0.0), share)
+        return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)) if len(y) else 0.0), share)
     number: dict[tuple[int, ...], int] = {}
     bags: list[list[np.ndarray]] = []
     for text in texts:
@@ -182,43 +221,39 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, negatives:
             if own:
                 bag.append(np.array([number.setdefault(u, len(number)) for u in sorted(own)], np.int64))
         bags.append(bag)
-    fitted = np.array([zlib.crc32(t.encode('utf-8', 'surrogatepass')) % 3 > 0 for t in texts])  # a third of the documents only shape the curve, on scores that they did not train
+    fitted = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 > 0 for t in texts])  # a third of the documents only shape the curve, on scores that they did not train
     units = list(number)
+    used = [np.unique(np.concatenate(bag)) if bag else np.empty(0, np.int64) for bag, f in zip(bags, fitted) if f]
+    side_of = y[fitted]
     seen = np.zeros((2, len(units)))
-    for bag, label, used in zip(bags, y, fitted):
-        if bag and used:
-            seen[label, np.unique(np.concatenate(bag))] += 1
-    total = [int(((y == k) & fitted).sum()) for k in (0, 1)]
-    rate = [(seen[k] + 0.5) / (total[k] + 1) for k in (0, 1)]
-    evidence = (rate[1] - rate[0]) / np.sqrt(rate[1] / max(total[1], 1) + rate[0] / max(total[0], 1))
-    order = np.argsort(-evidence, kind="stable")
+    for bag, label in zip(used, side_of):
+        seen[label, bag] += 1
+    total = [int((side_of == k).sum()) for k in (0, 1)]
+    evidence = np.maximum(evidence_of(seen, total), stem_evidence(units, used, side_of, total)) if units else np.empty(0)
+    evidence[seen[1] == 0] = -np.inf
+    order = np.argsort(-evidence, kind="stable")[: int((seen[1] > 0).sum())]
     common = np.argsort(-seen[0], kind="stable")
-    marks = np.unique(np.concatenate((order[: landmarks // 2], common[: landmarks // 4], order[::-1][: landmarks // 4])))
-    tables = np.zeros((len(marks), SYMBOLS**3))
-    for row, k in zip(tables, marks):
-        at, weight = subsequences(units[k])
-        np.add.at(row, at, weight)
-    tables /= np.sqrt((tables**2).sum(axis=1, keepdims=True))
-    # negatives: words of clean documents, the most frequent and an even share of the rest; candidates: words of toxic ones
+    marks = np.unique(np.concatenate((order[: landmarks // 2], common[: landmarks // 2])))
     clean = np.flatnonzero(seen[0] > 0)
     clean = clean[np.argsort(-seen[0][clean], kind="stable")]
-    clean = np.concatenate((clean[: negatives // 2], clean[negatives // 2 :: max(1, len(clean) // (negatives // 2))]))
-    asked = np.unique(np.concatenate((clean, order[: negatives // 2], marks)))
+    clean = np.concatenate((clean[: candidates // 2], clean[candidates // 2 :: max(1, len(clean) // max(1, candidates // 2))]))
+    asked = np.unique(np.concatenate((clean, order[:candidates], marks)))
     place = np.full(len(units), -1)
     place[asked] = np.arange(len(asked))
-    kernel = table_scores([units[k] for k in asked], tables)
-    values, vectors = np.linalg.eigh(kernel[place[marks]])
+    some = [units[k] for k in asked]
+    kernel = np.hstack([table_scores(some, landmark_tables([units[k] for k in marks[at : at + 64]])) for at in range(0, len(marks), 64)])
+    values, vectors = np.linalg.eigh((kernel[place[marks]] + kernel[place[marks]].T) / 2)
     keep = values > 1e-6
     half = vectors[:, keep] / np.sqrt(values[keep])
     z = kernel @ half
-    score = np.where(place >= 0, evidence, -np.inf) - max(SIGNIFICANT, DIFFERENT * np.sqrt(total[1]))
+    score = np.where(place >= 0, evidence, -np.inf) - SIGNIFICANT
     w = np.zeros(z.shape[1] + 1)
     for _ in range(rounds):
         witness: Counter[int] = Counter()
-        for bag, label, used in zip(bags, y, fitted):
-            if label and used:
+        for bag, label, f in zip(bags, y, fitted):
+            if label and f:
                 best = [int(sentence[score[sentence].argmax()]) for sentence in bag]
-                witness.update(k for k in best if score[k] > 0 and evidence[k] > 0)
+                witness.update(k for k in best if score[k] > 0 and evidence[k] > SIGNIFICANT / 2)
         if not witness:
             break
         positive = np.array(list(witness), np.int64)
@@ -230,11 +265,14 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, negatives:
         w = linear_machine(x, side, weight / weight.mean(), cost)
         score = np.full(len(units), -np.inf)
         score[asked] = z @ w[:-1] + w[-1]
-    machine = Machine((half @ w[:-1]) @ tables, float(w[-1]), np.zeros(FEATURES + 1), share)
+    table = np.zeros(SYMBOLS**3, np.float32)
+    for at in range(0, len(marks), 64):
+        table += ((half @ w[:-1])[at : at + 64] @ landmark_tables([units[k] for k in marks[at : at + 64]])).astype(np.float32)
+    machine = Machine(table, float(w[-1]), np.zeros(FEATURES + 1), share)
     held = [k for k in range(len(bags)) if not fitted[k]]
     if not 0 < y[held].sum() < len(held):
         held = list(range(len(bags)))
-    own = np.unique(np.concatenate([np.concatenate(bags[k]) for k in held if bags[k]] or [np.zeros(1, np.int64)]))
+    own = np.unique(np.concatenate([np.concatenate(bags[k]) for k in held if bags[k]] or [np.zeros(0, np.int64)]))
     every = np.full(len(units), np.nan)
     every[own] = table_scores([units[k] for k in own], machine.table[None])[:, 0] + machine.offset
     machine.curve = logistic(np.array([summary(every[np.concatenate(bags[k])] if bags[k] else np.empty(0)) for k in held]), y[held])
@@ -242,11 +280,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, negatives:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int]]:
-    """At most so many labelled training documents of each class, those with the smallest hashes of their ids."""
-    known = has_checkable_fold(labels.select("doc_id", F.col(column).cast("int").alias("y"))).where("y in (0, 1) and not held_out")
+    """At most so many labelled training documents of each class, those with the smallest hashes of their ids; where ids repeat,
+    at most 2 x sample rows in all."""
+    known = has_checkable_fold(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))).where("y in (0, 1) and not held_out")
     chosen = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 x sample
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("doc_id", "text", "y")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "y").limit(2 * sample).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
