@@ -86,31 +86,24 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(done, "blob", "left").select("blob", "path", F.array_compact(F.array(*lacks)).alias("missing"))
 
 
-FEW_ROWS, FEW_SPANS = 50_000, 500_000  # more marks or findings than this are shuffled instead of broadcast
+FEW_NEW = 10_000  # an addition of so few blobs is sent to the texts
+FEW_ROWS, FEW_SPANS = 50_000, 500_000  # more findings than this are shuffled instead of broadcast
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for addressed versions; append them to the ledger to make the next scan incremental.
 
-    One version stands for all with its content. Where few rows differ from the rule - few copies, or few new blobs - the list
-    of them is sent to the texts, which stay in place; its rows are counted first. Only beyond that count texts move, once.
-    A row that repeats both path and text may give its ledger rows again; whatever reads a ledger takes it as a set.
+    One version stands for all with its content; it is found again by its path, so texts move once and copies not at all. A
+    small addition to a ledger (counted first) leaves even these where they are. A row that repeats both path and text may
+    give its ledger rows again; whatever reads a ledger takes it as a set.
     """
-    whole = F.array(*map(F.lit, range(len(rules))))
-    todo = durable(unseen(versions.select("path", "blob"), ledger, rules), "unseen")
-    mine, theirs = F.col("path").eqNullSafe(F.col("m_path")), F.col("blob") == F.col("m_blob")
-    fresh = todo.where(F.size("missing") > 0).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), "missing")
-    if ledger is not None and fresh.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
-        return scan(versions.join(F.broadcast(fresh), mine & theirs).select("blob", "text", "missing"), rules)
-    chosen = todo.where(F.size("missing") == len(rules)).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"))
-    known = versions.select("path", "blob").join(chosen, mine & theirs, "left_anti").distinct()  # copies, and what the ledger has
-    some = todo.where(F.size("missing") < len(rules)).select(F.col("blob").alias("t_blob"), F.col("path").alias("t_path"), "missing")
-    marks = durable(known.join(some, (F.col("blob") == F.col("t_blob")) & F.col("path").eqNullSafe(F.col("t_path")), "left").select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), F.coalesce("missing", F.array().cast("array<int>")).alias("missing")), "marks")
-    if marks.count() <= FEW_ROWS:
-        marked = versions.join(F.broadcast(marks), mine & theirs, "left").select("blob", "text", F.coalesce("missing", whole).alias("missing"))
-    else:
-        marked = versions.join(fresh.hint("shuffle_hash"), mine & theirs).select("blob", "text", "missing")
-    return scan(marked.where(F.size("missing") > 0), rules)
+    todo = unseen(versions.select("path", "blob"), ledger, rules).where(F.size("missing") > 0).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), "missing")
+    hint = "shuffle_hash"
+    if ledger is not None:
+        todo = durable(todo, "unseen")
+        hint = "broadcast" if todo.limit(FEW_NEW + 1).count() <= FEW_NEW else hint
+    chosen = versions.join(todo.hint(hint), F.col("path").eqNullSafe(F.col("m_path")) & (F.col("blob") == F.col("m_blob")))
+    return scan(chosen.select("blob", "text", "missing"), rules)
 
 
 def all_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
