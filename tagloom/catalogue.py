@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as t
-from tagloom.operators import metrics, responses, rules, sampling, scores, versions
+from tagloom.operators import jobs, metrics, responses, rules, sampling, scores, versions
 from tagloom.operators.rules import EditRule
 from tagloom.plans.views import Views, with_views
 from tagloom.sources import files
@@ -132,6 +132,13 @@ def _(v: Views) -> DataFrame:
     return versions.apply_counts(versions.apply_status(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions())))
 
 
+query("edit_apply_result", APPLY + " SELECT caption_path, e.before AS old_content, a.after AS new_content, 'batch_edit' AS source, 'e1' AS batch_id FROM a JOIN e USING (caption_path) WHERE status = 'applied'", "captions")(
+    lambda v: versions.apply_edit(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions()), "e1", v.versions().select("batch_id"))[1])
+query("edit_applied_once", "SELECT caption_path, '' AS status FROM captions WHERE false", "captions")(lambda v: versions.apply_edit(rules.preview(v.captions(), DELETE), v.captions(), "b1", v.versions().select("batch_id"))[0].select("caption_path", "status"))
+query("apply_to_jobs", APPLY + ", c AS (SELECT caption_path, status, after, current FROM a) SELECT item_id, CASE WHEN status = 'applied' THEN after ELSE caption END AS caption FROM captions JOIN c USING (caption_path)", "captions")(
+    lambda v: jobs.merged_edits(v.captions(), versions.apply_status(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions()))).select("item_id", "caption"))
+
+
 # --- versions -------------------------------------------------------------------------------------------------------
 
 CURRENT = ", current AS (SELECT caption_path, arg_max(new_content, id) AS caption FROM versions GROUP BY caption_path)"
@@ -147,6 +154,13 @@ def _(v: Views) -> DataFrame:
     return versions.guarded_write(current(v), v.versions().where("batch_id = 'b1'").select("caption_path", F.col("new_content").alias("before"), F.when(F.col("id") % 2 == 0, F.col("new_content")).otherwise(F.concat("new_content", F.lit("!"))).alias("after")))
 
 
+@query("manual_save", CURRENT + """ SELECT caption_path, v.new_content AS old_content, v.new_content || '!' AS new_content, CASE WHEN v.id % 2 = 0 THEN 'local' ELSE 'manual' END AS source, NULL::VARCHAR AS batch_id
+    FROM versions v JOIN current c USING (caption_path) WHERE v.id % 1000 = 1 AND caption = v.new_content""", "versions")
+def _(v: Views) -> DataFrame:
+    saves = v.versions().where("id % 1000 = 1").select("caption_path", F.col("new_content").alias("before"), F.concat("new_content", F.lit("!")).alias("after"), F.when(F.col("id") % 2 == 0, "local").otherwise(" ").alias("source"))
+    return versions.manual_save(current(v), saves)[1]
+
+
 UNDO = CURRENT + """, b AS (SELECT caption_path, arg_min(old_content, id) AS first_old, arg_max(new_content, id) AS last_new FROM versions WHERE batch_id = 'b0' AND source <> 'undo' GROUP BY caption_path),
     u AS (SELECT caption_path, caption, first_old, CASE WHEN caption = last_new AND caption <> first_old THEN 'restored' WHEN caption = first_old THEN 'skipped' ELSE 'conflict' END AS status FROM b JOIN current USING (caption_path))"""
 
@@ -255,15 +269,82 @@ def _(v: Views) -> DataFrame:
     return new.join(known, F.lower("caption_path") == known.p, "left_anti").select("item_id")
 
 
-@query("job_gate", "SELECT item_id, CASE WHEN reviewed THEN 'skipped' WHEN trim(caption) = '' THEN 'failed' ELSE 'ready' END AS gate FROM jobs", "jobs")
+@query("job_gate", "SELECT item_id, CASE WHEN item_id % 2 = 0 AND item_id % 3 > 0 AND item_id % 5 > 0 THEN 'skipped' WHEN item_id % 2 = 1 AND (item_id % 7 = 0 OR trim(caption) = '') THEN 'failed' ELSE 'ready' END AS gate FROM jobs", "jobs")
+def _(v: Views) -> DataFrame:
+    n = F.col("item_id")
+    rows = v.jobs().withColumn("caption", F.when(n % 7 == 0, "").otherwise(F.col("caption"))).withColumn("has_caption", n % 5 > 0)
+    return rows.select("item_id", jobs.gate(rows, n % 2 == 1, n % 3 == 0).alias("gate"))
+
+
+query("filter_review", "SELECT item_id FROM jobs WHERE NOT reviewed", "jobs")(lambda v: jobs.by_review(v.jobs(), "unreviewed").select("item_id"))
+query("scope_choice", "SELECT item_id FROM jobs WHERE status = 'failed'", "jobs")(lambda v: jobs.chosen(v.jobs(), F.col("status") == "failed").select("item_id"))
+query("scope_choice_all", "SELECT item_id FROM jobs", "jobs")(lambda v: jobs.chosen(v.jobs(), F.col("status") == "unknown").select("item_id"))
+query("retryable_jobs", "SELECT item_id FROM jobs WHERE status IN ('failed', 'refused', 'cancelled')", "jobs")(lambda v: v.jobs().where(F.col("status").isin(*jobs.RETRYABLE)).select("item_id"))
+query("candidate_mark", "SELECT item_id, CASE WHEN item_id % 9 = 7 THEN 'pending' ELSE status END AS status, CASE WHEN item_id % 9 <> 7 THEN error END AS error FROM jobs", "jobs")(lambda v: jobs.marked(v.jobs(), v.jobs().where("status = 'failed'")).select("item_id", "status", "error"))
+query("reviewed_flag", "SELECT item_id, reviewed OR status = 'revised' AS reviewed FROM jobs", "jobs")(
+    lambda v: files.with_reviewed(v.jobs().drop("reviewed"), v.jobs().where("reviewed OR status = 'revised'").select(F.upper("caption_path").alias("caption_path"))).select("item_id", "reviewed"))
+query("sample_search", "SELECT c.item_id FROM captions c JOIN decisions d USING (item_id) WHERE contains(lower(caption_path), 'license') OR contains(lower(caption), 'license') OR contains(lower(CASE WHEN d.item_id % 2 = 0 THEN reason END), 'src1')".replace("captions c JOIN decisions d", "(SELECT doc_id AS item_id, 'd/' || source || '/' || doc_id || '.txt' AS caption_path, text AS caption FROM documents) c JOIN decisions d").replace("'license') OR contains(lower(CASE", "'license') OR contains(lower(CASE"), "decisions")(
+    lambda v: v.captions().join(v.decisions().where("item_id % 2 = 0").select("item_id", "reason"), "item_id", "left").where(jobs.has("License", "caption_path", "caption") | F.coalesce(F.lower("reason").contains("src1"), F.lit(False))).select("item_id"))
+query("filter_logs", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 3 = 1")(lambda v: v.table("events").where("event_type = 'error'").where("user_id % 3 = 1").select("event_id"))
+query("event_scope", "SELECT event_id FROM events WHERE user_id % 3 <> 2")(lambda v: v.table("events").withColumn("scope", F.when(F.col("user_id") % 3 == 2, "ai_sample").otherwise("main")).where("scope <> 'ai_sample'").select("event_id"))
+query("log_tail", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")(lambda v: v.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id"))
+query("recent_batches", "SELECT row_number() OVER (ORDER BY last_id DESC, batch_id) AS rank, batch_id, versions FROM (SELECT 'c' || conv_id // 2 AS batch_id, max(conv_id * 1000 + turn) AS last_id, count(*) AS versions FROM conversations GROUP BY 1) QUALIFY rank <= 100")(
+    lambda v: (lambda b: b.orderBy(F.desc("at"), "batch_id").limit(100).select(F.row_number().over(Window.orderBy(F.desc("at"), "batch_id")).cast("long").alias("rank"), "batch_id", "versions"))(v.versions().groupBy(F.concat(F.lit("c"), F.floor(F.floor(F.col("id") / 1000) / 2).cast("string")).alias("batch_id")).agg(F.max("id").alias("at"), F.count("*").alias("versions"))))
+query("set_append", "SELECT DISTINCT caption_path AS path FROM captions WHERE item_id % 3 = 0 OR item_id % 2 = 0", "captions")(lambda v: jobs.moved_into(v.captions().where("item_id % 3 = 0").select(F.col("caption_path").alias("path")), v.captions().where("item_id % 2 = 0").select(F.col("caption_path").alias("path"))))
+query("known_removal", "SELECT caption_path AS path FROM captions WHERE item_id % 2 = 0 AND item_id % 3 <> 0 UNION ALL SELECT 'new/' || caption_path FROM captions WHERE item_id % 10 = 0", "captions")(
+    lambda v: jobs.replaced(*[v.captions().where(w).select(p.alias("path")) for w, p in (("item_id % 2 = 0", F.col("caption_path")), ("item_id % 3 = 0", F.col("caption_path")), ("item_id % 10 = 0", F.concat(F.lit("new/"), "caption_path")))]))
+
+
+@query("channel_resolve", """SELECT s_suppkey AS preset, 0 AS at, 'x' || s_suppkey AS connection_id, 'm1' AS model_id FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 1, 'c2', s_name FROM supplier WHERE s_suppkey % 3 = 1
+    UNION ALL SELECT s_suppkey, 0, 'own', s_name FROM supplier WHERE s_suppkey % 3 = 2 AND s_suppkey % 2 = 0""")
+def _(v: Views) -> DataFrame:
+    k, own = F.col("s_suppkey"), F.lit("array<struct<connection_id:string,model_id:string>>")
+    given = F.when(k % 3 == 0, F.array(F.struct(F.concat(F.lit("x"), k.cast("string")).alias("connection_id"), F.lit("m1").alias("model_id"))))
+    several = F.when(k % 3 == 1, F.array(F.lit(" "), F.lit("c2"))).otherwise(F.array().cast("array<string>"))
+    return jobs.channels(v.table("supplier").select(k.alias("preset"), given.alias("channels"), several.alias("connection_ids"), F.when(k % 2 == 0, "own").otherwise("").alias("connection_id"), F.col("s_name").alias("model_id")))
+
+
+@query("run_completion", "SELECT strftime(ts, '%Y-%m-%d') AS batch_id, bool_or(event_id % 997 = 0) AS completed, CASE WHEN bool_or(event_id % 997 = 0) THEN CASE WHEN bool_or(event_id % 997 = 0 AND event_id % 2 = 0) THEN 'warn' ELSE 'success' END END AS level FROM events GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    n = F.col("event_id")
+    return jobs.completions(v.table("events").select(F.date_format("ts", "yyyy-MM-dd").alias("batch_id"), F.when(n % 997 == 0, "completed").otherwise("progress").alias("type"), F.when(n % 2 == 0, "任务已停止").otherwise("done").alias("message")))
+
+
+query("migrated_requests", "SELECT id, kind, CASE WHEN id % 2 = 0 THEN 0 ELSE output_tokens END AS output_tokens, CASE WHEN id % 2 = 0 THEN 'm0' ELSE model_id END AS model_id FROM requests", "requests")(
+    lambda v: jobs.migrated(v.requests().where("id % 2 = 0").select("id", "kind"), v.requests().where("id % 2 = 1").select("id", "kind", "output_tokens", "model_id"), {"output_tokens": 0, "model_id": "m0"}))
+query("refusal_plan", "SELECT 'd/' || file_name AS path, 'd/.refusal/' || file_name AS target, CASE WHEN item_id % 10 = 0 THEN 'skip' ELSE 'move' END AS action FROM jobs WHERE item_id % 3 > 0", "jobs")(
+    lambda v: jobs.refusal_plan(*[v.jobs().where(w).select(F.concat(F.lit(p), f("file_name")).alias("path")) for w, p, f in (("true", "d/", F.col), ("item_id % 3 = 0", "D/", F.upper), ("item_id % 10 = 0", "d/.refusal/", F.col))], "d"))
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+_PATH = "'d/' || source || ['/', '/.hidden/', '/sub.v2/'][(doc_id % 3 + 1)::INT] || CASE WHEN doc_id % 2 = 0 THEN 'Img' ELSE 'img' END || doc_id % 200 || ['.png', '.JPG', '.jpeg', '.webp', '.bmp', '.tif', '.TIFF', '.gif', '.txt'][(doc_id % 9 + 1)::INT]"
+
+
+def paths(v: Views) -> DataFrame:
+    n = F.col("doc_id")
+    pick = lambda at, *values: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    return v.table("documents").select(F.concat(F.lit("d/"), "source", pick(n % 3, "/", "/.hidden/", "/sub.v2/"), pick(n % 2, "Img", "img"), (n % 200).cast("string"), pick(n % 9, ".png", ".JPG", ".jpeg", ".webp", ".bmp", ".tif", ".TIFF", ".gif", ".txt")).alias("path"))
+
+
+query("scan_dataset", f"SELECT min(path) AS path FROM (SELECT {_PATH} AS path FROM documents) WHERE NOT regexp_matches(substr(path, 3), '(^|/)\\.') AND lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('png', 'jpg', 'jpeg', 'webp', 'bmp', 'tif', 'tiff') GROUP BY lower(path)")(lambda v: files.scanned(paths(v), "d"))
+query("scan_texts", f"SELECT min(path) AS path FROM (SELECT {_PATH} AS path FROM documents) WHERE NOT regexp_matches(substr(path, 3), '(^|/)\\.') AND path LIKE '%.txt' GROUP BY lower(path)")(lambda v: files.scanned(paths(v), "d", ("txt",)))
+
+
+@query("pair_captions", "SELECT replace(caption_path, '.txt', '.png') AS path, caption_path, CASE WHEN item_id % 4 > 0 THEN caption ELSE '' END AS caption, CASE WHEN item_id % 4 > 0 THEN 'succeeded' ELSE 'pending' END AS status, reviewed, CASE WHEN item_id % 5 = 0 THEN 3 ELSE 0 END::BIGINT AS revision_count FROM jobs", "jobs")
 def _(v: Views) -> DataFrame:
-    return v.jobs().select("item_id", F.when(F.col("reviewed"), "skipped").when(t.utrim(F.col("caption")) == "", "failed").otherwise("ready").alias("gate"))
+    images = v.captions().select(F.regexp_replace("caption_path", r"\.txt$", ".png").alias("path"))
+    some = v.captions().where("item_id % 5 = 0")
+    revisions = some.select("caption_path", F.lit(1).alias("revisions")).unionByName(some.select(F.upper("caption_path").alias("caption_path"), F.lit(2).alias("revisions")))
+    return files.paired(images, v.captions().where("item_id % 4 > 0"), v.jobs().where("reviewed").select(F.upper("caption_path").alias("caption_path")), revisions)
 
 
-@query("code_labels", "SELECT status, CASE status WHEN 'succeeded' THEN 'Done' WHEN 'failed' THEN 'Failed' ELSE status END AS label, count(*) AS n FROM jobs GROUP BY 1, 2", "jobs")
+@query("decode_text", """SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN '你好' WHEN 3 THEN 'a' || chr(0) || 'b' WHEN 4 THEN '' ELSE text END AS text, CASE WHEN doc_id % 5 = 4 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'not a .txt file' WHEN doc_id % 5 = 3 THEN 'binary content' END AS error FROM documents""")
 def _(v: Views) -> DataFrame:
-    names = F.create_map(F.lit("succeeded"), F.lit("Done"), F.lit("failed"), F.lit("Failed"))
-    return v.jobs().groupBy("status").agg(F.count("*").alias("n")).withColumn("label", F.coalesce(F.try_element_at(names, "status"), "status"))
+    n = F.col("doc_id")
+    content = F.when(n % 5 == 0, F.encode("text", "UTF-8")).when(n % 5 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(n % 5 == 2, F.unhex(F.lit("C4E3BAC3"))).when(n % 5 == 3, F.unhex(F.lit("610062")))
+    named = v.table("documents").select("doc_id", F.when(n % 7 == 0, "a/b.md").otherwise("a/b.TXT").alias("path"), content.alias("content"))
+    return named.select("doc_id", files.decoded(F.col("content")).alias("text"), files.text_error(F.col("path"), F.col("content")).alias("error"))
 
 
 @query("path_normalize", r"SELECT item_id, regexp_replace('\\?\' || caption_path, '^\\\\\?\\', '') AS path FROM captions", "captions")
@@ -306,13 +387,29 @@ def _(v: Views) -> DataFrame:
     return metrics.usage_over_attempts(v.attempts())
 
 
-@query("attempt_outcome", """, e AS (SELECT item, batch_id, coalesce(min(attempt) FILTER (status IN ('succeeded', 'revised', 'skipped') OR (status = 'refused' AND attempt >= 2) OR (status = 'failed' AND attempt >= 5)), max(attempt)) AS last FROM attempts GROUP BY 1, 2)
-    SELECT item, batch_id, CASE arg_max(status, attempt) WHEN 'failed' THEN 'no_response' ELSE arg_max(status, attempt) END AS outcome, max(attempt) AS retries, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens
-    FROM attempts JOIN e USING (item, batch_id) WHERE attempt <= last GROUP BY 1, 2""", "attempts")
+FOLLOWED = """, r AS (SELECT *, structured OR (refused AND job_kind <> 'ai_sample') AS refusal FROM attempts),
+    s AS (SELECT *, CASE WHEN error = 'cancelled' THEN 'cancelled' WHEN error = 'transient' THEN 'no_response' WHEN error IS NOT NULL THEN 'failed' WHEN refusal THEN 'refused' WHEN trim(text) = '' THEN 'failed'
+            WHEN job_kind = 'ai_sample' THEN CASE text WHEN 'DECISION: KEEP' THEN 'succeeded' WHEN 'reject' THEN 'skipped' ELSE 'failed' END
+            WHEN job_kind = 'revision' AND original <> '' AND length(text) * 2 < length(original) AND NOT review_ok THEN 'failed' WHEN write_error IS NOT NULL THEN 'failed' WHEN job_kind = 'revision' THEN 'revised' ELSE 'succeeded' END AS result,
+        CASE WHEN error = 'cancelled' THEN NULL WHEN error = 'transient' THEN 'no_response' WHEN error IN ('cut', 'length') THEN 'truncated' WHEN error IS NOT NULL THEN error WHEN refusal THEN NULL WHEN trim(text) = '' THEN 'empty_reply'
+            WHEN job_kind = 'ai_sample' THEN CASE WHEN text = 'MAYBE' OR text LIKE 'a caption%' THEN 'invalid_decision' END
+            WHEN job_kind = 'revision' AND original <> '' AND length(text) * 2 < length(original) AND NOT review_ok THEN 'length_reduced' ELSE write_error END AS why,
+        attempt < 5 AND CASE WHEN error IS NULL THEN refusal AND job_kind <> 'ai_sample' AND attempt < 2 WHEN error IN ('transient', 'cut') THEN true ELSE error IN ('rate_limit', 'auth', 'quota', 'prompt_rejected') AND attempt < 2 END AS goes_on FROM r),
+    f AS (SELECT * FROM (SELECT *, coalesce(min(attempt) FILTER (NOT goes_on) OVER w, max(attempt) OVER w) AS last FROM s WINDOW w AS (PARTITION BY item, batch_id)) WHERE attempt <= last)"""
+
+
+@query("attempt_outcome", FOLLOWED + """ SELECT item, batch_id, max(result) FILTER (attempt = last) AS outcome, max(why) FILTER (attempt = last) AS error_kind, coalesce(max(attempt) FILTER (attempt = last AND error IS NULL), 0) AS retries,
+    coalesce(sum(input_tokens) FILTER (error IS NULL), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens) FILTER (error IS NULL), 0)::BIGINT AS output_tokens FROM f GROUP BY item, batch_id""", "attempts")
 def _(v: Views) -> DataFrame:
     return metrics.attempt_outcome(v.attempts())
 
 
+@query("attempt_metrics", FOLLOWED + """ SELECT item, batch_id, attempt AS retries, CASE WHEN goes_on THEN 'refused' ELSE result END AS status, key_id, input_tokens, output_tokens FROM f WHERE error IS NULL
+    UNION ALL SELECT item, batch_id, 0, 'failed', NULL, 0, 0 FROM f WHERE attempt = last AND error IS NOT NULL AND result = 'failed'""", "attempts")
+def _(v: Views) -> DataFrame:
+    return metrics.attempt_metrics(v.attempts())
+
+
 @query("retry_migration", """, r AS (SELECT *, lag(key_id) OVER (PARTITION BY item, batch_id ORDER BY attempt) AS before FROM attempts) SELECT count(*) FILTER (attempt > 0) AS retries, count(*) FILTER (attempt > 0 AND before IS NOT DISTINCT FROM key_id) AS same_key FROM r""", "attempts")
 def _(v: Views) -> DataFrame:
     before = F.lag("key_id").over(Window.partitionBy("item", "batch_id").orderBy("attempt"))
@@ -361,14 +458,24 @@ def _(v: Views) -> DataFrame:
     return v.responses().select("id", t.cleaned(F.col("reply")).alias("caption"))
 
 
-_rules = " ".join(f"WHEN regexp_matches(flat, '{p.replace(chr(39), chr(39) * 2)}') THEN 'pattern_{n}'" for n, p in enumerate(t.REFUSALS, 1))
 _quote = lambda p: p.replace("'", "''")
+WHITE = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DECLINES = {
+    r"(?i)\bi (?:can(?:not|''t)|am unable to) (?:help|assist|comply|provide|fulfill)": "r1", r"(?i)\bi must (?:decline|refuse)": "r2", r"(?:无法|不能|不便)(?:为你|向你|对此)?(?:协助|帮助|完成|提供|执行|生成|回答)": "r3", r"(?:我必须|需要)(?:拒绝|婉拒)": "r4",
+}
+_RULE = " ".join(f"WHEN regexp_matches(flat, '{p}') THEN '{p}'" for p in _DECLINES)
+_EXCERPT = " ".join(f"WHEN regexp_matches(flat, '{p}') THEN substr(flat, greatest(length(string_split_regex(flat, '{p}')[1]) + 1 - 24, 1), 120)" for p in _DECLINES)
+_HINTS = "regexp_matches(flat[1:180], '(?i)(?:抱歉|对不起|很遗憾|i(?:''m| am) sorry|apologies)') AND regexp_matches(flat[1:180], '(?i)(?:无法|不能|不便|拒绝|不可以|can''t|cannot|unable|decline|refuse)')"
+_OWN = "contains(lower(flat), 'no way (really)')"
 
 
-@query("detect_refusal", f""", f AS (SELECT id, structured, regexp_replace(reply, '\\s+', ' ', 'g') AS flat FROM responses)
-    SELECT id, CASE WHEN structured IS NOT NULL THEN 'structured' {_rules} WHEN regexp_matches(flat[1:180], '{_quote(t.APOLOGY)}') AND regexp_matches(flat[1:180], '{_quote(t.INABILITY)}') THEN 'apology_inability' END AS rule FROM f""", "responses")
+@query("detect_refusal", f""", f AS (SELECT id, structured, trim(regexp_replace(translate(reply, 'Ｉ　ｃａｎｏｔｈｅｌｐ', 'I canothelp'), '{WHITE}+', ' ', 'g')) AS flat FROM responses)
+    SELECT id, CASE WHEN structured IS NOT NULL THEN structured {_RULE} WHEN {_HINTS} THEN 'apology+inability' WHEN {_OWN} THEN 'no way (really)' END AS rule,
+        CASE WHEN structured IS NOT NULL THEN structured {_EXCERPT} WHEN {_HINTS} THEN flat[1:180] WHEN {_OWN} THEN substr(flat, greatest(strpos(lower(flat), 'no way (really)') - 24, 1), 120) END AS excerpt, structured IS NOT NULL AS structured FROM f""", "responses")
 def _(v: Views) -> DataFrame:
-    return v.responses().select("id", t.refusal(F.col("reply"), F.col("structured")).alias("rule"))
+    own = (t.RefusalRule("(", regex=True), t.RefusalRule("no way (really)"))
+    told = v.responses().select("id", t.refusal(F.col("reply"), F.col("structured"), own).alias("r"))
+    return told.select("id", "r.rule", "r.excerpt", F.coalesce("r.structured", F.lit(False)).alias("structured"))
 
 
 query("length_drop", "SELECT id, length(reply) * 2 < length(original) AND original <> '' AS dropped FROM responses", "responses")(lambda v: v.responses().select("id", t.length_drop(F.col("original"), F.col("reply")).alias("dropped")))
@@ -382,11 +489,17 @@ def _(v: Views) -> DataFrame:
     return v.table("events").select("event_id", t.error_class(code, F.when(F.col("event_type") == "error", "Quota exceeded").otherwise(F.col("event_type"))).alias("class"))
 
 
-@query("parse_decision", """SELECT item_id, CASE WHEN item_id % 13 <> 0 THEN keep END AS keep, reason, score::DOUBLE AS score, item_id % 13 = 0 AS error FROM decisions""", "decisions")
+_SAYS = """CASE item_id % 8 WHEN 0 THEN '**DECISION：KEEP**' || chr(10) || chr(10) || '**REASON：' || reason || '**' || chr(10) || 'SCORE: 85.5' WHEN 1 THEN 'decision: reject' || chr(13) || chr(10) || 'sharp ' || reason WHEN 2 THEN 'KEEP'
+    WHEN 3 THEN 'REJECT' || chr(10) || 'score: 101' || chr(10) || 'n: 1e1' WHEN 4 THEN 'MAYBE' || chr(10) || reason || chr(10) || '5' WHEN 5 THEN ' Keep ' || chr(10) || 'Reason:' || chr(10) || 'Score: ' || coalesce(score::VARCHAR, 'none') WHEN 6 THEN '' ELSE 'x：y: keep' || chr(10) || 'a' || chr(10) || '-1' END"""
+_VALUE = "CASE WHEN contains({0}, ':') THEN " + UTRIM.format("substr({0}, strpos({0}, ':') + 1)") + " WHEN contains({0}, '：') THEN " + UTRIM.format("substr({0}, strpos({0}, '：') + 1)") + " ELSE {0} END"
+
+
+@query("parse_decision", f""", l AS (SELECT item_id, list_filter(list_transform(string_split(replace({_SAYS}, '**', ''), chr(10)), lambda x: {UTRIM.format("x")}), lambda x: x <> '') AS l FROM decisions),
+    p AS (SELECT item_id, upper({_VALUE.format("l[1]")}) AS verdict, {_VALUE.format("l[2]")} AS said, {_VALUE.format("l[3]")} AS number FROM l), q AS (SELECT *, verdict IS NOT DISTINCT FROM 'KEEP' AS yes, coalesce(verdict IN ('KEEP', 'REJECT'), false) AS good, TRY_CAST(number AS DOUBLE) AS n FROM p)
+    SELECT item_id, CASE WHEN good THEN yes END AS keep, CASE WHEN good THEN CASE WHEN coalesce(said, '') <> '' THEN said WHEN yes THEN '符合筛选要求' ELSE '不符合筛选要求' END END AS reason, CASE WHEN good AND n BETWEEN 0 AND 100 THEN n END AS score, NOT good AS error FROM q""", "decisions")
 def _(v: Views) -> DataFrame:
-    verdict = F.when(F.col("item_id") % 13 == 0, "MAYBE").when(F.col("keep"), "KEEP").otherwise("REJECT")
-    text = F.concat(F.lit("**DECISION：\u00a0"), verdict, F.lit("**\n\n**REASON: "), "reason", F.lit("**\nSCORE: "), F.coalesce(F.col("score").cast("string"), F.lit("none")))
-    return v.decisions().select("item_id", t.decision(text).alias("d")).select("item_id", "d.*")
+    says = F.expr(_SAYS.replace("::VARCHAR", "::STRING"))  # the same words in both dialects
+    return v.decisions().select("item_id", t.decision(says).alias("d")).select("item_id", "d.*")
 
 
 @query("diff_parts", """SELECT item_id, caption[1:10] AS prefix, caption[11:12] AS removed, '<>' AS added, caption[13:40] AS suffix FROM captions WHERE length(caption) >= 40 AND caption[11:11] <> '<' AND caption[12:12] <> '>'""", "captions")
@@ -405,44 +518,60 @@ def _(v: Views) -> DataFrame:
 
 # --- security -------------------------------------------------------------------------------------------------------
 
-_red = "text"
-for _p, _to in t.REDACTIONS:
-    _red = f"regexp_replace({_red}, '{_quote(_p)}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
-query("redact_text", f"SELECT doc_id, {_red} AS text FROM documents")(lambda v: v.table("documents").select("doc_id", t.redacted(F.col("text")).alias("text")))
-query("redact_urls", f"SELECT page_id, {_red.replace('(text,', '(url,')} AS url FROM pages")(lambda v: v.table("pages").select("page_id", t.redacted(F.col("url")).alias("url")))
+# Rows that each pattern of redaction and scan takes or leaves.
+_SAMPLES = ("Authorization: Bearer abcdefgh12345678 end", "bearer short", "key: abcd1234, next", "monkey business", "X-Goog-Api-Key=AbCdEf;x", "http://h/p?apikey=s3cret&x=1", "http://h/p?sig=s3cret", "use sk-abcdefghijkl_-1 now", "use sk-short now", "AIzaSyA0123456789_abcdefghij", "AIza123",
+            "eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIx.SflKxwRJSMeK", "eyJhbGci.eyJ.Sfl", "API-KEY = 'abcdefghijklmnop1'", "token: ••••abcdefghijklmnop", "token=PLACEHOLDER_abcdefghij")
+_sampled = "(SELECT doc_id, list_value(" + ", ".join(f"'{_quote(x)}'" for x in _SAMPLES) + f")[(doc_id % {len(_SAMPLES)} + 1)::INT] || chr(10) || text AS text, source || '/' || doc_id AS path FROM documents)"
 
-# The scan's patterns by name.
-SCAN = {"assignment": r"(?:api_key|token)\s*=\s*[\"'][^\"']{12,}[\"']", "sk": r"sk-[A-Za-z0-9]{20,}", "google": r"AIza[0-9A-Za-z_-]{30,}"}
-_hits = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, unnest(regexp_extract_all(text, '{_quote(p)}')) AS hit FROM documents" for n, p in SCAN.items())
 
+def sampled(v: Views) -> DataFrame:
+    some = F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("doc_id") % len(_SAMPLES) + 1).cast("int"))
+    return v.table("documents").select("doc_id", F.concat(some, F.lit("\n"), "text").alias("text"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
 
-def secret_hits(v: Views) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hits")) for n, p in SCAN.items()])
-    return v.table("documents").select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.pattern", F.explode("e.hits").alias("hit")).where(~F.col("hit").contains(t.MASK))
 
+_INNER = WHITE[1:-1]
+_red = f"""regexp_replace(regexp_replace(regexp_replace({{}}, '(?i)(bearer{WHITE}+)[A-Za-z0-9._~+/=-]{{8,}}', '\\1••••', 'g'), '(?i)((?:api[_-]?key|x-api-key|authorization|x-goog-api-key|token|key)[{_INNER}:=]+)[^{_INNER},;]+', '\\1••••', 'g'),
+    '(?i)([?&](?:key|api_key|apikey|x-api-key|token|access_token|signature)=)[^&{_INNER}]+', '\\1••••', 'g')""".replace("{{8,}}", "{8,}")
+query("redact_text", f"SELECT doc_id, {_red.replace('{}', 'text')} AS text FROM {_sampled}")(lambda v: sampled(v).select("doc_id", t.redacted(F.col("text")).alias("text")))
+_URL = "url || '&access_token=t' || page_id || '&signature=x'"
+query("redact_urls", f"SELECT page_id, {_red.replace('{}', _URL)} AS url FROM pages")(
+    lambda v: v.table("pages").select("page_id", t.redacted(F.concat("url", F.lit("&access_token=t"), F.col("page_id").cast("string"), F.lit("&signature=x"))).alias("url")))
 
-query("secret_scan", _hits)(secret_hits)
-query("secret_scan_summary", f"SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM ({_hits}) GROUP BY pattern")(lambda v: secret_hits(v).groupBy("pattern").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents")))
+# The oracle's own copy of the scan's patterns.
+_SCAN = (r"\bsk-[A-Za-z0-9_\-]{12,}\b", r"\bAIza[0-9A-Za-z_\-]{20,}\b", r"\beyJ[A-Za-z0-9_\-]{20,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b", r"""(?i)\b(?:api[_-]?key|token)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}""")
+_hits = "SELECT path, pattern, hit FROM (" + " UNION ALL ".join(f"SELECT path, '{_quote(p)}' AS pattern, unnest(regexp_extract_all(text, '{_quote(p)}')) AS hit FROM {_sampled} WHERE path <> 'src0/0'" for p in _SCAN) + ") WHERE NOT contains(hit, '••••') AND NOT contains(hit, 'masked') AND NOT contains(hit, 'PLACEHOLDER')"
+query("secret_scan", _hits)(lambda v: t.secret_hits(sampled(v), ("src0/0",)))
+query("secret_scan_summary", f"SELECT count(*) AS hits, count(DISTINCT path) AS failing, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({_hits})")(lambda v: t.scan_verdict(t.secret_hits(sampled(v), ("src0/0",))))
 
 
-@query("mask_headers", "SELECT s_suppkey, '••••' || right(s_name, 4) AS authorization, s_name AS accept FROM supplier")
+_NAMES = ("Authorization", "Proxy-Authorization", "X-Api-Key", "api-key", "apikey", "X-Goog-Api-Key", "x-auth-token", "My-Token-Id", "client-SECRET", "Accept", "Cookie", "Key")
+
+
+@query("mask_headers", "SELECT s_suppkey, name, CASE WHEN lower(name) IN ('authorization', 'proxy-authorization', 'x-api-key', 'api-key', 'apikey', 'x-goog-api-key', 'x-auth-token') OR contains(lower(name), 'token') OR contains(lower(name), 'secret') THEN '••••' || right(s_name, 4) ELSE s_name END AS value FROM (SELECT s_suppkey, s_name, unnest(['Authorization', 'Proxy-Authorization', 'X-Api-Key', 'api-key', 'apikey', 'X-Goog-Api-Key', 'x-auth-token', 'My-Token-Id', 'client-SECRET', 'Accept', 'Cookie', 'Key']) AS name FROM supplier)")
 def _(v: Views) -> DataFrame:
-    headers = F.create_map(F.lit("Authorization"), F.col("s_name"), F.lit("Accept"), F.col("s_name"))
-    return v.table("supplier").select("s_suppkey", files.masked_headers(headers).alias("h")).select("s_suppkey", F.col("h")["Authorization"].alias("authorization"), F.col("h")["Accept"].alias("accept"))
+    headers = F.create_map(*[x for n in _NAMES for x in (F.lit(n), F.col("s_name"))])
+    return v.table("supplier").select("s_suppkey", F.explode(files.masked_headers(headers)).alias("name", "value"))
 
 
-HEADERS = """, h AS (SELECT event_id AS path, CASE WHEN event_id % 3 = 0 THEN '{"__metadata__":{"b":"1","a":"2"},"k":{"shape":[1]}}' WHEN event_id % 3 = 1 THEN props ELSE 'broken' END AS header FROM events)"""
+_TENSORS = """'"w":{"dtype":"F32","shape":[1, ' || event_id || '],"data_offsets":[0,8]},"k \\"q\\" é":{"shape":[],"dtype":"F16","data_offsets":[8,10],"note":1.50}}'"""
+_HEADER = f"""CASE event_id % 6 WHEN 0 THEN '{{"__metadata__":{{"b":"1","A":"2","a":"3"}},' || {_TENSORS} WHEN 1 THEN '{{' || {_TENSORS} WHEN 2 THEN 'broken' WHEN 3 THEN '{{"w":1}}'
+    WHEN 4 THEN '{{"__metadata__":{{}},"w":{{"dtype":"F32","shape":[1],"data_offsets":[4]}}}}' ELSE props END"""
+HEADERS = f"WITH h AS (SELECT event_id AS path, {_HEADER} AS header, {_TENSORS} AS tensors, props FROM events)"
 
 
 def headers(v: Views) -> DataFrame:
-    return v.table("events").select(F.col("event_id").alias("path"), F.when(F.col("event_id") % 3 == 0, '{"__metadata__":{"b":"1","a":"2"},"k":{"shape":[1]}}').when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("broken").alias("header"))
+    return v.table("events").select(F.col("event_id").alias("path"), F.expr(_HEADER.replace("\\", "\\\\")).alias("header"), F.encode("props", "UTF-8").alias("payload"))  # the same words in both dialects
 
 
-query("metadata_report", "WITH " + HEADERS[2:] + " SELECT path, path % 3 = 0 AS metadata_present, CASE WHEN path % 3 = 0 THEN 'a,b' ELSE '' END AS keys, CASE WHEN path % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS tensors, CASE WHEN path % 3 = 2 THEN 'malformed header' END AS error FROM h")(lambda v: files.metadata_report(headers(v)))
-query("metadata_strip", "WITH " + HEADERS[2:] + """ SELECT path, CASE WHEN path % 3 = 0 THEN '{"k":"{\\"shape\\":[1]}"}' ELSE header END AS header, CASE path % 3 WHEN 0 THEN 'sanitized' WHEN 1 THEN 'already_clean' ELSE 'error' END AS status FROM h""")(lambda v: files.stripped(headers(v)))
+query("metadata_report", HEADERS + """ SELECT path, path % 6 = 0 AS metadata_present, CASE WHEN path % 6 = 0 THEN 'A,a,b' ELSE '' END AS keys, CASE WHEN path % 6 = 0 THEN 3 ELSE 0 END::BIGINT AS metadata_count,
+    CASE WHEN path % 6 < 2 THEN 2 ELSE 0 END::BIGINT AS tensors, CASE WHEN path % 6 = 2 THEN 'malformed header' WHEN path % 6 > 2 THEN 'not a tensor' END AS error FROM h""")(lambda v: files.metadata_report(headers(v)))
+# descriptors keep their values and order; blanks between them go, and 1.50 is written 1.5
+query("metadata_strip", HEADERS + """ SELECT path, CASE WHEN path % 6 = 0 THEN '{' || replace(replace(tensors, '[1, ', '[1,'), '1.50', '1.5') ELSE header END AS header, CASE path % 6 WHEN 0 THEN 'sanitized' WHEN 1 THEN 'already_clean' ELSE 'error' END AS status,
+    CASE WHEN path % 6 = 0 THEN 3 ELSE 0 END::BIGINT AS removed, path % 6 < 2 AS verified, sha256(props) AS payload_sha256 FROM h""")(lambda v: files.stripped(headers(v)))
+query("strip_candidates", "SELECT event_id AS path FROM events WHERE event_id % 6 = 0")(lambda v: files.metadata_report(headers(v)).where("metadata_present AND error IS NULL").select("path"))
 
 
-@query("log_format", f"SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || upper(event_type) || '] [run] ' || {_red.replace('(text,', '(message,')} AS line FROM (SELECT *, 'token=abcdefgh' || event_id || ' done' AS message FROM events)")
+@query("log_format", f"SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || upper(event_type) || '] [run] ' || {_red.replace('{}', 'message')} AS line FROM (SELECT *, 'token=abcdefgh' || event_id || ' done' AS message FROM events)")
 def _(v: Views) -> DataFrame:
     entries = v.table("events").select("event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("level"), F.lit("run").alias("scope"), F.concat(F.lit("token=abcdefgh"), F.col("event_id").cast("string"), F.lit(" done")).alias("message"))
     return entries.select("event_id", files.log_lines(entries).alias("line"))
@@ -543,27 +672,67 @@ def _(v: Views) -> DataFrame:
     return scores.score_tags(v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("scores")), labels, 0.53, 5)
 
 
-@query("training_grid", """
-    , g AS (SELECT reason AS grp, count(*) AS images FROM decisions GROUP BY reason), x AS (SELECT grp, images, r.r AS repeats, e.e AS epochs, (ceil(images * r.r / 4) * e.e)::BIGINT AS steps FROM g, range(1, 21) r(r), range(4, 31) e(e))
-    SELECT grp, images, repeats, epochs, steps FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY abs(steps - 1500), repeats, epochs) AS n FROM x) WHERE n = 1""", "decisions")
+_STEPS = """CASE kind WHEN 'character' THEN CASE WHEN images < 15 THEN 800 WHEN images <= 30 THEN 1000 WHEN images <= 60 THEN 1200 WHEN images <= 120 THEN 1400 ELSE 1600 END WHEN 'style' THEN CASE WHEN images < 30 THEN 1200 WHEN images <= 80 THEN 1500 WHEN images <= 200 THEN 1800 ELSE 2000 END
+    WHEN 'concept' THEN CASE WHEN images < 15 THEN 700 WHEN images <= 40 THEN 900 WHEN images <= 100 THEN 1200 ELSE 1500 END ELSE CASE WHEN images < 20 THEN 650 WHEN images <= 60 THEN 850 WHEN images <= 150 THEN 1100 ELSE 1300 END END"""
+
+
+@query("training_grid", f""", g AS (SELECT source || '-' || doc_id % 24 AS grp, greatest(1, least(100000, count(*))) AS images, ['character', 'style', 'concept', 'pose'][(min(doc_id) % 24 % 4 + 1)::INT] AS kind, [1, 2, 4][(min(doc_id) % 24 % 3 + 1)::INT] AS batch, ['conservative', 'balanced', 'strong'][(min(doc_id) % 24 // 4 % 3 + 1)::INT] AS strength FROM documents GROUP BY source || '-' || doc_id % 24),
+    w AS (SELECT *, greatest(400, least(2200, floor({_STEPS} * CASE strength WHEN 'conservative' THEN 0.8::DOUBLE WHEN 'strong' THEN 1.15::DOUBLE ELSE 1::DOUBLE END / 25 + 0.5) * 25))::BIGINT AS target_steps, CASE kind WHEN 'style' THEN 25 WHEN 'concept' THEN 12 ELSE 10 END AS usual,
+        CASE WHEN images < 15 THEN 20 WHEN images < 30 THEN 12 WHEN images < 60 THEN 8 WHEN images < 120 THEN 4 ELSE 2 END AS free FROM g),
+    x AS (SELECT w.*, r.r AS repeats, e.e AS epochs, greatest(1, ceil(images * r.r / batch::DOUBLE))::BIGINT AS steps_per_epoch FROM w, range(1, 21) r(r), range(4, 31) e(e)),
+    y AS (SELECT *, steps_per_epoch * epochs AS steps, abs(steps_per_epoch * epochs - target_steps) / target_steps::DOUBLE + abs(epochs - usual) * 0.0025::DOUBLE + repeats * CASE kind WHEN 'style' THEN 0.0035::DOUBLE ELSE 0.0018::DOUBLE END + CASE WHEN repeats > free THEN (repeats - free) * 0.04::DOUBLE ELSE 0::DOUBLE END AS score FROM x)
+    SELECT grp, images, target_steps, repeats, epochs, steps_per_epoch, steps FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score, repeats, epochs) AS n FROM y) WHERE n = 1""", "decisions")
 def _(v: Views) -> DataFrame:
-    return scores.training_grid(v.decisions().groupBy(F.col("reason").alias("grp")).agg(F.count("*").alias("images")), 1500)
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    turn = F.min("doc_id") % 24
+    groups = v.table("documents").groupBy(F.concat("source", F.lit("-"), (F.col("doc_id") % 24).cast("string")).alias("grp")).agg(
+        F.count("*").alias("images"), pick(turn % 4, "character", "style", "concept", "pose").alias("kind"), pick(turn % 3, 1, 2, 4).alias("batch"), pick(F.floor(turn / 4) % 3, "conservative", "balanced", "strong").alias("strength"))
+    return scores.training_grid(groups)
 
 
 def reply_lines(v: Views) -> DataFrame:
-    """Each conversation as the lines of a streamed reply: a comment, pieces, usage and, mostly, an end mark."""
-    c = v.table("conversations").select(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("request_id"), F.col("conv_id"), (F.col("turn") * 2).alias("seq"), "text")
-    piece = c.select("request_id", "seq", F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))).alias("line"))
-    noise = c.select("request_id", (F.col("seq") + 1).alias("seq"), F.lit(": keep-alive").alias("line"))
-    ends = c.where("seq = 0").select("request_id", F.lit(100_000).cast("long").alias("seq"), F.concat(F.lit('data: {"usage":{"prompt_tokens":'), F.col("conv_id").cast("string"), F.lit(',"completion_tokens":2},"choices":[{"finish_reason":"'), F.when(F.col("conv_id") % 7 == 0, "length").otherwise("stop"), F.lit('"}]}')).alias("line"))
-    done = c.where("seq = 0 AND conv_id % 3 > 0").select("request_id", F.lit(100_001).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line"))
-    return piece.unionByName(noise).unionByName(ends).unionByName(done)
+    """Each conversation as the lines of a streamed reply, from three services and in several shapes: pieces as strings, arrays
+    and objects, values over several lines, a whole message at the end, usage, failures and, mostly, an end mark."""
+    n = F.col("conv_id")
+    provider = F.element_at(F.array(*map(F.lit, ("openai", "anthropic", "gemini"))), (n % 3 + 1).cast("int"))
+    c = v.table("conversations").select(F.concat(F.lit("r"), n.cast("string")).alias("request_id"), provider.alias("provider"), "conv_id", (F.col("turn") * 2).alias("seq"), "text")
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    content = F.when(F.col("seq") % 3 == 0, quoted).when(F.col("seq") % 3 == 1, F.concat(F.lit('["", {"text":'), quoted, F.lit("}]"))).otherwise(F.concat(F.lit('{"content":'), quoted, F.lit("}")))
+    openai = F.concat(F.lit('data: {"choices":[{"delta":{"content":'), content, F.lit("}}]}"))
+    anthropic = F.concat(F.lit('data: {"type":"content_block_delta","delta":{"text":'), quoted, F.lit("}}"))
+    gemini = F.concat(F.lit('[{"candidates":[{"content":{"parts":[{"text":'), quoted, F.lit("}]}}]}]"))
+    piece = c.select("request_id", "provider", "seq", F.when(n % 3 == 0, openai).when(n % 3 == 1, anthropic).otherwise(gemini).alias("line"))
+    noise = c.select("request_id", "provider", (F.col("seq") + 1).alias("seq"), F.lit(": keep-alive").alias("line"))
+
+    def end(at: int, line: Column, where: str = "true") -> DataFrame:
+        return c.where("seq = 0").where(where).select("request_id", "provider", F.lit(100_000 + at).cast("long").alias("seq"), line.alias("line"))
+
+    reason = F.when(n % 21 == 0, "length").when(n % 6 == 3, "content_filter").otherwise("stop")
+    used = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), n.cast("string"), F.lit(',"completion_tokens":2},"choices":[{"finish_reason":"'), reason, F.lit('"}]}'))
+    whole = F.lit('data: {"choices":[{"message":{"content":"never taken twice"}}]}')
+    stop = F.concat(F.lit('data: {"delta":{"stop_reason":"'), F.when(n % 7 == 0, "max_tokens").when(n % 7 == 1, "refusal").otherwise("end_turn"), F.lit('"},"usage":{"output_tokens":3},"message":{"usage":{"input_tokens":'), n.cast("string"), F.lit("}}}"))
+    first, second = F.lit('{"usageMetadata":{"promptTokenCount":5,'), F.concat(F.lit('"candidatesTokenCount":6,"totalTokenCount":'), n.cast("string"), F.lit('},"candidates":[{"finishReason":"'), F.when(n % 5 == 0, "SPII").when(n % 5 == 1, "MODEL_LENGTH").otherwise("STOP"), F.lit('"}]}'))
+    ends = [end(0, used, "conv_id % 3 = 0"), end(1, whole, "conv_id % 3 = 0"), end(2, F.lit("data: [DONE]"), "conv_id % 3 = 0 AND conv_id % 4 > 0"), end(0, stop, "conv_id % 3 = 1"), end(1, F.lit("event: message_stop"), "conv_id % 3 = 1 AND conv_id % 4 > 0"), end(0, first, "conv_id % 3 = 2"), end(1, second, "conv_id % 3 = 2"), end(3, F.lit('data: {"error":{"message":"overloaded"}}'), "conv_id % 11 = 5")]
+    out = piece.unionByName(noise)
+    for more in ends:
+        out = out.unionByName(more)
+    return out
 
 
-@query("response_reassembly", """SELECT 'r' || conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS text, conv_id AS input_tokens, 2::BIGINT AS output_tokens, conv_id + 2 AS total_tokens,
-    CASE WHEN conv_id % 7 = 0 OR (conv_id % 3 = 0 AND string_agg(text, '' ORDER BY turn) <> '') THEN 'truncated' WHEN string_agg(text, '' ORDER BY turn) = '' THEN 'empty' ELSE 'ok' END AS outcome FROM conversations GROUP BY conv_id""")
+_REPLIES = "WITH r AS (SELECT conv_id AS n, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+_HELD = "CASE WHEN n % 3 = 0 AND n % 21 <> 0 AND n % 6 = 3 THEN 'content_filter' WHEN n % 3 = 1 AND n % 7 = 1 THEN 'refusal' WHEN n % 3 = 2 AND n % 5 = 0 THEN 'SPII' END"
+
+
+@query("response_reassembly", _REPLIES + f""" SELECT 'r' || n AS request_id, text, {_HELD} AS structured, CASE WHEN n % 11 = 5 THEN 'failed' WHEN n % 21 = 0 OR (n % 3 = 1 AND n % 7 = 0) OR (n % 3 = 2 AND n % 5 = 1) THEN 'length'
+    WHEN n % 3 < 2 AND n % 4 = 0 AND text <> '' THEN 'cut' WHEN {_HELD} IS NOT NULL THEN 'refused' WHEN text = '' THEN 'empty' ELSE 'ok' END AS outcome FROM r""")
 def _(v: Views) -> DataFrame:
-    return responses.reassembled(reply_lines(v))
+    return responses.reassembled(reply_lines(v)).drop("caption")
+
+
+query("response_outcome", _REPLIES + f""", o AS (SELECT CASE WHEN n % 11 = 5 THEN 'failed' WHEN n % 21 = 0 OR (n % 3 = 1 AND n % 7 = 0) OR (n % 3 = 2 AND n % 5 = 1) THEN 'length' WHEN n % 3 < 2 AND n % 4 = 0 AND text <> '' THEN 'cut' WHEN {_HELD} IS NOT NULL THEN 'refused' WHEN text = '' THEN 'empty' ELSE 'ok' END AS outcome FROM r)
+    SELECT outcome, count(*) AS replies FROM o GROUP BY outcome""")(lambda v: responses.reassembled(reply_lines(v)).groupBy("outcome").agg(F.count("*").alias("replies")))
+query("response_usage", """SELECT DISTINCT 'r' || conv_id AS request_id, CASE WHEN conv_id % 3 = 2 THEN 5 ELSE conv_id END AS input_tokens, CASE conv_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 6 END::BIGINT AS output_tokens,
+    CASE conv_id % 3 WHEN 0 THEN conv_id + 2 WHEN 1 THEN conv_id + 3 ELSE conv_id END AS total_tokens FROM conversations""")(lambda v: responses.usage(reply_lines(v)))
 
 
 @query("channel_keys", "SELECT o_custkey AS connection, c_mktsegment AS channel, o_orderkey AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")
@@ -573,33 +742,39 @@ def _(v: Views) -> DataFrame:
     return joined.where("k.o_orderstatus <> 'P'").select("connection", "channel", F.col("k.o_orderkey").alias("key"))
 
 
-@query("model_catalog", "SELECT lower(p_brand) AS id, count(*) AS entries FROM part WHERE p_size % 3 <> 0 GROUP BY 1")
+@query("model_catalog", "SELECT p_brand AS id, min(coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 5 = 0 THEN p_type END, p_brand)) AS name FROM part WHERE p_size % 3 <> 0 GROUP BY 1")
 def _(v: Views) -> DataFrame:
     methods = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("embed"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("GenerateContent")))
-    models = v.table("part").select(F.concat(F.lit("models/"), "p_brand").alias("name"), methods.alias("methods"))
-    able = models.where(F.col("methods").isNull() | F.exists("methods", lambda m: F.lower(m) == "generatecontent"))
-    return able.groupBy(F.lower(F.regexp_replace("name", "^models/", "")).alias("id")).agg(F.count("*").alias("entries"))
+    raw = F.concat(F.when(F.col("p_size") % 2 == 0, "models/").otherwise(""), "p_brand")
+    return responses.able_models(v.table("part").select(F.when(F.col("p_size") % 4 > 0, raw).alias("raw_id"), raw.alias("raw_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("display_name"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).alias("displayName"), methods.alias("methods")))
+
+
+query("catalogue_search", "SELECT p_partkey FROM part WHERE contains(lower(p_brand), 'brand#1') OR contains(lower(p_name), 'brand#1')")(lambda v: v.table("part").where(jobs.has(" BRAND#1 ", "p_brand", "p_name")).select("p_partkey"))
 
 
-@query("ttft_metrics", "SELECT user_id, min(ts) FILTER (event_type <> 'view') AS first_token, round(epoch(min(ts) FILTER (event_type <> 'view')) - epoch(min(ts)), 3) AS ttft_s, count(*) AS chunks FROM events GROUP BY user_id")
+@query("ttft_metrics", """SELECT 'u' || user_id AS request_id, min(ts) FILTER (event_type <> 'view') AS first_token, round(epoch(min(ts) FILTER (event_type <> 'view')) - epoch(min(ts)), 3) AS ttft_s,
+    round(CASE WHEN max(ts) > min(ts) FILTER (event_type <> 'view') THEN max(event_id) / (epoch(max(ts)) - epoch(min(ts) FILTER (event_type <> 'view'))) END, 4) AS tokens_per_second FROM events GROUP BY user_id""")
 def _(v: Views) -> DataFrame:
-    first = F.min(F.when(F.col("event_type") != "view", F.col("ts")))
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    return v.table("events").groupBy("user_id").agg(first.alias("first_token"), F.round(seconds(first) - seconds(F.min(F.col("ts"))), 3).alias("ttft_s"), F.count("*").alias("chunks"))
+    return responses.first_tokens(v.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("request_id"), "ts", (F.col("event_type") != "view").alias("adds"), F.col("event_id").alias("tokens")))
 
 
-@query("config_merge", "SELECT s_suppkey, s_name AS model, 0.5::DOUBLE AS temperature, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::BIGINT ELSE 100 END AS max_tokens FROM supplier")
+@query("config_merge", """SELECT s_suppkey, s_name AS model, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::BIGINT ELSE 100 END AS max_tokens, 'low' AS effort, CASE WHEN s_nationkey % 2 = 0 THEN 7 ELSE 1 END::BIGINT AS depth, CASE WHEN s_nationkey % 3 = 0 THEN '[2]' ELSE '[1, 2]' END AS stops FROM supplier""")
 def _(v: Views) -> DataFrame:
-    body = F.create_map(F.lit("temperature"), F.lit("0.5"), F.lit("max_tokens"), F.lit("100"))
-    extra = F.when(F.col("s_nationkey") % 2 == 0, F.create_map(F.lit("max_tokens"), F.col("s_nationkey").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(F.map_filter(body, lambda k, _: ~F.map_contains_key(extra, k)), extra)  # the right side wins
-    return v.table("supplier").select("s_suppkey", F.col("s_name").alias("model"), merged.alias("m")).select("s_suppkey", "model", F.col("m")["temperature"].cast("double").alias("temperature"), F.col("m")["max_tokens"].cast("long").alias("max_tokens"))
+    base = F.concat(F.lit('{"model":"'), "s_name", F.lit('","max_tokens":100,"think":{"effort":"low","deep":{"depth":1}},"stops":[1,2]}'))
+    extra = F.concat(F.lit("{"), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('"max_tokens":'), F.col("s_nationkey").cast("string"), F.lit(',"think":{"deep":{"depth":7}},'))).otherwise(""), F.when(F.col("s_nationkey") % 3 == 0, '"stops":[2]}').otherwise('"x":null}'))
+    m = v.table("supplier").select("s_suppkey", responses.merged_json(base, extra).alias("m"))
+    get = lambda path: F.get_json_object("m", path)
+    return m.select("s_suppkey", get("$.model").alias("model"), get("$.max_tokens").cast("long").alias("max_tokens"), get("$.think.effort").alias("effort"), get("$.think.deep.depth").cast("long").alias("depth"), F.regexp_replace(get("$.stops"), ",", ", ").alias("stops"))
+
+
+_FOCUS = "['按用户条件建立稳定、不过度苛刻的基础门槛', '额外淘汰轻微模糊、轻微遮挡、边缘裁切或主体不够突出的图片', '进一步要求构图、光照、主体完整度和细节表现明显优于普通候选', '进一步淘汰细小结构错误、轻度压缩痕迹、背景干扰和相似度过高的候选', '只保留审美、清晰度、结构正确性和训练价值均较强的候选', '只保留没有明显短板、可作为数据集核心样本的候选', '要求候选在当前批次中达到优秀水平，而不仅是合格', '要求候选达到高质量精选水平', '只保留极少数最符合要求且训练价值最高的候选', '采用最高门槛，只保留当前候选中的顶级样本']"
 
 
-@query("round_prompt", "SELECT item_id, 'Round ' || (round + 1) || ': keep about ' || greatest(1, least(100, round(score / 2.0)))::BIGINT || '%' AS prompt FROM decisions WHERE score IS NOT NULL", "decisions")
+@query("round_prompt", f""", x AS (SELECT item_id, item_id % 13 AS round, item_id % 40 AS target, coalesce(score, 0) AS candidates FROM decisions)
+    SELECT item_id, CASE WHEN target > 0 AND candidates > 0 THEN '本轮为第 ' || round || ' 轮，当前候选 ' || candidates || ' 张，最终目标保留 ' || target || ' 张。' || CASE WHEN round = 1 THEN '本轮建立基础门槛' ELSE '相较上一轮严格程度提高 ' || (round - 1) || ' 级' END
+        || '；本轮重点：' || ({_FOCUS})[least(10, greatest(1, round))::INT] || '。本轮应优先拉开评分差距，保留约 ' || least(100, greatest(1, floor(target / candidates * 100 + 0.5)))::INT || '% 的最佳候选。' END AS prompt FROM x""", "decisions")
 def _(v: Views) -> DataFrame:
-    share = F.greatest(F.lit(1), F.least(F.lit(100), F.round(F.col("score") / 2))).cast("long")
-    return v.decisions().where("score is not null").select("item_id", F.format_string("Round %d: keep about %d%%", F.col("round") + 1, share).alias("prompt"))
+    return v.decisions().select("item_id", scores.round_prompt(F.col("item_id") % 13, F.col("item_id") % 40, F.coalesce("score", F.lit(0))).alias("prompt"))
 
 
 # --- streams and their batch twins ----------------------------------------------------------------------------------
@@ -619,7 +794,11 @@ def scratch(v: Views) -> str:
     import tempfile
     import uuid
 
-    named = v.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
+    named = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not v.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

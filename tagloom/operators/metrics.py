@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import natural_key, tags
+from tagloom.functions.text import decision, length_drop, natural_key, tags, utrim
 
 
 def tag_frequency(captions: DataFrame) -> DataFrame:
@@ -73,18 +73,53 @@ def usage_over_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("item", "batch_id").agg(F.count("*").alias("attempts"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(last("ttft_ms"), 4).alias("ttft_ms"), F.round(last("tokens_per_second"), 4).alias("tokens_per_second"))
 
 
-def attempt_outcome(attempts: DataFrame, most: int = 6, refusals: int = 3) -> DataFrame:
-    """What an item's attempts come to. The first attempt that ends the loop decides; its class comes from its status.
+# How many attempts an item has, and how many of them an error of a lasting kind or a refusal may use.
+MOST_ATTEMPTS, MOST_LASTING = 6, 3
+LASTING = ("rate_limit", "auth", "quota", "prompt_rejected")
 
-    A success ends it, a refusal ends it at the third, an error is transient and ends it at the sixth.
+
+def followed(attempts: DataFrame, advanced: bool = False) -> DataFrame:
+    """The attempts up to the one that ends an item's loop, with ``result``, ``kind_of_error``, ``goes_on`` and ``last``.
+
+    attempts(item, batch_id, attempt, job_kind, error, refused, structured, text, original, review_ok, write_error, ...). A
+    reply ends the loop, but for a refusal before the third attempt (samples are refused by the service alone, and at once).
+    Errors: transient and cut go on to the sixth attempt, LASTING ones to the third, all others end it.
     """
-    s, n = F.col("status"), F.col("attempt")
-    ends = s.isin("succeeded", "revised", "skipped") | ((s == "refused") & (n >= refusals - 1)) | ((s == "failed") & (n >= most - 1))
-    last = F.coalesce(F.min(F.when(ends, n)), F.max("attempt"))
-    ended = attempts.groupBy("item", "batch_id").agg(last.alias("last"))
-    used = attempts.join(ended, ["item", "batch_id"]).where(F.col("attempt") <= F.col("last"))
-    final = F.max_by("status", "attempt")
-    return used.groupBy("item", "batch_id").agg(F.when(final == "failed", "no_response").otherwise(final).alias("outcome"), F.max("attempt").alias("retries"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    n, error, sample = F.col("attempt"), F.col("error"), F.col("job_kind") == "ai_sample"
+    refusal = F.col("structured") | (F.col("refused") & ~sample)
+    verdict = decision(F.col("text"))
+    shrunk = length_drop(F.col("original"), F.col("text")) & ((F.col("job_kind") == "revision") | F.lit(advanced))
+    pair = lambda status, why=None: F.struct(F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"), (why if isinstance(why, Column) else F.lit(why)).cast("string").alias("error_kind"))
+    reply = (
+        F.when(refusal, pair("refused")).when(utrim(F.col("text")) == "", pair("failed", "empty_reply"))
+        .when(sample, F.when(verdict["error"], pair("failed", "invalid_decision")).when(verdict["keep"], pair("succeeded")).otherwise(pair("skipped")))
+        .when(shrunk & ~F.col("review_ok"), pair("failed", "length_reduced")).when(F.col("write_error").isNotNull(), pair("failed", F.col("write_error")))
+        .otherwise(pair(F.when(F.col("job_kind") == "revision", "revised").otherwise("succeeded")))
+    )
+    lost = F.when(error == "cancelled", pair("cancelled")).when(error == "transient", pair("no_response", "no_response")).otherwise(pair("failed", F.when(error.isin("cut", "length"), "truncated").otherwise(error)))
+    retried = F.when(error.isNull(), refusal & ~sample & (n < MOST_LASTING - 1)).otherwise(error.isin("transient", "cut") | (error.isin(*LASTING) & (n < MOST_LASTING - 1)))
+    rows = attempts.withColumn("goes_on", retried & (n < MOST_ATTEMPTS - 1)).withColumn("result", F.when(error.isNull(), reply).otherwise(lost))
+    own = Window.partitionBy("item", "batch_id")
+    last = F.coalesce(F.min(F.when(~F.col("goes_on"), n)).over(own), F.max(n).over(own))
+    return rows.withColumn("last", last).where(n <= F.col("last"))
+
+
+def attempt_outcome(attempts: DataFrame, advanced: bool = False) -> DataFrame:
+    """What an item's attempts come to: status, error kind, retries (of a reply's attempt) and what all replies used (0 if none came)."""
+    used = lambda c: F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col(c))), F.lit(0)).alias(c)
+    final = F.max_by(F.struct("result", "error", "attempt"), "attempt")
+    sums = followed(attempts, advanced).groupBy("item", "batch_id").agg(final.alias("f"), used("input_tokens"), used("output_tokens"))
+    return sums.select("item", "batch_id", F.col("f.result.status").alias("outcome"), F.col("f.result.error_kind").alias("error_kind"), F.when(F.col("f.error").isNull(), F.col("f.attempt")).otherwise(0).alias("retries"), "input_tokens", "output_tokens")
+
+
+def attempt_metrics(attempts: DataFrame, advanced: bool = False) -> DataFrame:
+    """The request rows of an item: one for each reply, with its own usage, and one without key and usage where errors ended it
+    for good. Cancelled items and those without any response have none."""
+    rows, status = followed(attempts, advanced), F.col("result.status")
+    replies = rows.where("error is null").select("item", "batch_id", F.col("attempt").alias("retries"), F.when(F.col("goes_on"), "refused").otherwise(status).alias("status"), "key_id", "input_tokens", "output_tokens")
+    none = lambda name: F.lit(0).cast("long").alias(name)
+    ends = rows.where((F.col("attempt") == F.col("last")) & F.col("error").isNotNull() & (status == "failed"))
+    return replies.unionByName(ends.select("item", "batch_id", F.lit(0).cast("long").alias("retries"), F.lit("failed").alias("status"), F.lit(None).cast("string").alias("key_id"), none("input_tokens"), none("output_tokens")))
 
 
 def key_stats(attempts: DataFrame) -> DataFrame:
@@ -103,16 +138,12 @@ def sort_key(by: str) -> list[Column]:
 
 def ranked_jobs(jobs: DataFrame, by: str, most: int = 500) -> DataFrame:
     """The head of a sorted job list with its ranks. Sorting and limit run as one distributed top-k."""
-    from pyspark.sql import Window
-
     head = jobs.orderBy(*sort_key(by)).limit(most)
     return head.select(F.row_number().over(Window.orderBy(*sort_key(by))).cast("long").alias("rank"), "item_id", "file_name")
 
 
 def peak_concurrency(spans: DataFrame, key: str) -> DataFrame:
     """spans(key, start, end): most intervals open at once for each key; an end frees its place before a start at that instant."""
-    from pyspark.sql import Window
-
     steps = spans.select(key, F.col("start").alias("at"), F.lit(1).alias("step")).unionAll(spans.select(key, F.col("end").alias("at"), F.lit(-1).alias("step")))
     sums = steps.groupBy(key, "at").agg(F.sum(F.when(F.col("step") < 0, -1).otherwise(0)).alias("down"), F.sum("step").alias("net"))
     running = F.sum("net").over(Window.partitionBy(key).orderBy("at"))

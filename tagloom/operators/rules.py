@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import deduplicated, let, tags
+from tagloom.functions.text import deduplicated, let, literal, tags, valid_pattern
 
 
 @dataclass(frozen=True)
@@ -27,11 +27,6 @@ class EditRule:
     only_if_missing: bool = False
 
 
-def literal(text: str) -> str:
-    """A pattern for exactly this text, readable by Java's engine."""
-    return "".join("\\" + c if c in r"\.[]{}()*+-?^$|#&~ " else c for c in text)
-
-
 def pattern(rule: EditRule, of: str, multiline: bool = False) -> str:
     flags = ("" if rule.case_sensitive else "iu") + ("m" if multiline and rule.regex else "")
     return (f"(?{flags})" if flags else "") + (of if rule.regex else literal(of))
@@ -43,13 +38,13 @@ def replacement(rule: EditRule, text: str) -> str:
 
 
 def invalid(rule: EditRule) -> str | None:
-    """Why a rule can't be applied."""
-    if rule.mode == "tag" and rule.position == "line" and rule.action == "insert":
+    """Why a rule can't be applied; the engine that would run a pattern decides whether it is one."""
+    known = ("start", "end", "index", "before", "after", *(("line",) if rule.mode == "text" else ()))
+    if rule.action == "insert" and rule.position not in known:
         return "unsupported position"
     if rule.regex:
-        try:
-            re.compile(rule.anchor or rule.content)
-        except re.error:
+        of = (rule.anchor if rule.action == "insert" else rule.content) if rule.mode == "text" else rule.anchor or rule.content
+        if not valid_pattern(pattern(rule, of, rule.mode == "text")):
             return "invalid pattern"
     return None
 
@@ -104,8 +99,7 @@ def replace_in(text: Column, wanted: str, to: str, every: bool) -> Column:
 
 
 def text_edit(text: Column, rule: EditRule) -> Column:
-    of = rule.anchor or rule.content
-    wanted = pattern(rule, of, multiline=True)
+    wanted = pattern(rule, rule.content, multiline=True)  # an anchor only says where to insert
     if rule.action == "delete":
         return replace_in(text, wanted, "", rule.all_matches)
     if rule.action == "replace":

@@ -2,28 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def score_tags(scores: DataFrame, labels: DataFrame, threshold: float, most: int) -> DataFrame:
     """scores(item_id, scores), labels(index, name): the names of the highest scores at or above the threshold, best first.
 
-    Values outside 0..1 are taken as logits. Labels align by place and have one row for each place, so they are broadcast.
+    Values outside 0..1 are taken as logits. Labels align by place; Spark broadcasts them if they are as small as they should be.
     """
     s = F.col("scores")
     plain = F.forall(s, lambda x: (x >= 0) & (x <= 1))
     p = F.when(plain, F.transform(s, lambda x: x.cast("double"))).otherwise(F.transform(s, lambda x: 1 / (1 + F.exp(-x.cast("double")))))
     placed = scores.select("item_id", F.posexplode(p).alias("index", "p")).where(F.col("p") >= threshold)
-    named = placed.join(F.broadcast(labels), "index").where("name is not null")
+    named = placed.join(labels, "index").where("name is not null")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), "index", "name")))  # at most a label each
     top = F.transform(F.slice(ordered, 1, most) if most else ordered, lambda x: F.replace(x["name"], F.lit("_"), F.lit(" ")))
     return named.groupBy("item_id").agg(F.array_join(top, ", ").alias("tags"), F.least(F.count("*"), F.lit(most if most else 1 << 40)).cast("long").alias("n_tags"))
 
 
-def training_grid(groups: DataFrame, target_steps: int, batch: int = 4) -> DataFrame:
-    """groups(grp, images): the repeats 1..20 and epochs 4..30 whose steps lie nearest to the target, few repeats first."""
-    grid = groups.select("grp", "images", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("repeats")).select("*", F.explode(F.sequence(F.lit(4), F.lit(30))).alias("epochs"))
-    steps = F.ceil(F.col("images") * F.col("repeats") / batch) * F.col("epochs")
-    best = grid.withColumn("steps", steps.cast("long")).groupBy("grp", "images").agg(F.min(F.struct(F.abs(F.col("steps") - target_steps).alias("off"), "repeats", "epochs", "steps")).alias("m"))
-    return best.select("grp", "images", F.col("m.repeats").cast("long").alias("repeats"), F.col("m.epochs").cast("long").alias("epochs"), F.col("m.steps").alias("steps"))
+# Steps wanted by kind, as (most images, steps) in order; epochs preferred by kind; factor by strength; how many
+# repeats are free of charge, as (most images, repeats) in order.
+STEPS = {
+    "character": ((14, 800), (30, 1000), (60, 1200), (120, 1400), (None, 1600)),
+    "style": ((29, 1200), (80, 1500), (200, 1800), (None, 2000)),
+    "concept": ((14, 700), (40, 900), (100, 1200), (None, 1500)),
+    "pose": ((19, 650), (60, 850), (150, 1100), (None, 1300)),
+}
+EPOCHS = {"character": 10, "style": 25, "concept": 12, "pose": 10}
+STRENGTH = {"conservative": 0.8, "balanced": 1.0, "strong": 1.15}
+REPEATS = ((14, 20), (29, 12), (59, 8), (119, 4), (None, 2))
+
+
+def stepped(images: Column, table: tuple) -> Column:
+    out = F.lit(table[-1][1])
+    for most, value in reversed(table[:-1]):
+        out = F.when(images <= most, value).otherwise(out)
+    return out
+
+
+def by_name(name: Column, values: dict, other: str) -> Column:
+    out = values[other]
+    for key, value in values.items():
+        out = F.when(name == key, value).otherwise(out)
+    return out
+
+
+def training_grid(groups: DataFrame) -> DataFrame:
+    """groups(grp, images, kind, batch, strength): of repeats 1..20 and epochs 4..30 the pair with the lowest score.
+
+    The score is the distance of the steps from those wanted, with charges for unusual epochs, for repeats and for too many of
+    them; ties go to fewer repeats, then fewer epochs.
+    """
+    images, kind = F.least(F.lit(100_000), F.greatest(F.lit(1), F.floor("images"))).cast("long"), F.col("kind")
+    sized = groups.withColumn("images", images).withColumn("batch", F.least(F.lit(64), F.greatest(F.lit(1), F.floor("batch"))).cast("long"))
+    wanted = by_name(kind, {k: stepped(F.col("images"), t) for k, t in STEPS.items()}, "pose")
+    factor = by_name(F.col("strength"), {k: F.lit(v) for k, v in STRENGTH.items()}, "balanced")
+    target = F.least(F.lit(2200), F.greatest(F.lit(400), F.floor(wanted * factor / 25 + 0.5) * 25)).cast("long")
+    grid = sized.withColumn("target_steps", target).select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("repeats")).select("*", F.explode(F.sequence(F.lit(4), F.lit(30))).alias("epochs"))
+    per_epoch = F.greatest(F.lit(1), F.ceil(F.col("images") * F.col("repeats") / F.col("batch"))).cast("long")
+    grid = grid.withColumn("steps_per_epoch", per_epoch).withColumn("steps", F.col("steps_per_epoch") * F.col("epochs"))
+    far = F.abs(F.col("steps") - F.col("target_steps")) / F.col("target_steps")
+    usual = by_name(kind, {k: F.lit(v) for k, v in EPOCHS.items()}, "pose")
+    free = stepped(F.col("images"), REPEATS)
+    charges = F.col("repeats") * F.when(kind == "style", F.lit(0.0035)).otherwise(F.lit(0.0018))
+    score = far + F.abs(F.col("epochs") - usual) * F.lit(0.0025) + charges + F.when(F.col("repeats") > free, (F.col("repeats") - free) * F.lit(0.04)).otherwise(F.lit(0.0))
+    best = grid.withColumn("score", score).groupBy("grp", "images", "target_steps").agg(F.min(F.struct("score", "repeats", "epochs", "steps_per_epoch", "steps")).alias("m"))
+    return best.select("grp", "images", "target_steps", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("repeats", "epochs", "steps_per_epoch", "steps")])
+
+
+# What each round of a selection stresses, and the sentence that says so.
+ROUND_FOCUS = (
+    "按用户条件建立稳定、不过度苛刻的基础门槛",
+    "额外淘汰轻微模糊、轻微遮挡、边缘裁切或主体不够突出的图片",
+    "进一步要求构图、光照、主体完整度和细节表现明显优于普通候选",
+    "进一步淘汰细小结构错误、轻度压缩痕迹、背景干扰和相似度过高的候选",
+    "只保留审美、清晰度、结构正确性和训练价值均较强的候选",
+    "只保留没有明显短板、可作为数据集核心样本的候选",
+    "要求候选在当前批次中达到优秀水平，而不仅是合格",
+    "要求候选达到高质量精选水平",
+    "只保留极少数最符合要求且训练价值最高的候选",
+    "采用最高门槛，只保留当前候选中的顶级样本",
+)
+ROUND_PROMPT = "本轮为第 %d 轮，当前候选 %d 张，最终目标保留 %d 张。%s；本轮重点：%s。本轮应优先拉开评分差距，保留约 %d%% 的最佳候选。"
+
+
+def round_prompt(round_: Column, target: Column, candidates: Column) -> Column:
+    """What a model is told about its round; null without candidates or a target."""
+    focus = F.element_at(F.array(*map(F.lit, ROUND_FOCUS)), F.least(F.lit(10), F.greatest(F.lit(1), round_)).cast("int"))
+    stricter = F.when(round_ == 1, "本轮建立基础门槛").otherwise(F.concat(F.lit("相较上一轮严格程度提高 "), (round_ - 1).cast("string"), F.lit(" 级")))
+    share = F.least(F.lit(100), F.greatest(F.lit(1), F.floor(target / candidates * 100 + 0.5))).cast("int")
+    return F.when((target > 0) & (candidates > 0), F.format_string(ROUND_PROMPT, round_, candidates, target, stricter, focus, share))

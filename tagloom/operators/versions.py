@@ -19,6 +19,27 @@ def apply_status(previewed: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("caption_path", status.alias("status"), F.when(status == "applied", F.col("after")).otherwise(F.col("current")).alias("content"))
 
 
+def new_versions(results: DataFrame, done: str, source: str, batch: str | None) -> DataFrame:
+    """results(caption_path, status, content, before) -> the version rows that a write leaves: one for each caption it changed."""
+    return results.where(F.col("status") == done).select("caption_path", F.col("before").alias("old_content"), F.col("content").alias("new_content"), F.lit(source).alias("source"), F.lit(batch).cast("string").alias("batch_id"))
+
+
+def apply_edit(previewed: DataFrame, current: DataFrame, batch: str, applied: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statuses, version rows) of a batch; applied(batch_id): a batch that is listed there is not applied again."""
+    again = applied.where(F.col("batch_id") == batch).agg((F.count("*") > 0).alias("__done"))
+    once = previewed.crossJoin(F.broadcast(again)).where("not __done").drop("__done")  # one row is broadcast
+    results = apply_status(once, current).join(once.select("caption_path", "before"), "caption_path")
+    return results.drop("before"), new_versions(results, "applied", "batch_edit", batch)
+
+
+def manual_save(current: DataFrame, saves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """saves(caption_path, before, after, source): (statuses, version rows) of guarded writes; a blank source is manual."""
+    results = guarded_write(current, saves)
+    rows = results.join(saves, "caption_path").where("status = 'written'")
+    source = F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "manual").otherwise(F.col("source"))
+    return results, rows.select("caption_path", F.col("before").alias("old_content"), F.col("after").alias("new_content"), source.alias("source"), F.lit(None).cast("string").alias("batch_id"))
+
+
 def apply_counts(statuses: DataFrame) -> DataFrame:
     return statuses.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("applied", "skipped", "error", "conflict")])
 

@@ -9,6 +9,13 @@ STATUSES = ("pending", "queued", "running", "succeeded", "revised", "skipped", "
 OUTCOMES = {"purchase": "succeeded", "signup": "revised", "view": "skipped", "click": "refused", "error": "failed"}
 
 
+# Replies that are refusals and some that only look like them.
+DECLINED = (
+    "I am unable to help with this.", "Hi I can go on", "I must decline this request.", "I must go on", "我必须拒绝。", "我必须说明。", "不便提供更多。", "不便多说。", "Ｉ　ｃａｎｎｏｔ　ｈｅｌｐ you.",
+    "I'm sorry, that is beyond what I'm able to do: unable.", "I'm sorry, here it is.", "很遗憾，这不可以。", "NO WAY (really).", "No way, really.", "Before all else, and after some more words: i can't comply.",
+)
+
+
 class Views:
     """Lazy frames over one folder of tables."""
 
@@ -48,7 +55,17 @@ class Views:
     def attempts(self) -> DataFrame:
         """Requests of one user and day are the attempts for one item."""
         order = Window.partitionBy("item", "batch_id").orderBy("created_at", "id")
-        return self.requests().withColumn("attempt", F.row_number().over(order).cast("long") - 1)
+        event, number, user = F.col("kind"), F.col("id"), F.substring("item", 2, 20).cast("long")
+        pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+        dressed = self.requests().select(
+            "*", pick(user % 3, "caption", "revision", "ai_sample").alias("job_kind"),
+            F.when(event == "error", pick(number % 9, "transient", "rate_limit", "auth", "length", "cut", "cancelled", "fatal", "quota", "prompt_rejected")).alias("error"),
+            (event == "click").alias("refused"), ((event == "click") & (number % 2 == 0)).alias("structured"),
+            F.when((event == "view") & (number % 5 == 0), "  ").when(user % 3 == 2, pick(number % 3, "DECISION: KEEP", "reject", "MAYBE")).when(event == "signup", "short").otherwise("a caption that is long enough").alias("text"),
+            F.when(number % 2 == 0, "the original caption, rather long").otherwise("").alias("original"), (number % 4 == 0).alias("review_ok"),
+            F.when((event == "purchase") & (number % 6 == 0), "write_conflict").when((event == "purchase") & (number % 6 == 3), "write_error").alias("write_error"),
+        )
+        return dressed.withColumn("attempt", F.row_number().over(order).cast("long") - 1)
 
     def versions(self) -> DataFrame:
         order = Window.partitionBy("conv_id").orderBy("turn")
@@ -63,7 +80,7 @@ class Views:
         text = F.col("new_content")
         dressed = (
             F.when(F.col("id") % 5 == 0, F.concat(F.lit("<think>plan, it</think>"), text)).when(F.col("id") % 5 == 1, F.concat(F.lit("```text\n"), text, F.lit("\n```")))
-            .when(F.col("id") % 5 == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(F.col("id") % 5 == 3, F.concat(F.lit("I'm sorry, but I can't help with that. "), F.substring(text, 1, 20))).otherwise(text)
+            .when(F.col("id") % 5 == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(F.col("id") % 5 == 3, F.concat(F.element_at(F.array(*map(F.lit, DECLINED)), (F.floor(F.col("id") / 5) % len(DECLINED) + 1).cast("int")), F.lit(" "), F.substring(text, 1, 20))).otherwise(text)
         )
         return v.select("id", F.col("old_content").alias("original"), dressed.alias("reply"), F.when(F.col("id") % 17 == 0, "content_filter").alias("structured"))
 
@@ -90,9 +107,16 @@ CTE = {
     "decisions": """decisions AS (SELECT doc_id AS item_id, doc_id % 3 AS round, n_chars % 2 = 0 AS keep, CASE WHEN doc_id % 11 <> 0 THEN n_chars % 101 END AS score, source AS reason,
         'img' || (doc_id % 50) || '_' || doc_id || '.png' AS file_name FROM documents)""",
 }
-CTE["attempts"] = CTE["requests"] + ", attempts AS (SELECT *, row_number() OVER (PARTITION BY item, batch_id ORDER BY created_at, id) - 1 AS attempt FROM requests)"
+CTE["attempts"] = CTE["requests"] + """, attempts AS (SELECT *, ['caption', 'revision', 'ai_sample'][(item[2:]::BIGINT % 3 + 1)::INT] AS job_kind,
+    CASE WHEN kind = 'error' THEN ['transient', 'rate_limit', 'auth', 'length', 'cut', 'cancelled', 'fatal', 'quota', 'prompt_rejected'][(id % 9 + 1)::INT] END AS error,
+    kind = 'click' AS refused, kind = 'click' AND id % 2 = 0 AS structured,
+    CASE WHEN kind = 'view' AND id % 5 = 0 THEN '  ' WHEN item[2:]::BIGINT % 3 = 2 THEN ['DECISION: KEEP', 'reject', 'MAYBE'][(id % 3 + 1)::INT] WHEN kind = 'signup' THEN 'short' ELSE 'a caption that is long enough' END AS text,
+    CASE WHEN id % 2 = 0 THEN 'the original caption, rather long' ELSE '' END AS original, id % 4 = 0 AS review_ok,
+    CASE WHEN kind = 'purchase' AND id % 6 = 0 THEN 'write_conflict' WHEN kind = 'purchase' AND id % 6 = 3 THEN 'write_error' END AS write_error,
+    row_number() OVER (PARTITION BY item, batch_id ORDER BY created_at, id) - 1 AS attempt FROM requests)"""
 CTE["responses"] = CTE["versions"] + """, responses AS (SELECT id, old_content AS original, CASE id % 5 WHEN 0 THEN '<think>plan, it</think>' || new_content WHEN 1 THEN '```text' || chr(10) || new_content || chr(10) || '```'
-        WHEN 2 THEN '"' || new_content || '"' WHEN 3 THEN 'I''m sorry, but I can''t help with that. ' || new_content[1:20] ELSE new_content END AS reply, CASE WHEN id % 17 = 0 THEN 'content_filter' END AS structured FROM versions)"""
+        WHEN 2 THEN '"' || new_content || '"' WHEN 3 THEN (['I am unable to help with this.', 'Hi I can go on', 'I must decline this request.', 'I must go on', '我必须拒绝。', '我必须说明。', '不便提供更多。', '不便多说。', 'Ｉ　ｃａｎｎｏｔ　ｈｅｌｐ you.',
+            'I''m sorry, that is beyond what I''m able to do: unable.', 'I''m sorry, here it is.', '很遗憾，这不可以。', 'NO WAY (really).', 'No way, really.', 'Before all else, and after some more words: i can''t comply.'])[((id // 5) % 15 + 1)::INT] || ' ' || new_content[1:20] ELSE new_content END AS reply, CASE WHEN id % 17 = 0 THEN 'content_filter' END AS structured FROM versions)"""
 
 
 def with_views(name: str, body: str) -> str:

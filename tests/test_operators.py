@@ -1,7 +1,10 @@
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from tagloom import catalogue
-from tagloom.operators import metrics, sampling, scores, versions
+from tagloom.operators import metrics, responses, sampling, scores, versions
 from tagloom.sources import files
 from tagloom.streaming import jobs as streams
 
@@ -19,11 +22,39 @@ def test_tag_frequency_counts_images_and_occurrences(spark):
     assert got == {"1girl": ("1girl", 2, 3, 66.666667), "blue eyes": ("blue eyes", 1, 1, 33.333333)}
 
 
+ATTEMPT = "item string, batch_id string, attempt long, job_kind string, error string, refused boolean, structured boolean, text string, original string, review_ok boolean, write_error string, key_id string, input_tokens long, output_tokens long"
+
+
+def attempts_of(spark, items):
+    usual = {"error": None, "refused": False, "structured": False, "text": "a good caption", "original": "", "ok": False, "write": None}
+    rows = []
+    for item, (kind, *steps) in items.items():
+        for n, step in enumerate(steps):
+            s = usual | step
+            rows.append((item, "d", n, kind, s["error"], s["refused"], s["structured"], s["text"], s["original"], s["ok"], s["write"], "k", 10, 2))
+    return spark.createDataFrame(rows, ATTEMPT)
+
+
 def test_outcomes(spark):
-    rows = [("i", "d", n, s, 10, 2) for n, s in enumerate(["refused", "refused", "succeeded", "failed"])] + [("j", "d", n, "refused", 10, 2) for n in range(4)]
-    a = spark.createDataFrame(rows, "item string, batch_id string, attempt long, status string, input_tokens long, output_tokens long")
+    no, ok = {"refused": True}, {}
+    err = lambda e: {"error": e}
+    items = {
+        "retried": ("caption", no, no, ok, err("fatal")), "refused": ("revision", no, no, no, no), "rate": ("caption", *[err("rate_limit")] * 4), "fatal": ("caption", err("fatal"), ok), "lost": ("caption", *[err("transient")] * 7),
+        "cut": ("caption", *[err("cut")] * 6), "length": ("caption", err("length"), ok), "cancelled": ("caption", no, err("cancelled")), "blank": ("caption", {"text": "  "}), "sample": ("ai_sample", {"refused": True, "text": "REJECT"}),
+        "held": ("ai_sample", {"structured": True, "text": "KEEP"}), "odd": ("ai_sample", {"text": "perhaps"}), "short": ("revision", {"text": "a", "original": "abcdef"}), "reviewed": ("revision", {"text": "a", "original": "abcdef", "ok": True}), "conflict": ("caption", {"write": "write_conflict"}),
+    }
+    a = attempts_of(spark, items)
     got = {r["item"]: tuple(r)[2:] for r in metrics.attempt_outcome(a).collect()}
-    assert got == {"i": ("succeeded", 2, 30, 6), "j": ("refused", 2, 30, 6)}
+    assert got == {
+        "retried": ("succeeded", None, 2, 30, 6), "refused": ("refused", None, 2, 30, 6), "rate": ("failed", "rate_limit", 0, 0, 0), "fatal": ("failed", "fatal", 0, 0, 0), "lost": ("no_response", "no_response", 0, 0, 0),
+        "cut": ("failed", "truncated", 0, 0, 0), "length": ("failed", "truncated", 0, 0, 0), "cancelled": ("cancelled", None, 0, 10, 2), "blank": ("failed", "empty_reply", 0, 10, 2), "sample": ("skipped", None, 0, 10, 2),
+        "held": ("refused", None, 0, 10, 2), "odd": ("failed", "invalid_decision", 0, 10, 2), "short": ("failed", "length_reduced", 0, 10, 2), "reviewed": ("revised", None, 0, 10, 2), "conflict": ("failed", "write_conflict", 0, 10, 2),
+    }
+    rows: dict = {}
+    for r in metrics.attempt_metrics(a).collect():
+        rows.setdefault(r["item"], []).append((r["retries"], r["status"], r["key_id"]))
+    assert sorted(rows["retried"]) == [(0, "refused", "k"), (1, "refused", "k"), (2, "succeeded", "k")]
+    assert rows["rate"] == [(0, "failed", None)] and "lost" not in rows and rows["cancelled"] == [(0, "refused", "k")]
 
 
 def test_score_tags(spark):
@@ -33,8 +64,10 @@ def test_score_tags(spark):
 
 
 def test_training_grid(spark):
-    row = scores.training_grid(spark.createDataFrame([("g", 60)], "grp string, images long"), 1500, batch=1).first()
-    assert (row["repeats"], row["epochs"], row["steps"]) == (1, 25, 1500)
+    groups = spark.createDataFrame([("g", 60, "style", 1, "balanced"), ("h", 0, "pose", 100, "strong")], "grp string, images long, kind string, batch int, strength string")
+    got = {r["grp"]: r for r in scores.training_grid(groups).collect()}
+    assert (got["g"]["repeats"], got["g"]["epochs"], got["g"]["steps"], got["g"]["target_steps"]) == (1, 25, 1500, 1500)
+    assert got["h"]["images"] == 1 and got["h"]["target_steps"] == 750
 
 
 def test_sample_is_stable_and_partitions(spark):
@@ -46,22 +79,46 @@ def test_sample_is_stable_and_partitions(spark):
 
 
 def test_headers(spark):
-    h = spark.createDataFrame([("a", '{"__metadata__":{"z":"1"},"t":{"n":1}}'), ("b", '{"t":1}'), ("c", "oops")], "path string, header string")
-    assert {r["path"]: r["status"] for r in files.stripped(h).collect()} == {"a": "sanitized", "b": "already_clean", "c": "error"}
-    assert {r["path"]: (r["metadata_present"], r["tensors"]) for r in files.metadata_report(h).collect()} == {"a": (True, 1), "b": (False, 1), "c": (False, 0)}
+    tensor = '{"dtype":"F32","shape":[2, 3],"data_offsets":[0,24]}'
+    rows = [("a", f'{{"__metadata__":{{"ss_x":"1","SS_a":"2"}},"t.\\"w\\"":{tensor}}}'), ("b", f'{{"t":{tensor}}}'), ("c", "oops"), ("d", '{"t":1}'), ("e", '{"t":{"dtype":"F32","shape":[2],"data_offsets":[0,-1]}}'), ("f", None)]
+    h = spark.createDataFrame([(*r, bytearray(b"123")) for r in rows], "path string, header string, payload binary")
+    got = {r["path"]: r for r in files.stripped(h).collect()}
+    assert {k: (r["status"], r["verified"]) for k, r in got.items()} == {"a": ("sanitized", True), "b": ("already_clean", True), "c": ("error", False), "d": ("error", False), "e": ("error", False), "f": ("error", False)}
+    assert json.loads(got["a"]["header"]) == {'t."w"': json.loads(tensor)} and got["a"]["removed"] == 2 and got["a"]["payload_sha256"] == hashlib.sha256(b"123").hexdigest()
+    told = {r["path"]: (r["metadata_present"], r["keys"], r["tensors"], r["error"]) for r in files.metadata_report(h).collect()}
+    assert told["a"] == (True, "SS_a,ss_x", 1, None) and told["b"] == (False, "", 1, None) and told["d"][3] == told["e"][3] == "not a tensor" and told["c"][3] == "malformed header"
 
 
 def test_folders(spark, tmp_path):
     (tmp_path / "x" / ".refusal").mkdir(parents=True)
-    for name in ("x/1.png", "x/2.jpg", "x/.refusal/3.png"):
+    for name in ("x/1.png", "x/2.TIFF", "x/.refusal/3.png", "x/4.gif", "x/1.PNG"):
         (tmp_path / name).write_bytes(b"i")
-    (tmp_path / "x/1.txt").write_text("a, b")
+    (tmp_path / "x/1.txt").write_bytes(b"\xef\xbb\xbfa, b")
+    (tmp_path / "x/5.TXT").write_bytes("你好".encode("gb18030"))
     pairs = files.paired(files.image_paths(spark, str(tmp_path)), files.sidecars(spark, str(tmp_path))).collect()
-    assert sorted((r["path"].rsplit("/", 1)[1], r["caption"]) for r in pairs) == [("1.png", "a, b"), ("2.jpg", None)]
-    (tmp_path / "labels.csv").write_text('tag_id,name,category,count\n1,"a,b",0,5\n2,general,9,5\n')
-    assert [tuple(r)[:2] for r in files.label_table(spark, str(tmp_path / "labels.csv")).orderBy("index").collect()] == [(0, "a,b"), (1, None)]
+    assert sorted((r["path"].rsplit("/", 1)[1], r["caption"], r["status"]) for r in pairs) == [("1.PNG", "a, b", "succeeded"), ("2.TIFF", "", "pending")]
+    assert {r["caption_path"].rsplit("/", 1)[1]: r["caption"] for r in files.sidecars(spark, str(tmp_path)).collect()}["5.TXT"] == "你好"
+    assert files.image_paths(spark, str(tmp_path), recursive=False).count() == 0 and files.text_paths(spark, f"{tmp_path}/x").count() == 2
+    (tmp_path / "labels.csv").write_text('tag_id,name,category,count\n1,safe,9,5\n2,"a,b",0,5\n\n3,general,4,5\n')
+    labels = files.label_table(spark, str(tmp_path / "labels.csv"))
+    assert [tuple(r)[:2] for r in labels.orderBy("index").collect()] == [(0, None), (1, "a,b"), (2, "general")] and files.rating_count(labels).first()[0] == 1
     files.export_captions(spark.createDataFrame([("p", "c")], "caption_path string, caption string"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    files.append(spark.createDataFrame([("q", "d")], "caption_path string, caption string"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_scanned_drops_repeated_paths_and_hidden_folders(spark):
+    names = ["d/a.png", "d/A.PNG", "d/.h/b.png", "d/s/.c.jpg", "d/s/c.JPEG", "d/x.gif", "other/d.png"]
+    frame = spark.createDataFrame([(n,) for n in names], "path string")
+    assert sorted(r["path"] for r in files.scanned(frame, "d").collect()) == ["d/A.PNG", "d/s/c.JPEG"]
+    assert [r["path"] for r in files.scanned(frame, "d/", recursive=False).collect()] == ["d/A.PNG"]
+
+
+def test_replies_over_several_lines(spark):
+    lines = ['data: {"choices":[{"delta":', '"x"}]}', "", ": c", "nonsense", '[{"choices":[{"delta":{"content":["a",{"text":"b"}]}}]},', '{"choices":[{"delta":{"content":{"content":"c"}}}]}]', 'data: {"choices":[{"message":{"content":"again"}}]}', "data: [DONE]"]
+    frame = spark.createDataFrame([("r", "openai", n, x) for n, x in enumerate(lines)] + [("q", "openai", 0, '{"choices":[{"message":{"content":"whole"}}]}'), ("q", "openai", 1, "data: [DONE]"), ("t", "openai", 0, '{"choices":[{"delta":{"reasoning":"hm"}}]}'), ("t", "openai", 1, "[DONE]"), ("e", "gemini", 0, '{"error":"bad"}'), ("z", "openai", 0, "data: [DONE]")], "request_id string, provider string, seq long, line string")
+    got = {r["request_id"]: (r["text"], r["outcome"]) for r in responses.reassembled(frame).collect()}
+    assert got == {"r": ("abc", "ok"), "q": ("whole", "ok"), "t": ("", "reasoning_only"), "e": ("", "failed"), "z": ("", "empty")}
 
 
 def test_stream_equals_batch(spark, tmp_path):

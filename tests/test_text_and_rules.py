@@ -30,6 +30,7 @@ RULES = [
     ("1girl, solo, 1GIRL", EditRule(position="end", content="smile", deduplicate=True), "1girl, solo, smile"),
     ("cost $5 (now)", EditRule(mode="text", action="replace", content="$5 (now)", replacement=r"\$1"), r"cost \$1"),
     ("aXbxc", EditRule(mode="text", action="delete", content="x", all_matches=False), "abxc"),
+    ("a b c", EditRule(mode="text", action="delete", content="c", anchor="a"), "a b "),
     ("aXbxc", EditRule(mode="text", action="delete", content="x", case_sensitive=True), "aXbc"),
     ("k12", EditRule(mode="text", action="replace", content=r"([a-z])(\d+)", replacement="$2$1", regex=True, all_matches=False), "12k"),
     ("héllo", EditRule(mode="text", position="index", index=2, content="|"), "hé|llo"),
@@ -46,7 +47,7 @@ def test_edit_rules(spark, before, rule, after):
 
 
 def test_a_bad_pattern_is_an_error_row(spark):
-    row = rules.preview(spark.createDataFrame([("p", "a")], "caption_path string, caption string"), EditRule(action="delete", content="(", regex=True)).first()
+    row = rules.preview(spark.createDataFrame([("p", "a")], "caption_path string, caption string"), EditRule(action="delete", content="(?P<n>a)", regex=True)).first()
     assert row["error"] == "invalid pattern" and not row["changed"]
 
 
@@ -56,7 +57,11 @@ def test_texts(spark):
     assert one(spark, "no comma ", t.normalized) == "no comma "
     assert one(spark, "<think>x</think>```text\n\"1girl,solo\"```", t.cleaned) == "1girl, solo"
     assert one(spark, "keep <think>open", t.without_think) == "keep"
-    assert one(spark, "Authorization: Bearer abcdefghijk", t.redacted).count(t.MASK) >= 1
+    secrets = "key: abcd1234, x-goog-api-key=zzzz; bearer abcdefgh12 http://h/?apikey=s3&token=t1&signature=q"
+    assert one(spark, secrets, t.redacted) == "key: ••••, x-goog-api-key=••••; bearer •••• http://h/?apikey=••••"
+    assert one(spark, "http://h/?x=1&access_token=t1&signature=q", t.redacted) == "http://h/?x=1&access_token=••••"
+    assert one(spark, "http://h/?x=1&signature=q&y=2", t.redacted) == "http://h/?x=1&signature=••••&y=2"
+    assert one(spark, "monkey bars, http://h/?sig=1", t.redacted) == "monkey bars, http://h/?sig=1"
     assert one(spark, "img10_2", t.natural_key) > one(spark, "img9_30", t.natural_key)
     assert one(spark, "abcdef1234", t.masked) == "••••1234"
 
@@ -66,7 +71,15 @@ def test_decisions_and_refusals(spark):
     assert (d["keep"], d["reason"], d["score"], d["error"]) == (False, "blurred", 40.0, False)
     assert one(spark, "maybe", t.decision)["error"]
     refused = lambda s: one(spark, s, lambda c: t.refusal(c, F.lit(None).cast("string")))
-    assert refused("抱歉，我无法协助完成这个请求。") and refused("不能错过的夕阳，城市天际线") is None
+    for no in ("I am unable to help with this", "I must decline this request", "我必须拒绝", "不便提供", "Ｉ　ｃａｎｎｏｔ　ｈｅｌｐ", "I'm sorry, I can't", "抱歉，我无法协助完成这个请求。"):
+        assert refused(no)["rule"] and not refused(no)["structured"]
+    assert refused("x" * 40 + " I cannot help you")["excerpt"] == "x" * 23 + " I cannot help you"
+    own = one(spark, "Nope (sorry not)", lambda c: t.refusal(c, F.lit(None).cast("string"), (t.RefusalRule("(", regex=True), t.RefusalRule("nope (sorry"))))
+    assert own["rule"] == "nope (sorry"
+    assert one(spark, "fine", lambda c: t.refusal(c, F.lit("SAFETY")))["structured"]
+    d = one(spark, "KEEP\nScore:\nx: 85.5", t.decision)
+    assert (d["keep"], d["reason"], d["score"]) == (True, t.KEPT, 85.5)
+    assert refused("不能错过的夕阳，城市天际线") is None
     d = spark.createDataFrame([("foo 12 bar", "foo N bar")], "a string, b string").select(t.diff_parts(F.col("a"), F.col("b")).alias("d")).first()["d"]
     assert tuple(d) == ("foo ", "12", "N", " bar")
 
