@@ -7,7 +7,10 @@ fixed size and rare words beyond it are simply encoded again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -41,7 +44,8 @@ class ChunkTokenizer:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.runs_of = regex.compile(split["pattern"]["Regex"]).findall
         self.bare = Tokenizer(self.whole.model)  # the model alone, on runs with blanks between them
@@ -52,6 +56,8 @@ class ChunkTokenizer:
         self.is_end[[n for t, n in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.chunks, self.runs = {}, {}
         self.max_chunks, self.max_runs = chunks, runs
+        del spec
+        gc.collect()
 
     def _runs(self, low: str) -> list[str]:
         """Most chunks are letters alone, or letters and one mark: these need no pattern."""
@@ -113,6 +119,15 @@ class ChunkTokenizer:
         return ids, ends[bounds]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers share an executor's memory with its JVM and live through many stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice has more text than the limit, unless one text alone is longer."""
     size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -121,7 +136,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(begin + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.take(pa.array(range(begin, end), pa.int64()))  # a copy: ascii_lower misreads arrays that begin inside a buffer
         begin, base = end, int(size[end - 1])
-    pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
+    give_back()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
