@@ -14,24 +14,39 @@ from tagloom.llm.common import durable, table
 from tagloom.llm.queries import TOKENIZER
 
 
+ROWS = 500  # documents that pass between the JVM and Python at a time: five stages share the executors' memory
+
+
+def lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier accepts; rows are matched by id and text, so any repeated ids keep their own verdicts."""
+    lean(spark)
     return quality.keep_predicted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs, words=5, percent=80)
+    """One row of each group of near-duplicates; texts without words stay, rows without an id go before those with one."""
+    lean(spark)
+    return neardup.keep_one(docs, words=5, percent=80)  # the usual law for stages on shingles; op9's contract has its own
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text holds no benchmark item."""
+    lean(spark)
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets in their texts masked and n_chars counted anew where a text changed."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each token piece of each row, with its place in a sequence; a null text is one piece with the end id."""
+    lean(spark)
     return packing.pack_sum_of_squares(docs, TOKENIZER)
 
 
@@ -43,7 +58,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Trained models and tokenizers are beyond SQL; tests hold the pipeline against brute force.
+# Trained models and tokenizers are beyond SQL; tests hold every stage against brute force on the smallest tables.
 ORACLE_SQL = None
 
 
