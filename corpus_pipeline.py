@@ -15,6 +15,7 @@ from tagloom.llm.queries import TOKENIZER
 
 
 ROWS = 500  # documents that pass between the JVM and Python at a time: five stages share the executors' memory
+SLICE = 1 << 20  # bytes of text that a worker encodes at a time, for the same reason
 
 
 def lean(spark: SparkSession) -> None:
@@ -47,7 +48,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each token piece of each row, with its place in a sequence; a null text is one piece with the end id."""
     lean(spark)
-    return packing.pack_sum_of_squares(docs, TOKENIZER)
+    return packing.pack_sum_of_squares(docs, TOKENIZER, slice_bytes=SLICE)
 
 
 STAGES = [

@@ -21,20 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tagloom.llm.common import durable, id_and_text, parts_for
-from tagloom.llm.tokens import cut, slices, tokenizer_for, with_end
+from tagloom.llm.tokens import SLICE_BYTES, cut, slices, tokenizer_for, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 MATRIX = "sequence_id long, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, n_tokens int, input_ids binary, position_ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document: where it starts, how long it is, and a checksum of its ids."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """A row for each piece of each document: where it starts, how long it is, and a checksum of its ids.
+
+    Texts are encoded in slices of about ``slice_bytes``: smaller ones take less of a worker's memory and some more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_for(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=slice_bytes):
                 ids, bounds = tokenizer.encode(part.column("text"))
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for k, doc in enumerate(part.column("doc_id").to_pylist()):
@@ -74,12 +77,12 @@ def place_sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return sequence, offset
 
 
-def pack_sum_of_squares(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, pieces_per_task: int = 16_384) -> DataFrame:
+def pack_sum_of_squares(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, pieces_per_task: int = 16_384, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     The pieces are written once, without their ids, because their count decides into how many tasks they are dealt.
     """
-    pieces = durable(token_pieces(docs, tokenizer_path, capacity), "pieces")
+    pieces = durable(token_pieces(docs, tokenizer_path, capacity, slice_bytes=slice_bytes), "pieces")
     groups = parts_for(pieces.count(), pieces_per_task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

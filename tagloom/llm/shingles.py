@@ -37,6 +37,11 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return known[codes], bounds
 
 
+def forget_words() -> None:
+    """Drop the remembered hashes; later words are hashed anew."""
+    _WORDS.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(32))) * _MIX

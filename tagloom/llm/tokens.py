@@ -20,13 +20,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tagloom.llm.shingles import forget_words
+
 SLICE_BYTES = 2 << 20  # texts are encoded in slices of about this size
 _LOADED: dict[str, "ChunkTokenizer"] = {}
 
 
 def tokenizer_for(path: str) -> ChunkTokenizer:
-    """One tokenizer for each file and Python worker."""
+    """One tokenizer for each file and Python worker, which keeps the caches of one stage at a time."""
     if path not in _LOADED:
+        forget_words()
         _LOADED[path] = ChunkTokenizer(path)
     return _LOADED[path]
 
@@ -113,10 +116,12 @@ class ChunkTokenizer:
         packed = self.chunk_ids(words.dictionary.to_pylist())
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         pool, first = np.frombuffer(b"".join(packed), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
+        del lists, words, packed
         each = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(each)))
-        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
-        return ids, ends[bounds]
+        at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), each)  # a slice has far fewer than 2**31 ids
+        at += np.arange(ends[-1], dtype=np.int32)
+        return pool[at], ends[bounds]
 
 
 def give_back() -> None:
