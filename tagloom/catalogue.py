@@ -316,6 +316,34 @@ query("refusal_plan", "SELECT 'd/' || file_name AS path, 'd/.refusal/' || file_n
     lambda v: jobs.refusal_plan(*[v.jobs().where(w).select(F.concat(F.lit(p), f("file_name")).alias("path")) for w, p, f in (("true", "d/", F.col), ("item_id % 3 = 0", "D/", F.upper), ("item_id % 10 = 0", "d/.refusal/", F.col))], "d"))
 
 
+@query("code_labels", "SELECT status, CASE status WHEN 'succeeded' THEN 'Done' WHEN 'failed' THEN 'Failed' ELSE status END AS label, count(*) AS n FROM jobs GROUP BY 1, 2", "jobs")
+def _(v: Views) -> DataFrame:
+    """Labels of a caller's own choice."""
+    return v.jobs().groupBy("status").agg(F.count("*").alias("n")).withColumn("label", jobs.label_of(F.col("status"), {"succeeded": "Done", "failed": "Failed"}))
+
+
+query("status_labels", """SELECT item_id, CASE status WHEN 'pending' THEN '等待' WHEN 'running' THEN '处理中' WHEN 'succeeded' THEN '已完成' WHEN 'revised' THEN '已修订' WHEN 'no_response' THEN '无响应' WHEN 'refused' THEN '疑似拒绝' WHEN 'failed' THEN '失败' WHEN 'skipped' THEN '已跳过'
+    WHEN 'cancelled' THEN '已取消' ELSE status END AS label FROM jobs""", "jobs")(lambda v: v.jobs().select("item_id", jobs.label_of(F.col("status"), jobs.STATUS_LABELS).alias("label")))
+query("error_labels", """SELECT item, batch_id, attempt, CASE error WHEN 'rate_limit' THEN '限流' WHEN 'auth' THEN '认证失败' WHEN 'quota' THEN '额度用尽' WHEN 'transient' THEN '网络错误' WHEN 'prompt_rejected' THEN '提示词被拒' WHEN 'fatal' THEN '请求失败' WHEN 'cancelled' THEN '已取消' ELSE error END AS label
+    FROM attempts WHERE error IS NOT NULL""", "attempts")(lambda v: v.attempts().where("error is not null").select("item", "batch_id", "attempt", jobs.label_of(F.col("error"), jobs.ERROR_LABELS).alias("label")))
+query("source_labels", "SELECT id, CASE source WHEN 'manual' THEN '手动编辑' ELSE source END AS label FROM versions", "versions")(lambda v: v.versions().select("id", jobs.label_of(F.col("source"), jobs.SOURCE_LABELS).alias("label")))
+
+
+_LIVE = """, e AS (SELECT user_id AS item_id, arg_max(s, event_id) AS last, count(*) FILTER (s = 'revised') AS n, bool_or(s <> 'running') AS ended
+        FROM (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'signup' THEN 'revised' WHEN 'error' THEN 'no_response' ELSE 'running' END AS s FROM events) GROUP BY 1)
+    SELECT j.item_id, coalesce(last, status) AS status, j.item_id % 2 = 0 AND NOT coalesce(ended, false) AS selected, reviewed OR coalesce(n, 0) > 0 AS reviewed, revision_count + coalesce(n, 0) AS revision_count FROM jobs j LEFT JOIN e ON e.item_id = j.item_id"""
+
+
+@query("live_jobs", _LIVE, "jobs")
+def _(v: Views) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "signup", "revised").when(F.col("event_type") == "error", "no_response").otherwise("running")
+    ends = streams.job_ends(v.table("events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), status.alias("status")))
+    return jobs.live(v.jobs().withColumn("selected", F.col("item_id") % 2 == 0), ends).select("item_id", "status", "selected", "reviewed", "revision_count")
+
+
+query("newest_versions", "SELECT id, caption_path, old_content, new_content, source, batch_id FROM versions ORDER BY id DESC LIMIT 500", "versions")(lambda v: versions.newest_versions(v.versions()))
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 _PATH = "'d/' || source || ['/', '/.hidden/', '/sub.v2/'][(doc_id % 3 + 1)::INT] || CASE WHEN doc_id % 2 = 0 THEN 'Img' ELSE 'img' END || doc_id % 200 || ['.png', '.JPG', '.jpeg', '.webp', '.bmp', '.tif', '.TIFF', '.gif', '.txt'][(doc_id % 9 + 1)::INT]"
@@ -353,6 +381,30 @@ def _(v: Views) -> DataFrame:
     return v.captions().select("item_id", F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "").alias("path"))
 
 
+@query("export_captions", "SELECT caption_path, caption || '!' AS caption FROM captions WHERE item_id % 4 = 1 UNION ALL SELECT 'new/' || caption_path, caption FROM captions WHERE item_id % 10 = 0", "captions")
+def _(v: Views) -> DataFrame:
+    """A quarter of the captions was edited and some are new; these alone are written, and read back here."""
+    c = v.captions().select("item_id", "caption_path", "caption")
+    edited = c.withColumn("caption", F.when(F.col("item_id") % 4 == 1, F.concat("caption", F.lit("!"))).otherwise(F.col("caption")))
+    new = c.where("item_id % 10 = 0").withColumn("caption_path", F.concat(F.lit("new/"), "caption_path"))
+    target = f"{scratch(v)}/captions"
+    files.export_captions(files.changed_captions(c, edited.unionByName(new)).select("caption_path", "caption"), target)
+    return v.spark.read.parquet(target)
+
+
+@query("edit_preview", f"""
+    , t AS (SELECT *, {TAGLIST} AS tags FROM captions), d AS (SELECT min(item_id) AS item_id FROM captions GROUP BY caption_path),
+    e AS (SELECT caption_path, item_id % 7 = 0 AS bad, CASE WHEN item_id % 7 = 0 THEN '' ELSE caption END AS before, CASE WHEN item_id % 7 = 0 THEN '' ELSE {DELETED} END AS after FROM t JOIN d USING (item_id))
+    SELECT caption_path, before, after, before <> after AS changed, CASE WHEN bad THEN 'binary content' END AS error FROM e""", "captions")
+def _(v: Views) -> DataFrame:
+    """Every path once, however often it is picked; a file that isn't text is an error with an empty text."""
+    n = F.col("item_id")
+    picked = v.captions().withColumn("content", F.when(n % 7 == 0, F.unhex(F.lit("6100"))).otherwise(F.encode("caption", "UTF-8")))
+    again = picked.where(n % 3 == 0).withColumn("caption_path", F.upper("caption_path"))
+    once = sampling.dedupe_paths(picked.unionByName(again.withColumn("item_id", n + (1 << 40))))
+    return rules.preview(files.read_texts(once), DELETE)
+
+
 # --- request statistics ---------------------------------------------------------------------------------------------
 
 SUMS = """count(*) AS requests, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
@@ -410,6 +462,22 @@ def _(v: Views) -> DataFrame:
     return metrics.attempt_metrics(v.attempts())
 
 
+query("run_closed", """, r AS (SELECT 'r' || item_id % 20 AS run, status, length(caption) AS input_tokens, CASE WHEN item_id % 3 = 0 THEN item_id END AS output_tokens FROM jobs), n AS (SELECT DISTINCT 'r' || item_id % 25 AS run FROM jobs),
+    s AS (SELECT run, count(*) AS total, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused,
+        count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM r GROUP BY run)
+    SELECT run, coalesce(total, 0) AS total, coalesce(succeeded, 0) AS succeeded, coalesce(revised, 0) AS revised, coalesce(refused, 0) AS refused, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, coalesce(cancelled, 0) AS cancelled,
+        coalesce(input_tokens, 0)::BIGINT AS input_tokens, coalesce(output_tokens, 0)::BIGINT AS output_tokens, 'completed' AS run_status FROM n LEFT JOIN s USING (run)""", "jobs")(
+    lambda v: (lambda run, j: metrics.run_closed(j.select(run(25)), j.select(run(20), "status", F.char_length("caption").cast("long").alias("input_tokens"), F.when(F.col("item_id") % 3 == 0, F.col("item_id")).alias("output_tokens")), "run"))(
+        lambda n: F.concat(F.lit("r"), (F.col("item_id") % n).cast("string")).alias("run"), v.jobs()))
+query("job_measures", """SELECT count(*) AS total, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, round(avg(ttft_ms) FILTER (key_id IS DISTINCT FROM 'k3'), 4) AS average_ttft_ms,
+    round(avg(tokens_per_second) FILTER (key_id IS DISTINCT FROM 'k3'), 4) AS average_tokens_per_second FROM requests""", "requests")(
+    lambda v: metrics.job_measures(v.requests().withColumn("key_label", F.when(F.col("key_id") == "k3", "本地模型 wd").otherwise(F.col("key_id")))))
+query("merged_usage", """, u AS (SELECT *, CASE WHEN item[2:]::BIGINT % 4 > 0 THEN input_tokens + output_tokens END AS total_tokens, CASE WHEN attempt % 2 = 0 THEN output_tokens * 3 END AS generation_ms FROM attempts)
+    SELECT item, batch_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(total_tokens)::DOUBLE AS total_tokens, sum(generation_ms)::DOUBLE AS generation_ms, round(arg_max(ttft_ms, attempt) FILTER (ttft_ms IS NOT NULL), 4) AS ttft_ms,
+    round(arg_max(tokens_per_second, attempt) FILTER (tokens_per_second IS NOT NULL), 4) AS tokens_per_second FROM u GROUP BY item, batch_id""", "attempts")(
+    lambda v: metrics.merged_usage(v.attempts().withColumn("total_tokens", F.when(F.substring("item", 2, 20).cast("long") % 4 > 0, (F.col("input_tokens") + F.col("output_tokens")).cast("double"))).withColumn("generation_ms", F.when(F.col("attempt") % 2 == 0, F.col("output_tokens") * 3.0))))
+
+
 @query("retry_migration", """, r AS (SELECT *, lag(key_id) OVER (PARTITION BY item, batch_id ORDER BY attempt) AS before FROM attempts) SELECT count(*) FILTER (attempt > 0) AS retries, count(*) FILTER (attempt > 0 AND before IS NOT DISTINCT FROM key_id) AS same_key FROM r""", "attempts")
 def _(v: Views) -> DataFrame:
     before = F.lag("key_id").over(Window.partitionBy("item", "batch_id").orderBy("attempt"))
@@ -428,6 +496,15 @@ def _(v: Views) -> DataFrame:
     return streams.key_health(v.requests().where("key_id is not null").select("key_id", F.col("created_at").alias("ts"), error.alias("error")))
 
 
+@query("key_rests", """, e AS (SELECT key_id, id, created_at, attempt, CASE WHEN id % 3 = 0 THEN id % 50 + 0.5 END AS asked, CASE kind WHEN 'click' THEN 'rate_limit' WHEN 'error' THEN CASE id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'quota' ELSE 'transient' END END AS error FROM attempts WHERE key_id IS NOT NULL),
+    g AS (SELECT key_id, arg_max(created_at + to_milliseconds((1000 * coalesce(asked, CASE WHEN attempt = 0 THEN 5 ELSE 10 END))::BIGINT), id) FILTER (error = 'rate_limit') AS cooldown_until, arg_max(error, id) FILTER (error IN ('auth', 'quota')) AS why FROM e GROUP BY key_id)
+    SELECT key_id, cooldown_until, why IS NOT NULL AS disabled, CASE why WHEN 'auth' THEN '认证失败（401/403），Key 已停用' WHEN 'quota' THEN '额度用尽（quota/billing），Key 已停用' END AS disable_reason FROM g""", "attempts")
+def _(v: Views) -> DataFrame:
+    n = F.col("id")
+    error = F.when(F.col("kind") == "click", "rate_limit").when(F.col("kind") == "error", F.when(n % 4 == 0, "auth").when(n % 4 == 1, "quota").otherwise("transient"))
+    return streams.key_rests(v.attempts().where("key_id is not null").select("key_id", n.alias("seq"), F.col("created_at").alias("ts"), error.alias("error"), "attempt", F.when(n % 3 == 0, n % 50 + 0.5).alias("retry_after")))
+
+
 @query("peak_concurrency", """, s AS (SELECT key_id, created_at AS moment, 1 AS step FROM requests WHERE key_id IS NOT NULL UNION ALL SELECT key_id, created_at + INTERVAL 10 MINUTE, -1 FROM requests WHERE key_id IS NOT NULL),
     n AS (SELECT key_id, moment, sum(step) AS net FROM s GROUP BY 1, 2), r AS (SELECT key_id, sum(net) OVER (PARTITION BY key_id ORDER BY moment) AS open FROM n) SELECT key_id, max(open)::BIGINT AS peak FROM r GROUP BY key_id""", "requests")
 def _(v: Views) -> DataFrame:
@@ -478,6 +555,23 @@ def _(v: Views) -> DataFrame:
     return told.select("id", "r.rule", "r.excerpt", F.coalesce("r.structured", F.lit(False)).alias("structured"))
 
 
+_SHOWN = {
+    r"(?i)\bi (?:can(?:not|''t)|am unable to) (?:help|assist|comply|provide|fulfill)": "r1", r"(?i)\bi must (?:decline|refuse)": "r2", r"(?i)\bthis request (?:is not something i can|cannot be)\b": "r3",
+    r"(?:无法|不能|不便)(?:为你|向你|对此)?(?:协助|帮助|完成|提供|执行|生成|回答)": "r4", r"(?:我必须|需要)(?:拒绝|婉拒)": "r5", r"(?:该请求|这个请求).{0,16}(?:无法|不能)(?:处理|完成|满足)": "r6",
+}
+_AT = "length(string_split_regex(flat, '{0}')[1])"
+_SHOWN_RULE = " ".join(f"WHEN regexp_matches(flat, '{p}') THEN '{p}'" for p in _SHOWN)
+_SHOWN_TEXT = " ".join(f"WHEN regexp_matches(flat, '{p}') THEN substr(flat, greatest({_AT} - 24, 0) + 1, {_AT} + length(regexp_extract(flat, '{p}')) + 48 - greatest({_AT} - 24, 0))".replace("{0}", p) for p in _SHOWN)
+_MORE = "CASE id % 7 WHEN 0 THEN 'Sadly this request cannot be ' || reply WHEN 1 THEN '所以该请求暂时无法处理。' || reply WHEN 2 THEN 'this request cannot bear ' || reply ELSE reply END"
+
+
+@query("shown_refusal", f""", f AS (SELECT id, structured, trim(regexp_replace(translate({_MORE}, 'Ｉ　ｃａｎｏｔｈｅｌｐ', 'I canothelp'), '{WHITE}+', ' ', 'g')) AS flat FROM responses)
+    SELECT id, CASE WHEN structured IS NOT NULL THEN structured {_SHOWN_RULE} WHEN {_HINTS} THEN 'apology+inability' END AS rule, CASE WHEN structured IS NOT NULL THEN structured {_SHOWN_TEXT} WHEN {_HINTS} THEN flat[1:180] END AS excerpt, structured IS NOT NULL AS structured FROM f""", "responses")
+def _(v: Views) -> DataFrame:
+    told = v.responses().select("id", t.shown_refusal(F.expr(_MORE), F.col("structured")).alias("r"))
+    return told.select("id", "r.rule", "r.excerpt", F.coalesce("r.structured", F.lit(False)).alias("structured"))
+
+
 query("length_drop", "SELECT id, length(reply) * 2 < length(original) AND original <> '' AS dropped FROM responses", "responses")(lambda v: v.responses().select("id", t.length_drop(F.col("original"), F.col("reply")).alias("dropped")))
 
 
@@ -592,6 +686,9 @@ def _(v: Views) -> DataFrame:
     return sampling.random_sample(v.captions(), 100, "s1").select("item_id")
 
 
+query("sample_rest", "SELECT item_id, row_number() OVER (ORDER BY md5(item_id::VARCHAR || 's1'), item_id) <= 100 AS sampled FROM captions", "captions")(lambda v: sampling.sampled_and_rest(v.captions(), 100, "s1").select("item_id", "sampled"))
+
+
 @query("sample_split", "SELECT item_id, CASE WHEN item_id % 4 = 1 THEN 'kept' ELSE 'rest' END AS bucket FROM captions", "captions")
 def _(v: Views) -> DataFrame:
     return sampling.split(v.captions(), v.captions().where("item_id % 4 = 1").select(F.upper("caption_path").alias("caption_path")))
@@ -652,6 +749,27 @@ def _(v: Views) -> DataFrame:
     return sampling.relocation_plan(items, existing)
 
 
+_BOXES = "['d/', 'd/.selected/', 'd/.rejected/', 'e/'][(doc_id % 4 + 1)::INT] || CASE WHEN doc_id % 12 = 0 THEN 'alone' || doc_id ELSE 'of/' || doc_id // 4 END || '.png'"
+_ACTION = "['keep', 'reject', 'return', 'reset'][(doc_id // 4 % 4 + 1)::INT]"
+
+
+@query("relocations", f"""WITH i AS (SELECT doc_id, {_BOXES} AS path, {_ACTION} AS action FROM documents),
+    o AS (SELECT path, arg_min(action, doc_id) AS action, min(doc_id) AS n FROM i GROUP BY path),
+    x AS (SELECT path, action, n, CASE WHEN path LIKE 'd/%' AND (action IN ('keep', 'reject') OR path LIKE 'd/.%') THEN 'd/' || CASE action WHEN 'keep' THEN '.selected/' WHEN 'reject' THEN '.rejected/' ELSE '' END || regexp_replace(path, '^d/([.]selected/|[.]rejected/)?', '') END AS target FROM o),
+    f AS (SELECT path FROM o UNION SELECT replace(path, '.png', '.txt') FROM o WHERE n % 3 = 0),
+    y AS (SELECT *, EXISTS (SELECT 1 FROM f WHERE f.path = x.target) AS there, EXISTS (SELECT 1 FROM f WHERE f.path = replace(x.path, '.png', '.txt')) AS own, EXISTS (SELECT 1 FROM f WHERE f.path = replace(x.target, '.png', '.txt')) AS taken FROM x),
+    s AS (SELECT *, CASE WHEN target IS NULL THEN 'outside' WHEN target = path THEN 'same' WHEN there OR (taken AND (own OR action = 'reset')) THEN 'blocked' ELSE 'moved' END AS status FROM y),
+    r AS (SELECT *, row_number() OVER (PARTITION BY target, status ORDER BY NOT contains(path, '/.selected/'), path) AS turn FROM s)
+    SELECT path, action, target, CASE WHEN own THEN replace(target, '.png', '.txt') END AS caption_target, CASE WHEN status = 'moved' AND turn > 1 THEN 'blocked' ELSE status END AS status FROM r""")
+def _(v: Views) -> DataFrame:
+    n = F.col("doc_id")
+    pick = lambda at, *values: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    path = F.concat(pick(n % 4, "d/", "d/.selected/", "d/.rejected/", "e/"), F.when(n % 12 == 0, F.concat(F.lit("alone"), n.cast("string"))).otherwise(F.concat(F.lit("of/"), F.floor(n / 4).cast("string"))), F.lit(".png"))
+    images = v.table("documents").groupBy(path.alias("path")).agg(F.min_by(pick(F.floor(n / 4) % 4, "keep", "reject", "return", "reset"), "doc_id").alias("action"), F.min("doc_id").alias("n"))
+    texts = images.where("n % 3 = 0").select(sampling.caption_of(F.col("path")).alias("path"))
+    return sampling.relocations(images.select("path", "action"), images.select("path").unionByName(texts), "d")
+
+
 @query("retention_plan", "SELECT name, grp, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name DESC) AS rank FROM (SELECT caption_path AS name, item_id % 5 AS grp FROM captions)) WHERE rank > 20", "captions")
 def _(v: Views) -> DataFrame:
     return sampling.retention_plan(v.captions().select(F.col("caption_path").alias("name"), (F.col("item_id") % 5).alias("grp")), 20, "grp")
@@ -672,6 +790,34 @@ def _(v: Views) -> DataFrame:
     return scores.score_tags(v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("scores")), labels, 0.53, 5)
 
 
+@query("label_table", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS index, CASE WHEN p_partkey > 4 AND p_partkey % 5 > 0 THEN replace(p_name, ' ', '_') || ',' || p_partkey END AS name, CASE WHEN p_partkey <= 4 THEN '9' WHEN p_partkey % 5 = 0 THEN '1' WHEN p_partkey % 2 = 0 THEN '0' ELSE '4' END AS category FROM part WHERE p_partkey < 64")
+def _(v: Views) -> DataFrame:
+    """One model's label file: a row for each of the slots of an embedding."""
+    target = f"{scratch(v)}/labels"
+    label_rows(v).coalesce(1).sortWithinPartitions("tag_id").select(F.col("tag_id").cast("string"), "name", "category", "count").write.csv(target, header=True, quote='"', escape='"')
+    return files.label_table(v.spark, target)
+
+
+def label_rows(v: Views) -> DataFrame:
+    k = F.col("p_partkey")
+    category = F.when(k <= 4, "9").when(k % 5 == 0, "1").when(k % 2 == 0, "0").otherwise("4")
+    return v.table("part").where(k < 64).select(k.alias("tag_id"), F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(","), k.cast("string")).alias("name"), category.alias("category"), F.lit("5").alias("count"))
+
+
+@query("score_tags_shifted", """
+    WITH l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS index, CASE WHEN p_partkey > 3 THEN replace(p_name, ' ', '_') || '_' || p_partkey END AS name FROM part WHERE p_partkey < 64),
+    s AS (SELECT vec_id AS item_id, unnest(list_transform(embedding[1:CASE WHEN vec_id % 2 = 0 THEN 60 ELSE 64 END], lambda x: 1 / (1 + exp(-x::DOUBLE)))) AS p, unnest(range(0, CASE WHEN vec_id % 2 = 0 THEN 60 ELSE 64 END)) + CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 0 END AS index FROM embeddings),
+    r AS (SELECT item_id, name, row_number() OVER (PARTITION BY item_id ORDER BY p DESC, index) AS n FROM s JOIN l USING (index) WHERE p >= 0.53 AND name IS NOT NULL)
+    SELECT item_id, string_agg(name, ', ' ORDER BY n) AS tags, count(*) AS n_tags FROM r WHERE n <= 5 GROUP BY item_id""")
+def _(v: Views) -> DataFrame:
+    """64 labels with four ratings at the head: every second vector has no slots for them."""
+    k = F.col("p_partkey")
+    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), k.cast("string"))
+    labels = v.table("part").where(k < 64).select(k.cast("int").alias("index"), F.when(k > 3, name).alias("name"), F.when(k <= 3, "9").otherwise("0").alias("category"))
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.slice("embedding", F.lit(1), F.when(F.col("vec_id") % 2 == 0, 60).otherwise(64)).alias("scores"))
+    return scores.score_tags(scores.shifted(vectors, labels), labels.select("index", "name"), 0.53, 5, underscores=True)
+
+
 _STEPS = """CASE kind WHEN 'character' THEN CASE WHEN images < 15 THEN 800 WHEN images <= 30 THEN 1000 WHEN images <= 60 THEN 1200 WHEN images <= 120 THEN 1400 ELSE 1600 END WHEN 'style' THEN CASE WHEN images < 30 THEN 1200 WHEN images <= 80 THEN 1500 WHEN images <= 200 THEN 1800 ELSE 2000 END
     WHEN 'concept' THEN CASE WHEN images < 15 THEN 700 WHEN images <= 40 THEN 900 WHEN images <= 100 THEN 1200 ELSE 1500 END ELSE CASE WHEN images < 20 THEN 650 WHEN images <= 60 THEN 850 WHEN images <= 150 THEN 1100 ELSE 1300 END END"""
 
@@ -737,9 +883,9 @@ query("response_usage", """SELECT DISTINCT 'r' || conv_id AS request_id, CASE WH
 
 @query("channel_keys", "SELECT o_custkey AS connection, c_mktsegment AS channel, o_orderkey AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")
 def _(v: Views) -> DataFrame:
-    keys = v.table("orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("keys"))
-    joined = v.table("customer").join(keys, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("connection"), F.col("c_mktsegment").alias("channel"), F.explode("keys").alias("k"))
-    return joined.where("k.o_orderstatus <> 'P'").select("connection", "channel", F.col("k.o_orderkey").alias("key"))
+    keys = v.table("orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("connection"), F.col("o_orderkey").alias("key"))
+    channels = v.table("customer").select(F.col("c_custkey").alias("connection"), F.col("c_mktsegment").alias("channel"))
+    return channels.join(keys, "connection").select("connection", "channel", "key")
 
 
 @query("model_catalog", "SELECT p_brand AS id, min(coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 5 = 0 THEN p_type END, p_brand)) AS name FROM part WHERE p_size % 3 <> 0 GROUP BY 1")

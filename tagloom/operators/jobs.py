@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 RETRYABLE = ("failed", "refused", "cancelled")
 
 
+# What a list shows for states, kinds of error and sources of a version.
+STATUS_LABELS = {
+    "pending": "等待", "running": "处理中", "succeeded": "已完成", "revised": "已修订",
+    "no_response": "无响应", "refused": "疑似拒绝", "failed": "失败", "skipped": "已跳过", "cancelled": "已取消",
+}
+ERROR_LABELS = {
+    "rate_limit": "限流", "auth": "认证失败", "quota": "额度用尽", "transient": "网络错误", "prompt_rejected": "提示词被拒", "truncated": "响应截断", "length_reduced": "长度骤减",
+    "empty_reply": "空响应", "write_error": "写入失败", "no_key": "无可用 Key", "download_failed": "模型下载失败", "fatal": "请求失败", "cancelled": "已取消",
+}
+SOURCE_LABELS = {"manual": "手动编辑", "batch_edit": "批量编辑", "revision": "模型修订", "undo": "撤销恢复"}
+
+
+def label_of(code: Column, labels: dict[str, str]) -> Column:
+    """A code's label, or the code itself where there is none."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, code), code)
+
+
 def has(needle: str, *columns: str) -> Column:
     """Whether any column holds the trimmed needle, without regard to case; a blank needle is in every row."""
     low = needle.strip().lower()
@@ -47,6 +65,18 @@ def marked(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(again, "pending").otherwise(F.col("status"))).withColumn("error", F.when(~again, F.col("error"))).drop("__c")
 
 
+def live(jobs: DataFrame, states: DataFrame) -> DataFrame:
+    """Jobs after their events; states(item_id, status, revisions, ended): the last status, how often a job was revised and
+    whether any event ended it. An end takes the selection away, a revision counts and marks the job as reviewed."""
+    now = states.select(F.col("item_id").alias("__i"), F.col("status").alias("__status"), "revisions", "ended")
+    rows = jobs.join(now, F.col("item_id") == F.col("__i"), "left")
+    more = F.coalesce("revisions", F.lit(0))
+    return (
+        rows.withColumn("status", F.coalesce("__status", "status")).withColumn("selected", F.col("selected") & ~F.coalesce("ended", F.lit(False)))
+        .withColumn("reviewed", F.col("reviewed") | (more > 0)).withColumn("revision_count", F.col("revision_count") + more).drop("__i", "__status", "revisions", "ended")
+    )
+
+
 def moved_into(bucket: DataFrame, more: DataFrame) -> DataFrame:
     """A bucket's paths after others came in, each once."""
     return bucket.unionByName(more).distinct()

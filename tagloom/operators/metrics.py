@@ -67,6 +67,29 @@ def run_summary(items: DataFrame, run: str) -> DataFrame:
     )
 
 
+def run_closed(runs: DataFrame, items: DataFrame, run: str) -> DataFrame:
+    """A row for each run, also for one without items: counts by status and token sums. It is completed even where it was
+    cancelled, and items without any response are in no counter but the total."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    sums = items.groupBy(run).agg(F.count("*").alias("total"), *map(count, ("succeeded", "revised", "refused", "failed", "skipped", "cancelled")), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return runs.select(run).distinct().join(sums, run, "left").na.fill(0).withColumn("run_status", F.lit("completed"))
+
+
+def job_measures(jobs: DataFrame, local: str = "本地模型") -> DataFrame:
+    """Token sums of all jobs, and averages of first-token time and speed without the jobs of local models (by key label)."""
+    remote = ~F.startswith(F.coalesce("key_label", F.lit("")), F.lit(local))
+    mean = lambda c, name: F.round(F.avg(F.when(remote, F.col(c))), 4).alias(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return jobs.agg(F.count("*").alias("total"), total("input_tokens"), total("output_tokens"), mean("ttft_ms", "average_ttft_ms"), mean("tokens_per_second", "average_tokens_per_second"))
+
+
+def merged_usage(attempts: DataFrame) -> DataFrame:
+    """What an item's attempts used together: sums that are null where no attempt has a value, and the last time and speed."""
+    last = lambda c: F.round(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("attempt"))), 4).alias(c)
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens", "generation_ms")]
+    return attempts.groupBy("item", "batch_id").agg(*sums, last("ttft_ms"), last("tokens_per_second"))
+
+
 def usage_over_attempts(attempts: DataFrame) -> DataFrame:
     """Sums of what all attempts used; first-token time and speed of the last attempt that has them."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("attempt")))

@@ -126,10 +126,14 @@ def text_edit(text: Column, rule: EditRule) -> Column:
 
 
 def preview(captions: DataFrame, rule: EditRule) -> DataFrame:
-    """caption_path, before, after, changed, error for every caption; a rule that can't be applied is an error on each row."""
+    """caption_path, before, after, changed, error for every caption; a rule that can't be applied is an error on each row.
+
+    Captions that couldn't be read say why in a column ``unreadable`` and stay as they are."""
     wrong = invalid(rule)
     after = F.col("caption") if wrong else (tag_edit if rule.mode == "tag" else text_edit)(F.col("caption"), rule)
-    return captions.select("caption_path", F.col("caption").alias("before"), after.alias("after")).withColumn("changed", F.col("before") != F.col("after")).withColumn("error", F.lit(wrong).cast("string"))
+    own = F.col("unreadable") if "unreadable" in captions.columns else F.lit(None).cast("string")
+    rows = captions.select("caption_path", F.col("caption").alias("before"), F.when(own.isNull(), after).otherwise(F.col("caption")).alias("after"), own.alias("own"))
+    return rows.withColumn("changed", F.col("before") != F.col("after")).withColumn("error", F.coalesce("own", F.lit(wrong).cast("string"))).drop("own")
 
 
 def preview_counts(previewed: DataFrame) -> DataFrame:

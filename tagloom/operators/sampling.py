@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import natural_key
 from tagloom.operators.versions import latest
 
 
+def caption_of(path: Column) -> Column:
+    """The text beside an image."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit(".txt"))
+
+
 def random_sample(items: DataFrame, k: int, seed: str) -> DataFrame:
     """k rows by hash of id and seed: the same rows on every run and cluster, found as a distributed top-k."""
     return items.orderBy(F.md5(F.concat(F.col("item_id").cast("string"), F.lit(seed))), "item_id").limit(k)
 
 
+def sampled_and_rest(items: DataFrame, k: int, seed: str) -> DataFrame:
+    """All items with ``sampled``: whether they are among the k of random_sample."""
+    drawn = random_sample(items, k, seed).select(F.col("item_id").alias("__d"))
+    return items.join(drawn, F.col("item_id") == F.col("__d"), "left").withColumn("sampled", F.col("__d").isNotNull()).drop("__d")
+
+
 def split(items: DataFrame, kept: DataFrame) -> DataFrame:
     """item_id, bucket: kept by path regardless of case, rest otherwise."""
     marks = kept.select(F.lower("caption_path").alias("p"), F.lit("kept").alias("bucket")).distinct()
@@ -69,6 +82,31 @@ def relocation_plan(items: DataFrame, existing: DataFrame) -> DataFrame:
     return items.withColumn("target", target).join(there, "target", "left").select("path", "target", F.when(F.col("there"), "skip").otherwise("move").alias("action"))
 
 
+def relocations(images: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """images(path, action) with action keep, reject, return or reset; files(path): all that is there, captions too.
+
+    -> path, action, target, caption_target, status. An image takes its caption along (null: it has none). ``blocked``: the
+    target is there, or that of the caption; a reset is blocked by any caption at the target. ``same``: already there.
+    ``outside``: not below the root, or for return and reset in none of the two buckets. Of several images for one target the
+    first moves, those of .selected before those of .rejected, then by path.
+    """
+    base = re.escape(root.rstrip("/"))
+    inner = F.regexp_extract("path", rf"^{base}/(?:\.selected/|\.rejected/)?(.+)$", 1)
+    boxed, back = F.col("path").rlike(rf"^{base}/\.(?:selected|rejected)/."), F.col("action").isin("return", "reset")
+    folder = F.when(F.col("action") == "keep", ".selected/").when(F.col("action") == "reject", ".rejected/").otherwise("")
+    target = F.when((inner != "") & (~back | boxed), F.concat(F.lit(f"{root.rstrip('/')}/"), folder, inner))
+    rows = images.withColumn("target", target).withColumn("__own", caption_of(F.col("path"))).withColumn("__new", caption_of(F.col("target")))
+    for column, flag in (("target", "__there"), ("__own", "__captioned"), ("__new", "__taken")):
+        known = files.select(F.col("path").alias(f"{flag}_path")).distinct()
+        rows = rows.join(known, F.coalesce(column, "path") == F.col(f"{flag}_path"), "left").withColumn(flag, F.col(f"{flag}_path").isNotNull()).drop(f"{flag}_path")
+    stuck = F.col("__there") | (F.col("__taken") & (F.col("__captioned") | (F.col("action") == "reset")))
+    status = F.when(F.col("target").isNull(), "outside").when(F.col("target") == F.col("path"), "same").when(stuck, "blocked").otherwise("moved")
+    turn = Window.partitionBy(F.coalesce("target", "path"), F.col("status") == "moved").orderBy(~F.col("path").contains("/.selected/"), "path")
+    rows = rows.withColumn("status", status).withColumn("__turn", F.row_number().over(turn))
+    late = (F.col("status") == "moved") & (F.col("__turn") > 1)
+    return rows.select("path", "action", "target", F.when(F.col("__captioned"), F.col("__new")).alias("caption_target"), F.when(late, "blocked").otherwise(F.col("status")).alias("status"))
+
+
 def retention_plan(names: DataFrame, keep: int, group: str) -> DataFrame:
     """Names beyond the newest ``keep`` of each group."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("name").desc()))

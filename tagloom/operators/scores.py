@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def score_tags(scores: DataFrame, labels: DataFrame, threshold: float, most: int) -> DataFrame:
+def score_tags(scores: DataFrame, labels: DataFrame, threshold: float, most: int, underscores: bool = False) -> DataFrame:
     """scores(item_id, scores), labels(index, name): the names of the highest scores at or above the threshold, best first.
 
     Values outside 0..1 are taken as logits. Labels align by place; Spark broadcasts them if they are as small as they should be.
     """
     s = F.col("scores")
-    plain = F.forall(s, lambda x: (x >= 0) & (x <= 1))
+    plain = F.forall(F.filter(s, lambda x: x.isNotNull()), lambda x: (x >= 0) & (x <= 1))
     p = F.when(plain, F.transform(s, lambda x: x.cast("double"))).otherwise(F.transform(s, lambda x: 1 / (1 + F.exp(-x.cast("double")))))
     placed = scores.select("item_id", F.posexplode(p).alias("index", "p")).where(F.col("p") >= threshold)
     named = placed.join(labels, "index").where("name is not null")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), "index", "name")))  # at most a label each
-    top = F.transform(F.slice(ordered, 1, most) if most else ordered, lambda x: F.replace(x["name"], F.lit("_"), F.lit(" ")))
+    top = F.transform(F.slice(ordered, 1, most) if most else ordered, lambda x: x["name"] if underscores else F.replace(x["name"], F.lit("_"), F.lit(" ")))
     return named.groupBy("item_id").agg(F.array_join(top, ", ").alias("tags"), F.least(F.count("*"), F.lit(most if most else 1 << 40)).cast("long").alias("n_tags"))
 
 
+def shifted(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores put beside their labels(index, name, category): a vector as long as the taggable labels lacks the ratings at the
+    head, so empty slots take their place. Labels are one model's table, and only its two counts are broadcast."""
+    head = F.min(F.when(F.coalesce("category", F.lit("")) != "9", F.col("index")))
+    counts = labels.agg(F.coalesce(head, F.count("*")).cast("int").alias("__head"), F.count_if(F.coalesce("name", F.lit("")) != "").alias("__names"))
+    lacking = F.when(F.size("scores") == F.col("__names"), F.col("__head")).otherwise(0)
+    empty = F.array_repeat(F.lit(None).cast("double"), lacking)
+    return scores.crossJoin(F.broadcast(counts)).withColumn("scores", F.concat(empty, F.col("scores").cast("array<double>"))).drop("__head", "__names")  # one row is broadcast
+
+
 # Steps wanted by kind, as (most images, steps) in order; epochs preferred by kind; factor by strength; how many
 # repeats are free of charge, as (most images, repeats) in order.
 STEPS = {

@@ -76,6 +76,11 @@ def version_history(versions: DataFrame, per_path: int = 200) -> DataFrame:
     return versions.withColumn("rank", rank).where(F.col("rank") <= per_path)
 
 
+def newest_versions(versions: DataFrame, most: int = 500) -> DataFrame:
+    """The newest rows over all paths; sorting and limit run as one distributed top-k."""
+    return versions.orderBy(F.desc("id")).limit(most)
+
+
 def journal_reconcile(journal: DataFrame, current: DataFrame, versions: DataFrame) -> DataFrame:
     """Pending writes: with their version row the content must be ``after``, without it ``before``; anything else is repaired."""
     known = versions.select(F.col("id").alias("version_id"), F.lit(True).alias("recorded"))

@@ -72,6 +72,12 @@ def sidecars(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path").alias("caption_path"), decoded(F.col("content")).alias("caption"), text_error(F.col("path"), F.col("content")).alias("error"))
 
 
+def read_texts(rows: DataFrame) -> DataFrame:
+    """rows(caption_path, content, ...) with caption and unreadable: what can't be edited as text is empty and says why."""
+    why = text_error(F.col("caption_path"), F.col("content"))
+    return rows.withColumn("unreadable", why).withColumn("caption", F.when(F.col("unreadable").isNull(), decoded(F.col("content"))).otherwise("")).drop("content")
+
+
 def stem(path: Column) -> Column:
     """The caption path of an image: the same with txt for the ending."""
     return F.concat(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit(".txt"))
@@ -187,5 +193,12 @@ def export_captions(captions: DataFrame, path: str, partition: str | None = None
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def changed_captions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The captions(caption_path, caption) that a sink has to write: new ones and those whose text isn't the old one."""
+    old = before.select(F.col("caption_path").alias("__p"), F.col("caption").alias("__c"), F.lit(True).alias("__there"))
+    rows = after.join(old, F.col("caption_path") == F.col("__p"), "left")
+    return rows.where(F.col("__there").isNull() | ~F.col("caption").eqNullSafe(F.col("__c"))).drop("__p", "__c", "__there")
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-STATE = "item string, status string, revisions long, events long"
-TERMINAL = ("succeeded", "revised", "refused", "failed", "skipped", "cancelled")
+TERMINAL = ("succeeded", "revised", "no_response", "refused", "failed", "skipped", "cancelled")
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,21 +18,14 @@ def job_states_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("item").agg(F.max_by("status", "seq").alias("status"), F.count_if(F.col("status") == "revised").alias("revisions"), F.count("*").alias("events"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One small state row for each item; rows of a micro-batch are put in order of their sequence number first."""
-    seq, status, revisions, events = state.get if state.exists else (-1, "", 0, 0)
-    for rows in batches:
-        revisions += int((rows["status"] == "revised").sum())
-        events += len(rows)
-        last = rows.loc[rows["seq"].idxmax()]
-        if last["seq"] > seq:
-            seq, status = int(last["seq"]), last["status"]
-    state.update((seq, status, revisions, events))
-    yield pd.DataFrame({"item": [key[0]], "status": [status], "revisions": [revisions], "events": [events]})
+def job_states(events: DataFrame) -> DataFrame:
+    """The same as a stream, in update mode: a job's row comes again whenever it changes. State is one row for each job."""
+    return job_states_batch(events)
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    return events.groupBy("item").applyInPandasWithState(_fold, STATE, "seq long, status string, revisions long, events long", "update", "NoTimeout")
+def job_ends(events: DataFrame) -> DataFrame:
+    """events(item_id, seq, status) -> what live() merges into jobs; runs on a stream as well as on a batch."""
+    return events.groupBy("item_id").agg(F.max_by("status", "seq").alias("status"), F.count_if(F.col("status") == "revised").alias("revisions"), F.bool_or(F.col("status").isin(*TERMINAL)).alias("ended"))
 
 
 def run_progress(events: DataFrame) -> DataFrame:
@@ -67,6 +55,23 @@ def key_health(events: DataFrame, cooldown: int = 5) -> DataFrame:
     return events.groupBy("key_id").agg(rest.alias("cooldown_until"), F.bool_or(F.col("error").isin("auth", "quota")).alias("disabled"))
 
 
+# Why a key is out of use.
+UNUSABLE = {"auth": "认证失败（401/403），Key 已停用", "quota": "额度用尽（quota/billing），Key 已停用"}
+
+
+def key_rests(events: DataFrame) -> DataFrame:
+    """events(key_id, seq, ts, error, attempt, retry_after): each key's last rest, as long as the service asks for in seconds, or
+    5 at a first attempt and 10 later; whether it is out of use, and why. Runs on a stream too, in update mode."""
+    rests, dead = F.col("error") == "rate_limit", F.col("error").isin(*UNUSABLE)
+    wait = F.coalesce(F.col("retry_after").cast("double"), F.when(F.col("attempt") == 0, 5.0).otherwise(10.0))
+    until = F.max_by(F.col("ts") + F.make_dt_interval(secs=wait), F.when(rests, F.col("seq")))
+    reason = F.max_by("error", F.when(dead, F.col("seq")))
+    why = F.lit(None).cast("string")
+    for kind, text in UNUSABLE.items():
+        why = F.when(reason == kind, text).otherwise(why)
+    return events.groupBy("key_id").agg(until.alias("cooldown_until"), F.coalesce(F.bool_or(dead), F.lit(False)).alias("disabled"), why.alias("disable_reason"))
+
+
 def log_stream(events: DataFrame) -> DataFrame:
     """Log events alone, with a default level."""
     return events.where("type = 'log'").select("batch_id", F.coalesce("level", F.lit("info")).alias("level"), "message")

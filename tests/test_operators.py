@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from tagloom import catalogue
-from tagloom.operators import metrics, responses, sampling, scores, versions
+from tagloom.operators import jobs, metrics, responses, rules, sampling, scores, versions
 from tagloom.sources import files
 from tagloom.streaming import jobs as streams
 
@@ -139,3 +139,46 @@ def test_hourly_stream_over_unordered_files_equals_the_batch(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     stream, batch = (sorted((str(r["hour"]), r["event_type"], r["n"]) for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect()) for q in ("hourly_stream", "hourly_batch"))
     assert stream == batch == [("2026-01-01 03:00:00", "view", 2), ("2026-01-02 12:00:00", "view", 2)]
+
+
+def test_relocations(spark):
+    there = ["d/a.png", "d/a.txt", "d/.selected/b.png", "d/.rejected/b.png", "d/.rejected/c.png", "d/c.txt", "d/.selected/a.png", "e/x.png", "d/f.png", "d/.selected/s/g.png", "d/.selected/s/g.txt", "d/h.png", "d/.rejected/h.txt"]
+    files_ = spark.createDataFrame([(p,) for p in there], "path string")
+    wanted = [("d/a.png", "reject"), ("d/a.png", "keep"), ("d/.selected/b.png", "reset"), ("d/.rejected/b.png", "reset"), ("d/.rejected/c.png", "reset"), ("d/.rejected/c.png", "return"), ("e/x.png", "keep"), ("d/f.png", "return"), ("d/.selected/s/g.png", "keep"), ("d/.selected/s/g.png", "reject"), ("d/h.png", "reject"), ("d/.selected/a.png", "reset")]
+    got = {(r["path"], r["action"]): (r["target"], r["caption_target"], r["status"]) for r in sampling.relocations(spark.createDataFrame(wanted, "path string, action string"), files_, "d/").collect()}
+    assert got == {
+        ("d/a.png", "reject"): ("d/.rejected/a.png", "d/.rejected/a.txt", "moved"), ("d/a.png", "keep"): ("d/.selected/a.png", "d/.selected/a.txt", "blocked"), ("d/.selected/b.png", "reset"): ("d/b.png", None, "moved"),
+        ("d/.rejected/b.png", "reset"): ("d/b.png", None, "blocked"), ("d/.rejected/c.png", "reset"): ("d/c.png", None, "blocked"), ("d/.rejected/c.png", "return"): ("d/c.png", None, "moved"), ("e/x.png", "keep"): (None, None, "outside"),
+        ("d/f.png", "return"): (None, None, "outside"), ("d/.selected/s/g.png", "keep"): ("d/.selected/s/g.png", "d/.selected/s/g.txt", "same"), ("d/.selected/s/g.png", "reject"): ("d/.rejected/s/g.png", "d/.rejected/s/g.txt", "moved"),
+        ("d/h.png", "reject"): ("d/.rejected/h.png", None, "moved"), ("d/.selected/a.png", "reset"): ("d/a.png", None, "blocked"),
+    }
+
+
+def test_keys_rest_and_fail(spark):
+    at = "2026-01-01 00:00:00"
+    rows = [("a", 1, at, "rate_limit", 0, None), ("a", 2, at, "rate_limit", 1, None), ("b", 1, at, "rate_limit", 1, 2.5), ("b", 2, at, "auth", 0, None), ("b", 3, at, "quota", 0, None), ("c", 1, at, None, 0, None)]
+    events = spark.createDataFrame(rows, "key_id string, seq long, ts string, error string, attempt long, retry_after double").withColumn("ts", F.to_timestamp("ts"))
+    got = {r["key_id"]: (str(r["cooldown_until"])[11:], r["disabled"], r["disable_reason"]) for r in streams.key_rests(events).collect()}
+    assert got == {"a": ("00:00:10", False, None), "b": ("00:00:02.500000", True, "额度用尽（quota/billing），Key 已停用"), "c": ("", False, None)}
+
+
+def test_live_jobs(spark):
+    own = spark.createDataFrame([(1, "pending", True, False, 2), (2, "pending", True, False, 0), (3, "failed", True, True, 1)], "item_id long, status string, selected boolean, reviewed boolean, revision_count long")
+    events = spark.createDataFrame([(1, 1, "revised"), (1, 2, "running"), (1, 3, "revised"), (2, 1, "running"), (9, 1, "failed")], "item_id long, seq long, status string")
+    got = {r["item_id"]: tuple(r)[1:] for r in jobs.live(own, streams.job_ends(events)).collect()}
+    assert got == {1: ("revised", False, True, 4), 2: ("running", True, False, 0), 3: ("failed", True, True, 1)}
+
+
+def test_label_shift(spark):
+    labels = spark.createDataFrame([(0, None, "9"), (1, None, "9"), (2, "a_b", "0"), (3, "c", "4")], "index int, name string, category string")
+    vectors = spark.createDataFrame([(1, [0.9, 0.8]), (2, [0.9, 0.9, 0.1, 0.8])], "item_id long, scores array<double>")
+    got = {r["item_id"]: r["tags"] for r in scores.score_tags(scores.shifted(vectors, labels), labels.select("index", "name"), 0.5, 0, underscores=True).collect()}
+    assert got == {1: "a_b, c", 2: "c"}
+
+
+def test_changed_captions_and_unreadable_texts(spark):
+    before, after = (spark.createDataFrame(x, "caption_path string, caption string") for x in ([("a", "1"), ("b", "2"), ("c", None)], [("a", "1"), ("b", "3"), ("c", None), ("d", "4")]))
+    assert sorted(r["caption_path"] for r in files.changed_captions(before, after).collect()) == ["b", "d"]
+    texts = files.read_texts(spark.createDataFrame([("a.txt", b"x, token"), ("b.txt", b"x\x00"), ("c.md", b"x"), ("d.txt", None)], "caption_path string, content binary"))
+    got = {r["caption_path"]: (r["before"], r["after"], r["error"]) for r in rules.preview(texts, rules.EditRule(action="delete", content="token")).collect()}
+    assert got == {"a.txt": ("x, token", "x", None), "b.txt": ("", "", "binary content"), "c.md": ("", "", "not a .txt file"), "d.txt": ("", "", "missing")}

@@ -99,3 +99,15 @@ def test_diff_parts_of_whole_captions(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = {r["item_id"]: tuple(r)[1:] for r in catalogue.QUERIES["diff_parts_whole"](spark, sf).collect()}
     assert rows == {k: brute_parts(x, x[:10] + "<>" + x[12:]) if x is not None else (None,) * 4 for k, x in texts.items()}
+
+
+@pytest.mark.parametrize("text, tags", [("a, B, b, A, c", "a, B, c"), ("", ""), ("b, a, b, a", "b, a"), (", ".join(f"t{n % 700}" for n in range(3000)), ", ".join(f"t{n}" for n in range(700)))])
+def test_deduplicated_keeps_first_spellings_in_order(spark, text, tags):
+    assert one(spark, text, lambda c: F.array_join(t.deduplicated(t.tags(c)), ", ")) == tags
+
+
+def test_refusals_as_shown(spark):
+    told = lambda text, given=None: one(spark, text, lambda c: t.shown_refusal(c, F.lit(given).cast("string")))
+    assert told("所以该请求暂时无法处理。")["rule"] == t.SHOWN_REFUSALS[5] and told("This request cannot be done")["rule"] == t.SHOWN_REFUSALS[2]
+    assert told("x" * 40 + " i must refuse " + "y" * 90)["excerpt"] == "x" * 23 + " i must refuse" + " " + "y" * 47
+    assert told("不能错过的夕阳，城市天际线") is None and told("fine", "safety")["structured"] and told(None) is None
