@@ -202,6 +202,10 @@ def _(v: Views) -> DataFrame:
     return versions.unreferenced(v.table("supplier").select(F.col("s_suppkey").alias("supplier")), v.table("lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("supplier")), "supplier")
 
 
+query("unreferenced_customers", "SELECT c_custkey AS customer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")(
+    lambda v: versions.unreferenced(v.table("customer").select(F.col("c_custkey").alias("customer")), v.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("customer")), "customer"))
+
+
 @query("upsert_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def _(v: Views) -> DataFrame:
     stamped = v.table("events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))

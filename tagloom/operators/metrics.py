@@ -165,9 +165,16 @@ def ranked_jobs(jobs: DataFrame, by: str, most: int = 500) -> DataFrame:
     return head.select(F.row_number().over(Window.orderBy(*sort_key(by))).cast("long").alias("rank"), "item_id", "file_name")
 
 
-def peak_concurrency(spans: DataFrame, key: str) -> DataFrame:
-    """spans(key, start, end): most intervals open at once for each key; an end frees its place before a start at that instant."""
+def peak_concurrency(spans: DataFrame, key: str, unit: str = "hour") -> DataFrame:
+    """spans(key, start, end): most intervals open at once for each key; an end frees its place before a start at that instant.
+
+    Running sums are taken within one unit of time, on top of what the units before left open, so that a key which holds many
+    spans is many tasks' work.
+    """
     steps = spans.select(key, F.col("start").alias("at"), F.lit(1).alias("step")).unionAll(spans.select(key, F.col("end").alias("at"), F.lit(-1).alias("step")))
-    sums = steps.groupBy(key, "at").agg(F.sum(F.when(F.col("step") < 0, -1).otherwise(0)).alias("down"), F.sum("step").alias("net"))
-    running = F.sum("net").over(Window.partitionBy(key).orderBy("at"))
-    return sums.withColumn("open", running).groupBy(key).agg(F.max("open").cast("long").alias("peak"))
+    moments = steps.groupBy(key, F.date_trunc(unit, "at").alias("__unit"), "at").agg(F.sum("step").alias("net"))
+    units = steps.groupBy(key, F.date_trunc(unit, "at").alias("__unit")).agg(F.sum("step").alias("net"))  # a row for each key and unit
+    before = F.sum("net").over(Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1))
+    carried = units.select(key, "__unit", F.coalesce(before, F.lit(0)).alias("__before"))
+    running = F.sum("net").over(Window.partitionBy(key, "__unit").orderBy("at"))
+    return moments.join(carried, [key, "__unit"]).withColumn("open", F.col("__before") + running).groupBy(key).agg(F.max("open").cast("long").alias("peak"))
