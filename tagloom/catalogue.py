@@ -237,11 +237,10 @@ def _(v: Views) -> DataFrame:
     return v.jobs().where((t.utrim(F.col("caption")) != "") & ~F.col("reviewed")).select("item_id")
 
 
-@query("dashboard", """SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (revision_count > 0) AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
+@query("dashboard", """SELECT count(*) AS total, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (revision_count > 0) AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
     count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM jobs""", "jobs")
 def _(v: Views) -> DataFrame:
-    count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return v.jobs().agg(F.count("*").alias("total"), count("succeeded"), F.count_if(F.col("revision_count") > 0).alias("revised"), *map(count, ("refused", "failed", "skipped", "cancelled")))
+    return metrics.job_counts(v.jobs())
 
 
 NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(file_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
@@ -431,7 +430,15 @@ def _(v: Views) -> DataFrame:
     return metrics.labelled(metrics.stats(v.requests(), "connection_id"), v.table("nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name")))
 
 
-@query("run_summary", """SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
+_NAMES_SQL = """SELECT s.*, coalesce(name, grp) AS label FROM s LEFT JOIN n ON grp = id"""
+query("stats_preset_names", f", s AS (SELECT coalesce(preset_id, '') AS grp, {SUMS} FROM requests GROUP BY 1), n AS (SELECT 'p' || n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 3 = 0) {_NAMES_SQL}", "requests")(
+    lambda v: metrics.labelled(metrics.stats(v.requests(), "preset_id"), metrics.preset_names(v.table("nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.when(F.col("n_nationkey") % 3 == 0, F.to_json(F.struct(F.col("n_name").alias("name")))).when(F.col("n_nationkey") % 3 == 1, '{"name":5}').otherwise("{broken").alias("json")))))
+query("stats_key_names", f", s AS (SELECT coalesce(key_id, '') AS grp, {SUMS} FROM requests GROUP BY 1), n AS (SELECT 'k' || n_nationkey % 12 AS id, arg_max(n_name, n_nationkey) AS name FROM nation WHERE n_nationkey % 4 <> 3 GROUP BY 1) {_NAMES_SQL}", "requests")(
+    lambda v: metrics.labelled(metrics.stats(v.requests(), "key_id"), metrics.key_names(v.table("nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 == 3, "{broken").otherwise(
+        F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("k"), (F.col("n_nationkey") % 12).cast("string")).alias("id"), F.col("n_name").alias("label")), F.struct(F.lit(None).cast("string").alias("id"), F.lit("none").alias("label"))).alias("keyRefs")))).alias("json")))))
+
+
+@query("run_summary", """SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
     count(*) FILTER (status = 'skipped') AS skipped, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, 'completed' AS run_status FROM requests GROUP BY batch_id""", "requests")
 def _(v: Views) -> DataFrame:
     return metrics.run_summary(v.requests(), "batch_id")
@@ -467,7 +474,7 @@ def _(v: Views) -> DataFrame:
 
 
 query("run_closed", """, r AS (SELECT 'r' || item_id % 20 AS run, status, length(caption) AS input_tokens, CASE WHEN item_id % 3 = 0 THEN item_id END AS output_tokens FROM jobs), n AS (SELECT DISTINCT 'r' || item_id % 25 AS run FROM jobs),
-    s AS (SELECT run, count(*) AS total, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused,
+    s AS (SELECT run, count(*) AS total, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused,
         count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM r GROUP BY run)
     SELECT run, coalesce(total, 0) AS total, coalesce(succeeded, 0) AS succeeded, coalesce(revised, 0) AS revised, coalesce(refused, 0) AS refused, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, coalesce(cancelled, 0) AS cancelled,
         coalesce(input_tokens, 0)::BIGINT AS input_tokens, coalesce(output_tokens, 0)::BIGINT AS output_tokens, 'completed' AS run_status FROM n LEFT JOIN s USING (run)""", "jobs")(
@@ -494,6 +501,10 @@ def _(v: Views) -> DataFrame:
     return metrics.key_stats(v.attempts())
 
 
+query("key_counters", FOLLOWED + """ SELECT key_id, count(*) FILTER (NOT goes_on AND result IN ('succeeded', 'revised', 'skipped')) AS succeeded, count(*) FILTER (goes_on OR result NOT IN ('succeeded', 'revised', 'skipped')) AS failed,
+    coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS tokens FROM f WHERE error IS NULL AND key_id IS NOT NULL GROUP BY key_id""", "attempts")(lambda v: metrics.key_counters(v.attempts()))
+
+
 @query("key_health", "SELECT key_id, max(created_at + INTERVAL 5 SECOND) FILTER (kind = 'click') AS cooldown_until, bool_or(kind = 'error') AS disabled FROM requests WHERE key_id IS NOT NULL GROUP BY key_id", "requests")
 def _(v: Views) -> DataFrame:
     error = F.when(F.col("kind") == "click", "rate_limit").when(F.col("kind") == "error", "auth").otherwise("none")

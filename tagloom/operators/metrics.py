@@ -59,19 +59,33 @@ def labelled(breakdown: DataFrame, names: DataFrame) -> DataFrame:
     return breakdown.join(names, breakdown.grp == names.id, "left").drop("id").withColumn("label", F.coalesce("name", "grp")).drop("name")
 
 
+def preset_names(presets: DataFrame) -> DataFrame:
+    """presets(id, json) -> id, name of those whose JSON has a text for its name."""
+    name = F.try_variant_get(F.try_parse_json("json"), "$.name", "variant")
+    return presets.where(F.schema_of_variant(name) == "STRING").select("id", F.get_json_object("json", "$.name").alias("name"))
+
+
+def key_names(connections: DataFrame) -> DataFrame:
+    """connections(id, json) -> id, name: the labels of their keys; of several for one key that of the last connection."""
+    refs = F.from_json(F.get_json_object("json", "$.keyRefs"), "array<struct<id:string,label:string>>")
+    each = connections.select(F.col("id").alias("at"), F.posexplode(refs).alias("n", "k")).where("k.id is not null")
+    return each.groupBy(F.col("k.id").alias("id")).agg(F.max_by("k.label", F.struct("at", "n")).alias("name"))
+
+
 def run_summary(items: DataFrame, run: str) -> DataFrame:
+    """Counts by status and token sums of each run; revised items have succeeded too."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return items.groupBy(run).agg(
-        F.count("*").alias("total"), *map(count, ("succeeded", "revised", "refused", "failed", "skipped")),
+        F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), *map(count, ("revised", "refused", "failed", "skipped")),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.lit("completed").alias("run_status"),
     )
 
 
 def run_closed(runs: DataFrame, items: DataFrame, run: str) -> DataFrame:
-    """A row for each run, also for one without items: counts by status and token sums. It is completed even where it was
+    """A row for each run, also for one without items: counts by status (revised items have succeeded too) and token sums. It is completed even where it was
     cancelled, and items without any response are in no counter but the total."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    sums = items.groupBy(run).agg(F.count("*").alias("total"), *map(count, ("succeeded", "revised", "refused", "failed", "skipped", "cancelled")), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    sums = items.groupBy(run).agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), *map(count, ("revised", "refused", "failed", "skipped", "cancelled")), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     return runs.select(run).distinct().join(sums, run, "left").na.fill(0).withColumn("run_status", F.lit("completed"))
 
 
@@ -145,6 +159,20 @@ def attempt_metrics(attempts: DataFrame, advanced: bool = False) -> DataFrame:
     return replies.unionByName(ends.select("item", "batch_id", F.lit(0).cast("long").alias("retries"), F.lit("failed").alias("status"), F.lit(None).cast("string").alias("key_id"), none("input_tokens"), none("output_tokens")))
 
 
+def key_counters(attempts: DataFrame, advanced: bool = False) -> DataFrame:
+    """Per key, over the attempts that were made: replies that came to something, replies that did not, and their tokens. Requests
+    that failed without a reply count for none of them."""
+    good = ~F.col("goes_on") & F.col("result.status").isin("succeeded", "revised", "skipped")
+    replies = followed(attempts, advanced).where("error is null and key_id is not null")
+    return replies.groupBy("key_id").agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).alias("tokens"))
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs by state; revised ones have succeeded too, and ``revised`` counts those with any revision."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), F.count_if(F.col("revision_count") > 0).alias("revised"), *map(count, ("refused", "failed", "skipped", "cancelled")))
+
+
 def key_stats(attempts: DataFrame) -> DataFrame:
     return attempts.where("key_id is not null").groupBy("key_id").agg(
         F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
