@@ -175,6 +175,11 @@ def _(v: Views) -> DataFrame:
     return versions.restore_version(v.versions(), current(v), F.col("id") % 2 == 0)
 
 
+query("undo_rows", UNDO + " SELECT caption_path, caption AS old_content, first_old AS new_content, 'undo' AS source, 'b0' AS batch_id FROM u WHERE status = 'restored'", "versions")(lambda v: versions.undo_rows(v.versions(), current(v), "b0"))
+query("restore_rows", CURRENT + ", p AS (SELECT caption_path, arg_max(old_content, id) AS content FROM versions WHERE id % 2 = 0 GROUP BY caption_path) SELECT caption_path, caption AS old_content, content AS new_content, 'undo' AS source, NULL::VARCHAR AS batch_id FROM p JOIN current USING (caption_path) WHERE caption <> content", "versions")(
+    lambda v: versions.restore_rows(v.versions(), current(v), F.col("id") % 2 == 0))
+
+
 @query("restore_targets", "SELECT caption_path, max(id) AS id FROM versions WHERE id % 3 > 0 GROUP BY caption_path", "versions")
 def _(v: Views) -> DataFrame:
     return versions.latest(v.versions().where("id % 3 > 0"), "caption_path", F.col("id").desc()).select("caption_path", "id")
@@ -785,6 +790,10 @@ def _(v: Views) -> DataFrame:
     return sampling.relocations(images.select("path", "action"), images.select("path").unionByName(texts), "d")
 
 
+query("retention_deletions", "SELECT name, grp FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name DESC) AS rank FROM (SELECT caption_path AS name, item_id % 5 AS grp FROM captions)) WHERE rank > 20", "captions")(
+    lambda v: sampling.retention_deletions(v.captions().select(F.col("caption_path").alias("name"), (F.col("item_id") % 5).alias("grp")), 20, "grp"))
+
+
 @query("retention_plan", "SELECT name, grp, rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name DESC) AS rank FROM (SELECT caption_path AS name, item_id % 5 AS grp FROM captions)) WHERE rank > 20", "captions")
 def _(v: Views) -> DataFrame:
     return sampling.retention_plan(v.captions().select(F.col("caption_path").alias("name"), (F.col("item_id") % 5).alias("grp")), 20, "grp")
@@ -981,6 +990,14 @@ def _(v: Views) -> DataFrame:
     return streams.drained(streams.log_stream(events), "logs", "append", scratch(v)).drop("__batch")
 
 
+@query("log_stream_redacted", f"SELECT strftime(ts, '%Y-%m-%d') AS batch_id, CASE WHEN event_id % 2 = 0 THEN 'warn' ELSE 'info' END AS level, {_red.replace('{}', 'said')} AS message FROM (SELECT *, 'key: abcd' || event_id || ', Bearer 0123456789 ' || props AS said FROM events) WHERE event_type = 'error'")
+def _(v: Views) -> DataFrame:
+    n = F.col("event_id")
+    said = F.concat(F.lit("key: abcd"), n.cast("string"), F.lit(", Bearer 0123456789 "), F.col("props"))
+    events = streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("batch_id"), F.when(F.col("event_type") == "error", "log").alias("type"), F.when(n % 2 == 0, "warn").alias("level"), said.alias("message"))
+    return streams.drained(streams.log_stream(events), "logs", "append", scratch(v)).drop("__batch")
+
+
 _HOURS = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE ts IS NOT NULL GROUP BY 1, 2"
 query("hourly_batch", _HOURS)(lambda v: streams.hourly_batch(v.table("events")))
 

@@ -107,6 +107,15 @@ def relocations(images: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return rows.select("path", "action", "target", F.when(F.col("__captioned"), F.col("__new")).alias("caption_target"), F.when(late, "blocked").otherwise(F.col("status")).alias("status"))
 
 
+def retention_deletions(names: DataFrame, keep: int, group: str) -> DataFrame:
+    """Names older than the newest ``keep`` of their group. Only these are ranked: each task keeps ``keep`` names of a group before
+    the shuffle, and all rows are compared with one name for each group."""
+    newest = F.row_number().over(Window.partitionBy(group).orderBy(F.col("name").desc()))
+    top = names.select(group, "name").withColumn("__n", newest).where(F.col("__n") <= keep)
+    oldest = top.groupBy(F.col(group).alias("__g")).agg(F.min("name").alias("__oldest"))
+    return names.join(oldest, F.col(group).eqNullSafe(F.col("__g"))).where(F.col("name") < F.col("__oldest")).drop("__g", "__oldest")
+
+
 def retention_plan(names: DataFrame, keep: int, group: str) -> DataFrame:
     """Names beyond the newest ``keep`` of each group."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("name").desc()))

@@ -71,6 +71,18 @@ def restore_version(versions: DataFrame, current: DataFrame, picked: Column) ->
     return current.join(targets, "caption_path").select("caption_path", F.col("id").alias("version_id"), F.col("old_content").alias("content"), (F.col("caption") != F.col("old_content")).alias("changed"))
 
 
+def undo_rows(versions: DataFrame, current: DataFrame, batch: str) -> DataFrame:
+    """The version rows that undoing a batch leaves: one for each restored caption."""
+    done = undo_batch(versions, current, batch).join(current.select("caption_path", F.col("caption").alias("before")), "caption_path")
+    return new_versions(done, "restored", "undo", batch)
+
+
+def restore_rows(versions: DataFrame, current: DataFrame, picked: Column) -> DataFrame:
+    """The version rows that restoring leaves: one for each caption that changes, of no batch."""
+    back = restore_version(versions, current, picked).join(current.select("caption_path", F.col("caption").alias("before")), "caption_path")
+    return new_versions(back.withColumn("status", F.when(F.col("changed"), "written")), "written", "undo", None)
+
+
 def version_history(versions: DataFrame, per_path: int = 200) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("caption_path").orderBy(F.col("id").desc())).cast("long")
     return versions.withColumn("rank", rank).where(F.col("rank") <= per_path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import redacted
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 TERMINAL = ("succeeded", "revised", "no_response", "refused", "failed", "skipped", "cancelled")
 
@@ -73,8 +75,8 @@ def key_rests(events: DataFrame) -> DataFrame:
 
 
 def log_stream(events: DataFrame) -> DataFrame:
-    """Log events alone, with a default level."""
-    return events.where("type = 'log'").select("batch_id", F.coalesce("level", F.lit("info")).alias("level"), "message")
+    """Log events alone, with a default level and without secrets in their messages."""
+    return events.where("type = 'log'").select("batch_id", F.coalesce("level", F.lit("info")).alias("level"), redacted(F.col("message")).alias("message"))
 
 
 def drained(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

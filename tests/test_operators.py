@@ -182,3 +182,15 @@ def test_changed_captions_and_unreadable_texts(spark):
     texts = files.read_texts(spark.createDataFrame([("a.txt", b"x, token"), ("b.txt", b"x\x00"), ("c.md", b"x"), ("d.txt", None)], "caption_path string, content binary"))
     got = {r["caption_path"]: (r["before"], r["after"], r["error"]) for r in rules.preview(texts, rules.EditRule(action="delete", content="token")).collect()}
     assert got == {"a.txt": ("x, token", "x", None), "b.txt": ("", "", "binary content"), "c.md": ("", "", "not a .txt file"), "d.txt": ("", "", "missing")}
+
+
+def test_retention_keeps_the_newest_of_each_group(spark):
+    names = spark.createDataFrame([("a", n) for n in "dcba"] + [("b", "x")] + [(None, n) for n in "qpo"], "grp string, name string")
+    assert sorted((r["grp"] or "", r["name"]) for r in sampling.retention_deletions(names, 2, "grp").collect()) == [("", "o"), ("a", "a"), ("a", "b")]
+
+
+def test_version_rows_of_undo_and_restore(spark):
+    v = spark.createDataFrame([(1, "a", "x", "y", "rule", "b"), (2, "c", "m", "n", "rule", "b"), (3, "e", "p", "p", "rule", "b")], "id long, caption_path string, old_content string, new_content string, source string, batch_id string")
+    now = spark.createDataFrame([("a", "y"), ("c", "other"), ("e", "p")], "caption_path string, caption string")
+    assert [tuple(r) for r in versions.undo_rows(v, now, "b").collect()] == [("a", "y", "x", "undo", "b")]
+    assert sorted(tuple(r) for r in versions.restore_rows(v, now, F.lit(True)).collect()) == [("a", "y", "x", "undo", None), ("c", "other", "m", "undo", None)]
