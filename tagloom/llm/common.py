@@ -91,6 +91,6 @@ def matching(docs: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFram
     """
     mine = unused(docs, "__key")
     theirs = unused(docs, "__id")
-    few = ids.count() <= BROADCAST_ROWS
-    other = ids.toDF(theirs).hint("broadcast" if few else "shuffle_hash")
+    other = ids.toDF(theirs)
+    other = F.broadcast(other) if ids.count() <= BROADCAST_ROWS else other
     return docs.withColumn(mine, key).join(other, F.col(mine) == F.col(theirs), how).drop(mine)

@@ -23,9 +23,10 @@ def word_hash(word: bytes) -> int:
     return known
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words between blanks and control spaces, A-Z in lower case, and each text's bounds among them."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between blanks and control spaces, A-Z in lower case if asked for, and each text's bounds among them."""
+    texts = texts.cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words = lists.flatten().dictionary_encode()
     known = np.fromiter(map(word_hash, words.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(words.dictionary))
     codes, bounds = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()

@@ -1,0 +1,222 @@
+"""Tokenizer alignment, hard negatives and repeated passages against brute force, on small tables with awkward rows."""
+
+import hashlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from pyspark.sql import functions as F
+
+from tagloom.llm import alignment, negatives, substrings
+from tagloom.llm.queries import BYTE_LEVEL, PIECES
+
+DOCS = "doc_id long, text string, lang string, key string, place long, hash string, n_words string"
+
+
+def frame(spark, texts, parts=3):
+    rows = [(n if n != 3 else None, t, "en", "k", 1, "h", "w") for n, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[0]], DOCS).repartition(parts)
+
+
+# tokenizer alignment
+
+
+@pytest.fixture(scope="module")
+def vocabularies():
+    first = Tokenizer.from_file(BYTE_LEVEL)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    letters = {c: b for b, c in alignment._printable_bytes().items()}
+    bytes_a = lambda n: bytes(letters[c] for c in first.id_to_token(n))
+    bytes_b = lambda n: bytes([int(second.id_to_piece(n)[3:5], 16)]) if second.is_byte(n) else second.id_to_piece(n).replace("▁", " ").encode()
+    return first, second, bytes_a, bytes_b
+
+
+def tokens(text, vocabularies):
+    """Ids and end offsets of both, or nothing where bytes differ."""
+    first, second, bytes_a, bytes_b = vocabularies
+    a, b = first.encode(" " + (text or ""), add_special_tokens=False).ids, second.encode(text or "")
+    by_a, by_b = list(map(bytes_a, a)), list(map(bytes_b, b))
+    if not text or not b"".join(by_a) == b"".join(by_b) == (" " + text).encode():
+        return [], []
+    return [list(zip(ids, np.cumsum(list(map(len, by))).tolist())) for ids, by in ((a, by_a), (b, by_b))]
+
+
+def aligned_by_hand(texts, vocabularies):
+    both = [tokens(t, vocabularies) for t in texts]
+    links = [[(x, y) for y, end in b for x, at in a if at == end] for a, b in both]
+    counts = Counter(p for own in links for p in own)
+    top = {}
+    for (_, y), n in counts.items():
+        top[y] = max(top.get(y, 0), n)
+    out = []
+    for (a, b), own in zip(both, links):
+        cuts, written, begin = sorted({e for _, e in a} & {e for _, e in b}), [], 0
+        for end in cuts:
+            written.append("|".join(",".join(str(n) for n, e in side if begin < e <= end) for side in (a, b)))
+            begin = end
+        said = hashlib.sha256(";".join(written).encode()).hexdigest() if a else ""
+        out.append((len(a), len(b), len(cuts), len(own), sum(counts[p] == top[p[1]] for p in own), sum(counts[p] for p in own), said, ";".join(written)))
+    return out
+
+
+@pytest.mark.parametrize("most_pairs", [2_000_000, 150])
+def test_alignment(spark, vocabularies, most_pairs):
+    rng = np.random.default_rng(5)
+    letters = [*"abc  \n\t\r'sS12é日本<>|.,!", "<|endoftext|>", "<s>", "　", "\xa0", "\x1c", "\x00", "'re", "   ", "🙂", "ﬁ", "İ", " the", "hello "]
+    odd = ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(25)]
+    texts = ["It's a plain text, isn't it?", "", None, "Ça va déjà", "a▁b", " ", "  x  ", "It's a plain text, isn't it?", "word " * 300, "a" * 3000, *odd]
+    docs = frame(spark, texts)
+    found = alignment.align_tokenizers(docs, BYTE_LEVEL, PIECES, written=True, most_pairs=most_pairs).collect()
+    ids = [n if n != 3 else None for n in range(len(texts))] + [0]
+    hand = aligned_by_hand([*texts, texts[0]], vocabularies)
+    key = lambda r: tuple(str(x) for x in r)
+    columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
+    assert sorted((tuple(r[c] for c in columns) for r in found), key=key) == sorted(((n, *h) for n, h in zip(ids, hand)), key=key)
+    assert alignment.align_tokenizers(docs.limit(0), BYTE_LEVEL, PIECES).collect() == []
+
+
+def test_long_chunks_have_the_same_groups(vocabularies):
+    both = alignment.vocabularies(BYTE_LEVEL, PIECES)
+    for text in ("ab1 \n" * 9000, " " * 30_000, "x" * 25_000, "é" * 21_000):
+        (found,) = both.groups([text])
+        assert found[:3] + (found[4].decode(),) == tuple(aligned_by_hand([text], vocabularies)[0][k] for k in (0, 1, 2, 7)) if len(text) < 22_000 else found is not None
+
+
+def test_pointer_jumping_equals_a_walk():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        inner = np.arange(1, n)
+        ends = [np.append(np.sort(rng.choice(inner, rng.integers(0, n), replace=False)) if n > 1 else [], n).astype(np.int64) for _ in range(2)]
+        found = alignment.group_ends(*ends)
+        both = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+        for own, place in zip(ends, found):
+            assert [next(c for c in both if c >= e) for e in own.tolist()] == ends[1][place].tolist()
+
+
+# hard negatives
+
+VECTORS = "vec_id long, embedding array<float>, label int, row string, id string, score long"
+
+
+def mined_by_hand(rows, positives=5, most=3):
+    live = [(n, r[0], [int(np.floor(256 * float(np.float32(x)))) for x in r[1]], (r[2] + 1) % 10 if r[0] % 7 == 0 else r[2]) for n, r in enumerate(rows) if r[0] is not None and r[2] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
+    out = []
+    for n, anchor, x, label in live:
+        if anchor % 50:
+            continue
+        score = {m: sum(p * q for p, q in zip(x, y)) for m, _, y, _ in live if m != n and len(y) == len(x)}
+        order = sorted((r for r in live if r[0] in score), key=lambda r: (-score[r[0]], r[1]))
+        for m, positive, _, _ in [r for r in order if r[3] == label][:positives]:
+            inside = [r for r in order if r[3] != label and 50 * score[m] <= 100 * score[r[0]] <= 95 * score[m]]
+            out += [(anchor, positive, k + 1, r[1], score[m], score[r[0]]) for k, r in enumerate(inside[:most])]
+    return sorted(out)
+
+
+def mined(docs, **more):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.mine_negatives(docs, F.col("vec_id") % 50 == 0, label, **more).collect()
+    return sorted((r["anchor_id"], r["positive_id"], r["rank"], r["negative_id"], r["positive_score"], r["negative_score"]) for r in rows)
+
+
+@pytest.mark.parametrize("size", [3, 64, 150])
+def test_negatives(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(n, [float(np.float32(x)) for x in rng.integers(-40, 60, size) / 256], int(rng.integers(0, 3)), "r", "i", 1) for n in range(160)]
+    rows += [(7, None, 1, None, None, None), (8, [None] * size, 1, None, None, None), (9, [float("nan")] * size, 1, None, None, None), (10, [float("inf")] * size, 1, None, None, None), (11, [0.1] * size, None, None, None, None), (None, [0.2] * size, 1, None, None, None), (50, [0.1] * (size + 1), 2, None, None, None), (51, [0.2] * (size + 1), 2, None, None, None)]
+    rows += [rows[20]] * 3  # repeated rows tie and come together
+    docs = spark.createDataFrame(rows, VECTORS).repartition(4)
+    assert mined(docs) == mined_by_hand(rows)
+    assert mined(docs, slice_bytes=size * 8) == mined_by_hand(rows)
+    assert mined(docs.limit(0)) == []
+
+
+def test_negatives_of_repeated_anchors_and_large_components(spark):
+    big = 2.0**30
+    rows = [(100, [big, 1.0], 1, "", "", 0), (100, [big, 1.0], 1, "", "", 0), (3, [0.0, big], 1, "", "", 0), (4, [big * 3 / 4, 5.0], 2, "", "", 0), (5, [big * 3 / 4, 4.0], 2, "", "", 0), (6, [-big, 1.0], 2, "", "", 0)]
+    with pytest.raises(Exception, match="does not fit"):
+        mined(spark.createDataFrame(rows, VECTORS))
+    rows = [(n, [x / 2**8 if abs(x) > 9 else x for x in e], *rest) for n, e, *rest in rows]
+    assert mined(spark.createDataFrame(rows, VECTORS)) == mined_by_hand(rows)
+
+
+def test_residues_and_remainders():
+    rng = np.random.default_rng(1)
+    left, right = rng.normal(0, 1e6, (5, 200)), rng.normal(0, 1e6, (7, 200))
+    whole = [[[int(np.floor(256 * x)) for x in row] for row in m] for m in (left, right)]
+    exact = [[sum(p * q for p, q in zip(a, b)) for b in whole[1]] for a in whole[0]]
+    primes = negatives.primes_for(max(abs(x) for row in exact for x in row))
+    found = negatives.scores_of(negatives.residues(left, 256, primes), negatives.residues(right, 256, primes), primes)
+    assert found.tolist() == exact and all((p // 2) ** 2 * negatives.STEP < 1 << 24 for p in primes)
+    assert Fraction("0.95").numerator == 19
+
+
+# repeated passages
+
+
+def rest_by_hand(texts, window=35):
+    docs = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(d[k : k + window]) for d in docs for k in range(len(d) - window + 1))
+    out = []
+    for d in docs:
+        gone = set()
+        for k in range(len(d) - window + 1):
+            if seen[tuple(d[k : k + window])] > 1:
+                gone.update(range(k, k + window))
+        kept = b" ".join(w for k, w in enumerate(d) if k not in gone)
+        out.append((len(d), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return out
+
+
+def passages(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda: "w%d" % rng.integers(0, 100_000)
+    shared = [[word() for _ in range(n)] for n in (34, 35, 36, 55, 56, 200)]
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            parts += [word() for _ in range(rng.integers(0, 60))]
+            parts += shared[rng.integers(0, len(shared))]
+        texts.append(str(rng.choice([" ", "\n", "\t "])).join(parts))
+    edited = shared[5].copy()
+    edited[100] = "changed"
+    texts += ["", None, "one two", " \n ", "x " * 500, "y z " * 40, " ".join(edited), texts[1], texts[1] + " ", texts[2].replace(" ", "  "), "Été\x1cx\x85y " * 20, "é " * 36]
+    texts += [" ".join(map(str, rng.integers(0, 2, 300))) for _ in range(3)]
+    return texts
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_repeated_passages(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(substrings, "FEW_KEYS", -1)
+    texts = passages(few)
+    docs = frame(spark, texts, 5)
+    found = substrings.drop_repeated_passages(docs, written=True).collect()
+    hand = rest_by_hand([*texts, texts[0]])
+    ids = [n if n != 3 else None for n in range(len(texts))] + [0]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in found), key=key) == sorted(((n, *h) for n, h in zip(ids, hand)), key=key)
+    assert substrings.drop_repeated_passages(docs.limit(0)).collect() == []
+
+
+def test_difference_cover_has_every_shift():
+    for shift in range(substrings.PERIOD):
+        assert any((c + shift) % substrings.PERIOD in substrings.COVER for c in substrings.COVER)
+
+
+def test_run_hashes_equal_their_definition():
+    words = np.random.default_rng(2).integers(0, 1 << 63, 60, dtype=np.uint64)
+    base = substrings._BASES[0]
+    for n in (1, 2, 15, 35, 60, 61):
+        want = []
+        for k in range(max(0, len(words) - n + 1)):
+            value = 0
+            for w in words[k : k + n].tolist():
+                value = (value * int(base) + w) % (1 << 64)
+            want.append(value)
+        assert substrings.run_hashes(words, n, base).tolist() == substrings.mixed(np.array(want, np.uint64)).tolist()
