@@ -8,7 +8,8 @@ Positions come from splitting the text at the pattern: a match begins where all
 count code points; the end is exclusive.
 
 Defined results: a null or empty text has no findings; repeated rows and paths that share a text get the same findings;
-null ids keep their rows; an empty table gives no rows; columns beyond id and text are never read.
+null ids keep their rows; an empty table gives no rows; columns beyond id and text are never read. A text may hold any number of
+matches: a hundred thousand of them take seconds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import let
 from tagloom.llm.common import durable, unused
 
 SPAN = "struct<start:int,end:int,kind:string>"
@@ -42,6 +44,16 @@ RULES = (
 )
 
 
+def in_blocks(items: Column) -> Column:
+    """An array as blocks of as many items as there are blocks. What grows in a loop, and is copied at each step, then grows within a
+    block: a text with n matches costs n times the root of n copies, and not the square of n."""
+    def cut(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(1), F.size(a), width), lambda at: F.slice(a, at, width))).otherwise(F.slice(F.array(a), 1, 0))
+
+    return let(items, cut)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Start, end and kind of a rule's matches in a text."""
     pattern = F.lit(rule.pattern)
@@ -50,17 +62,19 @@ def spans_of(text: Column, rule: Rule) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     empty = F.array().cast(f"array<{SPAN}>")
     sizes = F.zip_with(hits, parts, lambda hit, part: F.struct(F.length(hit).alias("len"), F.length(part).alias("part")))
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), sizes, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["len"].alias("len"), m["part"].alias("part"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["len"]).alias("at"),
-            F.when(m["part"] >= rule.least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["len"]).alias("end"), F.lit(rule.kind).alias("kind"))).cast(f"array<{SPAN}>")))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), sizes, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["len"].alias("len"), m["part"].alias("part")))
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")).cast(SPAN)
+
+    def walked(acc: Column, m: Column) -> Column:
+        start = acc["at"] + m["gap"]
+        return F.struct((start + m["len"]).alias("at"), F.when(m["part"] >= rule.least, F.concat(acc["spans"], F.array(span(start, start + m["len"])))).otherwise(acc["spans"]).alias("spans"))
+
+    inner = F.transform(in_blocks(steps), lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("spans")), walked))
+    begins = lambda blocks: F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+    moved = let(inner, lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), lambda b, at: F.transform(b["spans"], lambda s: span(s["start"] + at, s["end"] + at)))))
+    return F.when(text.rlike(rule.pattern), moved).otherwise(empty)
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -98,20 +112,19 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     give its ledger rows again; whatever reads a ledger takes it as a set.
     """
     todo = unseen(versions.select("path", "blob"), ledger, rules).where(F.size("missing") > 0).select(F.col("blob").alias("m_blob"), F.col("path").alias("m_path"), "missing")
-    hint = "shuffle_hash"
     if ledger is not None:
         todo = durable(todo, "unseen")
-        hint = "broadcast" if todo.limit(FEW_NEW + 1).count() <= FEW_NEW else hint
-    chosen = versions.join(todo.hint(hint), F.col("path").eqNullSafe(F.col("m_path")) & (F.col("blob") == F.col("m_blob")))
+        todo = F.broadcast(todo) if todo.limit(FEW_NEW + 1).count() <= FEW_NEW else todo
+    chosen = versions.join(todo, F.col("path").eqNullSafe(F.col("m_path")) & (F.col("blob") == F.col("m_blob")))
     return scan(chosen.select("blob", "text", "missing"), rules)
 
 
 def all_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, spans: the spans of a blob's ledger rows by start, then in the rules' order; blobs without any are left out."""
-    rank = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (r.kind, n)])
-    some = rows.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row for each rule
-    keyed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return some.select("blob", F.array_sort(F.array_distinct(keyed)).alias("spans"))
+    some = rows.where(F.size("spans") > 0).groupBy("blob").agg(F.collect_list(F.struct("kind", "spans")).alias("found"))  # a row for each rule, or a few
+    keyed = lambda n, r: F.transform(F.get(F.filter("found", lambda f: f["kind"] == r.kind), F.lit(0))["spans"], lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    own = [F.coalesce(keyed(n, r), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")) for n, r in enumerate(rules)]
+    return some.select("blob", F.array_sort(F.concat(*own)).alias("spans"))
 
 
 def joined_back(rows: DataFrame, blob: str, found: DataFrame, spans: str) -> DataFrame:
@@ -134,13 +147,22 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def mask(text: Column, spans: Column, with_: str = "[secret]") -> Column:
-    """The text with its spans, which may overlap, replaced."""
-    cut = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(with_)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))),
-    )
+    """The text with its spans, which may overlap, replaced.
+
+    A substring is found by counting from the start of its text; so a block of spans is masked in the piece of the text that it covers.
+    """
+    def one(acc: Column, s: Column, piece: Column, base: Column) -> Column:
+        here = acc["at"] - base
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(piece, here + 1, s["start"] - acc["at"]), F.lit(with_)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    def block(acc: Column, some: Column) -> Column:
+        last = F.greatest(acc["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+        piece = F.struct(F.substr(text, acc["at"] + 1, last - acc["at"]).alias("text"), acc["at"].alias("base"))
+        done = let(piece, lambda p: F.aggregate(some, F.struct(p["base"].alias("at"), F.lit("").alias("out")), lambda inner, s: one(inner, s, p["text"], p["base"])))
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = F.aggregate(in_blocks(spans), begin, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
