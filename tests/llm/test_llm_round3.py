@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import alignment, negatives, secrets, substrings
+from tagloom.llm import alignment, decontamination, negatives, secrets, substrings
 from tagloom.llm.queries import BYTE_LEVEL, PIECES
 
 DOCS = "doc_id long, text string, lang string, key string, place long, hash string, n_words string"
@@ -246,3 +246,66 @@ def test_many_matches_in_one_text(spark):
             at = max(at, end)
         assert masked[n] == out + text[at:]
     assert len(found[0]) > 100_000 - 20_000
+
+
+# benchmark leaks
+
+
+def test_seeds_are_rare_and_copies_are_found(spark):
+    """Edited and partial copies of items that also leaked as they are, more often than ``common``: recall against alignment of all pairs."""
+    rng = np.random.default_rng(9)
+    words = [f"w{n}" for n in range(300)]
+    items = [" ".join(rng.choice(words, rng.integers(12, 40))) for _ in range(40)]
+    texts = []
+    for k, item in enumerate(items):
+        own = item.split()
+        for every in (4, 5, 6):
+            for shift in range(2):
+                edited = [f"other{n}" if n % every == shift else w for n, w in enumerate(own)]
+                texts.append(" ".join([*rng.choice(words, 30), *edited, *rng.choice(words, 30)]))
+        texts.append(" ".join([*rng.choice(words, 20), *own[: len(own) // 2 + 1], *rng.choice(words, 20)]))
+        texts += [item] * (12 if k % 2 else 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    vocabulary: dict[str, int] = {}
+    numbers = lambda t: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()])
+    coded = [numbers(t) for t in texts]
+    want = set()
+    for k, item in enumerate(map(numbers, items)):
+        for n, (score, _, _) in enumerate(decontamination.align_many([item] * len(coded), coded)):
+            if score >= decontamination.least_score(len(item), 0.4, 5):
+                want.add((n, k))
+    exact = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench, thin=1).collect()}
+    thinned = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench, common=5).collect()}
+    usual = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
+    print("recall", *(len(x & want) / len(want) for x in (exact, usual, thinned)))
+    assert exact <= want and usual == exact and thinned <= exact
+    assert len(exact) >= 0.97 * len(want) and len(thinned) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("distinct", [20, 60, 400])
+def test_common_words_end_in_time(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    words = [f"w{n}" for n in range(distinct)]
+    docs = spark.createDataFrame([(n, " ".join(rng.choice(words, 400))) for n in range(400)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(rng.choice(words, 40))) for n in range(800)], "item_id long, text string")
+    began = time.time()
+    decontamination.leaks(docs, bench).count()
+    print(distinct, "words", round(time.time() - began, 1), "s")
+    assert time.time() - began < 60
+
+
+def test_bounds_never_drop_what_alignment_reaches():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        items = [rng.integers(0, 6, rng.integers(1, 9)) for _ in range(3)]
+        codes = rng.integers(-1, 6, 60)
+        item = rng.integers(0, 3, 7)
+        lo = rng.integers(0, 50, 7)
+        hi = lo + rng.integers(1, 10, 7)
+        keys, many = np.unique(np.concatenate([k * 7 + w for k, w in enumerate(items)]), return_counts=True)
+        least = rng.integers(1, 12, 7).astype(float)
+        kept = decontamination.may_reach(item, lo, hi, codes, least, keys, many, 6, most=int(rng.integers(1, 40)))
+        scores = decontamination.align_many([items[k] for k in item], [codes[a:b] for a, b in zip(lo, hi)])
+        assert decontamination.best_scores([items[k] for k in item], [codes[a:b] for a, b in zip(lo, hi)]).tolist() == [score for score, _, _ in scores]
+        assert all(k or score < x for k, (score, _, _), x in zip(kept, scores, least))
