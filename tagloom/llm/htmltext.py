@@ -9,7 +9,8 @@ The labeller is trained here on a bounded sample: at most ``sample`` pages, by h
 that HTML itself gives to elements: pages that mark an article say which blocks it holds, and nav, aside, footer, form and
 their like say what is none; classes and ids decide no label. Pages of one template would teach just that template, so each
 page is read again in other clothes: with its article in other containers and foreign blocks beside and inside it, and with
-names that say nothing at all, where only text, links, order and place are left to tell.
+names that say nothing at all, where only text, links, order and place are left to tell. In these copies the article's text also
+stands in lists, tables, quotes, captions, code and definitions, with notices and adverts between: no kind of element is foreign.
 
 Defined results: null and empty html gives an empty text; text outside any tag is a block; unclosed and misnested tags are
 closed as browsers do for paragraphs and by the enclosing end tag otherwise; null ids and repeated rows are kept; an empty
@@ -47,6 +48,10 @@ NEVER = frozenset("head title nav aside footer form dialog menu select option bu
 BODY = ("article", "main", "div.post-body", "div.entry-content", "div#content", "section.story", "div.article-body", "div.text", "td.content", "div.post")
 EXTRA = ("header.site-header", "div#masthead", "nav.navbar", "div.menu", "div.topbar", "ul.breadcrumbs", "aside.sidebar", "div#sidebar", "div.widget", "div.cookie-notice", "div.notice", "div#consent", "div.gdpr", "div.advert", "div.ad", "div.ads", "div.ad-banner", "div.sponsored", "form.newsletter", "div.newsletter", "div.subscribe", "form#search", "form.login", "form", "footer.site-footer", "div#footer", "div.footer", "section#comments", "div.comments", "div.comment", "ol.comments", "ul.comment-list", "div.replies", "div.discussion", "div.related", "div.recommended", "div.share", "div.social", "div.promo", "div.popup", "div.modal", "div.pagination", "header", "aside", "footer", "nav", "div.banner", "div.disclaimer", "div.toolbar")
 COMMENTS = ("comment", "comments", "replies", "discussion")
+# Elements below an article that hold its text, one of a kind or several in a row.
+ALONE = (["p"], ["div"], ["pre"], ["blockquote"], ["blockquote", "p"], ["figure", "figcaption"], ["figcaption"], ["h2"], ["h3"], ["h4"], ["section", "p"], ["div", "p"], ["details", "summary"], ["address"], ["header", "h1"], [])
+SEVERAL = (["ul", "li"], ["ol", "li"], ["ul", "li", "p"], ["dl", "dt"], ["dl", "dd"], ["table", "tr", "td"], ["table", "tbody", "tr", "td"], ["table", "thead", "tr", "th"], ["table", "caption"], ["ul", "li", "ul", "li"])
+NOTICES = ("div.notice", "div.cookie-notice", "p.notice", "div.alert", "aside", "div.advert", "div.ad", "div.newsletter", "div.share", "div.related", "form", "nav.toc", "div.popup", "div.promo", "ul.share")
 
 PATHS, WORDS, COUNTS, HIDDEN = 96, 48, 9, 20
 WIDTH = PATHS + WORDS + COUNTS
@@ -380,10 +385,32 @@ def foreign(name: str, pool: list[str], rng: random.Random) -> list[tuple[list[s
             out.append((inner, sentence(pool, rng, 30), 0))
         elif kind == "links":
             text = sentence(pool, rng, 4)
-            out.append((rng.choice((["ul", "li"], ["li"], ["div"], [])), text, len(text)))
+            out.append((rng.choice((["ul", "li"], ["ul", "li"], ["li"], ["div"], [], ["table", "tr", "td"])), text, len(text)))
         else:
             text = sentence(pool, rng, 6 if kind == "short" else 40)
-            out.append((rng.choice(([], ["p"], ["div"], ["h3"], ["div", "p"])), text, len(text) if rng.random() < 0.2 else 0))
+            out.append((rng.choice(([], [], ["p"], ["div"], ["h3"], ["div", "p"], ["ul", "li"], ["table", "tr", "td"])), text, len(text) if rng.random() < 0.2 else 0))
+    return out
+
+
+def refilled(rows: list[tuple[list[str], str, int, int]], pool: list[str], rng: random.Random) -> list[tuple[list[str], str, int, int]]:
+    """The rows of a page with some of its article's text in other elements: lists, tables, quotes, captions, code, definitions."""
+    out, kinds = [], rng.choice((0.15, 0.4, 0.8))
+    for path, text, linked, y in rows:
+        if y != 1 or rng.random() > kinds:
+            out.append((path, text, linked, y))
+            continue
+        around = path[:-1] if path and path[-1].split(".")[0] in ("p", "h1", "h2", "h3", "div") and len(path) > 3 else path
+        if rng.random() < 0.45:
+            out.append(([*around, *rng.choice(ALONE)], text if rng.random() < 0.6 else sentence(pool, rng, 12), linked, 1))
+            continue
+        if rng.random() < 0.7:
+            out.append((path, text, linked, y))
+        kind = rng.choice(SEVERAL)
+        mixed = kind[0] == "dl" or rng.random() < 0.2
+        for n in range(rng.randrange(1, 9)):
+            inner = (["dl", ("dt", "dd")[n % 2]] if kind[0] == "dl" else rng.choice(SEVERAL)) if mixed else kind
+            item = sentence(pool, rng, rng.choice((2, 6, 14)))
+            out.append(([*around, *inner], item, rng.choice((0, 0, 0, len(item) // 2, len(item))) if rng.random() < 0.3 else 0, 1))
     return out
 
 
@@ -392,10 +419,11 @@ def dressed(page: list[tuple[list[str], str, int]], labels: list[int], pool: lis
     names that say nothing."""
     body = rng.choice(BODY)
     rows = [([body if x.split(".")[0].split("#")[0] in ("article", "main") else x for x in path], text, linked, y) for (path, text, linked), y in zip(page, labels)]
-    for _ in range(rng.randrange(1, 6)):
-        name = rng.choice(EXTRA)
+    rows = refilled(rows, pool, rng)
+    for _ in range(rng.randrange(1, 7)):
         article = [k for k, r in enumerate(rows) if r[3] == 1]
-        inside = not plain and rng.random() < 0.35 and article
+        inside = not plain and rng.random() < 0.5 and article
+        name = rng.choice(NOTICES if inside and rng.random() < 0.7 else EXTRA)
         more = [(["html", "body", *([body] if inside else []), name, *inner], text, linked, 0) for inner, text, linked in foreign(name, pool, rng)]
         if inside:
             at = rng.choice(article) + 1
@@ -418,7 +446,7 @@ def dressed(page: list[tuple[list[str], str, int]], labels: list[int], pool: lis
     return [Block(chain(path), text, linked) for path, text, linked, _ in rows], [y for *_, y in rows]
 
 
-def train(htmls: list[str], sample_blocks: int = 20_000, copies: int = 4, seed: int = 5) -> Labeller:
+def train(htmls: list[str], sample_blocks: int = 20_000, copies: int = 6, seed: int = 5) -> Labeller:
     rng, pages, left = random.Random(seed), [], sample_blocks
     for html in htmls:
         page = blocks_of(html)

@@ -13,8 +13,9 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import alignment, decontamination, negatives, secrets, substrings
+from tagloom.llm import alignment, decontamination, htmltext, negatives, secrets, substrings
 from tagloom.llm.queries import BYTE_LEVEL, PIECES
+import element_pages
 
 DOCS = "doc_id long, text string, lang string, key string, place long, hash string, n_words string"
 
@@ -309,3 +310,27 @@ def test_bounds_never_drop_what_alignment_reaches():
         scores = decontamination.align_many([items[k] for k in item], [codes[a:b] for a, b in zip(lo, hi)])
         assert decontamination.best_scores([items[k] for k in item], [codes[a:b] for a, b in zip(lo, hi)]).tolist() == [score for score, _, _ in scores]
         assert all(k or score < x for k, (score, _, _), x in zip(kept, scores, least))
+
+
+# main text
+
+
+def test_article_text_of_every_element(spark):
+    """Hand-labelled pages with lists, tables, code, quotes, captions and definitions in the article, and notices inside it."""
+    htmls = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(240).collect()]
+    labeller = htmltext.train(htmls)
+    counts: dict[str, list[int]] = {}
+    for name, html in element_pages.pages():
+        blocks = htmltext.blocks_of(html)
+        truth = [b.text.startswith("+") for b in blocks]
+        for b in blocks:
+            b.text = b.text.lstrip("+")
+        own = counts.setdefault(name, [0, 0, 0])
+        for yes, true in zip(labeller.choose([blocks])[0], truth):
+            for k, hit in enumerate((yes and true, yes and not true, true and not yes)):
+                own[k] += bool(hit)
+    right, wrong, lost = map(sum, zip(*counts.values()))
+    print("precision", right / (right + wrong), "recall", right / (right + lost), {k: (r / (r + w), r / (r + x)) for k, (r, w, x) in counts.items()})
+    assert right / (right + wrong) >= 0.95 and right / (right + lost) >= 0.95
+    assert all(r / (r + x) >= 0.8 and r / (r + w) >= 0.8 for r, w, x in counts.values())
+    assert all(counts[k][2] == 0 for k in ("list", "numbers", "table", "body", "pre", "quote", "caption", "definitions"))
