@@ -1006,3 +1006,6 @@ query("hourly_batch", _HOURS)(lambda v: streams.hourly_batch(v.table("events")))
 def _(v: Views) -> DataFrame:
     out = streams.drained(streams.hourly(streams.event_stream(v.spark, f"{v.sf_dir}/event[s].parquet"), late=None), "hourly", "update", scratch(v))
     return out.groupBy("hour", "event_type").agg(F.max_by("n", "__batch").alias("n"))
+
+
+from tagloom import catalogue_live  # noqa: E402, F401  these register themselves with what stands above

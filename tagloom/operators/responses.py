@@ -42,10 +42,15 @@ def payloads(lines: DataFrame) -> DataFrame:
         ))
 
     begin = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<seq:bigint,json:string>>").alias("out"))
-    values = ordered.select("request_id", "provider", F.explode(F.aggregate("rows", begin, step)["out"]).alias("v")).select("request_id", "provider", "v.seq", F.try_parse_json("v.json").alias("v"))
+    return split_arrays(ordered.select("request_id", "provider", F.explode(F.aggregate("rows", begin, step)["out"]).alias("v")).select("request_id", "provider", "v.seq", "v.json"))
+
+
+def split_arrays(values: DataFrame) -> DataFrame:
+    """values(request_id, provider, seq, json) -> the events in them: the values of an array are events of their own."""
+    parsed = values.withColumn("v", F.try_parse_json("json"))
     kind = F.schema_of_variant("v")
     each = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    return values.select("request_id", "provider", "seq", F.posexplode(each).alias("at", "event"))
+    return parsed.select("request_id", "provider", "seq", F.posexplode(each).alias("at", "event"))
 
 
 def told(event: Column, path: str) -> Column:
@@ -62,6 +67,10 @@ def told(event: Column, path: str) -> Column:
 
 
 def deltas(lines: DataFrame) -> DataFrame:
+    return told_by(payloads(lines))
+
+
+def told_by(events: DataFrame) -> DataFrame:
     """A row for each event: what text it adds, and what it says about usage, end and failure."""
     e = F.col("event")
     string = lambda path: F.try_variant_get(e, path, "string")
@@ -72,7 +81,7 @@ def deltas(lines: DataFrame) -> DataFrame:
     no_choices = F.try_variant_get(e, "$.choices", "variant").isNull()
     plain = lambda path: F.when(F.schema_of_variant(F.try_variant_get(e, path, "variant")) == "STRING", string(path))
     failure = F.coalesce(plain("$.error.message"), plain("$.error_msg"), plain("$.err_msg"), F.when(no_choices & F.try_variant_get(e, "$.code", "variant").isNotNull(), plain("$.message")), F.when(no_choices, plain("$.error")))
-    rows = payloads(lines).select(
+    rows = events.select(
         "request_id", "provider", "seq", "at", F.when(openai, F.coalesce(*[told(e, p) for p in DELTA])).when(anthropic, string("$.delta.text")).otherwise(F.when(parts != "", parts)).alias("delta"),
         F.when(openai, F.coalesce(*[told(e, p) for p in WHOLE])).alias("whole"), F.when(openai, string("$.choices[0].delta.refusal")).alias("declined"),
         F.coalesce(*[told(e, p) for p in REASONING]).alias("thought"), F.coalesce(*[told(e, p) for p in WHOLE_REASONING]).alias("whole_thought"), reason.alias("reason"),
@@ -108,10 +117,14 @@ def reassembled(lines: DataFrame) -> DataFrame:
     refused (by the service), empty, ok.
     """
     line = F.trim("line")
-    marks = lines.groupBy("request_id").agg(F.bool_or(line.rlike(r"^(?:(?:data:\s*)?\[DONE\]$|event: message_stop)")).alias("ended"))
+    return put_together(payloads(lines), lines.groupBy("request_id").agg(F.bool_or(line.rlike(r"^(?:(?:data:\s*)?\[DONE\]$|event: message_stop)")).alias("ended")))
+
+
+def put_together(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """The same from events(request_id, provider, seq, at, event) and marks(request_id, ended) of all replies."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("order", "piece"))), lambda x: x["piece"])  # one reply's pieces
     held = F.when(by_provider(FILTER), F.col("reason")).when(F.col("refusing"), "refusal_delta").otherwise(F.col("declined"))
-    sums = deltas(lines).withColumn("held", held).groupBy("request_id", "provider").agg(
+    sums = told_by(events).withColumn("held", held).groupBy("request_id", "provider").agg(
         F.array_join(texts, "").alias("text"), F.max_by("held", F.when(F.col("held").isNotNull(), F.col("order"))).alias("structured"), F.max(F.coalesce("thought", "whole_thought")).alias("thought"),
         F.bool_or(by_provider(LENGTH)).alias("length"), F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("order"))).alias("failure"),
     )

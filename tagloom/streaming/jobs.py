@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import redacted
+from tagloom.streaming.sinks import drain
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 TERMINAL = ("succeeded", "revised", "no_response", "refused", "failed", "skipped", "cancelled")
@@ -80,8 +81,5 @@ def log_stream(events: DataFrame) -> DataFrame:
 
 
 def drained(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, and give what it wrote."""
-    path = f"{checkpoint}/{name}"
-    query = frame.writeStream.outputMode("update" if mode == "update" else mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(lambda rows, n: rows.withColumn("__batch", F.lit(n)).write.mode("append").parquet(f"{path}/rows")).start()
-    query.awaitTermination()
-    return frame.sparkSession.read.parquet(f"{path}/rows")
+    """Run a stream over all that is there now, and give what it wrote, each micro-batch once."""
+    return drain(frame, f"{checkpoint}/{name}", lambda rows: {"rows": rows}, mode).read("rows", frame.schema)
