@@ -134,7 +134,8 @@ def _(v: Views) -> DataFrame:
 
 query("edit_apply_result", APPLY + " SELECT caption_path, e.before AS old_content, a.after AS new_content, 'batch_edit' AS source, 'e1' AS batch_id FROM a JOIN e USING (caption_path) WHERE status = 'applied'", "captions")(
     lambda v: versions.apply_edit(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions()), "e1", v.versions().select("batch_id"))[1])
-query("edit_applied_once", "SELECT caption_path, '' AS status FROM captions WHERE false", "captions")(lambda v: versions.apply_edit(rules.preview(v.captions(), DELETE), v.captions(), "b1", v.versions().select("batch_id"))[0].select("caption_path", "status"))
+query("edit_applied_once", "SELECT batch_id, CASE WHEN batch_id = 'e9' THEN (SELECT count(*) FROM (SELECT caption_path FROM captions)) ELSE 0 END AS rows FROM (SELECT unnest(['b1', 'e9']) AS batch_id)", "captions")(
+    lambda v: (lambda one: one("b1").unionByName(one("e9")))(lambda batch: versions.apply_edit(rules.preview(v.captions(), DELETE), v.captions(), batch, v.versions().select("batch_id"))[0].agg(F.lit(batch).alias("batch_id"), F.count("*").alias("rows"))))
 query("apply_to_jobs", APPLY + ", c AS (SELECT caption_path, status, after, current FROM a) SELECT item_id, CASE WHEN status = 'applied' THEN after ELSE caption END AS caption FROM captions JOIN c USING (caption_path)", "captions")(
     lambda v: jobs.merged_edits(v.captions(), versions.apply_status(rules.preview(v.captions(), DELETE), changed_meanwhile(v.captions()))).select("item_id", "caption"))
 
@@ -202,9 +203,9 @@ def _(v: Views) -> DataFrame:
     return versions.journal_reconcile(journal, current(v), v.versions().where("id % 2 = 0"))
 
 
-@query("unreferenced_dims", "SELECT s_suppkey AS supplier FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5)")
+@query("unreferenced_dims", "SELECT s_suppkey AS supplier FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_suppkey % 3 > 0)")
 def _(v: Views) -> DataFrame:
-    return versions.unreferenced(v.table("supplier").select(F.col("s_suppkey").alias("supplier")), v.table("lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("supplier")), "supplier")
+    return versions.unreferenced(v.table("supplier").select(F.col("s_suppkey").alias("supplier")), v.table("lineitem").where("l_quantity > 49.5 AND l_suppkey % 3 > 0").select(F.col("l_suppkey").alias("supplier")), "supplier")
 
 
 query("unreferenced_customers", "SELECT c_custkey AS customer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")(
@@ -232,16 +233,6 @@ def _(v: Views) -> DataFrame:
     return v.jobs().where(found("file_name", "img7") | found("caption", "license") | found("caption_path", "src3") | found("error", "error 2")).select("item_id")
 
 
-@query("filter_status", "SELECT item_id, status FROM jobs WHERE revision_count > 0 OR status = 'failed'", "jobs")
-def _(v: Views) -> DataFrame:
-    return v.jobs().where("revision_count > 0 OR status = 'failed'").select("item_id", "status")
-
-
-@query("review_candidates", "SELECT item_id FROM jobs WHERE trim(caption) <> '' AND NOT reviewed", "jobs")
-def _(v: Views) -> DataFrame:
-    return v.jobs().where((t.utrim(F.col("caption")) != "") & ~F.col("reviewed")).select("item_id")
-
-
 @query("dashboard", """SELECT count(*) AS total, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (revision_count > 0) AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
     count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM jobs""", "jobs")
 def _(v: Views) -> DataFrame:
@@ -250,7 +241,9 @@ def _(v: Views) -> DataFrame:
 
 NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(file_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
 for _by, _order in (("name", ""), ("revision", "revision_count DESC, "), ("length", "length(caption) DESC, ")):
-    query(f"sort_jobs_{_by}", f"SELECT rank, item_id, file_name FROM (SELECT *, row_number() OVER (ORDER BY {_order}{NATURAL}, item_id) AS rank FROM jobs) WHERE rank <= 500", "jobs")(lambda v, by=_by: metrics.ranked_jobs(v.jobs(), by))
+    query(f"sort_jobs_{_by}", f"SELECT row_number() OVER (ORDER BY {_order}{NATURAL}, item_id) AS rank, item_id, file_name FROM jobs", "jobs")(lambda v, by=_by: metrics.ranked_jobs(v.jobs(), by, scratch(v)))
+query("sort_jobs_name_last", f"SELECT row_number() OVER (ORDER BY {NATURAL} DESC, item_id) AS rank, item_id, file_name FROM jobs", "jobs")(lambda v: metrics.ranked_jobs(v.jobs(), "name", scratch(v), ascending=False))
+query("sort_jobs_revision_first", f"SELECT row_number() OVER (ORDER BY revision_count, {NATURAL}, item_id) AS rank, item_id, file_name FROM jobs", "jobs")(lambda v: metrics.ranked_jobs(v.jobs(), "revision", scratch(v), ascending=True))
 
 
 @query("reviewed_union", "SELECT lower(caption_path) AS caption_path FROM jobs WHERE status = 'revised' UNION SELECT lower(caption_path) FROM jobs WHERE reviewed", "jobs")
@@ -318,8 +311,6 @@ def _(v: Views) -> DataFrame:
     return jobs.completions(v.table("events").select(F.date_format("ts", "yyyy-MM-dd").alias("batch_id"), F.when(n % 997 == 0, "completed").otherwise("progress").alias("type"), F.when(n % 2 == 0, "任务已停止").otherwise("done").alias("message")))
 
 
-query("migrated_requests", "SELECT id, kind, CASE WHEN id % 2 = 0 THEN 0 ELSE output_tokens END AS output_tokens, CASE WHEN id % 2 = 0 THEN 'm0' ELSE model_id END AS model_id FROM requests", "requests")(
-    lambda v: jobs.migrated(v.requests().where("id % 2 = 0").select("id", "kind"), v.requests().where("id % 2 = 1").select("id", "kind", "output_tokens", "model_id"), {"output_tokens": 0, "model_id": "m0"}))
 query("refusal_plan", "SELECT 'd/' || file_name AS path, 'd/.refusal/' || file_name AS target, CASE WHEN item_id % 10 = 0 THEN 'skip' ELSE 'move' END AS action FROM jobs WHERE item_id % 3 > 0", "jobs")(
     lambda v: jobs.refusal_plan(*[v.jobs().where(w).select(F.concat(F.lit(p), f("file_name")).alias("path")) for w, p, f in (("true", "d/", F.col), ("item_id % 3 = 0", "D/", F.upper), ("item_id % 10 = 0", "d/.refusal/", F.col))], "d"))
 
@@ -383,12 +374,6 @@ def _(v: Views) -> DataFrame:
     return named.select("doc_id", files.decoded(F.col("content")).alias("text"), files.text_error(F.col("path"), F.col("content")).alias("error"))
 
 
-@query("path_normalize", r"SELECT item_id, regexp_replace('\\?\' || caption_path, '^\\\\\?\\', '') AS path FROM captions", "captions")
-def _(v: Views) -> DataFrame:
-    path = F.concat(F.lit("\\\\?\\"), "caption_path")
-    return v.captions().select("item_id", F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "").alias("path"))
-
-
 @query("export_captions", "SELECT caption_path, caption || '!' AS caption FROM captions WHERE item_id % 4 = 1 UNION ALL SELECT 'new/' || caption_path, caption FROM captions WHERE item_id % 10 = 0", "captions")
 def _(v: Views) -> DataFrame:
     """A quarter of the captions was edited and some are new; these alone are written, and read back here."""
@@ -443,18 +428,6 @@ query("stats_key_names", f", s AS (SELECT coalesce(key_id, '') AS grp, {SUMS} FR
         F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("k"), (F.col("n_nationkey") % 12).cast("string")).alias("id"), F.col("n_name").alias("label")), F.struct(F.lit(None).cast("string").alias("id"), F.lit("none").alias("label"))).alias("keyRefs")))).alias("json")))))
 
 
-@query("run_summary", """SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'revised') AS revised, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
-    count(*) FILTER (status = 'skipped') AS skipped, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, 'completed' AS run_status FROM requests GROUP BY batch_id""", "requests")
-def _(v: Views) -> DataFrame:
-    return metrics.run_summary(v.requests(), "batch_id")
-
-
-@query("attempt_usage", """SELECT item, batch_id, count(*) AS attempts, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(arg_max(ttft_ms, attempt) FILTER (ttft_ms IS NOT NULL), 4) AS ttft_ms,
-    round(arg_max(tokens_per_second, attempt) FILTER (tokens_per_second IS NOT NULL), 4) AS tokens_per_second FROM attempts GROUP BY item, batch_id""", "attempts")
-def _(v: Views) -> DataFrame:
-    return metrics.usage_over_attempts(v.attempts())
-
-
 FOLLOWED = """, r AS (SELECT *, structured OR (refused AND job_kind <> 'ai_sample') AS refusal FROM attempts),
     s AS (SELECT *, CASE WHEN error = 'cancelled' THEN 'cancelled' WHEN error = 'transient' THEN 'no_response' WHEN error IS NOT NULL THEN 'failed' WHEN refusal THEN 'refused' WHEN trim(text) = '' THEN 'failed'
             WHEN job_kind = 'ai_sample' THEN CASE text WHEN 'DECISION: KEEP' THEN 'succeeded' WHEN 'reject' THEN 'skipped' ELSE 'failed' END
@@ -494,28 +467,10 @@ query("merged_usage", """, u AS (SELECT *, CASE WHEN item[2:]::BIGINT % 4 > 0 TH
     lambda v: metrics.merged_usage(v.attempts().withColumn("total_tokens", F.when(F.substring("item", 2, 20).cast("long") % 4 > 0, (F.col("input_tokens") + F.col("output_tokens")).cast("double"))).withColumn("generation_ms", F.when(F.col("attempt") % 2 == 0, F.col("output_tokens") * 3.0))))
 
 
-@query("retry_migration", """, r AS (SELECT *, lag(key_id) OVER (PARTITION BY item, batch_id ORDER BY attempt) AS before FROM attempts) SELECT count(*) FILTER (attempt > 0) AS retries, count(*) FILTER (attempt > 0 AND before IS NOT DISTINCT FROM key_id) AS same_key FROM r""", "attempts")
-def _(v: Views) -> DataFrame:
-    before = F.lag("key_id").over(Window.partitionBy("item", "batch_id").orderBy("attempt"))
-    return v.attempts().withColumn("before", before).agg(F.count_if(F.col("attempt") > 0).alias("retries"), F.count_if((F.col("attempt") > 0) & F.col("before").eqNullSafe(F.col("key_id"))).alias("same_key"))
-
-
-@query("key_stats", """SELECT key_id, count(*) FILTER (status IN ('succeeded', 'revised')) AS succeeded, count(*) FILTER (status = 'failed') AS failed, sum(input_tokens + output_tokens)::BIGINT AS tokens, arg_max(status, (created_at, id)) AS last_status
-    FROM attempts WHERE key_id IS NOT NULL GROUP BY key_id""", "attempts")
-def _(v: Views) -> DataFrame:
-    return metrics.key_stats(v.attempts())
-
-
 query("key_counters", FOLLOWED + """ SELECT key_id, count(*) FILTER (NOT goes_on AND result IN ('succeeded', 'revised', 'skipped')) AS succeeded, count(*) FILTER (goes_on OR result NOT IN ('succeeded', 'revised', 'skipped')) AS failed,
     coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS tokens FROM f WHERE error IS NULL AND key_id IS NOT NULL GROUP BY key_id""", "attempts")(lambda v: metrics.key_counters(v.attempts()))
 
 
-@query("key_health", "SELECT key_id, max(created_at + INTERVAL 5 SECOND) FILTER (kind = 'click') AS cooldown_until, bool_or(kind = 'error') AS disabled FROM requests WHERE key_id IS NOT NULL GROUP BY key_id", "requests")
-def _(v: Views) -> DataFrame:
-    error = F.when(F.col("kind") == "click", "rate_limit").when(F.col("kind") == "error", "auth").otherwise("none")
-    return streams.key_health(v.requests().where("key_id is not null").select("key_id", F.col("created_at").alias("ts"), error.alias("error")))
-
-
 @query("key_rests", """, e AS (SELECT key_id, id, created_at, attempt, CASE WHEN id % 3 = 0 THEN id % 50 + 0.5 END AS asked, CASE kind WHEN 'click' THEN 'rate_limit' WHEN 'error' THEN CASE id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'quota' ELSE 'transient' END END AS error FROM attempts WHERE key_id IS NOT NULL),
     g AS (SELECT key_id, arg_max(created_at + to_milliseconds((1000 * coalesce(asked, CASE WHEN attempt = 0 THEN 5 ELSE 10 END))::BIGINT), id) FILTER (error = 'rate_limit') AS cooldown_until, arg_max(error, id) FILTER (error IN ('auth', 'quota')) AS why FROM e GROUP BY key_id)
     SELECT key_id, cooldown_until, why IS NOT NULL AS disabled, CASE why WHEN 'auth' THEN '认证失败（401/403），Key 已停用' WHEN 'quota' THEN '额度用尽（quota/billing），Key 已停用' END AS disable_reason FROM g""", "attempts")
@@ -542,7 +497,7 @@ def _(v: Views) -> DataFrame:
 # --- quality of replies ---------------------------------------------------------------------------------------------
 
 _sql = "reply"
-for _tag in t.THINK_TAGS:
+for _tag in ("think", "thought", "Thought", "THINK"):
     _sql = f"regexp_replace(regexp_replace({_sql}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g'), '(?s)<{_tag}>.*$', '')"
 STRIPPED = UTRIM.format(_sql)
 query("strip_think", f"SELECT id, {STRIPPED} AS text FROM responses", "responses")(lambda v: v.responses().select("id", t.without_think(F.col("reply")).alias("text")))
@@ -595,14 +550,6 @@ def _(v: Views) -> DataFrame:
 query("length_drop", "SELECT id, length(reply) * 2 < length(original) AND original <> '' AS dropped FROM responses", "responses")(lambda v: v.responses().select("id", t.length_drop(F.col("original"), F.col("reply")).alias("dropped")))
 
 
-@query("classify_errors", """SELECT event_id, CASE WHEN k = 29 THEN 'rate_limit' WHEN k IN (1, 3) THEN 'auth' WHEN contains(lower(body), 'quota') THEN 'quota' WHEN k >= 50 OR k = 8 THEN 'transient' ELSE 'fatal' END AS class
-    FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'Quota exceeded' ELSE event_type END AS body FROM events)""")
-def _(v: Views) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    code = F.when(k == 29, 429).when(k.isin(1, 3), 400 + k).when((k >= 50) | (k == 8), F.when(k == 8, 408).otherwise(450 + k)).otherwise(404)
-    return v.table("events").select("event_id", t.error_class(code, F.when(F.col("event_type") == "error", "Quota exceeded").otherwise(F.col("event_type"))).alias("class"))
-
-
 _SAYS = """CASE item_id % 8 WHEN 0 THEN '**DECISION：KEEP**' || chr(10) || chr(10) || '**REASON：' || reason || '**' || chr(10) || 'SCORE: 85.5' WHEN 1 THEN 'decision: reject' || chr(13) || chr(10) || 'sharp ' || reason WHEN 2 THEN 'KEEP'
     WHEN 3 THEN 'REJECT' || chr(10) || 'score: 101' || chr(10) || 'n: 1e1' WHEN 4 THEN 'MAYBE' || chr(10) || reason || chr(10) || '5' WHEN 5 THEN ' Keep ' || chr(10) || 'Reason:' || chr(10) || 'Score: ' || coalesce(score::VARCHAR, 'none') WHEN 6 THEN '' ELSE 'x：y: keep' || chr(10) || 'a' || chr(10) || '-1' END"""
 _VALUE = "CASE WHEN contains({0}, ':') THEN " + UTRIM.format("substr({0}, strpos({0}, ':') + 1)") + " WHEN contains({0}, '：') THEN " + UTRIM.format("substr({0}, strpos({0}, '：') + 1)") + " ELSE {0} END"
@@ -616,20 +563,6 @@ def _(v: Views) -> DataFrame:
     return v.decisions().select("item_id", t.decision(says).alias("d")).select("item_id", "d.*")
 
 
-@query("diff_parts", """SELECT item_id, caption[1:10] AS prefix, caption[11:12] AS removed, '<>' AS added, caption[13:40] AS suffix FROM captions WHERE length(caption) >= 40 AND caption[11:11] <> '<' AND caption[12:12] <> '>'""", "captions")
-def _(v: Views) -> DataFrame:
-    c = F.substring("caption", 1, 40)
-    whole = v.captions().where((F.length("caption") >= 40) & (F.substring("caption", 11, 1) != "<") & (F.substring("caption", 12, 1) != ">"))
-    return whole.select("item_id", t.diff_parts(c, F.concat(F.substring(c, 1, 10), F.lit("<>"), F.substring(c, 13, 40))).alias("d")).select("item_id", "d.*")
-
-
-@query("diff_parts_whole")
-def _(v: Views) -> DataFrame:
-    """Whole captions, every row; the SQL of diff_parts holds only captions of 40 characters and more, and their first 40."""
-    edited = F.concat(F.substring("caption", 1, 10), F.lit("<>"), F.substr("caption", F.lit(13)))
-    return v.captions().select("item_id", t.diff_parts(F.col("caption"), edited).alias("d")).select("item_id", "d.*")
-
-
 # --- security -------------------------------------------------------------------------------------------------------
 
 # Rows that each pattern of redaction and scan takes or leaves.
@@ -714,61 +647,18 @@ def _(v: Views) -> DataFrame:
     return sampling.split(v.captions(), v.captions().where("item_id % 4 = 1").select(F.upper("caption_path").alias("caption_path")))
 
 
-@query("sample_partition_check", "SELECT count(*) AS total, count(*) FILTER (item_id % 4 = 1) AS kept, 0::BIGINT AS lost FROM captions", "captions")
-def _(v: Views) -> DataFrame:
-    parts = sampling.split(v.captions(), v.captions().where("item_id % 4 = 1"))
-    lost = v.captions().select("item_id").exceptAll(parts.select("item_id")).agg(F.count("*").alias("lost"))
-    return parts.agg(F.count("*").alias("total"), F.count_if(F.col("bucket") == "kept").alias("kept")).crossJoin(lost)  # one row each
-
-
 @query("dedupe_paths", "SELECT min(doc_id) AS item_id FROM documents GROUP BY lower(CASE WHEN doc_id % 2 = 0 THEN source ELSE upper(source) END || '/' || (doc_id % 100))")
 def _(v: Views) -> DataFrame:
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.upper("source")), F.lit("/"), (F.col("doc_id") % 100).cast("string"))
     return sampling.dedupe_paths(v.table("documents").select(F.col("doc_id").alias("item_id"), name.alias("caption_path"))).select("item_id")
 
 
-SCORE = "coalesce(score, CASE WHEN keep THEN 50 ELSE 0 END)::BIGINT"
-RANKED = f"SELECT round, rank, item_id, s AS score, keep FROM (SELECT *, {SCORE} AS s, row_number() OVER (PARTITION BY round ORDER BY {SCORE} DESC, keep DESC, {NATURAL}, item_id) AS rank FROM decisions) WHERE rank <= 50"
-query("ai_final_rank", RANKED, "decisions")(lambda v: sampling.final_ranking(v.decisions(), 50))
+SCORE = "coalesce(score, CASE WHEN keep THEN 50 ELSE 0 END)::DOUBLE"
+RANKED = f", t AS (SELECT * REPLACE (score + item_id % 10 / 10.0::DOUBLE AS score) FROM decisions) SELECT round, rank, item_id, s AS score, keep FROM (SELECT *, {SCORE} AS s, row_number() OVER (PARTITION BY round ORDER BY {SCORE} DESC, keep DESC, {NATURAL}, item_id) AS rank FROM t) WHERE rank <= 50"
+query("ai_final_rank", RANKED, "decisions")(lambda v: sampling.final_ranking(v.decisions().withColumn("score", F.col("score") + F.col("item_id") % 10 / 10.0), 50))
 query("ai_next_round", "SELECT item_id, round + 1 AS round FROM decisions WHERE round = 0 AND keep AND (SELECT count(*) FROM decisions WHERE round = 0 AND keep) > 20", "decisions")(lambda v: sampling.next_round(v.decisions(), 0, 20))
 
 
-def rounds_of(v: Views) -> DataFrame:
-    return v.decisions().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("keep", F.pmod(F.col("item_id") * (F.col("round") + 3), F.lit(7)) < 3)
-
-
-@query("ai_round_select", f""", r AS (SELECT item_id, (item_id * 3) % 7 < 3 AS k0, (item_id * 4) % 7 < 3 AS k1, (item_id * 5) % 7 < 3 AS keep, score, file_name FROM decisions),
-    l AS (SELECT *, row_number() OVER (ORDER BY {SCORE} DESC, keep DESC, {NATURAL}, item_id) AS rank FROM r WHERE k0 AND k1)
-    SELECT d.item_id, CASE WHEN rank <= 10 THEN 'selected' ELSE 'rejected' END AS bucket FROM decisions d LEFT JOIN l USING (item_id)""", "decisions")
-def _(v: Views) -> DataFrame:
-    return sampling.select_rounds(rounds_of(v), 10, 3)
-
-
-@query("resume_candidates", "SELECT item_id FROM decisions WHERE round = 1 AND item_id NOT IN (SELECT item_id FROM decisions WHERE item_id % 5 = 0)", "decisions")
-def _(v: Views) -> DataFrame:
-    return v.decisions().where("round = 1").join(v.decisions().where("item_id % 5 = 0").select("item_id"), "item_id", "left_anti").select("item_id")
-
-
-@query("decision_overrides", "SELECT item_id, CASE WHEN item_id % 6 = 0 THEN NOT keep ELSE keep END AS keep, CASE WHEN item_id % 6 = 0 THEN 'manual' ELSE 'model' END AS by FROM decisions", "decisions")
-def _(v: Views) -> DataFrame:
-    d = v.decisions().where("item_id % 6 = 0")
-    manual = d.select("item_id", "keep", F.lit(1).alias("at")).unionByName(d.select("item_id", (~F.col("keep")).alias("keep"), F.lit(2).alias("at")))
-    return sampling.overridden(v.decisions(), manual)
-
-
-@query("retained_jobs", "SELECT item_id, CASE WHEN trim(caption) <> '' THEN 'succeeded' ELSE 'pending' END AS status, NULL::VARCHAR AS error FROM jobs WHERE item_id % 3 < 2", "jobs")
-def _(v: Views) -> DataFrame:
-    kept, unsure = v.jobs().where("item_id % 3 = 0"), v.jobs().where("item_id % 3 = 1")
-    return kept.unionByName(unsure).select("item_id", F.when(t.utrim(F.col("caption")) != "", "succeeded").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("error"))
-
-
-@query("relocation_plan", """SELECT caption_path AS path, CASE WHEN item_id % 2 = 0 THEN 'd/.selected/' ELSE 'd/.rejected/' END || substr(caption_path, 3) AS target, CASE WHEN item_id % 10 = 0 THEN 'skip' ELSE 'move' END AS action FROM captions""", "captions")
-def _(v: Views) -> DataFrame:
-    items = v.captions().select(F.col("caption_path").alias("path"), (F.col("item_id") % 2 == 0).alias("keep"))
-    existing = v.captions().where("item_id % 10 = 0").select(F.concat(F.lit("d/.selected/"), F.substr("caption_path", F.lit(3), F.length("caption_path"))).alias("path"))
-    return sampling.relocation_plan(items, existing)
-
-
 _BOXES = "['d/', 'd/.selected/', 'd/.rejected/', 'e/'][(doc_id % 4 + 1)::INT] || CASE WHEN doc_id % 12 = 0 THEN 'alone' || doc_id ELSE 'of/' || doc_id // 4 END || '.png'"
 _ACTION = "['keep', 'reject', 'return', 'reset'][(doc_id // 4 % 4 + 1)::INT]"
 
@@ -905,20 +795,6 @@ query("response_usage", """SELECT DISTINCT 'r' || conv_id AS request_id, CASE WH
     CASE conv_id % 3 WHEN 0 THEN conv_id + 2 WHEN 1 THEN conv_id + 3 ELSE conv_id END AS total_tokens FROM conversations""")(lambda v: responses.usage(reply_lines(v)))
 
 
-@query("channel_keys", "SELECT o_custkey AS connection, c_mktsegment AS channel, o_orderkey AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")
-def _(v: Views) -> DataFrame:
-    keys = v.table("orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("connection"), F.col("o_orderkey").alias("key"))
-    channels = v.table("customer").select(F.col("c_custkey").alias("connection"), F.col("c_mktsegment").alias("channel"))
-    return channels.join(keys, "connection").select("connection", "channel", "key")
-
-
-@query("model_catalog", "SELECT p_brand AS id, min(coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 5 = 0 THEN p_type END, p_brand)) AS name FROM part WHERE p_size % 3 <> 0 GROUP BY 1")
-def _(v: Views) -> DataFrame:
-    methods = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("embed"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("GenerateContent")))
-    raw = F.concat(F.when(F.col("p_size") % 2 == 0, "models/").otherwise(""), "p_brand")
-    return responses.able_models(v.table("part").select(F.when(F.col("p_size") % 4 > 0, raw).alias("raw_id"), raw.alias("raw_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("display_name"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).alias("displayName"), methods.alias("methods")))
-
-
 query("catalogue_search", "SELECT p_partkey FROM part WHERE contains(lower(p_brand), 'brand#1') OR contains(lower(p_name), 'brand#1')")(lambda v: v.table("part").where(jobs.has(" BRAND#1 ", "p_brand", "p_name")).select("p_partkey"))
 
 
@@ -928,15 +804,6 @@ def _(v: Views) -> DataFrame:
     return responses.first_tokens(v.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("request_id"), "ts", (F.col("event_type") != "view").alias("adds"), F.col("event_id").alias("tokens")))
 
 
-@query("config_merge", """SELECT s_suppkey, s_name AS model, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::BIGINT ELSE 100 END AS max_tokens, 'low' AS effort, CASE WHEN s_nationkey % 2 = 0 THEN 7 ELSE 1 END::BIGINT AS depth, CASE WHEN s_nationkey % 3 = 0 THEN '[2]' ELSE '[1, 2]' END AS stops FROM supplier""")
-def _(v: Views) -> DataFrame:
-    base = F.concat(F.lit('{"model":"'), "s_name", F.lit('","max_tokens":100,"think":{"effort":"low","deep":{"depth":1}},"stops":[1,2]}'))
-    extra = F.concat(F.lit("{"), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('"max_tokens":'), F.col("s_nationkey").cast("string"), F.lit(',"think":{"deep":{"depth":7}},'))).otherwise(""), F.when(F.col("s_nationkey") % 3 == 0, '"stops":[2]}').otherwise('"x":null}'))
-    m = v.table("supplier").select("s_suppkey", responses.merged_json(base, extra).alias("m"))
-    get = lambda path: F.get_json_object("m", path)
-    return m.select("s_suppkey", get("$.model").alias("model"), get("$.max_tokens").cast("long").alias("max_tokens"), get("$.think.effort").alias("effort"), get("$.think.deep.depth").cast("long").alias("depth"), F.regexp_replace(get("$.stops"), ",", ", ").alias("stops"))
-
-
 _FOCUS = "['按用户条件建立稳定、不过度苛刻的基础门槛', '额外淘汰轻微模糊、轻微遮挡、边缘裁切或主体不够突出的图片', '进一步要求构图、光照、主体完整度和细节表现明显优于普通候选', '进一步淘汰细小结构错误、轻度压缩痕迹、背景干扰和相似度过高的候选', '只保留审美、清晰度、结构正确性和训练价值均较强的候选', '只保留没有明显短板、可作为数据集核心样本的候选', '要求候选在当前批次中达到优秀水平，而不仅是合格', '要求候选达到高质量精选水平', '只保留极少数最符合要求且训练价值最高的候选', '采用最高门槛，只保留当前候选中的顶级样本']"
 
 
@@ -1008,4 +875,4 @@ def _(v: Views) -> DataFrame:
     return out.groupBy("hour", "event_type").agg(F.max_by("n", "__batch").alias("n"))
 
 
-from tagloom import catalogue_live  # noqa: E402, F401  these register themselves with what stands above
+from tagloom import catalogue_live, catalogue_more  # noqa: E402, F401  these register themselves with what stands above

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import masked, utrim
+
+NO_KEYS = "所有叠加渠道都没有可用 API Key"  # fixed value: what a task without any usable channel says
 RETRYABLE = ("failed", "refused", "cancelled")
 
 
@@ -45,6 +48,40 @@ def by_review(jobs: DataFrame, which: str = "all") -> DataFrame:
     return jobs if which == "all" else jobs.where(F.col("reviewed") if which == "reviewed" else ~F.col("reviewed"))
 
 
+def by_status(jobs: DataFrame, which: str = "all") -> DataFrame:
+    """Jobs of a state; revised are those with any revision, all stands for no filter."""
+    return jobs if which == "all" else jobs.where(F.col("revision_count") > 0 if which == "revised" else F.col("status") == which)
+
+
+def to_revise(jobs: DataFrame, again: bool = False) -> DataFrame:
+    """Jobs whose caption can be revised: not blank and, unless asked for again, not reviewed yet."""
+    return jobs.where((utrim(F.coalesce("caption", F.lit(""))) != "") & (F.lit(again) | ~F.coalesce("reviewed", F.lit(False))))
+
+
+def log_rows(logs: DataFrame, level: str = "all", scope: str = "all") -> DataFrame:
+    """Log entries of a level and a scope; all stands for no filter."""
+    for column, value in (("level", level), ("scope", scope)):
+        logs = logs if value == "all" else logs.where(F.col(column) == value)
+    return logs
+
+
+def plain_path(path: Column) -> Column:
+    """A path as it is shown: without the prefix of long paths, with two backslashes before a server."""
+    return F.when(F.startswith(path, F.lit("\\\\?\\UNC\\")), F.concat(F.lit("\\\\"), F.substr(path, F.lit(9)))).when(F.startswith(path, F.lit("\\\\?\\")), F.substr(path, F.lit(5))).otherwise(path)
+
+
+def channel_keys(channels: DataFrame, keys: DataFrame, secrets: DataFrame) -> DataFrame:
+    """channels(task, channel, connection, model), keys(connection, place, key), secrets(key, secret) -> the keys that each channel can
+    use, in their order, masked. A channel without a key that has a secret is left out; a task without any usable channel is an error row."""
+    usable = keys.join(secrets.where("secret is not null").select("key", "secret"), "key").select(F.col("connection").alias("__c"), "place", "key", masked(F.col("secret")).alias("masked"))
+    rows = channels.join(usable, F.col("connection") == F.col("__c"), "left").drop("__c")
+    some = F.max(F.col("key").isNotNull()).over(Window.partitionBy("task"))
+    first = F.row_number().over(Window.partitionBy("task").orderBy("channel", "place"))
+    told = rows.withColumn("__some", some).withColumn("__first", first).where(F.col("key").isNotNull() | (~F.col("__some") & (F.col("__first") == 1)))
+    none = ~F.col("__some")
+    return told.select("task", F.when(~none, F.col("channel")).alias("channel"), F.when(~none, F.col("connection")).alias("connection"), F.when(~none, F.col("model")).alias("model"), "place", "key", "masked", F.when(none, NO_KEYS).alias("error"))
+
+
 def gate(jobs: DataFrame, revising: Column, overwrite: Column) -> Column:
     """skipped where a caption is there and must not be overwritten, failed where there is none to revise, else ready."""
     blank = F.trim(F.coalesce("caption", F.lit(""))) == ""
@@ -104,12 +141,6 @@ def completions(events: DataFrame) -> DataFrame:
     return rows.select("batch_id", F.col("said").isNotNull().alias("completed"), F.when(F.col("said").contains("停止"), "warn").when(F.col("said").isNotNull(), "success").alias("level"))
 
 
-def migrated(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Rows of two table versions together; columns that the old one lacks get their defaults."""
-    rows = old.unionByName(new, allowMissingColumns=True)
-    return rows.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in new.columns])
-
-
 def refusal_plan(images: DataFrame, kept: DataFrame, existing: DataFrame, root: str) -> DataFrame:
     """images(path) of a folder's own level -> path, target, action: those not kept go below .refusal, unless a file of their
     name is there. Without any kept path nothing moves."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import decision, length_drop, natural_key, tags, utrim
+from tagloom.operators.order import ranked
 
 
 def tag_frequency(captions: DataFrame) -> DataFrame:
@@ -72,15 +73,6 @@ def key_names(connections: DataFrame) -> DataFrame:
     return each.groupBy(F.col("k.id").alias("id")).agg(F.max_by("k.label", F.struct("at", "n")).alias("name"))
 
 
-def run_summary(items: DataFrame, run: str) -> DataFrame:
-    """Counts by status and token sums of each run; revised items have succeeded too."""
-    count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return items.groupBy(run).agg(
-        F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), *map(count, ("revised", "refused", "failed", "skipped")),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.lit("completed").alias("run_status"),
-    )
-
-
 def run_closed(runs: DataFrame, items: DataFrame, run: str) -> DataFrame:
     """A row for each run, also for one without items: counts by status (revised items have succeeded too) and token sums. It is completed even where it was
     cancelled, and items without any response are in no counter but the total."""
@@ -104,12 +96,6 @@ def merged_usage(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("item", "batch_id").agg(*sums, last("ttft_ms"), last("tokens_per_second"))
 
 
-def usage_over_attempts(attempts: DataFrame) -> DataFrame:
-    """Sums of what all attempts used; first-token time and speed of the last attempt that has them."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("attempt")))
-    return attempts.groupBy("item", "batch_id").agg(F.count("*").alias("attempts"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(last("ttft_ms"), 4).alias("ttft_ms"), F.round(last("tokens_per_second"), 4).alias("tokens_per_second"))
-
-
 # How many attempts an item has, and how many of them an error of a lasting kind or a refusal may use.
 MOST_ATTEMPTS, MOST_LASTING = 6, 3
 LASTING = ("rate_limit", "auth", "quota", "prompt_rejected")
@@ -173,24 +159,20 @@ def job_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), F.count_if(F.col("revision_count") > 0).alias("revised"), *map(count, ("refused", "failed", "skipped", "cancelled")))
 
 
-def key_stats(attempts: DataFrame) -> DataFrame:
-    return attempts.where("key_id is not null").groupBy("key_id").agg(
-        F.count_if(F.col("status").isin("succeeded", "revised")).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
-        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.max_by("status", F.struct("created_at", "id")).alias("last_status"),
-    )
-
+def ranked_jobs(jobs: DataFrame, by: str, folder: str, ascending: bool | None = None) -> DataFrame:
+    """The whole job list with its ranks: by name from the first, by revisions or length from the most, if not asked for otherwise.
 
-def sort_key(by: str) -> list[Column]:
-    """Order of a job list; ties fall by natural name, then id, in ascending order."""
-    name = natural_key(F.col("file_name"))
-    first = {"name": name, "revision": F.col("revision_count").desc(), "length": F.char_length("caption").desc()}[by]
-    return [first, name, F.col("item_id")]
+    Ties fall by natural name, then id, in ascending order.
+    """
+    first = {"name": natural_key(F.col("file_name")), "revision": F.coalesce("revision_count", F.lit(0)), "length": F.char_length("caption")}[by]
+    keyed = jobs.select("item_id", "file_name", first.alias("__first"), natural_key(F.col("file_name")).alias("__name"))
+    up = by == "name" if ascending is None else ascending
+    return ranked(keyed, [F.col("__first").asc() if up else F.col("__first").desc(), F.col("__name"), F.col("item_id")], folder).select("rank", "item_id", "file_name")
 
 
-def ranked_jobs(jobs: DataFrame, by: str, most: int = 500) -> DataFrame:
-    """The head of a sorted job list with its ranks. Sorting and limit run as one distributed top-k."""
-    head = jobs.orderBy(*sort_key(by)).limit(most)
-    return head.select(F.row_number().over(Window.orderBy(*sort_key(by))).cast("long").alias("rank"), "item_id", "file_name")
+def ranked_groups(breakdown: DataFrame, folder: str) -> DataFrame:
+    """A breakdown's groups in the order in which they are listed: by name."""
+    return ranked(breakdown, [F.col("grp")], folder)
 
 
 def peak_concurrency(spans: DataFrame, key: str, unit: str = "hour") -> DataFrame:
@@ -206,3 +188,28 @@ def peak_concurrency(spans: DataFrame, key: str, unit: str = "hour") -> DataFram
     carried = units.select(key, "__unit", F.coalesce(before, F.lit(0)).alias("__before"))
     running = F.sum("net").over(Window.partitionBy(key, "__unit").orderBy("at"))
     return moments.join(carried, [key, "__unit"]).withColumn("open", F.col("__before") + running).groupBy(key).agg(F.max("open").cast("long").alias("peak"))
+
+
+# How a review by a second model is counted, and how often it is tried.
+REVIEW, MOST_REVIEWS = "advanced_review", 3
+
+
+def review_metrics(reviews: DataFrame) -> DataFrame:
+    """reviews(item, batch_id, attempt, key_id, error, refused, text, original, input_tokens, output_tokens) -> a request row of kind
+    advanced_review for each reply up to the first that is good: one that isn't refused, says something, and has half the original's
+    length at least. Requests without a reply have no row."""
+    good = F.col("error").isNull() & ~F.col("refused") & (utrim(F.col("text")) != "") & (F.char_length("text") * 2 >= F.char_length("original"))
+    first = F.min(F.when(good, F.col("attempt"))).over(Window.partitionBy("item", "batch_id"))
+    tried = reviews.where(F.col("attempt") < MOST_REVIEWS).withColumn("__first", first).where("error is null and (__first is null or attempt <= __first)")
+    status = F.when(good, "succeeded").when(F.col("refused"), "refused").otherwise("failed")
+    return tried.select("item", "batch_id", F.lit(REVIEW).alias("kind"), F.col("attempt").alias("retries"), status.alias("status"), "key_id", "input_tokens", "output_tokens")
+
+
+def migrated_keys(attempts: DataFrame) -> DataFrame:
+    """attempts(item, batch_id, attempt, key_id, free_keys) -> retries, moved, stayed, forced: whether a retry took another key than
+    the attempt before it, stayed although another one was free, or had no other (free_keys: those that could be taken then)."""
+    before = F.lag("key_id").over(Window.partitionBy("item", "batch_id").orderBy("attempt"))
+    rows = attempts.withColumn("__before", before).where("attempt > 0")
+    same = F.col("__before").eqNullSafe(F.col("key_id"))
+    other = F.exists("free_keys", lambda k: ~k.eqNullSafe(F.col("__before")))
+    return rows.agg(F.count("*").alias("retries"), F.count_if(~same).alias("moved"), F.count_if(same & F.coalesce(other, F.lit(False))).alias("stayed"), F.count_if(same & ~F.coalesce(other, F.lit(False))).alias("forced"))

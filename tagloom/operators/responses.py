@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tagloom.functions.text import cleaned, let, without_think
 
@@ -148,23 +144,11 @@ def first_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def able_models(models: DataFrame, gemini: bool = True) -> DataFrame:
-    """models(raw_id, raw_name, display_name, displayName, methods): id, name of those that can generate; one row for each id.
+    """models(at, raw_id, raw_name, display_name, displayName, methods): id, name of those that can generate; of equal ids the first.
 
     An entry without a list of methods can; ids lose their prefix; the name is the first one given, else the id.
     """
     able = F.col("methods").isNull() | F.exists("methods", lambda m: F.lower(m) == "generatecontent")
     id_ = F.regexp_replace(F.coalesce("raw_id", "raw_name"), "^models/", "")
-    rows = (models.where(able) if gemini else models).select(id_.alias("id"), F.coalesce("display_name", "displayName", id_).alias("name")).where("id is not null")
-    return rows.groupBy("id").agg(F.min("name").alias("name"))
-
-
-@F.pandas_udf(StringType())
-def merged_json(base: pd.Series, extra: pd.Series) -> pd.Series:
-    """Two JSON texts as one: objects merge at every depth, anything else is replaced by the right side. Null: the other side."""
-    def merge(a: object, b: object) -> object:
-        if isinstance(a, dict) and isinstance(b, dict):
-            return {**a, **{k: merge(a[k], v) if k in a else v for k, v in b.items()}}
-        return b
-
-    one = lambda a, b: b if a is None else a if b is None else json.dumps(merge(json.loads(a), json.loads(b)), ensure_ascii=False, sort_keys=True)
-    return pd.Series([one(a, b) for a, b in zip(base, extra)], dtype=object)
+    rows = (models.where(able) if gemini else models).select("at", id_.alias("id"), F.coalesce("display_name", "displayName", id_).alias("name")).where("id is not null")
+    return rows.groupBy("id").agg(F.min_by("name", "at").alias("name"))

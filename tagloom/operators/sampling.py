@@ -47,41 +47,11 @@ def next_round(decisions: DataFrame, round_: int, target: int) -> DataFrame:
 
 def final_ranking(decisions: DataFrame, target: int) -> DataFrame:
     """Per round the best ``target`` decisions: by score (50 for a kept, 0 for a rejected one without), kept first, name."""
-    score = F.coalesce(F.col("score").cast("long"), F.when(F.col("keep"), F.lit(50)).otherwise(F.lit(0)).cast("long"))
+    score = F.coalesce(F.col("score").cast("double"), F.when(F.col("keep"), 50.0).otherwise(0.0))
     order = Window.partitionBy("round").orderBy(F.col("s").desc(), F.col("keep").desc(), natural_key(F.col("file_name")), "item_id")
     return decisions.withColumn("s", score).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= target).select("round", "rank", "item_id", F.col("s").alias("score"), "keep")
 
 
-def select_rounds(decisions: DataFrame, target: int, rounds: int) -> DataFrame:
-    """item_id, bucket after at most so many rounds over decisions(item_id, round, keep, score, ...): selected, rejected.
-
-    Each round looks at what the one before kept. Counts decide whether another round follows; rows never reach the driver.
-    """
-    alive = decisions.select("item_id").distinct()
-    for r in range(rounds):
-        now = decisions.where(F.col("round") == r).join(alive, "item_id", "left_semi")
-        kept = now.where("keep")
-        if r + 1 == rounds or kept.count() <= target:
-            chosen = final_ranking(now, target).select("item_id", F.lit("selected").alias("bucket"))
-            return decisions.select("item_id").distinct().join(chosen, "item_id", "left").select("item_id", F.coalesce("bucket", F.lit("rejected")).alias("bucket"))
-        alive = kept.select("item_id")
-    return alive.select("item_id", F.lit("rejected").alias("bucket"))
-
-
-def overridden(decisions: DataFrame, manual: DataFrame) -> DataFrame:
-    """Manual verdicts, the latest for each item, in place of the model's."""
-    last = latest(manual, "item_id", F.col("at").desc()).select("item_id", F.col("keep").alias("manual"))
-    return decisions.join(last, "item_id", "left").select("item_id", F.coalesce("manual", "keep").alias("keep"), F.when(F.col("manual").isNotNull(), "manual").otherwise("model").alias("by"))
-
-
-def relocation_plan(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """items(path, keep): where each goes, or skip where the target exists."""
-    name = F.regexp_replace("path", r"^d/(?:\.selected/|\.rejected/)?", "")
-    target = F.concat(F.when(F.col("keep"), "d/.selected/").otherwise("d/.rejected/"), name)
-    there = existing.select(F.col("path").alias("target"), F.lit(True).alias("there")).distinct()
-    return items.withColumn("target", target).join(there, "target", "left").select("path", "target", F.when(F.col("there"), "skip").otherwise("move").alias("action"))
-
-
 def relocations(images: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """images(path, action) with action keep, reject, return or reset; files(path): all that is there, captions too.
 

@@ -198,7 +198,3 @@ def changed_captions(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select(F.col("caption_path").alias("__p"), F.col("caption").alias("__c"), F.lit(True).alias("__there"))
     rows = after.join(old, F.col("caption_path") == F.col("__p"), "left")
     return rows.where(F.col("__there").isNull() | ~F.col("caption").eqNullSafe(F.col("__c"))).drop("__p", "__c", "__there")
-
-
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)

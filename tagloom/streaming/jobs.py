@@ -52,12 +52,6 @@ def hourly(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
     return hourly_counts(events.dropDuplicates(["event_id"]) if late is None else events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]))
 
 
-def key_health(events: DataFrame, cooldown: int = 5) -> DataFrame:
-    """events(key_id, ts, error): until when a key rests after rate limits, and whether it is out of use."""
-    rest = F.max(F.when(F.col("error") == "rate_limit", F.col("ts") + F.make_dt_interval(secs=F.lit(cooldown))))
-    return events.groupBy("key_id").agg(rest.alias("cooldown_until"), F.bool_or(F.col("error").isin("auth", "quota")).alias("disabled"))
-
-
 # Why a key is out of use.
 UNUSABLE = {"auth": "认证失败（401/403），Key 已停用", "quota": "额度用尽（quota/billing），Key 已停用"}
 

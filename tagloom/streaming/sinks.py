@@ -82,11 +82,12 @@ def drain(frame: DataFrame, folder: str, tables: Callable[[DataFrame], dict[str,
     ledger = Ledger(frame.sparkSession, f"{folder}/tables")
 
     def each(rows: DataFrame, batch: int) -> None:
-        rows = rows.persist()  # several tables read it
-        try:
-            ledger.commit(batch, tables(rows))
-        finally:
-            rows.unpersist()
+        made = tables(rows)
+        if len(made) > 1 and not ledger.committed(batch):  # several tables read the rows: they are written once, and the tables are made of that
+            staged = f"{folder}/staged/{batch:020d}-{uuid.uuid4().hex}"
+            rows.write.parquet(staged)
+            made = tables(rows.sparkSession.read.schema(rows.schema).parquet(staged))
+        ledger.commit(batch, made)
 
     query = frame.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(each).start()
     query.awaitTermination()
