@@ -45,7 +45,9 @@ def _(v: Views) -> DataFrame:
         out = sinks.drain(stream, f"{folder}/out", lambda r: {"values": r}, "append").read("values", stream.schema)
     ended = out.where("kind = 'end'").select("request_id").distinct().withColumn("ended", F.lit(True))
     marks = lines.select("request_id").distinct().join(ended, "request_id", "left").select("request_id", F.coalesce("ended", F.lit(False)).alias("ended"))
-    return responses.put_together(responses.split_arrays(out.where("kind = 'value'").select("request_id", "provider", "seq", "json")), marks).drop("caption")
+    values = out.where("kind = 'value'").select(F.col("request_id").alias("__r"), "provider", "seq", "json")
+    every = marks.join(values, F.col("request_id") == F.col("__r"), "left").drop("__r")
+    return responses.put_together(responses.split_arrays(every)).drop("caption")
 
 
 @query("batch_stream", """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS batch_id, event_id, event_id % 97 = 0 AS done, event_id % 2 = 0 AS loud FROM events WHERE user_id % 5 <> 0),

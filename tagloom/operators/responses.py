@@ -11,7 +11,7 @@ from tagloom.functions.text import cleaned, let, without_think
 LENGTH = {"openai": ("length", "max_tokens", "max_output_tokens"), "anthropic": ("max_tokens", "model_context_window_exceeded"), "gemini": ("MAX_TOKENS", "MODEL_LENGTH")}
 FILTER = {"openai": ("content_filter",), "anthropic": ("refusal",), "gemini": ("SAFETY", "BLOCKLIST", "PROHIBITED_CONTENT", "SPII")}
 # Where services put reasoning, text and whole messages; whole ones count only while no text has come.
-REASONING = tuple(f"$.choices[0].delta.{n}" for n in ("reasoning_content", "reasoning", "thought", "thinking", "thinking_content", "reasoning_text")) + ("$.delta.thinking",)
+REASONING = tuple(f"$.choices[0].delta.{n}" for n in ("reasoning_content", "reasoning", "thought", "thinking", "thinking_content", "reasoning_text"))
 WHOLE_REASONING = ("$.choices[0].message.reasoning_content", "$.choices[0].message.reasoning", "$.choices[0].message.thought", "$.reasoning_content", "$.reasoning", "$.thought")
 DELTA = ("$.choices[0].delta.content", "$.choices[0].delta.text")
 WHOLE = ("$.choices[0].message.content", "$.choices[0].text", "$.content", "$.text")
@@ -19,15 +19,22 @@ MOST_OPEN = 64 * 1024  # characters of a JSON value that hasn't ended
 
 
 def payloads(lines: DataFrame) -> DataFrame:
-    """request_id, provider, seq, at, event (a JSON text): lines without their prefix, put together until they are JSON.
+    """request_id, provider, seq, at, event (a JSON text): lines without their prefix, put together until they are JSON."""
+    return replies_apart(lines).where("event is not null").drop("ended")
+
+
+def replies_apart(lines: DataFrame) -> DataFrame:
+    """request_id, provider, ended (an end mark came), seq, at, event for each event of each reply, and one row without an event for
+    a reply that has none. A reply's lines are brought together once, and what follows finds them there.
 
     Blank lines, comments and control lines go; a value over several lines must begin with a brace or bracket; one that has
     not ended within MOST_OPEN characters is dropped; the values of an array are events of their own.
     """
     line = F.trim("line")
     data = F.trim(F.regexp_replace(line, r"^data:", ""))
-    rows = lines.where((line != "") & ~line.rlike(r"^(?::|event:|retry:|(?:data:\s*)?\[DONE\]$)")).select("request_id", "provider", "seq", data.alias("data"))
-    ordered = rows.groupBy("request_id", "provider").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("rows"))  # one reply's lines
+    told = (line != "") & ~line.rlike(r"^(?::|event:|retry:|(?:data:\s*)?\[DONE\]$)")
+    mark = F.coalesce(line.rlike(r"^(?:(?:data:\s*)?\[DONE\]$|event: message_stop)"), F.lit(False))
+    ordered = lines.groupBy("request_id").agg(F.max("provider").alias("provider"), F.bool_or(mark).alias("ended"), F.array_sort(F.collect_list(F.when(told, F.struct("seq", data.alias("data"))))).alias("rows"))  # one reply's lines
 
     def step(state: Column, row: Column) -> Column:
         joined = F.when(state["open"] != "", F.concat(state["open"], F.lit("\n"), row["data"])).when(row["data"].rlike(r"^[{\[]"), row["data"]).otherwise("")
@@ -38,15 +45,16 @@ def payloads(lines: DataFrame) -> DataFrame:
         ))
 
     begin = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<seq:bigint,json:string>>").alias("out"))
-    return split_arrays(ordered.select("request_id", "provider", F.explode(F.aggregate("rows", begin, step)["out"]).alias("v")).select("request_id", "provider", "v.seq", "v.json"))
+    values = ordered.select("request_id", "provider", "ended", F.explode_outer(F.aggregate("rows", begin, step)["out"]).alias("v"))
+    return split_arrays(values.select("request_id", "provider", "ended", "v.seq", "v.json"))
 
 
 def split_arrays(values: DataFrame) -> DataFrame:
-    """values(request_id, provider, seq, json) -> the events in them: the values of an array are events of their own."""
+    """values(request_id, provider, ended, seq, json) -> the events in them: the values of an array are events of their own."""
     parsed = values.withColumn("v", F.try_parse_json("json"))
     kind = F.schema_of_variant("v")
     each = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    return parsed.select("request_id", "provider", "seq", F.posexplode(each).alias("at", "event"))
+    return parsed.select("request_id", "provider", "ended", "seq", F.posexplode_outer(each).alias("at", "event"))
 
 
 def told(event: Column, path: str) -> Column:
@@ -80,10 +88,10 @@ def told_by(events: DataFrame) -> DataFrame:
     rows = events.select(
         "request_id", "provider", "seq", "at", F.when(openai, F.coalesce(*[told(e, p) for p in DELTA])).when(anthropic, string("$.delta.text")).otherwise(F.when(parts != "", parts)).alias("delta"),
         F.when(openai, F.coalesce(*[told(e, p) for p in WHOLE])).alias("whole"), F.when(openai, string("$.choices[0].delta.refusal")).alias("declined"),
-        F.coalesce(*[told(e, p) for p in REASONING]).alias("thought"), F.coalesce(*[told(e, p) for p in WHOLE_REASONING]).alias("whole_thought"), reason.alias("reason"),
+        F.when(openai, F.coalesce(*[told(e, p) for p in REASONING])).when(anthropic, plain("$.delta.thinking")).alias("thought"), F.when(openai, F.coalesce(*[told(e, p) for p in WHOLE_REASONING])).alias("whole_thought"), reason.alias("reason"),
         F.contains(F.coalesce(F.when(anthropic, string("$.delta.type")), F.lit("")), F.lit("refusal")).alias("refusing"), F.when(F.trim(failure) != "", failure).alias("failure"),
         number("$.usage.prompt_tokens", "$.message.usage.input_tokens", "$.usageMetadata.promptTokenCount").alias("input"),
-        number("$.usage.completion_tokens", "$.usage.output_tokens", "$.usageMetadata.candidatesTokenCount").alias("output"), number("$.usage.total_tokens", "$.usageMetadata.totalTokenCount").alias("total"),
+        number("$.usage.completion_tokens", "$.usage.output_tokens", "$.usageMetadata.candidatesTokenCount").alias("output"), number("$.usage.total_tokens", "$.usageMetadata.totalTokenCount").alias("total"), *[c for c in ("ended",) if c in events.columns],
     )
     before = Window.partitionBy("request_id").orderBy("seq", "at").rowsBetween(Window.unboundedPreceding, -1)
     # a whole message counts while nothing has come: no delta and no whole message before it
@@ -112,19 +120,18 @@ def reassembled(lines: DataFrame) -> DataFrame:
     The first that holds: failed (the service reports an error), reasoning_only, length, cut (no end mark after some text),
     refused (by the service), empty, ok.
     """
-    line = F.trim("line")
-    return put_together(payloads(lines), lines.groupBy("request_id").agg(F.bool_or(line.rlike(r"^(?:(?:data:\s*)?\[DONE\]$|event: message_stop)")).alias("ended")))
+    return put_together(replies_apart(lines))
 
 
-def put_together(events: DataFrame, marks: DataFrame) -> DataFrame:
-    """The same from events(request_id, provider, seq, at, event) and marks(request_id, ended) of all replies."""
+def put_together(events: DataFrame) -> DataFrame:
+    """The same from events(request_id, provider, ended, seq, at, event)."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("order", "piece"))), lambda x: x["piece"])  # one reply's pieces
     held = F.when(by_provider(FILTER), F.col("reason")).when(F.col("refusing"), "refusal_delta").otherwise(F.col("declined"))
-    sums = told_by(events).withColumn("held", held).groupBy("request_id", "provider").agg(
-        F.array_join(texts, "").alias("text"), F.max_by("held", F.when(F.col("held").isNotNull(), F.col("order"))).alias("structured"), F.max(F.coalesce("thought", "whole_thought")).alias("thought"),
+    sums = told_by(events).withColumn("held", held).groupBy("request_id").agg(
+        F.max("provider").alias("provider"), F.bool_or("ended").alias("ended"), F.array_join(texts, "").alias("text"), F.max_by("held", F.when(F.col("held").isNotNull(), F.col("order"))).alias("structured"), F.max(F.coalesce("thought", "whole_thought")).alias("thought"),
         F.bool_or(by_provider(LENGTH)).alias("length"), F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("order"))).alias("failure"),
     )
-    whole = marks.join(sums, "request_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    whole = sums.withColumn("text", F.coalesce("text", F.lit("")))
     no_answer = (without_think(F.col("text")) == "") & (F.col("thought").isNotNull() | F.col("text").contains("<think>") | F.col("text").contains("<thought>"))
     outcome = (
         F.when(F.col("failure").isNotNull(), "failed").when(no_answer, "reasoning_only").when(F.col("length"), "length")
