@@ -289,8 +289,9 @@ query("sample_search", "SELECT c.item_id FROM captions c JOIN decisions d USING
 query("filter_logs", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 3 = 1")(lambda v: v.table("events").where("event_type = 'error'").where("user_id % 3 = 1").select("event_id"))
 query("event_scope", "SELECT event_id FROM events WHERE user_id % 3 <> 2")(lambda v: v.table("events").withColumn("scope", F.when(F.col("user_id") % 3 == 2, "ai_sample").otherwise("main")).where("scope <> 'ai_sample'").select("event_id"))
 query("log_tail", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")(lambda v: v.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id"))
-query("recent_batches", "SELECT row_number() OVER (ORDER BY last_id DESC, batch_id) AS rank, batch_id, versions FROM (SELECT 'c' || conv_id // 2 AS batch_id, max(conv_id * 1000 + turn) AS last_id, count(*) AS versions FROM conversations GROUP BY 1) QUALIFY rank <= 100")(
-    lambda v: (lambda b: b.orderBy(F.desc("at"), "batch_id").limit(100).select(F.row_number().over(Window.orderBy(F.desc("at"), "batch_id")).cast("long").alias("rank"), "batch_id", "versions"))(v.versions().groupBy(F.concat(F.lit("c"), F.floor(F.floor(F.col("id") / 1000) / 2).cast("string")).alias("batch_id")).agg(F.max("id").alias("at"), F.count("*").alias("versions"))))
+query("recent_batches", "SELECT row_number() OVER (ORDER BY last_id DESC, batch_id) AS rank, batch_id, versions FROM (SELECT 'c' || conv_id || '-' || turn // 2 AS batch_id, max(conv_id * 1000 + turn) AS last_id, count(*) AS versions FROM conversations GROUP BY 1) QUALIFY rank <= 100")(
+    lambda v: (lambda b: b.orderBy(F.desc("at"), "batch_id").limit(100).select(F.row_number().over(Window.orderBy(F.desc("at"), "batch_id")).cast("long").alias("rank"), "batch_id", "versions"))(
+        v.versions().groupBy(F.concat(F.lit("c"), F.floor(F.col("id") / 1000).cast("string"), F.lit("-"), F.floor(F.col("id") % 1000 / 2).cast("string")).alias("batch_id")).agg(F.max("id").alias("at"), F.count("*").alias("versions"))))
 query("set_append", "SELECT DISTINCT caption_path AS path FROM captions WHERE item_id % 3 = 0 OR item_id % 2 = 0", "captions")(lambda v: jobs.moved_into(v.captions().where("item_id % 3 = 0").select(F.col("caption_path").alias("path")), v.captions().where("item_id % 2 = 0").select(F.col("caption_path").alias("path"))))
 query("known_removal", "SELECT caption_path AS path FROM captions WHERE item_id % 2 = 0 AND item_id % 3 <> 0 UNION ALL SELECT 'new/' || caption_path FROM captions WHERE item_id % 10 = 0", "captions")(
     lambda v: jobs.replaced(*[v.captions().where(w).select(p.alias("path")) for w, p in (("item_id % 2 = 0", F.col("caption_path")), ("item_id % 3 = 0", F.col("caption_path")), ("item_id % 10 = 0", F.concat(F.lit("new/"), "caption_path")))]))
@@ -446,9 +447,10 @@ def _(v: Views) -> DataFrame:
 
 
 @query("attempt_metrics", FOLLOWED + """ SELECT item, batch_id, attempt AS retries, CASE WHEN goes_on THEN 'refused' ELSE result END AS status, key_id, input_tokens, output_tokens FROM f WHERE error IS NULL
-    UNION ALL SELECT item, batch_id, 0, 'failed', NULL, 0, 0 FROM f WHERE attempt = last AND error IS NOT NULL AND result = 'failed'""", "attempts")
+    UNION ALL SELECT item, batch_id, 0, 'failed', NULL, 0, 0 FROM f WHERE attempt = last AND error IS NOT NULL AND result = 'failed'""".replace(" FROM f WHERE", " FROM f WHERE item[2:]::BIGINT % 10 > 0 AND"), "attempts")
 def _(v: Views) -> DataFrame:
-    return metrics.attempt_metrics(v.attempts())
+    """A tenth of the items ran on local models, whose attempts are no requests."""
+    return metrics.attempt_metrics(v.attempts().withColumn("local", F.substring("item", 2, 20).cast("long") % 10 == 0))
 
 
 query("run_closed", """, r AS (SELECT 'r' || item_id % 20 AS run, status, length(caption) AS input_tokens, CASE WHEN item_id % 3 = 0 THEN item_id END AS output_tokens FROM jobs), n AS (SELECT DISTINCT 'r' || item_id % 25 AS run FROM jobs),
@@ -624,13 +626,6 @@ def _(v: Views) -> DataFrame:
     return entries.select("event_id", files.log_lines(entries).alias("line"))
 
 
-@query("json_dimension", "SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS nation FROM supplier WHERE s_suppkey % 4 <> 0")
-def _(v: Views) -> DataFrame:
-    s = v.table("supplier")
-    rows = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation")))).alias("json"), F.lit(0).alias("updated_at"))
-    return files.json_dimension(rows, "name string, nation long").select("id", "name", "nation")
-
-
 # --- sampling and selection -----------------------------------------------------------------------------------------
 
 

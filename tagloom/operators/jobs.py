@@ -48,6 +48,20 @@ def by_review(jobs: DataFrame, which: str = "all") -> DataFrame:
     return jobs if which == "all" else jobs.where(F.col("reviewed") if which == "reviewed" else ~F.col("reviewed"))
 
 
+def edit_scope(jobs: DataFrame, scope: str, shown: Column | None = None, paths: DataFrame | None = None, folder: str | None = None, recursive: bool = True) -> DataFrame:
+    """The jobs that an edit is for: selected, filtered (those that a list ``shown`` now), all, files (paths(path), regardless of case) or
+    those of a folder."""
+    if scope == "all":
+        return jobs
+    if scope == "files":
+        own = paths.select(F.lower("path").alias("__p")).distinct()
+        return jobs.join(own, F.lower("caption_path") == F.col("__p"), "left_semi")
+    if scope == "folder":
+        inner = F.substr("caption_path", F.lit(len(folder.rstrip("/")) + 2))
+        return jobs.where(F.startswith("caption_path", F.lit(folder.rstrip("/") + "/")) & (F.lit(recursive) | ~inner.contains("/")))
+    return jobs.where(F.col("selected") if scope == "selected" else shown)
+
+
 def by_status(jobs: DataFrame, which: str = "all") -> DataFrame:
     """Jobs of a state; revised are those with any revision, all stands for no filter."""
     return jobs if which == "all" else jobs.where(F.col("revision_count") > 0 if which == "revised" else F.col("status") == which)
@@ -150,3 +164,10 @@ def refusal_plan(images: DataFrame, kept: DataFrame, existing: DataFrame, root:
     target = F.concat(F.lit(f"{root}/.refusal/"), F.regexp_extract("path", r"([^/]+)$", 1))
     there = existing.select(F.col("path").alias("__t"), F.lit(True).alias("there")).distinct()
     return rest.withColumn("target", target).join(there, F.col("target") == F.col("__t"), "left").select("path", "target", F.when(F.col("there"), "skip").otherwise("move").alias("action"))
+
+
+def progress(events: DataFrame, planned: DataFrame) -> DataFrame:
+    """events(batch_id, item, seq, status), planned(batch_id, total) -> total, running, finished of each run: items by their last status."""
+    last = events.groupBy("batch_id", "item").agg(F.max_by("status", "seq").alias("status"))
+    sums = last.groupBy("batch_id").agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") != "running").alias("finished"))
+    return planned.join(sums, "batch_id", "left").select("batch_id", "total", F.coalesce("running", F.lit(0)).alias("running"), F.coalesce("finished", F.lit(0)).alias("finished"))

@@ -137,8 +137,8 @@ def attempt_outcome(attempts: DataFrame, advanced: bool = False) -> DataFrame:
 
 def attempt_metrics(attempts: DataFrame, advanced: bool = False) -> DataFrame:
     """The request rows of an item: one for each reply, with its own usage, and one without key and usage where errors ended it
-    for good. Cancelled items and those without any response have none."""
-    rows, status = followed(attempts, advanced), F.col("result.status")
+    for good. Cancelled items, those without any response and those of local models (attempts(local)) have none."""
+    rows, status = followed(attempts.where(~F.coalesce("local", F.lit(False))) if "local" in attempts.columns else attempts, advanced), F.col("result.status")
     replies = rows.where("error is null").select("item", "batch_id", F.col("attempt").alias("retries"), F.when(F.col("goes_on"), "refused").otherwise(status).alias("status"), "key_id", "input_tokens", "output_tokens")
     none = lambda name: F.lit(0).cast("long").alias(name)
     ends = rows.where((F.col("attempt") == F.col("last")) & F.col("error").isNotNull() & (status == "failed"))
