@@ -231,9 +231,11 @@ def judged(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> Dat
     heads = durable(named.groupBy("component").agg(F.min("best").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("component").alias("of"), "head"), "heads")
     named = named.join(heads, named.component == heads.of, "left").select("key1", "key2", F.coalesce("head", "best").alias("head"))
     named = named.select("key1", "key2", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
-    out = signed.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key1")).alias("key1"), "key2").join(named, ["key1", "key2"], "left")
-    some = F.col("n_shingles") > 0
-    return out.select("doc_id", "row", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("row") == F.col("head")).otherwise(True).alias("kept"))
+    some = signed.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
+    some = some.select("doc_id", "row", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("kept"))
+    # rows without shingles are linked with nothing and stay where they are: together they would be one key of the join
+    none = signed.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return some.unionByName(none)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

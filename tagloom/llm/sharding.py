@@ -71,6 +71,9 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int) -> l
     return runs
 
 
+FEW_HOT = 100_000  # more hot sub-ranges than this are shuffled instead of broadcast
+
+
 def shard_bounded_ring(docs: DataFrame, shards: int = 16, virtual: int = 64, rows_per_window: int = 5_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     spark = docs.sparkSession
@@ -88,7 +91,9 @@ def shard_bounded_ring(docs: DataFrame, shards: int = 16, virtual: int = 64, row
     ranged = placed.withColumn("sub", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(subs)))
     each = ranged.groupBy("node", "sub").agg(F.count("*").alias("n"))
     hot = each.where(F.col("n") > 4 * rows_per_window).select("node", "sub", F.ceil(F.col("n") / rows_per_window).cast("long").alias("parts"))
-    split = durable(ranged.join(F.broadcast(hot), ["node", "sub"], "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("turn"), F.col("parts"))).otherwise(0)).drop("parts", "turn"), "split") if hot.limit(1).count() else ranged.withColumn("part", F.lit(0).cast("long")).drop("turn")
+    many = hot.limit(FEW_HOT + 1).count()
+    hot = F.broadcast(hot) if many <= FEW_HOT else hot
+    split = durable(ranged.join(hot, ["node", "sub"], "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("turn"), F.col("parts"))).otherwise(0)).drop("parts", "turn"), "split") if many else ranged.withColumn("part", F.lit(0).cast("long")).drop("turn")
     windows = split.groupBy("node", "sub", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("node").orderBy("sub", "part").rowsBetween(Window.unboundedPreceding, -1))  # over counts, not rows
     base = windows.select("node", "sub", "part", F.coalesce(before, F.lit(0)).alias("before"))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import alignment, decontamination, htmltext, negatives, secrets, substrings
+from tagloom.llm import alignment, decontamination, htmltext, negatives, packing, secrets, substrings
 from tagloom.llm.queries import BYTE_LEVEL, PIECES
 import element_pages
 
@@ -334,3 +334,29 @@ def test_article_text_of_every_element(spark):
     assert right / (right + wrong) >= 0.95 and right / (right + lost) >= 0.95
     assert all(r / (r + x) >= 0.8 and r / (r + w) >= 0.8 for r, w, x in counts.values())
     assert all(counts[k][2] == 0 for k in ("list", "numbers", "table", "body", "pre", "quote", "caption", "definitions"))
+
+
+# sum of squares
+
+
+def test_placement_equals_trying_every_sequence():
+    """Each piece goes where the sum of squared numbers of open sequences per free length becomes smallest, tried out one by one."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 30))
+        lengths = rng.integers(1, capacity + 1, rng.integers(1, 40))
+        sequence, offset = packing.place_sum_of_squares(lengths, capacity)
+        used: dict[int, int] = {}
+
+        def squares(levels: dict[int, int]) -> int:
+            return sum(n * n for n in Counter(capacity - x for x in levels.values() if x < capacity).values())
+
+        for s, own, at in zip(lengths.tolist(), sequence.tolist(), offset.tolist()):
+            tries = {n: squares(used | {n: x + s}) for n, x in used.items() if x + s <= capacity}
+            assert at == used.get(own, 0)
+            if tries:
+                assert own in tries and tries[own] == min(tries.values())
+                assert used[own] == max(used[n] for n, value in tries.items() if value == tries[own])  # the tightest at a tie
+            else:
+                assert own not in used  # a new one only where none has room
+            used[own] = used.get(own, 0) + s
