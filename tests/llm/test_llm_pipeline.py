@@ -90,5 +90,25 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_registered():
-    assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
+    assert {"pipeline"} | {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
     assert secrets.RULES
+
+
+def test_a_chain_over_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and blank texts, repeated rows and columns with clashing names pass through all stages."""
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, blob string, key string"
+    texts = [(1, good[0]), (1, good[1]), (2, good[0]), (2, good[0]), (None, good[2]), (None, good[2]), (None, None), (3, None), (4, ""), (5, " \n "), (6, good[3] + " token = abcdefghijkl1234"), (7, good[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "b", "k") for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.count(), spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")] and docs.count() <= before, name
+        assert {(r["row"], r["blob"], r["key"]) for r in docs.collect()} <= {("r", "b", "k")}
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert len([x for x in left if x[1] == good[0]]) <= 1 and len([x for x in left if x[1] == good[2]]) <= 1  # one of each group of copies
+    assert not any("abcdefghijkl1234" in (t or "") for _, t in left)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed) >= len(left)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
