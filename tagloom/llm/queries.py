@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import alignment, decontamination, htmltext, neardup, negatives, packing, quality, secrets, sharding, substrings, topk, toxicity
-from tagloom.llm.common import durable, table
+from tagloom.llm.common import clean, durable, table  # clean: for whoever has stored a query's result
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
