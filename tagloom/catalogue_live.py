@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.catalogue import _HELD, _LIVE, _REPLIES, ORACLE, query, reply_lines, scratch
+from tagloom.catalogue import _LIVE, ORACLE, query, reply_lines, scratch
 from tagloom.operators import responses, versions
 from tagloom.plans.views import Views
 from tagloom.streaming import sinks, state

@@ -147,7 +147,6 @@ def _(v: Views) -> DataFrame:
     rows.unionByName(hidden).repartition("place").write.partitionBy("place").text(root)
     found = folders.folder(v.spark, root, content=True, endings=("txt",))
     place = F.regexp_extract("path", r"/place=([^/]+)/[^/]+$", 1)
-    lines = F.size(F.split(F.rtrim(F.col("content").cast("string")), "\n"))
     return found.groupBy(place.alias("source")).agg(F.sum(F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))).cast("long").alias("lines")).withColumn("hidden", F.startswith("source", F.lit(".")))
 
 
