@@ -6,9 +6,11 @@
 3. In each band bucket all members are compared with one hub. Of a pair, batches of signature values are compared one after
    the other; as soon as the posterior probability of a similarity at or above the threshold (uniform prior) falls below the
    chosen miss probability, the pair is dropped. Survivors are verified on full sets.
-4. Buckets whose members are not all connected yet get their open pairs compared: members outside the bucket's largest
-   component against all others, in tiles of a bounded number of rows, inside tasks. Only links leave them. So no pair that
-   a bucket offers is left out unless its ends are connected already, and no group's pairs are ever written out.
+4. Buckets whose members are not all connected yet are split by the size of the sets: sizes are put in steps so wide that two
+   sets that are similar lie in one step or in neighbouring ones, and a part holds a step and, as guests, the next one. In
+   each part, members outside its largest component are compared with all others, guests with guests in the next part only,
+   in tiles of a bounded number of rows, inside tasks. Only links leave them. So no pair that a bucket offers is left out
+   unless its ends are connected already or their sizes alone keep them apart, and no group's pairs are ever written out.
 5. Components of all links give the smallest id that can be reached; the first of a component's documents in the order of
    step 1 is kept.
 
@@ -21,11 +23,11 @@ repeat both are one document; an empty table gives no rows; other columns are ne
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import durable, id_and_text, matching, unused
@@ -119,11 +121,20 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return sets if sets.count() == ids.count() else durable(sets.dropDuplicates(["id"]), "sets")
 
 
+def size_step(n: Column, percent: int) -> Column:
+    """The step of a set's size: of two similar sets neither lies more than one step above the other.
+
+    A step spans a factor of 100 / percent and a little more, so that rounding never puts two steps between such sets.
+    """
+    width = max(log(100 / percent), 1e-6) * (1 + 1e-9)
+    return F.floor(F.log(n) / width).cast("int")
+
+
 def band_rows(reps: DataFrame) -> DataFrame:
-    """bucket, id: a row for each band of each class representative; a bucket's number hashes the band and its values."""
+    """bucket, id, step: a row for each band of each class representative; a bucket's number hashes the band and its values."""
     width = 4 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * width + 1, F.lit(width))))
-    return reps.select("id", F.explode(bands).alias("bucket"))
+    return reps.select("id", "step", F.explode(bands).alias("bucket"))
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -150,20 +161,23 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> D
 
 
 def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) between components that share a bucket and have similar members. members: bucket, id, component.
+    """Links (a, b) between components that share a bucket and have similar members. members: bucket, id, step, component.
 
     One link joins two components; further pairs of theirs are not compared within a tile.
 
-    The bucket's largest component asks nothing: every open pair has an end outside it.
+    A part of a bucket holds a step of sizes and the next one's members as guests. Its largest component asks nothing: every
+    open pair has an end outside it. A part without members of its own step is none.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    parts = F.array(F.struct(F.col("step").alias("part"), F.lit(False).alias("guest")), F.struct((F.col("step") - 1).alias("part"), F.lit(True).alias("guest")))
+    placed = members.select("bucket", "id", "component", F.explode(parts).alias("p")).select("bucket", "id", "component", "p.*")
+    sizes = placed.groupBy("bucket", "part", "component").agg(F.count("*").alias("n"), F.count_if(~F.col("guest")).alias("own"))
     buckets = durable(
-        sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("most")).where("components > 1")
-        .select("bucket", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("asking"), F.ceil(F.col("n") / TILE).alias("asked")), "open")
-    some = members.join(buckets, "bucket")
+        sizes.groupBy("bucket", "part").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("most")).where("components > 1 and own > 0")
+        .select("bucket", "part", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("asking"), F.ceil(F.col("n") / TILE).alias("asked")), "open")
+    some = placed.join(buckets, ["bucket", "part"])
     tile = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    asks = some.where("component <> largest").select("bucket", (tile % F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("j"), "id", "component", F.lit(True).alias("asks"))
-    others = some.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), (tile % F.col("asked")).alias("j"), "id", "component", F.lit(False).alias("asks"))
+    asks = some.where("component <> largest").select("bucket", "part", (tile % F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("j"), "id", "component", "guest", F.lit(True).alias("asks"))
+    others = some.select("bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), (tile % F.col("asked")).alias("j"), "id", "component", "guest", F.lit(False).alias("asks"))
     rows = asks.unionByName(others).join(sets, "id")
 
     def compare(group: list[tuple]) -> set[tuple[int, int]]:
@@ -173,9 +187,10 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -
         sigs = [np.frombuffer(b"".join(r[4] for r in side), "<u4").reshape(len(side), -1) for side in (mine, theirs)]
         found: set[tuple[int, int]] = set()
         above = np.array([r[2] for r in theirs], np.int64)  # the component as merged so far in this tile
-        for k, (_, _, component, _, _, shingles) in enumerate(mine):
+        at_home = np.array([not r[1] for r in theirs])
+        for k, (_, guest, component, _, _, shingles) in enumerate(mine):
             own = next((int(above[n]) for n, r in enumerate(theirs) if r[2] == component), component)
-            open_ = np.flatnonzero(above != own)
+            open_ = np.flatnonzero((above != own) & (at_home | (not guest)))
             if len(open_):
                 alive = may_be_similar(np.broadcast_to(sigs[0][k], (len(open_), sigs[0].shape[1])), sigs[1][open_], percent / 100, miss)
                 for n in open_[alive].tolist():
@@ -191,17 +206,17 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, miss: float) -
             return pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for bucket, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "bucket", "component", "asks", "sig", "shingles"))):
-                if key != (bucket, i, j):
+            for *place, id_, guest, component, asks, sig, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != place:
                     if group:
                         yield out()
-                    key, group = (bucket, i, j), []
-                group.append(tuple(rest))
+                    key, group = place, []
+                group.append((id_, guest, component, asks, sig, shingles))
         if group:
             yield out()
 
-    keys = ["bucket", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "component", "asks", "sig", "shingles").mapInArrow(run, "a long, b long").distinct()
+    keys = ["bucket", "part", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "guest", "component", "asks", "sig", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -214,7 +229,7 @@ def judged(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> Dat
     signed = durable(signatures(docs, words), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     classes = durable(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min(order).alias("best")).select("key1", "key2", "best", F.col("best.row").alias("id")), "classes")
-    reps = signed.join(classes.select("id"), signed.row == F.col("id"), "left_semi").select(F.col("row").alias("id"), "sig").dropDuplicates(["id"])
+    reps = signed.join(classes.select("id"), signed.row == F.col("id"), "left_semi").select(F.col("row").alias("id"), "sig", size_step(F.col("n_shingles"), percent).alias("step")).dropDuplicates(["id"])
     bands = band_rows(reps)
     turn = F.xxhash64("bucket", "id")  # buckets that share members choose different hubs among them
     buckets = durable(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("turn"), "id"))["id"].alias("hub")).where("n > 1").select("bucket", "hub"), "buckets")
@@ -223,7 +238,7 @@ def judged(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> Dat
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = durable(hub_links(pairs, sets, percent, miss), "hub-links")
     first = components(links).withColumnRenamed("id", "of")
-    placed = members.join(first, members.id == first.of, "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(first, members.id == first.of, "left").select("bucket", "id", "step", F.coalesce("component", "id").alias("component"))
     found = durable(open_links(durable(placed, "placed"), sets, percent, miss), "open-links")
     last = components(found).withColumnRenamed("id", "of").withColumnRenamed("component", "beyond")
     early = classes.join(first, classes.id == first.of, "left").select("key1", "key2", "best", F.coalesce("component", "id").alias("near"))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import alignment, decontamination, htmltext, negatives, packing, secrets, substrings
+from tagloom.llm import alignment, decontamination, htmltext, negatives, neardup, packing, secrets, substrings
 from tagloom.llm.queries import BYTE_LEVEL, PIECES
 import element_pages
 
@@ -360,3 +360,46 @@ def test_placement_equals_trying_every_sequence():
             else:
                 assert own not in used  # a new one only where none has room
             used[own] = used.get(own, 0) + s
+
+
+@pytest.mark.parametrize("percent", [50, 80, 99, 100])
+def test_similar_sizes_are_at_most_one_step_apart(spark, percent):
+    n = F.col("id") + 1
+    steps = spark.range(100_000).select(neardup.size_step(n, percent).alias("low"), neardup.size_step(F.floor(n * 100 / percent), percent).alias("high"))
+    assert steps.agg(F.max(F.col("high") - F.col("low")), F.min(F.col("high") - F.col("low"))).first()[:] in ((1, 0), (1, 1), (0, 0))
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_one_bucket_of_many_sizes_loses_no_link(spark, monkeypatch, tile):
+    """Sets of 4 to 90 numbers in one bucket; some grow by exactly the quarter that a similarity of 80 % allows."""
+    rng, sets = np.random.default_rng(11), []
+    for size in (4, 5, 8, 20, 40, 64):
+        for _ in range(12):
+            one = np.unique(rng.integers(1, 1 << 62, size, dtype=np.uint64))
+            sets += [one, np.union1d(one, rng.integers(1, 1 << 62, size // 4, dtype=np.uint64)), np.union1d(one, rng.integers(1, 1 << 62, size // 4 + 2, dtype=np.uint64))]
+    a, b = neardup.hash_functions(neardup.BANDS * neardup.ROWS)
+    rows = [(k, neardup.signature(x, a, b).tobytes(), x.astype("<u8").tobytes(), len(x)) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "id long, sig binary, shingles binary, n long")
+    # of every fifth base set the first two are connected before, as after the hub's turn
+    component = F.when((F.col("id") % 15 == 1), F.col("id") - 1).otherwise(F.col("id"))
+    members = frame.select(F.lit(1).cast("long").alias("bucket"), "id", neardup.size_step(F.col("n"), 80).alias("step"), component.alias("component"))
+    monkeypatch.setattr(neardup, "TILE", tile)
+    found = {(r["a"], r["b"]) for r in neardup.open_links(members, frame.select("id", "sig", "shingles"), 80, 1e-9).collect()}
+    parent, want = list(range(len(sets))), list(range(len(sets)))
+
+    def root(of, k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for k in range(1, len(sets), 15):
+        parent[k] = want[k] = k - 1
+    for x, y in found:
+        assert x != y
+        parent[max(root(parent, x), root(parent, y))] = min(root(parent, x), root(parent, y))
+    for x in range(len(sets)):
+        for y in range(x):
+            if neardup.similar(sets[x], sets[y], 80):
+                want[max(root(want, x), root(want, y))] = min(root(want, x), root(want, y))
+    assert [root(parent, k) for k in range(len(sets))] == [root(want, k) for k in range(len(sets))]
+    assert len({root(want, k) for k in range(len(sets))}) < len(sets) - 60
