@@ -64,6 +64,19 @@ def clean(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SAMPLE_BYTES = 64 << 20  # of the texts that a training sample brings to the driver
+
+
+def that_fit(rows: list, most_bytes: int) -> list:
+    """The rows, in their order, whose ``size`` still fits into what those before them left; a row that doesn't fit is passed over."""
+    out, left = [], most_bytes
+    for row in rows:
+        if row["size"] <= left:
+            out.append(row)
+            left -= row["size"]
+    return out
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have, so that helper columns never clash with its own."""
     there = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import small_batches
+from tagloom.llm.common import SAMPLE_BYTES, small_batches, that_fit
 from tagloom.llm.tokens import slices
 
 # Fixed values of HTML: elements that begin a block, that have no end tag, whose content isn't text, that end an open
@@ -471,12 +471,14 @@ def train(htmls: list[str], sample_blocks: int = 20_000, copies: int = 6, seed:
     return Labeller(seed).fit(sequences) if sequences else Labeller(seed)
 
 
-def extract_main_text(pages: DataFrame, sample: int = 240, sample_blocks: int = 20_000) -> DataFrame:
-    """page_id, url, text, n_chars for every row."""
+def extract_main_text(pages: DataFrame, sample: int = 240, sample_blocks: int = 20_000, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars for every row; the labeller is taught on at most ``sample`` pages and ``most_bytes`` of html."""
     small_batches(pages.sparkSession)
     hashed = pages.where(F.octet_length("html") > 0).select(F.xxhash64("page_id", "html").alias("h"), "html")
-    few = hashed.select("h").orderBy("h").limit(sample).distinct()  # narrow rows to the driver first, pages after
-    chosen = hashed.join(F.broadcast(few), "h", "left_semi").limit(2 * sample).collect()  # bounded, however often a page is repeated
+    # sizes to the driver first, then the pages that fit, each once, however often it is repeated
+    sizes = {r["h"]: r for r in hashed.select("h", F.octet_length("html").alias("size")).orderBy("h").limit(sample).collect()}
+    few = pages.sparkSession.createDataFrame([(r["h"],) for r in that_fit(list(sizes.values()), most_bytes)], "h long")
+    chosen = hashed.join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"]).collect()
     htmls = dict(sorted((r["h"], r["html"]) for r in chosen))
     labeller = train(list(htmls.values()), sample_blocks)
     shared = pages.sparkSession.sparkContext.broadcast(labeller)

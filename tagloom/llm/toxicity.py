@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import has_checkable_fold, id_and_text
+from tagloom.llm.common import SAMPLE_BYTES, has_checkable_fold, id_and_text, that_fit
 from tagloom.llm.tokens import slices
 
 SYMBOLS, DECAY, WINDOW = 64, 0.6, 14
@@ -279,13 +279,18 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates:
     return machine
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """At most so many labelled training documents of each class, those with the smallest hashes of their ids; where ids repeat,
-    at most 2 x sample rows in all."""
+    at most 2 x sample rows in all, of rows that repeat all one. Sizes reach the driver first, then the texts that fit."""
     known = has_checkable_fold(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))).where("y in (0, 1) and not held_out")
     chosen = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     found = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("doc_id", "text", "y")
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "y").limit(2 * sample).collect()
+    key = ["doc_id", "hash", "y"]
+    hashed = found.withColumn("hash", F.xxhash64("text"))
+    sizes = hashed.select(*key, F.octet_length("text").alias("size")).dropDuplicates(key)
+    fit = that_fit(sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "hash", "y").limit(2 * sample).collect(), most_bytes)
+    few = docs.sparkSession.createDataFrame([tuple(r[c] for c in key) for r in fit], "doc_id long, hash long, y int")  # at most 2 x sample rows
+    rows = hashed.join(F.broadcast(few), key, "left_semi").dropDuplicates(key).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
     return [r["text"] for r in rows], [r["y"] for r in rows]
 

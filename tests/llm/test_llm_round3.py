@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import alignment, decontamination, htmltext, negatives, neardup, packing, secrets, substrings
+from tagloom.llm import alignment, decontamination, htmltext, negatives, neardup, packing, secrets, substrings, toxicity
 from tagloom.llm.queries import BYTE_LEVEL, PIECES
 import element_pages
 
@@ -403,3 +403,17 @@ def test_one_bucket_of_many_sizes_loses_no_link(spark, monkeypatch, tile):
                 want[max(root(want, x), root(want, y))] = min(root(want, x), root(want, y))
     assert [root(parent, k) for k in range(len(sets))] == [root(want, k) for k in range(len(sets))]
     assert len({root(want, k) for k in range(len(sets))}) < len(sets) - 60
+
+
+def test_training_samples_are_bounded_in_bytes(spark):
+    """A text that doesn't fit is passed over, whatever its place; repeated rows count once; two texts of one id are two."""
+    rows = [(k, f"some words of text {k}") for k in range(40)] + [(k, "long " * 2_000) for k in range(40, 44)] + [(5, "some words of text 5"), (6, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(44)], "doc_id long, toxic int")
+    every, _ = toxicity.labelled_sample(docs, labels, "toxic", 100)
+    texts, sides = toxicity.labelled_sample(docs, labels, "toxic", 100, 5_000)
+    assert sorted(texts) == sorted(t for t in every if len(t) < 5_000) and len(set(texts)) == len(texts) == len(sides) < len(every)
+    assert ("another text" in texts) == ("some words of text 6" in texts)
+    assert toxicity.labelled_sample(docs, labels, "toxic", 100, 0) == ([], [])
+    pages = spark.createDataFrame([(1, "u", "<p>" + "long " * 5_000 + "</p>"), (2, "u", "<article><p>short</p></article>")], "page_id long, url string, html string")
+    assert htmltext.extract_main_text(pages, most_bytes=1_000).count() == 2
