@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import BLANK, folded, refusal, utrim
 
+GRAM = 4  # characters of a literal's longest word that are sought before the literal is
+MOST_GRAMS = 200_000  # that a task holds at a time
 FOUND = "id long, rule string, at long, length long"
 
 
@@ -69,19 +74,127 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
+def ends(word: str) -> tuple[str | None, str | None]:
+    return (word[:GRAM], word[-GRAM:]) if len(word) >= GRAM else (None, None)
+
+
+def grams_of(word: str) -> set[str]:
+    return {word[k : k + GRAM] for k in range(len(word) - GRAM + 1)}
+
+
+def ready_rules(rules: DataFrame) -> DataFrame:
+    """owner, word, regex, sensitive, pattern, number, first, last: of equal rules of an owner the first, without those that never
+    fire, literals as they are sought, with the first and the last GRAM characters of the longest word of each, if it has so many."""
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            rows = []
+            for owner, number, pattern, regex, own in chunk.itertuples(index=False):
+                if regex:
+                    try:
+                        re.compile(pattern, 0 if own else re.IGNORECASE)
+                    except (re.error, OverflowError, RecursionError):
+                        continue  # passed over
+                    rows.append((owner, pattern, True, own, pattern, number, None, None))
+                else:
+                    word = " ".join(pattern.split())
+                    word = word if own else lowered(word)
+                    if word:
+                        rows.append((owner, word, False, own, pattern, number, *ends(max(word.split(" "), key=len))))
+            yield pd.DataFrame(rows, columns=["owner", "word", "regex", "sensitive", "pattern", "number", "first", "last"])
+
+    known = rules.where("pattern is not null and owner is not null and number is not null").select("owner", F.col("number").cast("long").alias("number"), "pattern", F.coalesce("regex", F.lit(False)).alias("regex"), F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"))
+    made = known.mapInPandas(run, "owner string, word string, regex boolean, sensitive boolean, pattern string, number long, first string, last string")
+    best = made.groupBy("owner", "word", "regex", "sensitive").agg(F.min(F.struct("number", "pattern", "first", "last")).alias("b"))
+    return best.select("owner", "word", "regex", "sensitive", "b.*")
+
+
+def text_grams(texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """owner, sensitive, gram, n: runs of GRAM characters in the words of an owner's texts, as they are and in lower case, and in how
+    many words they stand. Repeated words are cut up once."""
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            words: dict[tuple[str, bool], Counter[str]] = {}
+            for owner, text in chunk.itertuples(index=False):
+                for sensitive, form in ((True, text), (False, lowered(text))):
+                    words.setdefault((owner, sensitive), Counter()).update(form.split(" "))
+            for (owner, sensitive), counted in words.items():
+                seen: Counter[str] = Counter()
+                for word, n in counted.items():
+                    for gram in grams_of(word):
+                        seen[gram] += n
+                    if len(seen) > MOST_GRAMS:
+                        yield frame(owner, sensitive, seen)
+                        seen.clear()
+                yield frame(owner, sensitive, seen)
+
+    def frame(owner: str, sensitive: bool, seen: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"owner": owner, "sensitive": sensitive, "gram": list(seen), "n": list(seen.values())})
+
+    some = texts.where("flat is not null").select("owner", "flat").join(owners, "owner", "left_semi")
+    return some.mapInPandas(run, "owner string, sensitive boolean, gram string, n long").groupBy("owner", "sensitive", "gram").agg(F.sum("n").alias("n"))
+
+
+def joined_rules(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    """literals(owner, sensitive, anchor, word, pattern, number) -> id, rule, at, length, number of the first literal of each text: a text
+    meets only literals whose anchor it holds."""
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            rows = []
+            for id_, owner, text in chunk.itertuples(index=False):
+                for sensitive, form in ((True, text), (False, lowered(text))):
+                    rows += [(id_, owner, sensitive, g) for g in set().union(*map(grams_of, set(form.split(" "))))]
+                if len(rows) > MOST_GRAMS:
+                    yield pd.DataFrame(rows, columns=["id", "owner", "sensitive", "anchor"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["id", "owner", "sensitive", "anchor"])
+
+    def check(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            rows = []
+            for id_, text, word, sensitive, pattern, number in chunk.itertuples(index=False):
+                at = (text if sensitive else lowered(text)).find(word)
+                if at >= 0:
+                    rows.append((id_, pattern, at, len(word), number))
+            yield pd.DataFrame(rows, columns=["id", "rule", "at", "length", "number"])
+
+    some = texts.where("flat is not null").select("id", "owner", "flat").join(literals.select("owner").distinct(), "owner", "left_semi")
+    grams = some.mapInPandas(run, "id long, owner string, sensitive boolean, anchor string")
+    meet = grams.join(literals, ["owner", "sensitive", "anchor"]).select("id", "word", "sensitive", "pattern", "number")
+    return meet.join(some.select("id", "flat"), "id").select("id", "flat", "word", "sensitive", "pattern", "number").mapInPandas(check, FOUND + ", number long")
+
+
 def own_rules(texts: DataFrame, rules: DataFrame, most: int = 20_000) -> DataFrame:
     """texts(id, owner, flat), rules(owner, number, pattern, regex, case_sensitive) -> id, rule, at, length: for each text that any
     rule of its owner fires on, the first by number.
 
-    Rules go to the tasks in slices of at most about ``most``, by number, each with its own pass over the texts; the first of all
-    passes counts. So a million rules are many passes and never too much for a task.
+    Literals are put aside by joins if the ends of their longest word stand in no word of their owner's texts. If at most ``most`` rules are
+    left, they go to the tasks in one pass over the texts. Otherwise literals meet the texts by a join with the rarer of these ends, and
+    patterns and literals of shorter words go to the tasks in slices of at most about ``most``, each with its own pass.
     """
-    known = rules.where("pattern is not null").select("owner", F.col("number").cast("long").alias("number"), "pattern", F.coalesce("regex", F.lit(False)).alias("regex"), F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"))
-    turns, out = max(1, -(-known.count() // most)), None
-    for turn in range(turns):
+    ready = ready_rules(rules).persist(StorageLevel.DISK_ONLY)
+    grams = text_grams(texts, ready.where("first is not null").select("owner").distinct()).persist(StorageLevel.DISK_ONLY)
+    literals = ready.where("first is not null")
+    for end in ("first", "last"):
+        literals = literals.join(grams.withColumnRenamed("gram", end).withColumnRenamed("n", f"n_{end}"), ["owner", "sensitive", end])
+    literals = literals.withColumn("anchor", F.when(F.col("n_first") <= F.col("n_last"), F.col("first")).otherwise(F.col("last"))).persist(StorageLevel.DISK_ONLY)
+    rest = ready.where("first is null")
+    found, few = literals.count(), rest.count()
+    grams.unpersist()
+    columns = ["owner", "number", "pattern", "regex", "sensitive"]
+    parts = []
+    if found + few > most:
+        parts.append(joined_rules(texts, literals.select("owner", "sensitive", "anchor", "word", "pattern", "number")))
+        live = rest.select(*columns)
+    else:
+        live, few = rest.select(*columns).unionByName(literals.select(*columns)), few + found
+    turns = max(1, -(-few // most))
+    for turn in range(turns if few else 0):
         own: dict[str, list] = {}
-        for r in known.where(F.pmod(F.xxhash64("number", "owner"), F.lit(turns)) == turn).collect():  # about ``most`` rows
-            own.setdefault(r["owner"], []).append((r["number"], r["pattern"], r["regex"], r["case_sensitive"]))
+        for r in live.where(F.pmod(F.xxhash64("number", "owner"), F.lit(turns)) == turn).collect():  # about ``most`` rows
+            own.setdefault(r["owner"], []).append((r["number"], r["pattern"], r["regex"], r["sensitive"]))
         shared = texts.sparkSession.sparkContext.broadcast(own)
 
         def run(chunks: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -98,9 +211,11 @@ def own_rules(texts: DataFrame, rules: DataFrame, most: int = 20_000) -> DataFra
                         rows.append((id_, made[owner].pattern[hit[0]], hit[1], hit[2], hit[0]))
                 yield pd.DataFrame(rows, columns=["id", "rule", "at", "length", "number"])
 
-        found = texts.select("id", "owner", "flat").mapInPandas(run, FOUND + ", number long")
-        out = found if out is None else out.unionByName(found)
-    if turns == 1:
+        parts.append(texts.select("id", "owner", "flat").mapInPandas(run, FOUND + ", number long"))
+    if not parts:
+        return texts.sparkSession.createDataFrame([], FOUND)
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1 and found + few <= most:
         return out.drop("number")
     return out.groupBy("id").agg(F.min_by(F.struct("rule", "at", "length"), F.struct("number", "at")).alias("f")).select("id", "f.*")
 

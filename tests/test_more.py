@@ -52,6 +52,23 @@ def test_ten_thousand_rules(spark):
     assert len(got) == 2000 and set(got.values()) == {"word1 x"} and time.time() - began < 30
 
 
+def test_silent_rules_need_no_passes_and_live_ones_are_joined(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, own=type(spark.sparkContext).broadcast: passes.append(sum(map(len, value.values()))) or own(self, value))
+    n, text = F.col("id"), lambda c: c.cast("string")
+    silent = spark.range(100_000).select(F.lit("a").alias("owner"), (-n).alias("number"), F.concat(F.lit("zq "), text(n + 10_000)).alias("pattern"), F.lit(False).alias("regex"), F.lit(True).alias("case_sensitive"))
+    live = spark.range(3000).select(F.lit("a").alias("owner"), n.alias("number"), F.concat(F.lit("Word"), text(n), F.lit("  x")).alias("pattern"), F.lit(False).alias("regex"), (n % 2 == 0).alias("case_sensitive"))
+    odd = spark.createDataFrame([("a", 5000, "ΟΔΟΣ", False, False), ("a", 5001, "d", False, False), ("a", 5002, "t[o]+", True, False), (None, 1, "some", False, False)], RULES)
+    texts = spark.range(600).select("id", F.lit("a").alias("owner"), F.concat(F.lit("some "), F.when(n % 3 == 0, F.lit("ΟΔΟΣ")).when(n % 3 == 1, F.concat(F.lit("word"), text(n + 9), F.lit(" x, Word"), text(n + 7), F.lit(" x"))).otherwise("too")).alias("flat"))
+    want = {k: "ΟΔΟΣ" if k % 3 == 0 else f"Word{k + 7}  x" if k % 3 == 1 else "t[o]+" for k in range(600)}
+    rules = silent.unionByName(live).unionByName(odd)
+    for most in (5000, 100):
+        passes.clear()
+        got = {r["id"]: (r["rule"], r["at"]) for r in refusals.own_rules(texts, rules, most).collect()}
+        assert {k: r for k, (r, _) in got.items()} == want and got[1][1] == len("some word10 x, ")
+        assert len(passes) == 1 and passes[0] <= most
+
+
 def test_rounds_to_the_end(spark):
     items = spark.createDataFrame([(n, f"f{n}.png") for n in range(1, 9)], "item_id long, file_name string")
     said = [(n, 1, n != 8, None) for n in range(1, 8)] + [(8, 1, False, None)] + [(1, 2, True, 85.1), (2, 2, True, 85.9), (3, 2, False, 99.0), (4, 2, True, None), (5, 2, False, None), (6, 2, True, 10.0)]  # round 2 says nothing of 7
