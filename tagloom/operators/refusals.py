@@ -132,7 +132,7 @@ def text_grams(texts: DataFrame, owners: DataFrame) -> DataFrame:
     def frame(owner: str, sensitive: bool, seen: Counter) -> pd.DataFrame:
         return pd.DataFrame({"owner": owner, "sensitive": sensitive, "gram": list(seen), "n": list(seen.values())})
 
-    some = texts.where("flat is not null").select("owner", "flat").join(owners, "owner", "left_semi")
+    some = texts.where("flat is not null").join(owners, "owner", "left_semi").select("owner", "flat")
     return some.mapInPandas(run, "owner string, sensitive boolean, gram string, n long").groupBy("owner", "sensitive", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -160,7 +160,7 @@ def joined_rules(texts: DataFrame, literals: DataFrame) -> DataFrame:
                     rows.append((id_, pattern, at, len(word), number))
             yield pd.DataFrame(rows, columns=["id", "rule", "at", "length", "number"])
 
-    some = texts.where("flat is not null").select("id", "owner", "flat").join(literals.select("owner").distinct(), "owner", "left_semi")
+    some = texts.where("flat is not null").join(literals.select("owner").distinct(), "owner", "left_semi").select("id", "owner", "flat")
     grams = some.mapInPandas(run, "id long, owner string, sensitive boolean, anchor string")
     meet = grams.join(literals, ["owner", "sensitive", "anchor"]).select("id", "word", "sensitive", "pattern", "number")
     return meet.join(some.select("id", "flat"), "id").select("id", "flat", "word", "sensitive", "pattern", "number").mapInPandas(check, FOUND + ", number long")
