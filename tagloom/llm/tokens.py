@@ -22,6 +22,7 @@ import regex
 
 from tagloom.llm.shingles import forget_words
 
+MARKS = ".,;:!?"
 SLICE_BYTES = 2 << 20  # texts are encoded in slices of about this size
 _LOADED: dict[str, "ChunkTokenizer"] = {}
 
@@ -70,13 +71,17 @@ class ChunkTokenizer:
             return [low[:-1], low[-1]]
         return self.runs_of(low)
 
-    def _learn(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of distinct runs in one call; every run ends with the one token of it that has the suffix."""
-        words = [r if r.isascii() else "".join(map(self.letters.__getitem__, r.encode())) for r in runs]
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs in one call, and where each run's ids end; every run ends with the one token of it that has the suffix."""
         ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
-        assert len(ends) == len(runs), "the vocabulary must mark the end of every run"
-        flat = ids.tobytes()
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        assert len(ends) == len(words), "the vocabulary must mark the end of every run"
+        return ids, ends
+
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of distinct runs."""
+        ids, ends = self._encoded([r if r.isascii() else "".join(map(self.letters.__getitem__, r.encode())) for r in runs])
+        flat, ends = ids.tobytes(), (4 * ends).tolist()
         return dict(zip(runs, (flat[x:y] for x, y in zip([0, *ends], ends))))
 
     def chunk_ids(self, texts: list[str]) -> list[bytes]:
@@ -108,15 +113,50 @@ class ChunkTokenizer:
         self.chunks.update(islice(short, max(0, self.max_chunks - len(self.chunks))))
         return out
 
+    def distinct_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in one array, how many each has, and where they begin. Most chunks are letters of ASCII, with a mark
+        or without: Python sees each run of their letters once, whatever its case and mark; the others are taken one by one."""
+        plain = pc.match_substring_regex(words, f"^[A-Za-z]+[{MARKS}]?$")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        easy, sizes = pc.ascii_lower(words.filter(plain)), np.zeros(len(words), np.int64)
+        fast = np.empty(0, "<u4")
+        if len(easy):
+            marked = ~pc.ascii_is_alpha(easy).to_numpy(zero_copy_only=False)
+            letters = pc.ascii_rtrim(easy, MARKS).dictionary_encode()
+            runs = letters.dictionary.to_pylist() + list(MARKS)
+            known = list(map(self.runs.get, runs))
+            fresh = [r for r, k in zip(runs, known) if k is None]
+            ids, ends = self._encoded(fresh) if fresh else (np.empty(0, "<u4"), np.empty(0, np.int64))
+            old = [k for k in known if k is not None]
+            is_old, size = np.fromiter((k is not None for k in known), bool, len(known)), np.empty(len(known), np.int64)
+            size[is_old], size[~is_old] = np.fromiter(map(len, old), np.int64, len(old)) // 4, np.diff(ends, prepend=0)
+            at = np.empty(len(known), np.int64)
+            at[~is_old] = ends - size[~is_old]
+            at[is_old] = len(ids) + np.cumsum(size[is_old]) - size[is_old]
+            pool = np.concatenate((ids, np.frombuffer(b"".join(old), "<u4")))
+            for k in range(min(len(fresh), max(0, self.max_runs - len(self.runs)))):
+                self.runs[fresh[k]] = ids[ends[k - 1] if k else 0 : ends[k]].tobytes()
+            begin = np.cumsum(1 + marked) - 1 - marked
+            order = np.empty(len(easy) + marked.sum(), np.int64)
+            order[begin] = letters.indices.to_numpy()
+            order[begin[marked] + 1] = len(runs) - len(MARKS) + pc.index_in(pc.utf8_slice_codeunits(easy.filter(pa.array(marked)), -1), pa.array(list(MARKS), easy.type)).to_numpy()
+            each, ends = size[order], np.cumsum(size[order])
+            fast = pool[np.repeat(at[order] - ends + each, each) + np.arange(ends[-1])]
+            sizes[is_plain] = np.add.reduceat(each, begin)
+        packed = self.chunk_ids(words.filter(pc.invert(plain)).to_pylist())
+        sizes[~is_plain] = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = np.empty(len(words), np.int64)
+        first[is_plain] = np.cumsum(sizes[is_plain]) - sizes[is_plain]
+        first[~is_plain] = len(fast) + np.cumsum(sizes[~is_plain]) - sizes[~is_plain]
+        return np.concatenate((fast, np.frombuffer(b"".join(packed), "<u4"))), sizes, first
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin and end in it."""
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
         codes, bounds = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        packed = self.chunk_ids(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        pool, first = np.frombuffer(b"".join(packed), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
-        del lists, words, packed
+        pool, sizes, first = self.distinct_ids(words.dictionary)
+        del lists, words
         each = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(each)))
         at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), each)  # a slice has far fewer than 2**31 ids

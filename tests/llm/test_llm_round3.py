@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -417,3 +418,20 @@ def test_training_samples_are_bounded_in_bytes(spark):
     assert toxicity.labelled_sample(docs, labels, "toxic", 100, 0) == ([], [])
     pages = spark.createDataFrame([(1, "u", "<p>" + "long " * 5_000 + "</p>"), (2, "u", "<article><p>short</p></article>")], "page_id long, url string, html string")
     assert htmltext.extract_main_text(pages, most_bytes=1_000).count() == 2
+
+
+def test_plain_words_are_encoded_without_a_step_for_each(monkeypatch):
+    import public_tokenizers
+
+    from tagloom.llm import tokens
+
+    tokenizer = tokens.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), runs=5)
+    texts = ["The cat, THE Cat; sat!? on\nA  mat. x1 d'accord <|endoftext|> Éa a: : zqxv, zqxv", "", "mat cat. İx"]
+    seen = []
+    chunk_ids = tokenizer.chunk_ids
+    monkeypatch.setattr(tokenizer, "chunk_ids", lambda words: seen.extend(words) or chunk_ids(words))
+    for _ in range(2):
+        ids, bounds = tokenizer.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
+    assert {"x1", "sat!?", ":"} <= set(seen) and not {"The", "cat,", "mat.", "zqxv,"} & set(seen) and len(tokenizer.runs) == 5
