@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by spreading the smallest id and jumping along pointers."""
+"""Connected components of a table of links, by joining each id to its smallest neighbour and contracting the links."""
 
 from __future__ import annotations
 
@@ -11,19 +11,29 @@ from tagloom.llm.common import durable
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """links(a, b) -> (id, component) for every linked id: the smallest id that can be reached.
 
-    Each round a node takes the smallest label among its neighbours, and then the label that this label's own node has.
-    Rounds end when no label changes; long chains shorten by the jumps. Labels are written each round, so that lineage stays
-    short and both sides of the join with a hub's many links are read from files, which lets Spark split them.
+    Each round an id points to the smallest of itself and its neighbours, pointers are followed to their ends, and a link becomes
+    one between the ends of its two ids; links of an end with itself and repeated ones go. So a link passes through the joins of
+    one round, and only what is not connected yet through those of the next. Tables of a round are written, so that lineage stays
+    short and a hub's many links are read from files, which lets Spark split them.
     """
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    edges, out = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), None
     for _ in range(most_rounds):
-        heard = both.join(labels, both.a == labels.id).groupBy("b").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, labels.id == heard.b, "left").select("id", "component", F.least("component", "heard").alias("next"))
-        jump = labels.select(F.col("id").alias("via"), F.col("component").alias("beyond"))
-        step = durable(lower.join(jump, lower.next == jump.via, "left").select("id", "component", F.least("next", "beyond").alias("next")), "labels")
-        moved = step.where(F.col("next") < F.col("component")).limit(1).count()
-        labels = step.select("id", F.col("next").alias("component"))
-        if not moved:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = followed(durable(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), "labels"))
+        out = ends if out is None else out.join(ends.toDF("__end", "__next"), F.col("component") == F.col("__end"), "left").select("id", F.coalesce("__next", "component").alias("component"))
+        first, second = (ends.toDF(k, f"end_{k}") for k in ("a", "b"))
+        edges = durable(edges.join(first, "a").join(second, "b").where("end_a <> end_b").select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return out
     raise RuntimeError("components did not settle")
+
+
+def followed(labels: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """labels(id, component), each component an id too and not above its own -> where each id's pointers end."""
+    for _ in range(most_rounds):
+        beyond = labels.toDF("__via", "__beyond")
+        step = durable(labels.join(beyond, F.col("component") == F.col("__via")).select("id", "component", "__beyond"), "labels")
+        labels = step.select("id", F.col("__beyond").alias("component"))
+        if step.where("component <> __beyond").isEmpty():
+            return labels
+    raise RuntimeError("pointers did not end")

@@ -435,3 +435,20 @@ def test_plain_words_are_encoded_without_a_step_for_each(monkeypatch):
         for k, text in enumerate(texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
     assert {"x1", "sat!?", ":"} <= set(seen) and not {"The", "cat,", "mat.", "zqxv,"} & set(seen) and len(tokenizer.runs) == 5
+
+
+def test_links_pass_once_through_the_joins_of_components(spark, monkeypatch):
+    from tagloom.llm import graph
+
+    written, durable = [], graph.durable
+    def counted(df, label):
+        out = durable(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "durable", counted)
+    pairs = [(h, n) for h in range(5) for n in range(10, 210)] + [(n, n + 1) for n in range(300, 330)]  # many hubs of one group, a chain
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == {n: 0 for n in (*range(5), *range(10, 210))} | {n: 300 for n in range(300, 331)} and len(got) == 236
+    sizes = [n for label, n in written if label == "links"]
+    assert sizes[0] == len(pairs) and sum(sizes[1:]) < 10 and sizes[-1] == 0
