@@ -7,17 +7,20 @@ windows of long words; marks inside words are dropped and runs of single charact
 Only documents carry labels, so training is by sentences of documents as bags: in each sentence of a toxic document the word
 that scores highest is its witness, clean documents give their words as negatives, and the machine is trained again with the
 new witnesses. The first witnesses are words that, or whose stems, stand in toxic documents far more often than chance
-allows. A logistic curve over a document's highest word scores and their number turns them into a score.
+allows; all witnesses stand there LIFT times as often as in clean ones. After the first rounds every clean word of the sample
+is scored, and those that score highest become negatives too. A logistic curve over a document's highest word scores and their
+number turns them into a score; beyond SHORT words the length of a text has no part in it.
 
 A machine on landmarks is a sum of kernels, each a product of subsequence counts, so the trained machine is one weight for
 each of 64**3 subsequences. Tasks get this table (1 MB) and remember the scores of words.
 
 Fit: on at most ``sample`` labelled documents of each class, taken by hash from the training folds, and on at most
 ``candidates`` distinct words of each class in them: of toxic documents those with the strongest evidence, of clean ones the
-most frequent half and an even share of the rest. Both bounds are parameters; scoring has none.
+most frequent half, an even share of the rest and, after each of the MINED rounds, a quarter as many more. Both bounds are
+parameters; scoring has none.
 Defined results: null and empty texts are scored as texts without words; null ids and repeated rows are scored like any;
-null labels are not used; with a one-sided or empty training set every score is that class's share (0.5 for none); an empty
-table gives no rows; other columns are never read.
+null labels are not used; with a one-sided or empty training set, or one without a letter or digit, every score is the share of
+toxic ones (0.5 for none); an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -41,8 +44,11 @@ from tagloom.llm.tokens import slices
 SYMBOLS, DECAY, WINDOW = 64, 0.6, 14
 STEM = 5  # the mark before a word and its first letters, which first witnesses may share
 SIGNIFICANT = 4.5  # a first witness is commoner in toxic documents by so many standard deviations
+LIFT = 3.0  # and a witness at all times by this factor: among thousands of frequent stems, some pass any bar of chance alone
+MINED = (0, 1)  # after these rounds the clean words that score highest, of all there are, become negatives too
 MAX_WORDS = 200_000  # how many word scores a Python worker remembers
 FEATURES = 5
+SHORT = 64  # a text of fewer words is short: one insult weighs more there, while no longer text makes any weigh less
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 
 
@@ -132,15 +138,22 @@ def evidence_of(seen: np.ndarray, total: list[int]) -> np.ndarray:
     return np.where(more, 1, -1) * np.sqrt(2 * np.maximum(out, 0))
 
 
+def lifted(seen: np.ndarray, total: list[int]) -> np.ndarray:
+    """Evidence as above; none where toxic documents don't have something LIFT times as often as clean ones."""
+    often = (seen[1] * max(total[0], 1)) > LIFT * (seen[0] * max(total[1], 1))
+    return np.where(often, evidence_of(seen, total), -np.inf)
+
+
 def stem_evidence(units: list[tuple[int, ...]], bags: list[np.ndarray], toxic: np.ndarray, total: list[int]) -> np.ndarray:
-    """For each unit the evidence of its stem: insults come in many forms of one stem. Parts of long words have none."""
+    """For each unit the evidence of its stem, if that is lifted: insults come in many forms of one stem. Parts of long words
+    have none."""
     number: dict[tuple[int, ...], int] = {}
     stem = np.array([number.setdefault(u[:STEM], len(number)) if u[0] == 0 else -1 for u in units], np.int64)
     seen = np.zeros((2, len(number)))
     for bag, label in zip(bags, toxic):
         own = np.unique(stem[bag])
         seen[label, own[own >= 0]] += 1
-    return np.where(stem >= 0, np.append(evidence_of(seen, total), -np.inf)[stem], -np.inf)
+    return np.where(stem >= 0, np.append(lifted(seen, total), -np.inf)[stem], -np.inf)
 
 
 def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 30) -> np.ndarray:
@@ -170,12 +183,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 
 def summary(scores: np.ndarray) -> np.ndarray:
-    """What the scores of a document's words come down to, whatever its length."""
+    """What the scores of a document's words come down to: the highest, how many are high, and how short a short text is.
+    Words of a long text never outweigh its insults."""
+    few = np.log(SHORT / (1 + min(len(scores), SHORT)))
     if not len(scores):
-        return np.array([-2.0, -2.0, 0.0, 0.0, -5.0])
+        return np.array([-2.0, -2.0, 0.0, 0.0, few])
     top = -np.sort(-scores) if len(scores) <= 4 else -np.sort(np.partition(-scores, 3)[:4])
     sure, likely = int((scores > 0.5).sum()), int((scores > 0).sum())
-    return np.array([np.clip(top[0], -2, 2), np.clip(top, -2, 2).mean(), np.log1p(sure), np.log1p(likely), np.log((sure + 0.5) / (len(scores) + 1))])
+    return np.array([np.clip(top[0], -2, 2), np.clip(top, -2, 2).mean(), np.log1p(sure), np.log1p(likely), few])
 
 
 @dataclass
@@ -209,7 +224,7 @@ def joined_singles(words: list[str]) -> list[str]:
 def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates: int = 7_500, rounds: int = 4, cost: float = 3.0) -> Machine:
     y = np.array(labels)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y) or not any(c.isalnum() for t in texts for c in t):
         return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)) if len(y) else 0.0), share)
     number: dict[tuple[int, ...], int] = {}
     bags: list[list[np.ndarray]] = []
@@ -229,7 +244,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates:
     for bag, label in zip(used, side_of):
         seen[label, bag] += 1
     total = [int((side_of == k).sum()) for k in (0, 1)]
-    evidence = np.maximum(evidence_of(seen, total), stem_evidence(units, used, side_of, total)) if units else np.empty(0)
+    evidence = np.maximum(lifted(seen, total), stem_evidence(units, used, side_of, total)) if units else np.empty(0)
     evidence[seen[1] == 0] = -np.inf
     order = np.argsort(-evidence, kind="stable")[: int((seen[1] > 0).sum())]
     common = np.argsort(-seen[0], kind="stable")
@@ -240,15 +255,28 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates:
     asked = np.unique(np.concatenate((clean, order[:candidates], marks)))
     place = np.full(len(units), -1)
     place[asked] = np.arange(len(asked))
-    some = [units[k] for k in asked]
-    kernel = np.hstack([table_scores(some, landmark_tables([units[k] for k in marks[at : at + 64]])) for at in range(0, len(marks), 64)])
+
+    def landmark_slices() -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(marks), 32):  # 1 MB each, so a few at a time
+            yield at, landmark_tables([units[k] for k in marks[at : at + 32]])
+
+    def kernel_of(some: np.ndarray) -> np.ndarray:
+        return np.hstack([table_scores([units[k] for k in some], own) for _, own in landmark_slices()])
+
+    def collapsed(w: np.ndarray) -> np.ndarray:
+        table, turned = np.zeros(SYMBOLS**3, np.float32), half @ w[:-1]
+        for at, own in landmark_slices():
+            table += (turned[at : at + 32] @ own).astype(np.float32)
+        return table
+
+    kernel = kernel_of(asked)
     values, vectors = np.linalg.eigh((kernel[place[marks]] + kernel[place[marks]].T) / 2)
     keep = values > 1e-6
     half = vectors[:, keep] / np.sqrt(values[keep])
     z = kernel @ half
     score = np.where(place >= 0, evidence, -np.inf) - SIGNIFICANT
     w = np.zeros(z.shape[1] + 1)
-    for _ in range(rounds):
+    for turn in range(rounds):
         witness: Counter[int] = Counter()
         for bag, label, f in zip(bags, y, fitted):
             if label and f:
@@ -263,12 +291,15 @@ def train(texts: list[str], labels: list[int], landmarks: int = 320, candidates:
         weight = np.concatenate((np.log1p(np.array(list(witness.values()), float)), np.log1p(seen[0][negative])))
         weight[side > 0] *= 0.5 * weight[side < 0].sum() / weight[side > 0].sum()
         w = linear_machine(x, side, weight / weight.mean(), cost)
+        if turn in MINED:
+            rest = np.flatnonzero((seen[0] > 0) & (place < 0))
+            hard = rest[np.argsort(-table_scores([units[k] for k in rest], collapsed(w)[None])[:, 0], kind="stable")[: candidates // 4]]
+            place[hard] = np.arange(len(asked), len(asked) + len(hard))
+            asked, clean = np.concatenate((asked, hard)), np.concatenate((clean, hard))
+            z = np.concatenate((z, kernel_of(hard) @ half))
         score = np.full(len(units), -np.inf)
         score[asked] = z @ w[:-1] + w[-1]
-    table = np.zeros(SYMBOLS**3, np.float32)
-    for at in range(0, len(marks), 64):
-        table += ((half @ w[:-1])[at : at + 64] @ landmark_tables([units[k] for k in marks[at : at + 64]])).astype(np.float32)
-    machine = Machine(table, float(w[-1]), np.zeros(FEATURES + 1), share)
+    machine = Machine(collapsed(w), float(w[-1]), np.zeros(FEATURES + 1), share)
     held = [k for k in range(len(bags)) if not fitted[k]]
     if not 0 < y[held].sum() < len(held):
         held = list(range(len(bags)))

@@ -420,6 +420,29 @@ def test_training_samples_are_bounded_in_bytes(spark):
     assert htmltext.extract_main_text(pages, most_bytes=1_000).count() == 2
 
 
+def test_frequent_stems_and_long_texts_are_no_evidence():
+    """Words that toxic documents hold only somewhat more often are no witnesses; the words of a long text don't outweigh insults."""
+    parts = ["er", "an", "th", "on", "re", "st", "ti", "ou", "nd", "or", "le", "ch"]
+    rng = np.random.default_rng(11)
+    word = lambda first="": first + "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 5)))
+    texts, sides = [], []
+    for n in range(500):
+        toxic, size = n % 2, int(rng.integers(20, 400))
+        words = [word() for _ in range(size)] + [word("vequ") for _ in range(toxic * (1 + size // 60))] + [word("enhei") for _ in range(3 * (rng.random() < (0.45, 0.75)[toxic]))]
+        texts.append(". ".join(" ".join(words[k] for k in part) for part in np.array_split(rng.permutation(len(words)), max(1, len(words) // 8))))
+        sides.append(toxic)
+    machine = toxicity.train(texts, sides)
+    assert machine.word_scores([word("enhei") for _ in range(40)]).max() < 0.5 < np.median(machine.word_scores([word("vequ") for _ in range(40)]))
+    score_of = lambda words: machine.document_scores(toxicity.summary(machine.word_scores(words))[None])[0]
+    long = [word() for _ in range(3000)]
+    assert score_of(long) < 0.5 < score_of([*long, word("vequ"), word("vequ")])
+
+
+def test_labelled_texts_without_letters():
+    machine = toxicity.train(["", " - ", "...", "\n"], [0, 1, 0, 0])
+    assert np.isclose(machine.document_scores(toxicity.summary(np.empty(0))[None])[0], 0.25)
+
+
 def test_plain_words_are_encoded_without_a_step_for_each(monkeypatch):
     import public_tokenizers
 
