@@ -1,6 +1,8 @@
 """Full order, rule tables, rounds, folders, merged settings and schema versions on small tables."""
 
 import os
+import random
+import re
 import time
 
 import pytest
@@ -69,6 +71,52 @@ def test_silent_rules_need_no_passes_and_live_ones_are_joined(spark, monkeypatch
         assert len(passes) == 1 and passes[0] <= most
 
 
+def first_by_hand(texts, rules):
+    """id: rule, place, length and excerpt of the first rule by number that fires, each rule tried on each text."""
+    out, tried = {}, {}
+    for number, owner, pattern, regex, sensitive in sorted((r[1], r[0], *r[2:]) for r in rules):
+        try:
+            tried.setdefault(owner, []).append((pattern, sensitive, re.compile(pattern, 0 if sensitive else re.I) if regex else None, " ".join(pattern.split())))
+        except re.error:
+            continue
+    for i, owner, text in texts:
+        low = refusals.lowered(text)
+        for pattern, sensitive, regex, word in tried.get(owner, []):
+            at, end = m.span() if regex and (m := regex.search(text)) else (-1, -1) if regex or not word else (k := (text if sensitive else low).find(word if sensitive else refusals.lowered(word)), k + len(word))
+            if at >= 0:
+                out[i] = (pattern, at, end - at, text[max(at - 24, 0) : end + 48])
+                break
+    return out
+
+
+def test_rules_leave_little_on_disk(spark, monkeypatch):
+    def on_disk():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()))
+
+    pick = random.Random(7)
+    words = ["".join(pick.choice("aeiou") + pick.choice("bcdfglmnprst") for _ in range(pick.randint(2, 5))) for _ in range(6000)]
+    texts = [(k, f"o{k % 4}", " ".join(pick.choices(words, k=pick.choice([0, 1, 2, 60])) + pick.choices(["KeLvin \u212aelvin", "wi\u017fhful", "D\u0130sTant d\u0131stant", "Größe", ""], k=1))) for k in range(6000)]
+    live = [(f"o{k % 3}", k - 400, pick.choice([w, w.upper(), w + "[a-z]+", w[:3] + "?" + w[3:], "(" + w, w + " ", f"{w}|{w}s", "sel" + w]), k % 5 in (2, 3), k % 2 == 0) for k, w in enumerate(pick.choices(words, k=4000))]
+    live += [("o0", 9000, "kelvin", True, False), ("o1", 9001, "wishful+", True, False), ("o2", 9002, "distant", True, False), ("o2", 9003, "GRÖSSE", False, False), ("o1", 9004, "größ", False, False)]
+    silent = spark.range(200_000).select(F.concat(F.lit("o"), (F.col("id") % 3).cast("string")).alias("owner"), (-F.col("id") - 1000).alias("number"), F.concat(F.lit("zq "), F.col("id").cast("string")).alias("pattern"), F.lit(False).alias("regex"), (F.col("id") % 2 == 0).alias("case_sensitive"))
+    rules, frame = silent.unionByName(spark.createDataFrame(live, RULES)), spark.createDataFrame(texts, "id long, owner string, flat string").repartition(4)
+    want = first_by_hand(texts, live)
+    for few in (2000, 0, 10_000):  # the last texts are joined, none are, most are
+        monkeypatch.setattr(refusals, "FEW", few, raising=False)
+        before = on_disk()
+        got = {r["id"]: r for r in refusals.own_rules(frame, rules, 500).collect()}
+        assert few > 2000 or on_disk() - before < 12_000_000, on_disk() - before
+        assert {k: (r["rule"], r["at"], r["length"], r["excerpt"]) for k, r in got.items()} == want
+
+
+def test_what_patterns_begin_with():
+    assert [refusals.needed(p) for p in ("that[a-z]+", "that+", "that*", "that?x", "that{0,2}", "tha|t", "(?i)that", "no way\\b", "größe", "")] == ["that", "that", "tha", "tha", "tha", "", "", "no way", "gr", ""]
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ":
+        assert {refusals.form(m, False) for m in re.findall(c, every, re.I)} == {refusals.form(c, False)}
+
+
 def test_rounds_to_the_end(spark):
     items = spark.createDataFrame([(n, f"f{n}.png") for n in range(1, 9)], "item_id long, file_name string")
     said = [(n, 1, n != 8, None) for n in range(1, 8)] + [(8, 1, False, None)] + [(1, 2, True, 85.1), (2, 2, True, 85.9), (3, 2, False, 99.0), (4, 2, True, None), (5, 2, False, None), (6, 2, True, 10.0)]  # round 2 says nothing of 7
