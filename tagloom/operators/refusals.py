@@ -22,7 +22,7 @@ SLOTS = 2**18  # of 64 bits each, in a sketch of runs; its size is the same what
 MOST_RUNS = 500_000  # that are placed at a time
 ORDER = ("number", "owner", "word", "regex", "sensitive")  # no two rules of ready_rules are alike in all of them
 FEW = 2_000  # texts that are left for a join with the rules that are left
-MOST_TURNS = 40  # after which rules that decide less than an eighth of the texts meet them by a join
+MOST_TURNS = 500  # passes; where more are left and the last one decided less than an eighth of the texts, a join follows, which takes far more disk
 SAME = {0x130: "i", 0x131: "i", 0x17F: "s"}  # in lower case still other characters than those for which patterns take them
 FOUND = "id long, rule string, at long, length long, excerpt string, number long"
 
